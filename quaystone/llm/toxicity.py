@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,7 +192,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms
 
 
 def _score(batches, shared):
-    model = shared.value
+    model = cloudpickle.loads(shared.value)
     vectors = Vectors(model.index.terms)
     for batch in chunks(batches, 512):
         who, cosine = model.index.nearest(model.dense(batch.column("text").to_pylist(), vectors), model.neighbours)
@@ -206,7 +207,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, folds: int = FOLDS, he
 
     A null text is empty; a text without known terms has no neighbours, and the score of no evidence.  Repeated rows
     score alike.  The model is bounded by its sample and terms, and goes to the executors once."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     out = rows.mapInArrow(lambda bs: _score(bs, shared), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
     return out.select("doc_id", held_out(F.col("doc_id"), folds, held).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "evidence")
