@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, in a block-max inverted index.
 
 Terms are lower-cased words without punctuation around them, and their first 4, 5 and 6 bytes.  The index keeps the
-terms that tell the labels of a bounded sample apart (by chi-square), with document counts over the whole corpus.
+terms that tell label 1 in a bounded sample (by chi-square), with document counts over the whole corpus.
 Examples are ordered so that similar ones share a block; for each term every block knows its largest weight.  A query
 takes blocks in order of their bound and stops when no block can hold a nearer example than the k found: the result
 is that of comparing with every example.
@@ -22,6 +22,8 @@ from quaystone.llm.labelled import Isotonic, held_out, training_sample
 
 #: Labelled rows in the index, at most about so many; terms it knows; neighbours that vote; examples in a block.
 SAMPLE, TERMS, NEIGHBOURS, BLOCK = 6000, 3000, 15, 64
+#: Least chi-square of a term: one in a thousand by chance.
+CHI = 10.83
 #: How the contract splits rows and cuts scores.
 FOLDS, HELD, CUT = 3, 1, 0.7
 _AROUND = b".,;:!?\"'()[]{}<>*#$%&|-_"
@@ -157,8 +159,9 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, neighbours: int = NEIGHBOURS, folds: int = FOLDS, held: int = HELD) -> ToxicityModel:
     """Indexes at most about ``sample`` labelled rows outside the held-out fold, with term counts over all of ``docs``.
 
-    Half of the terms are those most frequent with label 1 by chi-square, half with label 0.  Calibration compares each
-    example with the others.  Without labelled rows every score is 0.
+    Terms are those more frequent with label 1, by chi-square: examples of either label are vectors over what tells
+    label 1, so passages that many clean texts share don't outweigh it.  Calibration compares each example with the
+    others.  Without labelled rows every score is 0.
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.keep(training_sample(docs, labels, "toxic", folds, held, sample), "examples")
@@ -169,9 +172,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms
     c, d, n = p1 - a, p0 - b, float(p0 + p1)
     chi = (a * d - b * c) * (a * d - b * c) * n / F.greatest((a + b) * (c + d) * F.lit(float(p0) * p1), F.lit(1e-9))
     count = scratch.keep(count.where(F.col("n0") + F.col("n1") >= 3).withColumn("chi", chi).withColumn("up", a / p1 > b / p0), "terms")
-    known = []
-    for up in (True, False):
-        known += [bytes(r["term"]) for r in count.where(F.col("up") == up).orderBy(F.desc("chi"), "term").limit(terms // 2).collect()]
+    chosen = count.where(F.col("up") & (F.col("chi") >= CHI)).orderBy(F.desc("chi"), "term").limit(terms)
+    known = [bytes(r["term"]) for r in chosen.select("term").collect()]  # bounded by ``terms``
     text = docs.select(F.col("text").cast("binary").alias("text"))
     found = text.mapInArrow(lambda bs: _document_counts(bs, known), "number int, n long").groupBy("number").agg(F.sum("n").alias("n")).collect()
     df = {r["number"]: r["n"] for r in found}
