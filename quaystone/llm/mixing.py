@@ -21,7 +21,7 @@ from quaystone.llm.common import Scratch, id_out, with_ids
 #: The golden ratio as a 31-bit fraction, and its period.
 GOLDEN, PERIOD = 1327217885, 2**31
 #: Slots or documents in one chunk of a rank or offset, about.
-CHUNK = 16384
+CHUNK = 2048
 #: Cells that cut [0, 1) to look a point up by an equi-join.
 CELLS = 4096
 
