@@ -44,15 +44,16 @@ class Isotonic:
     """Non-decreasing map from raw scores to shares of label 1, by pool adjacent violators."""
 
     def __init__(self, raw: np.ndarray, y: np.ndarray, prior: float = 1.0):
-        order = np.argsort(raw, kind="stable")
-        raw, y = np.asarray(raw, float)[order], np.asarray(y, float)[order]
+        # equal raw scores are one point
+        points, at = np.unique(np.asarray(raw, float), return_inverse=True)
+        ones, rows = np.bincount(at, np.asarray(y, float), len(points)), np.bincount(at, minlength=len(points))
         blocks: list[list[float]] = []  # sum of y, rows, lowest and highest raw score
-        for x, v in zip(raw, y, strict=True):
-            blocks.append([v, 1.0, x, x])
+        for x, v, n in zip(points, ones, rows, strict=True):
+            blocks.append([v, float(n), x, x])
             while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 top = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + top[0], blocks[-1][1] + top[1], blocks[-1][2], top[3]]
-        share = y.mean() if len(y) else 0.5
+        share = float(np.mean(y)) if len(y) else 0.5
         knots = [(x, (b[0] + prior * share) / (b[1] + prior)) for b in blocks for x in ((b[2], b[3]) if b[3] > b[2] else (b[2],))]
         self.x = np.array([k for k, _ in knots] or [0.0])
         self.y = np.maximum.accumulate(np.array([v for _, v in knots] or [share]))

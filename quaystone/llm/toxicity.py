@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, in a block-max inverted index.
 
-Terms are lower-cased words without punctuation around them, and their first 4, 5 and 6 bytes.  The index keeps the
-terms that tell label 1 in a bounded sample (by chi-square), with document counts over the whole corpus.
+Terms are lower-cased words without punctuation around them, and their first 4, 6 and 8 bytes; one more term stands for
+all other words.  The index keeps the terms that tell label 1 in a bounded sample (by likelihood ratio), with document
+counts over the whole corpus.
 Examples are ordered so that similar ones share a block; for each term every block knows its largest weight.  A query
 takes blocks in order of their bound and stops when no block can hold a nearer example than the k found: the result
 is that of comparing with every example.
@@ -9,6 +10,7 @@ is that of comparing with every example.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -22,8 +24,8 @@ from quaystone.llm.labelled import Isotonic, held_out, training_sample
 
 #: Labelled rows in the index, at most about so many; terms it knows; neighbours that vote; examples in a block.
 SAMPLE, TERMS, NEIGHBOURS, BLOCK = 6000, 3000, 15, 64
-#: Least chi-square of a term: one in ten million by chance, as there are many candidates.
-CHI = 28.4
+#: Share of index terms that may differ between the labels by chance (false discovery rate).
+FALSE_TERMS = 0.001
 #: How the contract splits rows and cuts scores.
 FOLDS, HELD, CUT = 3, 1, 0.7
 _AROUND = b".,;:!?\"'()[]{}<>*#$%&|-_"
@@ -34,19 +36,20 @@ def terms_of(word: bytes) -> tuple[bytes, ...]:
     word = word.strip(_AROUND)
     if not word:
         return ()
-    return tuple({word, *(b"^" + word[:n] for n in (4, 5, 6) if len(word) >= n)})
+    return tuple({word, *(b"^" + word[:n] for n in (4, 6, 8) if len(word) >= n)})
 
 
 class Vectors:
     """Texts as sparse vectors over known terms."""
 
     def __init__(self, terms: list[bytes]):
-        self.number = {t: i for i, t in enumerate(terms)}
+        self.number = {t: i for i, t in enumerate(terms)} 
         self.seen: dict[bytes, tuple[int, ...]] = {}
 
     def counts(self, text: bytes) -> Counter:
-        """Term number -> occurrences in the text."""
+        """Term number -> occurrences in the text; number 0 stands for all words without a term of their own."""
         out: Counter = Counter()
+        other = 0
         for word, n in Counter(text.lower().split()).items():
             own = self.seen.get(word)
             if own is None:
@@ -55,6 +58,10 @@ class Vectors:
                 own = self.seen[word] = tuple(i for t in terms_of(word) if (i := self.number.get(t)) is not None)
             for i in own:
                 out[i] += n
+            if not own:
+                other += n
+        if other:
+            out[0] = other
         return out
 
 
@@ -159,7 +166,7 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, neighbours: int = NEIGHBOURS, folds: int = FOLDS, held: int = HELD) -> ToxicityModel:
     """Indexes at most about ``sample`` labelled rows outside the held-out fold, with term counts over all of ``docs``.
 
-    Terms are those more frequent with label 1, by chi-square: examples of either label are vectors over what tells
+    Terms are those more frequent with label 1, by likelihood ratio: examples of either label are vectors over what tells
     label 1, so passages that many clean texts share don't outweigh it.  Calibration compares each example with the
     others.  Without labelled rows every score is 0.
     """
@@ -169,11 +176,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms
     p0, p1 = max(totals.get(0, 0), 1), max(totals.get(1, 0), 1)
     count = rows.mapInArrow(_candidate_terms, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    c, d, n = p1 - a, p0 - b, float(p0 + p1)
-    chi = (a * d - b * c) * (a * d - b * c) * n / F.greatest((a + b) * (c + d) * F.lit(float(p0) * p1), F.lit(1e-9))
-    count = scratch.keep(count.where(F.col("n0") + F.col("n1") >= 3).withColumn("chi", chi).withColumn("up", a / p1 > b / p0), "terms")
-    chosen = count.where(F.col("up") & (F.col("chi") >= CHI)).orderBy(F.desc("chi"), "term").limit(terms)
-    known = [bytes(r["term"]) for r in chosen.select("term").collect()]  # bounded by ``terms``
+    share = p1 / (p0 + p1)
+    # likelihood ratio of a term's documents by label against the base rate; it holds for rare terms too
+    part = lambda x, s: F.when(x > 0, x * F.log(x / ((a + b) * s))).otherwise(0.0)
+    ratio = 2 * (part(a, share) + part(b, 1 - share))
+    count = scratch.keep(count.where(F.col("n0") + F.col("n1") >= 3).withColumn("ratio", ratio).withColumn("up", a / p1 > b / p0), "terms")
+    tested = count.count()
+    top = count.where("up").orderBy(F.desc("ratio"), "term").limit(terms).select("term", "ratio").collect()  # bounded by ``terms``
+    # Benjamini-Hochberg: the longest prefix whose last p-value is below its share of the false discovery rate
+    passing = [i for i, r in enumerate(top, 1) if math.erfc(math.sqrt(r["ratio"] / 2)) <= FALSE_TERMS * i / max(tested, 1)]
+    known = [b"", *(bytes(r["term"]) for r in top[: max(passing, default=0)])]
     text = docs.select(F.col("text").cast("binary").alias("text"))
     found = text.mapInArrow(lambda bs: _document_counts(bs, known), "number int, n long").groupBy("number").agg(F.sum("n").alias("n")).collect()
     df = {r["number"]: r["n"] for r in found}
