@@ -124,7 +124,7 @@ FROM gaps WINDOW hr AS (PARTITION BY customer_id ORDER BY event_time RANGE BETWE
     ),
     "mart_features": (
         ("features",),
-        """SELECT transaction_id, customer_id, event_time, is_fraud, fraud_pattern, amount_vnd AS txn_amount, round(a, 2) AS avg_amount_7d, coalesce((amount_vnd - a) / nullif(s, 0), 0) AS z, round(z, 4) AS amount_zscore, n1 AS txn_count_1h,
+        """SELECT transaction_id, customer_id, event_time, is_fraud, fraud_pattern, amount_vnd AS txn_amount, round(a, 2) AS avg_amount_7d, coalesce((amount_vnd - a) / nullif(s, 0), 0) AS z, round(z, 4) + 0.0 AS amount_zscore, n1 AS txn_count_1h,
     n24 AS txn_count_24h, um AS unique_merchants_24h, ud AS unique_devices_7d, CAST(new_device AS INT) AS is_new_device, CAST(new_place AS INT) AS is_new_location, f24 AS failed_txn_count_24h,
     CASE WHEN hour(event_time) <= 5 THEN 1 ELSE 0 END AS night_transaction_flag, CASE WHEN amount_vnd > 46000000 THEN 1 ELSE 0 END AS high_amount_flag, CASE WHEN txn_country IS DISTINCT FROM home_country THEN 1 ELSE 0 END AS cross_country_flag,
     round(0.5 * least(CAST(n24 AS DOUBLE) / 10, 3) + 0.4 * least(greatest(z, 0), 5) + 0.1 * least(CAST(f24 AS DOUBLE), 10), 3) AS velocity_risk_score FROM features""",
@@ -244,7 +244,7 @@ UNION ALL SELECT 'foreign(customer_id)', count(*) FROM typed WHERE customer_id N
         f"""SELECT a.*, c.risk_tier, c.home_city, c.home_country, coalesce(fraud_count > 0 OR fraud_rate >= 0.05 OR max_amount_zscore >= 4 OR max_txn_count_1h >= 3 OR distinct_devices >= 5, FALSE) AS watchlist_flag FROM (
     SELECT customer_id, count(*) AS txn_count, round(sum(amount_vnd), 2) AS total_amount_vnd, round(avg(amount_vnd), 2) AS avg_amount_vnd, CAST(sum(is_fraud) AS BIGINT) AS fraud_count, round(sum(is_fraud) / count(*), 4) AS fraud_rate,
     count(DISTINCT device_sk) AS distinct_devices, count(DISTINCT location_sk) AS distinct_locations, {_n("status = 'failed'")} AS failed_count, round(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) / count(*), 4) AS failed_rate,
-    round(max(z), 2) AS max_amount_zscore, max(n1) AS max_txn_count_1h FROM (
+    round(max(z), 2) + 0.0 AS max_amount_zscore, max(n1) AS max_txn_count_1h FROM (
         SELECT c.customer_id, f.*, (amount_vnd - avg(amount_vnd) OVER (PARTITION BY c.customer_id)) / nullif(stddev_samp(amount_vnd) OVER (PARTITION BY c.customer_id), 0) AS z,
         count(*) OVER (PARTITION BY c.customer_id ORDER BY event_time RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n1 FROM fact f JOIN dim_customer c ON c.customer_sk = f.customer_sk) GROUP BY 1) a
 LEFT JOIN dim_customer c ON c.customer_id = a.customer_id AND c.is_current""",
@@ -259,7 +259,7 @@ FROM fact f JOIN dim_merchant m ON m.merchant_sk = f.merchant_sk WHERE f.merchan
     "mart_fraud_features": with_steps("SELECT * EXCLUDE (z) FROM mart_features", "mart_features"),
     "exact_distinct_window": with_steps("SELECT transaction_id, um AS unique_merchants_24h, umx AS unique_merchants_24h_exact, ud AS unique_devices_7d, udx AS unique_devices_7d_exact FROM features", "features"),
     "feature_separation": with_steps(
-        """SELECT coalesce(fraud_pattern, 'legit') AS pattern, count(*) AS n, round(avg(amount_zscore), 2) AS avg_zscore, round(avg(txn_count_1h), 2) AS avg_txn_1h, round(avg(txn_count_24h), 2) AS avg_txn_24h, round(avg(is_new_device), 2) AS avg_new_device,
+        """SELECT coalesce(fraud_pattern, 'legit') AS pattern, count(*) AS n, round(avg(amount_zscore), 2) + 0.0 AS avg_zscore, round(avg(txn_count_1h), 2) AS avg_txn_1h, round(avg(txn_count_24h), 2) AS avg_txn_24h, round(avg(is_new_device), 2) AS avg_new_device,
     round(avg(cross_country_flag), 2) AS avg_cross_country, round(avg(night_transaction_flag), 2) AS avg_night, round(avg(velocity_risk_score), 3) AS avg_velocity FROM mart_features GROUP BY 1""",
         "mart_features",
     ),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.operators import analytics, dims, fact, marts, quality, quarantine, silver
+from quaystone.operators import analytics, dims, fact, marts, quality, quarantine, silver, synth
 from quaystone.plans.star import Star
 from quaystone.plans.views import table
 from quaystone.sources import landing
@@ -322,3 +322,34 @@ def histogram(spark, sf_dir):
 @query
 def calibration(spark, sf_dir):
     return analytics.calibration(driver(spark, sf_dir, "events"), "event_type", "value").withColumnRenamed("event_type", "type")
+
+
+# -- generator: rows only
+
+
+def small(spark: SparkSession, sf_dir: str) -> synth.GeneratorConfig:
+    """As many customers and merchants as the driver has, and a transaction for each order."""
+    n = {t: driver(spark, sf_dir, t).count() for t in ("customer", "supplier", "orders")}
+    return synth.GeneratorConfig(n_customers=n["customer"], n_merchants=n["supplier"], n_transactions=n["orders"])
+
+
+@query
+def generator_transactions(spark, sf_dir):
+    return synth.raw_transactions(spark, small(spark, sf_dir)).select(*landing.TRANSACTION_COLUMNS)
+
+
+@query
+def generator_manifest(spark, sf_dir):
+    return synth.error_manifest(synth.raw_transactions(spark, small(spark, sf_dir)))
+
+
+@query
+def generator_customer_changes(spark, sf_dir):
+    return synth.customer_changes(spark, small(spark, sf_dir)).drop("id", "k")
+
+
+@query
+def generator_validation(spark, sf_dir):
+    cfg = small(spark, sf_dir)
+    raw = synth.raw_transactions(spark, cfg)
+    return synth.validate_raw(raw.select(*landing.TRANSACTION_COLUMNS), synth.error_manifest(raw), synth.fraud_labels(raw), synth.customers(spark, cfg), synth.accounts(spark, cfg), synth.merchants(spark, cfg))

@@ -67,13 +67,13 @@ class Star:
         )
 
 
-def land(spark: SparkSession, raw_dir: str, bronze_dir: str, batch_id: str, at: str) -> None:
+def land(spark: SparkSession, raw_dir: str, bronze_dir: str, batch_id: str, at: str, one_document: bool = False) -> None:
     """Raw files to Bronze tables of text."""
-    sinks.replace_table(landing.land_transactions(spark, f"{raw_dir}/transactions/txn_*.csv", batch_id, at), f"{bronze_dir}/transactions", ("_partition_month",))
+    sinks.replace_table(landing.land_transactions(spark, f"{raw_dir}/transactions/txn_*", batch_id, at), f"{bronze_dir}/transactions", ("_partition_month",))
     for name in landing.CSV_SOURCES:
         sinks.replace_table(landing.land_csv(spark, f"{raw_dir}/{name}.csv", name, batch_id, at), f"{bronze_dir}/{name}")
-    sinks.replace_table(landing.land_exchange_rates(spark, f"{raw_dir}/exchange_rates.json", batch_id, at), f"{bronze_dir}/exchange_rates")
-    sinks.replace_table(landing.land_customer_events(spark, f"{raw_dir}/customer_events.json", batch_id, at), f"{bronze_dir}/customer_events")
+    sinks.replace_table(landing.land_exchange_rates(spark, f"{raw_dir}/exchange_rates.json", batch_id, at, one_document), f"{bronze_dir}/exchange_rates")
+    sinks.replace_table(landing.land_customer_events(spark, f"{raw_dir}/customer_events.json", batch_id, at, one_document), f"{bronze_dir}/customer_events")
 
 
 def run_batch(spark: SparkSession, raw_dir: str, out_dir: str, *, start: dt.date, end: dt.date, run_id: str = "run", at: str = "1970-01-01T00:00:00") -> dict:

@@ -50,13 +50,15 @@ def land_csv(spark: SparkSession, path: str, table: str, batch_id: str, ingested
 
 
 def land_transactions(spark: SparkSession, glob: str, batch_id: str, ingested_at: str) -> DataFrame:
-    """Monthly files ``txn_YYYY-MM.csv``; the month is the file's, not the event's."""
+    """Monthly files ``txn_YYYY-MM.csv``, or folders of part files of that name or ``txn_month=YYYY-MM``; the month is the file's, not the event's."""
     rows = (
         spark.read.schema(text_schema(TRANSACTION_COLUMNS)).option("header", True).option("escape", '"').csv(glob)
-        .select("*", F.col("_metadata.file_name").alias("_source_file"))
+        .select("*", F.col("_metadata.file_path").alias("_source_file"))
     )
-    month = F.regexp_extract("_source_file", r"txn_([0-9]{4}-[0-9]{2})", 1)
-    return rows.na.fill("", TRANSACTION_COLUMNS).withColumns({"_batch_id": F.lit(batch_id), "_bronze_ingested_at": F.lit(ingested_at), "_partition_month": month})
+    name = F.regexp_extract("_source_file", r"(txn_(?:month=)?[0-9]{4}-[0-9]{2}[^/]*)", 1)
+    month = F.regexp_extract("_source_file", r"txn_(?:month=)?([0-9]{4}-[0-9]{2})", 1)
+    rows = rows.withColumns({"_partition_month": month, "_source_file": name})
+    return rows.na.fill("", TRANSACTION_COLUMNS).withColumns({"_batch_id": F.lit(batch_id), "_bronze_ingested_at": F.lit(ingested_at)})
 
 
 RATES_SCHEMA = (
@@ -69,9 +71,10 @@ EVENTS_SCHEMA = (
 )
 
 
-def land_exchange_rates(spark: SparkSession, path: str, batch_id: str, ingested_at: str) -> DataFrame:
-    """One row for each record of the payload, its rates flat; ``_row`` is the place in the payload."""
-    raw = spark.read.schema(RATES_SCHEMA).option("multiLine", True).json(path)
+def land_exchange_rates(spark: SparkSession, path: str, batch_id: str, ingested_at: str, one_document: bool = True) -> DataFrame:
+    """One row for each record of the payload, its rates flat; ``_row`` is the place in the payload.  A file is one
+    document, or with ``one_document=False`` a document a line, which Spark can split."""
+    raw = spark.read.schema(RATES_SCHEMA).option("multiLine", one_document).json(path)
     r = raw.select(F.posexplode("records").alias("_row", "r"))
     out = r.select(
         "r.date", "r.base_currency", "r.quote", F.col("r.rates.VND").alias("rate_vnd"), F.col("r.rates.USD").alias("rate_usd"),
@@ -80,9 +83,9 @@ def land_exchange_rates(spark: SparkSession, path: str, batch_id: str, ingested_
     return stamp(out, path.rsplit("/", 1)[-1], "fx_api", batch_id, ingested_at)
 
 
-def land_customer_events(spark: SparkSession, path: str, batch_id: str, ingested_at: str) -> DataFrame:
+def land_customer_events(spark: SparkSession, path: str, batch_id: str, ingested_at: str, one_document: bool = True) -> DataFrame:
     """One row for each record; the nested metadata becomes JSON text, ``{}`` where it is missing."""
-    raw = spark.read.schema(EVENTS_SCHEMA).option("multiLine", True).json(path).select(F.explode("records").alias("r"))
+    raw = spark.read.schema(EVENTS_SCHEMA).option("multiLine", one_document).json(path).select(F.explode("records").alias("r"))
     out = raw.select("r.*").withColumn("metadata", F.coalesce(F.to_json("metadata"), F.lit("{}")))
     return stamp(out, path.rsplit("/", 1)[-1], "event_api", batch_id, ingested_at)
 
