@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quaystone.operators import analytics, dims, fact, marts, quality, quarantine, silver, synth
 from quaystone.plans.star import Star
-from quaystone.plans.views import table
+from quaystone.plans.views import table, tables
 from quaystone.sources import landing
 
 CALENDAR = (dt.date(2023, 12, 1), dt.date(2024, 7, 31))
@@ -29,7 +29,7 @@ def query(f: Query) -> Query:
 
 
 def star(spark: SparkSession, sf_dir: str) -> Star:
-    return Star(spark, {k: table(spark, sf_dir, v) for k, v in RAW.items()}, "run", CALENDAR)
+    return Star(spark, dict(zip(RAW, tables(spark, sf_dir, *RAW.values()), strict=True)), "run", CALENDAR)
 
 
 def driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -62,6 +63,9 @@ class Star:
 
     @cached_property
     def fact(self) -> DataFrame:
+        # each dimension stores its numbered parts; the small jobs run side by side
+        with ThreadPoolExecutor(5) as pool:
+            list(pool.map(lambda kind: getattr(self, f"dim_{kind}"), ("customer", "account", "merchant", "device", "location")))
         return fact.fact_transactions(
             self.clean, customer=self.dim_customer, account=self.dim_account, merchant=self.dim_merchant, device=self.dim_device, location=self.dim_location, labels=self.raw["fraud_labels"]
         )

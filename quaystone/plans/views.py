@@ -69,11 +69,20 @@ def text(name: str, dialect: dict[str, str]) -> str:
     ).strip()
 
 
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """Inputs over a folder of the driver's tables, each of which is opened once.  Source tables go in as arguments of
+    the queries, so no view is left in the session."""
+    opened: dict[str, DataFrame] = {}
+    out = []
+    for name in names:
+        source, used = text(name, SPARK), {}
+        for t in ("events", "customer", "supplier", "part", "nation"):
+            if f"FROM {t}" in source:
+                used[t] = opened[t] = opened[t] if t in opened else spark.read.parquet(f"{sf_dir}/{t}.parquet")
+                source = source.replace(f"FROM {t}", f"FROM {{{t}}}")
+        out.append(spark.sql(source, **used))
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the inputs over a folder of the driver's tables.  The source table goes in as an argument of the query, so
-    no view is left in the session."""
-    source = text(name, SPARK)
-    driver = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "customer", "supplier", "part", "nation") if f"FROM {t}" in source}
-    for t in driver:
-        source = source.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(source, **driver)
+    return tables(spark, sf_dir, name)[0]

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # the JVM never compiles a method of over 8000 bytes; wide stages run faster operator by operator than interpreted
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

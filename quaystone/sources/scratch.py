@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if not folder:
         folder = getattr(scratch_dir, "own", None)
         if folder is None:
-            folder = scratch_dir.own = "file://" + tempfile.mkdtemp(prefix="quaystone-")
+            path = tempfile.mkdtemp(prefix="quaystone-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
+            folder = scratch_dir.own = f"file://{path}"
     return folder
 
 
