@@ -6,8 +6,6 @@ no row is lost in a join.  Only the columns an operator names are read; other co
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +13,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaystone.sources.scratch import Scratch
+
+__all__ = ["Scratch"]
+
 #: Stands for a null doc_id.
 NULL_ID = -(2**63)
 #: The bytes that separate words.
@@ -38,46 +40,6 @@ def id_out(name: str = "doc_id", alias: str | None = None):
     return F.when(F.col(name) != F.lit(NULL_ID), F.col(name)).alias(alias or name)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(scratch_dir, "own", None)
-        if folder is None:
-            folder = scratch_dir.own = "file://" + tempfile.mkdtemp(prefix="quaystone-")
-    return folder
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-class Scratch:
-    """Intermediate tables in the shared folder.
-
-    ``keep`` writes a DataFrame as parquet and reads it back: lineage ends there, so a lost executor costs at most
-    the stage at work.  ``drop`` removes tables that nothing will read again.  Tables a lazy result still reads stay
-    until the session's owner empties the folder.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.base = f"{scratch_dir(spark)}/quaystone/{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            _remove(self.spark, f"{self.base}/{name}")
-        # shuffle files of plans that nobody holds any more go when the driver collects its garbage
-        self.spark.sparkContext._jvm.System.gc()
-
-
 class WordHashes(dict):
     """64-bit hashes of words, computed once per worker and word."""
 
@@ -131,12 +93,11 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, salts: int = 16) -> DataFrame:
     """left join of a unique, narrow right side, where a key may hold a third of the left rows: its rows are dealt over
-    ``salts`` tasks by ``spread_by`` and the right side is repeated so many times."""
-    if key in left.columns and "_salt" in left.columns:
-        raise ValueError("_salt is taken")
+    ``salts`` tasks by ``spread_by`` and the right side is repeated so many times.  It is merged, never broadcast: Spark
+    would judge its size before the repetition."""
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    return left.join(right.hint("merge"), [key, "_salt"], "left").drop("_salt")
 
 
 def chunks(batches: Iterable, rows: int = 1024) -> Iterator:

@@ -26,8 +26,8 @@ LOOSE = 0.55
 REGION_DOCS = 2048
 #: Candidate groups up to so many documents and shingles are linked in one task.
 GROUP_DOCS, GROUP_SHINGLES = 5000, 4_000_000
-#: Documents of a larger group that are compared with the whole group at a time.
-BLOCK = 1000
+#: Documents of a larger group, and their shingles, that are compared with the whole group at a time.
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -187,14 +187,21 @@ def _link_large(scratch: Scratch, rows: DataFrame, percent: int, block: int) ->
     """Links (a, b) of candidate groups too large for a task: blocks of documents outside their group's largest
     component are compared with every row of the group, until none is left.  A stated block of documents against all
     rows; rows stay where they are."""
-    todo = scratch.keep(rows.select("grp", "doc"), "large-todo")
+    todo = scratch.keep(rows.select("grp", "doc", "n"), "large-todo")
     part, n = None, 0
     done = None
     while True:
-        # blocks of bounded size come to the driver, never the group
-        picked = todo.orderBy(F.xxhash64("doc")).limit(block).join(rows.select("grp", "doc", "text"), ["grp", "doc"]).collect()
-        if not picked:
+        # a block of bounded size comes to the driver, never the group: so many documents, and so many shingles
+        block_rows, total = [], 0
+        for r in todo.orderBy(F.xxhash64("doc")).limit(block).collect():
+            total += r["n"]
+            if block_rows and total > BLOCK_SHINGLES:
+                break
+            block_rows.append((r["grp"], r["doc"]))
+        if not block_rows:
             return part
+        ids = scratch.spark.createDataFrame(block_rows, "grp long, doc long")
+        picked = rows.select("grp", "doc", "text").join(F.broadcast(ids), ["grp", "doc"]).collect()
         hashes = WordHashes()
         sets = [shingles(bytes(r["text"]).lower().split(), hashes) for r in picked]
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -208,9 +215,9 @@ def _link_large(scratch: Scratch, rows: DataFrame, percent: int, block: int) ->
         mine = scratch.spark.createDataFrame([(int(r["doc"]),) for r in picked], "doc long")
         done = mine if done is None else done.unionByName(mine)
         label = connected_components(scratch, f"large-{n}-cc", part.unionByName(rows.select(F.col("doc").alias("a"), F.col("doc").alias("b"))))
-        label = rows.select("grp", "doc").join(label, F.col("doc") == F.col("node"), "left").select("grp", "doc", F.coalesce("component", "doc").alias("component"))
+        label = rows.select("grp", "doc", "n").join(label, F.col("doc") == F.col("node"), "left").select("grp", "doc", "n", F.coalesce("component", "doc").alias("component"))
         biggest = label.groupBy("grp", "component").count().groupBy("grp").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
-        todo = label.join(F.broadcast(biggest), "grp").where("component != top").join(done, "doc", "left_anti").select("grp", "doc")
+        todo = label.join(F.broadcast(biggest), "grp").where("component != top").join(done, "doc", "left_anti").select("grp", "doc", "n")
         todo = scratch.keep(todo, f"large-todo-{n}")
         n += 1
 
@@ -250,7 +257,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, dept
     # a whole set of groups is small: one row for each, and only groups over the limit are looked up
     large = sized.groupBy("grp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("items")).where((F.col("docs") > group_docs) | (F.col("items") > group_shingles))
     large = scratch.keep(large.select("grp"), "large")
-    texts = rows.join(groups.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id").withColumnRenamed("doc_id", "doc")
+    texts = rows.join(sized.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id").withColumnRenamed("doc_id", "doc")
     texts = scratch.keep(texts, "texts")
     small = texts.join(large, "grp", "left_anti") if (any_large := bool(large.take(1))) else texts
     linked = small.repartition(parts, "grp").sortWithinPartitions("grp", "doc").mapInArrow(lambda bs: _link_groups(bs, percent), "a long, b long")

@@ -83,7 +83,7 @@ def _stream(batches, min_docs: int, payload: list[str], later_only: bool):
                 yield summary((k1[0], k2[0]), int(firsts[0]), int(docs_in[0]))
                 is_first = False
         hi = len(starts) - 1
-        if hi > lo or (hi == lo and False):
+        if hi > lo:
             ok = docs_in[lo:hi] >= min_docs
             length = (ends - starts)[lo:hi]
             keep = np.zeros(len(k1), bool)
