@@ -21,7 +21,7 @@ from quaystone.llm.labelled import Isotonic, held_out, own_fold, training_sample
 
 #: Labelled rows to fit on, at most about so many.
 SAMPLE = 20_000
-FEATURES, GAMMA, RIDGE, INNER = 256, 0.03, 3.0, 5
+FEATURES, GAMMA, RIDGE, INNER = 256, 0.03, 3.0, 3
 #: How the contract splits rows and cuts scores.
 FOLDS, HELD, CUT = 5, 0, 0.3
 
@@ -119,7 +119,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
         return QualityModel(kernel, np.zeros(FEATURES + width + 1), Isotonic(np.zeros(0), np.zeros(0)))
     kernel = Kernel(np.array([means[f"m{i}"] for i in range(width)]), np.array([means[f"s{i}"] for i in range(width)]))
     size = FEATURES + width + 1
-    parts = rows.coalesce(8).mapInArrow(lambda bs: _equations(bs, kernel), "fold int, zz binary, zy binary").collect()
+    parts = rows.coalesce(4).mapInArrow(lambda bs: _equations(bs, kernel), "fold int, zz binary, zy binary").collect()
     zz, zy = np.zeros((INNER, size, size)), np.zeros((INNER, size))
     for p in parts:
         zz[p["fold"]] += np.frombuffer(p["zz"]).reshape(size, size)
