@@ -64,7 +64,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int
     size = n_words(F.col("text"))
     rows = with_ids(docs, size.alias("size"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("_h"))
     # a place in the shuffled order of the source; equal ids are told apart by text, then by number
-    place = F.xxhash64("doc_id", F.lit(seed))
+    place = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")).cast("binary"))
     rows = scratch.keep(rows.select("doc_id", "size", "source", place.alias("place"), "_h"), "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     targets = source_targets(totals.select("source", "source_size"), weights, most_epochs)
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int
     # -- blocks: offsets of the documents in their source's stream
     known = table.select(F.col("source").alias("_s"), "rows", "rank")
     placed = rows.join(known, rows["source"].eqNullSafe(known["_s"]))
-    part = F.pmod(F.shiftrightunsigned("place", 20), F.greatest((F.col("rows") / CHUNK).cast("long"), F.lit(1)))
+    part = F.pmod(F.conv(F.substring("place", 1, 6), 16, 10).cast("long"), F.greatest((F.col("rows") / CHUNK).cast("long"), F.lit(1)))
     placed = placed.select("doc_id", "size", "place", "_h", "rank", part.alias("chunk"))
     sums = placed.groupBy("rank", "chunk").agg(F.sum("size").alias("_sum"))
     sums = sums.withColumn("_base", F.sum("_sum").over(earlier) - F.col("_sum")).drop("_sum")

@@ -11,7 +11,7 @@ from quaystone.llm.decontamination import contaminated
 from quaystone.llm.exact_dedup import exact_duplicates
 from quaystone.llm.line_dedup import line_dedup
 from quaystone.llm.minhash_forest import near_duplicates
-from quaystone.llm.mixing import mix
+from quaystone.llm.mixing import CHUNK, mix
 from quaystone.llm.quality import fit_quality, score_quality
 from quaystone.llm.secret_scan import scan_secrets
 from quaystone.llm.substring_dedup import substring_dedup
@@ -65,7 +65,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    # the bitmap is the operator's; the digest columns are the query's
+    return line_dedup(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("keep_bitmap")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +115,50 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t GROUP BY conv_id"""
 
 
+def _secrets_sql() -> str:
+    """Starts of matches are sums of the pieces between them and the matches before."""
+    either = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    words = "|".join(map(either, ("password", "passwd", "secret", "token"))) + f"|{either('api')}_?{either('key')}"
+    assign = rf"""({words})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = {"assign": (assign, 2, 6), "access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24), "pem": ("-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1)}
+    parts = []
+    for rank, (kind, (pattern, group, least)) in enumerate(patterns.items()):
+        q = "'" + pattern.replace("'", "''") + "'"
+        parts.append(
+            f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, {least} AS least, unnest(regexp_extract_all(t, {q})) AS m, unnest(regexp_extract_all(t, {q}, {group})) AS g, "
+            f"unnest(list_slice(regexp_split_to_array(t, {q}), 1, len(regexp_extract_all(t, {q})))) AS p, generate_subscripts(regexp_extract_all(t, {q}), 1) AS i FROM d"
+        )
+    union = " UNION ALL ".join(parts)
+    count = lambda kind: f"CAST(count(*) FILTER (kind = '{kind}') AS BIGINT) AS n_{kind}"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS ({union}),
+s AS (SELECT doc_id, kind, rank, least, g, m, sum(length(p)) OVER w + sum(length(m)) OVER w AS e FROM x WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+f AS (SELECT doc_id, kind, rank, CAST(e - length(m) AS BIGINT) AS b, kind || ':' || CAST(e - length(m) AS BIGINT) || ':' || CAST(e AS BIGINT) AS shown FROM s WHERE length(g) >= least),
+a AS (SELECT doc_id, {count('assign')}, {count('access')}, {count('hex')}, string_agg(shown, ',' ORDER BY b, rank) FILTER (kind <> 'pem') AS base, string_agg(shown, ',' ORDER BY b, rank) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob
+FROM d LEFT JOIN a ON a.doc_id = d.doc_id"""
+
+
+def _mixing_sql() -> str:
+    """A source's stream is taken whole for so many epochs, then from its start: the words of a document are those
+    epochs of its size and what of it lies before the rest."""
+    digit = lambda i: f"(strpos('0123456789abcdef', substr(place, {i}, 1)) - 1) * {16 ** (6 - i)}"
+    return f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS.format('text')}) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR) || ':7') AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k, CAST(source_size AS DOUBLE) * 3 AS cap FROM s),
+w AS (SELECT *, CAST((k - 1) % 3 + 1 AS DOUBLE) AS w FROM r),
+g AS (SELECT *, cap / w AS filled, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+    FROM w WINDOW b AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, least(cap, coalesce((SELECT level FROM g WHERE level <= filled ORDER BY filled, k LIMIT 1), CAST('inf' AS DOUBLE)) * w) AS target FROM g),
+q AS (SELECT *, CAST(floor(target + 1e-6) AS BIGINT) AS quota, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS epochs, quota - epochs * source_size AS rest FROM t),
+p AS (SELECT d.*, source_size, target, epochs, rest, ({' + '.join(digit(i) for i in range(1, 7))}) % greatest(n // {CHUNK}, 1) AS chunk FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+e AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY chunk, place, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM p)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(upto, rest) - (upto - size)) AS BIGINT) AS taken FROM e"""
+
+
 ORACLES = {
+    "op2_secret_scan": _secrets_sql(),
     "op3_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW g AS (PARTITION BY t)""",
@@ -142,6 +186,7 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, e
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = d.doc_id""",
     "op7_chat_format": _chat_sql(),
+    "op8_source_mixing": _mixing_sql(),
     "op10_line_dedup": r"""
 WITH l AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
     FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
