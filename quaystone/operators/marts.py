@@ -48,11 +48,12 @@ def mart_daily(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
 
 def mart_customer_risk(fact: DataFrame, dim_customer: DataFrame, limits: dict | None = None) -> DataFrame:
     """A row for each customer, all versions together; Unknown is one of them.  One shuffle by customer serves the windows
-    and the aggregate."""
+    and the aggregate; distinct devices and locations are first sightings, so no row is expanded for them."""
     limit = WATCH | (limits or {})
     ids = dim_customer.select("customer_sk", "customer_id")
-    rows = fact.join(ids, "customer_sk").select(
-        "customer_id", "amount_vnd", "is_fraud", "status", "device_sk", "location_sk",
+    first = lambda c: (F.row_number().over(Window.partitionBy("customer_id", c).orderBy(c)) == 1) & F.col(c).isNotNull()
+    rows = fact.join(ids, "customer_sk").repartition("customer_id").select(
+        "customer_id", "amount_vnd", "is_fraud", "status", first("device_sk").alias("_device"), first("location_sk").alias("_location"),
         zscore("amount_vnd", ["customer_id"]).alias("z"), trailing("count(*)", HOUR).alias("n_1h"),
     )
     total = F.count(F.lit(1))
@@ -63,8 +64,8 @@ def mart_customer_risk(fact: DataFrame, dim_customer: DataFrame, limits: dict |
         F.round(F.avg("amount_vnd"), 2).alias("avg_amount_vnd"),
         F.sum("is_fraud").cast("long").alias("fraud_count"),
         F.round(ratio(F.sum("is_fraud"), total), 4).alias("fraud_rate"),
-        F.countDistinct("device_sk").alias("distinct_devices"),
-        F.countDistinct("location_sk").alias("distinct_locations"),
+        count_if(F.col("_device")).alias("distinct_devices"),
+        count_if(F.col("_location")).alias("distinct_locations"),
         failed.alias("failed_count"),
         F.round(ratio(failed, total), 4).alias("failed_rate"),
         F.round(F.max("z"), 2).alias("max_amount_zscore"),
@@ -115,7 +116,8 @@ def behaviour(rows: DataFrame, exact_distinct: bool = False) -> DataFrame:
     first = lambda c: F.when(F.row_number().over(Window.partitionBy("customer_id", c).orderBy(*at)) == 1, 1).otherwise(0)
     gap = lambda c: F.col("event_time") - F.lag("event_time").over(Window.partitionBy("customer_id", c).orderBy(*at))
     fresh = lambda c, iv: F.when(gap(c).isNull() | (gap(c) > F.expr(iv)), 1).otherwise(0)
-    rows = rows.withColumns({"is_new_device": first("device_sk"), "is_new_location": first("txn_country"), "_fresh_merchant": fresh("merchant_sk", DAY), "_fresh_device": fresh("device_sk", WEEK)})
+    # partitioned by customer alone, which serves the windows by customer and device, country or merchant as well
+    rows = rows.repartition("customer_id").withColumns({"is_new_device": first("device_sk"), "is_new_location": first("txn_country"), "_fresh_merchant": fresh("merchant_sk", DAY), "_fresh_device": fresh("device_sk", WEEK)})
     features = {
         "_avg": trailing("avg(amount_vnd)", WEEK),
         "_std": trailing("stddev_samp(amount_vnd)", WEEK),
