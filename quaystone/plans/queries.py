@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.operators import analytics, dims, fact, marts, quality, quarantine, silver, synth
+from quaystone.operators import analytics, checks, dims, fact, marts, quality, quarantine, silver, synth
 from quaystone.plans.star import Star
 from quaystone.plans.views import table, tables
 from quaystone.sources import landing
+from quaystone.sources.scratch import Scratch
 
 CALENDAR = (dt.date(2023, 12, 1), dt.date(2024, 7, 31))
 STAMP = "2024-01-01T00:00:00"
@@ -324,6 +325,48 @@ def calibration(spark, sf_dir):
     return analytics.calibration(driver(spark, sf_dir, "events"), "event_type", "value").withColumnRenamed("event_type", "type")
 
 
+# -- checks and gates: rows only
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Star:
+    """The star with its layers stored, as gates read them many times."""
+    s, scratch = star(spark, sf_dir), Scratch(spark)
+    s.silver = scratch.keep(s.silver, "silver")
+    s.fact = scratch.keep(s.fact, "fact")
+    return s
+
+
+def gate_table(spark: SparkSession, gates: list) -> DataFrame:
+    return spark.createDataFrame([(g.name, g.passed, g.detail) for g in gates], "gate string, passed boolean, detail string")
+
+
+@query
+def dq_checks(spark, sf_dir):
+    s = stored(spark, sf_dir)
+    found = quality.run_checks(s.silver, table(spark, sf_dir, "raw_transactions").count(), dt.date(2024, 1, 1), dt.date(2024, 1, 31), table(spark, sf_dir, "raw_manifest"))
+    return checks.as_table(spark, found)
+
+
+@query
+def quarantine_gates(spark, sf_dir):
+    rows = stored(spark, sf_dir).silver
+    return gate_table(spark, quarantine.verify(rows, quarantine.clean(rows), quarantine.quarantine(rows, "run", STAMP)))
+
+
+@query
+def gold_gates(spark, sf_dir):
+    s = stored(spark, sf_dir)
+    others = {k: getattr(s, f"dim_{k}") for k in ("account", "merchant", "device", "location")}
+    return gate_table(spark, fact.verify(s.fact, s.clean, others, s.dim_date, s.dim_customer, s.raw["fraud_labels"]))
+
+
+@query
+def mart_gates(spark, sf_dir):
+    s = stored(spark, sf_dir)
+    built = [marts.mart_daily(s.fact, s.dim_date), marts.mart_customer_risk(s.fact, s.dim_customer), marts.mart_merchant_risk(s.fact, s.dim_merchant), marts.mart_fraud_features(s.fact, s.dim_customer, s.dim_location)]
+    return gate_table(spark, marts.verify(s.fact, *built, s.dim_customer))
+
+
 # -- generator: rows only
 
 

@@ -4,8 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from quaystone.operators import synth
-from quaystone.plans import star
+from quaystone.operators import quality, synth
+from quaystone.plans import reports, star
 from quaystone.sources.landing import TRANSACTION_COLUMNS
 from quaystone.streaming import arrivals
 
@@ -22,6 +22,11 @@ def test_generated_data_through_all_layers(spark, tmp_path):
     by = {s["pattern"]: s for s in out["separation"]}
     assert by["night_high_amount"]["avg_night"] > 0.9 and by["new_device_location"]["avg_cross_country"] > 0.9
     bronze = spark.read.parquet(f"{tmp_path}/lake/bronze/transactions")
+    reports.analytics_report(bronze, spark.read.parquet(f"{tmp_path}/lake/bronze/merchants"), f"{tmp_path}/r")
+    silver = spark.read.parquet(f"{tmp_path}/lake/silver/transactions")
+    summary = reports.quality_report(silver, quality.run_checks(silver, 8000, cfg.date_start, cfg.date_end), f"{tmp_path}/r")
+    reports.exploration_report(silver, f"{tmp_path}/r")
+    assert summary["verdict"] != "FAIL" and {p.name for p in (tmp_path / "r").iterdir()} >= {"analytics.md", "quality.md", "quality.json", "exploration.md"}
     assert {t for c, t in bronze.dtypes if c in TRANSACTION_COLUMNS} == {"string"}
 
 

@@ -50,6 +50,17 @@ def test_rows_only(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name,n", [("quarantine_gates", 7), ("gold_gates", 10), ("mart_gates", 14)])
+def test_gates_hold(spark, name, n):
+    rows = QUERIES[name](spark, SF).collect()
+    assert len(rows) == n and all(r["passed"] for r in rows), rows
+
+
+def test_checks(spark):
+    rows = QUERIES["dq_checks"](spark, SF).collect()
+    assert len(rows) == 22 and all(r["passed"] for r in rows if r["group"] == "integrity")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
