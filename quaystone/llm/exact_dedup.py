@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quaystone.llm.common import id_out, with_ids
 
 
-def merge_runs(rows: DataFrame, rounds: int = 2, bits: int = 3, keep: str = "min") -> tuple[DataFrame, DataFrame]:
+def merge_runs(rows: DataFrame, rounds: int = 3, bits: int = 3, keep: str = "min") -> tuple[DataFrame, DataFrame]:
     """(leaves, merged): rows (leaf, digest) and rows (digest, keep_id, group_size).  ``rows``: id, digest, leaf with
     leaf in [0, 2**(rounds*bits)).  ``digest`` is hexadecimal text with the length of what it stands for; identifiers
     are retained only among rows whose digest and length agree."""
@@ -35,7 +35,7 @@ def merge_runs(rows: DataFrame, rounds: int = 2, bits: int = 3, keep: str = "min
     return leaves.select("leaf", "digest"), run.drop("run")
 
 
-def exact_duplicates(docs: DataFrame, keep: str = "max", rounds: int = 2, bits: int = 3) -> DataFrame:
+def exact_duplicates(docs: DataFrame, keep: str = "max", rounds: int = 3, bits: int = 3) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; a null text counts as empty.  Of equal texts the row with the largest
