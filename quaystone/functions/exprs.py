@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +46,11 @@ def lenient_date(c: Column) -> Column:
     return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text.try_cast("date"))
 
 
+def ntz(value: dt.datetime) -> Column:
+    """A zone-less timestamp; a datetime literal would pass through the zones of Python and of the session."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def is_true(c: Column) -> Column:
     """TRUE for ``true`` in any case, FALSE for all else and null."""
     return F.lower(strip(c)) == "true"

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaystone.functions.exprs import strip
+from quaystone.functions.exprs import ntz, strip
 from quaystone.sources.scratch import Scratch
 
 #: Fixed values.
@@ -53,7 +53,7 @@ def with_surrogate_key(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
 
 def with_unknown(df: DataFrame, sk: str, key: str, **values) -> DataFrame:
     """The table and its Unknown member; other columns of that are null unless given."""
-    known = {sk: F.lit(UNKNOWN_SK), key: F.lit(UNKNOWN)} | {k: F.lit(v) for k, v in values.items()}
+    known = {sk: F.lit(UNKNOWN_SK), key: F.lit(UNKNOWN)} | {k: ntz(v) if isinstance(v, dt.datetime) else F.lit(v) for k, v in values.items()}
     row = df.sparkSession.range(1).select(*[(known[c] if c in known else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes])
     return row.unionByName(df)
 
@@ -96,11 +96,11 @@ def customer_versions(customers: DataFrame, events: DataFrame, locations: DataFr
             F.when(F.col(merged[c]).isNotNull(), F.col(merged[c])["v"]).otherwise(F.col(c)).alias(c) if c in merged else F.coalesce("_land", c).alias(c) if c == "home_country" else F.col(c)
             for c in CUSTOMER
         ],
-        F.coalesce("_from", F.lit(BEGINNING).cast("timestamp_ntz")).alias("valid_from"), "valid_to", F.lit(False).alias("is_current"),
+        F.coalesce("_from", ntz(BEGINNING)).alias("valid_from"), "valid_to", F.lit(False).alias("is_current"),
     )
     last = changes.groupBy("customer_id").agg(F.max("change_time").alias("_last"))
     current = snapshot.join(last, "customer_id", "left").select(
-        "customer_id", *CUSTOMER, F.coalesce("_last", F.lit(BEGINNING).cast("timestamp_ntz")).alias("valid_from"), F.lit(FOREVER).cast("timestamp_ntz").alias("valid_to"), F.lit(True).alias("is_current")
+        "customer_id", *CUSTOMER, F.coalesce("_last", ntz(BEGINNING)).alias("valid_from"), ntz(FOREVER).alias("valid_to"), F.lit(True).alias("is_current")
     )
     return past.unionByName(current)
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quaystone.functions.exprs import ntz
 from quaystone.operators.silver import CHANNELS, CURRENCIES
 from quaystone.sources.landing import CSV_SOURCES, TRANSACTION_COLUMNS
 
@@ -208,7 +209,7 @@ def customer_changes(spark: SparkSession, cfg: GeneratorConfig) -> DataFrame:
     phone = lambda k: F.concat(F.lit("+8490"), F.lpad(F.pmod(F.col("id") * 31 + k * 977, F.lit(10_000_000)).cast("string"), 7, "0"))
     value = lambda k: F.when(F.col("attribute_name") == "risk_tier", tier(k)).when(F.col("attribute_name") == "home_city", city(k)).otherwise(phone(k))
     second = F.element_at("_t", F.when(F.col("_n") == 1, 1).otherwise(F.col("k") + 1)).cast("int")
-    at = F.lit(dt.datetime.combine(cfg.date_start, dt.time())).cast("timestamp_ntz") + F.make_dt_interval(secs=second)
+    at = ntz(dt.datetime.combine(cfg.date_start, dt.time())) + F.make_dt_interval(secs=second)
     return steps.select(
         _id("scd_", 9, F.col("id") * 2 + F.col("k")).alias("event_id"), "id", "k", _id("cus_", 6, F.col("id")).alias("customer_id"), F.date_format(at, ISO).alias("change_time"), "attribute_name",
         value(F.col("k")).alias("old_value"), value(F.col("k") + 1).alias("new_value"), F.lit("customer_profile_service").alias("source_system"),
@@ -373,7 +374,7 @@ def clean_transactions(spark: SparkSession, cfg: GeneratorConfig) -> DataFrame:
     status = F.when(is_("card_testing"), F.when(last_test, "success").otherwise("failed")).otherwise(status)
     source = _by(F.col("channel"), {k: F.lit(v) for k, v in {"mobile": "mobile_wallet", "qr": "merchant_gateway", "pos": "card_processor", "web": "merchant_gateway", "atm": "atm_switch"}.items()}, F.lit("core_banking"))
     source = F.when(F.col("kind").isin("transfer", "topup") & (d.uniform("core") < 0.22), "core_banking").otherwise(source)
-    start = F.lit(dt.datetime.combine(cfg.date_start, dt.time())).cast("timestamp_ntz")
+    start = ntz(dt.datetime.combine(cfg.date_start, dt.time()))
     rows = rows.withColumns({"plain": amount, "floor": floor})
     return rows.withColumns(
         {
@@ -488,7 +489,7 @@ def customer_events(spark: SparkSession, cfg: GeneratorConfig, page: int = 5_000
     rows = spark.range(n).withColumns({"kind": kind, "who": who})
     abroad = F.col("kind").isin("login", "add_device") & (d.uniform("away") < 0.035)
     place = F.when(abroad, DOMESTIC + d.integer("abroad", FOREIGN)).otherwise(_home(d, F.col("who")))
-    start = F.lit(dt.datetime.combine(cfg.date_start, dt.time())).cast("timestamp_ntz")
+    start = ntz(dt.datetime.combine(cfg.date_start, dt.time()))
     at = start + F.make_dt_interval(days=d.integer("day", cfg.days).cast("int"), secs=(_step(d.uniform("hour"), list(HOURS)) * 3600 + d.integer("second", 3600)).cast("int"))
     mode = d.uniform("mode")
     lag = F.when(mode < 0.92, 3 + d.integer("fast", 417)).when(mode < 0.98, 900 + d.integer("medium", 27_900)).otherwise(43_200 + d.integer("late", 302_400))

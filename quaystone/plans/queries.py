@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaystone.functions.exprs import ntz
 from quaystone.operators import analytics, checks, dims, fact, marts, quality, quarantine, silver, synth
 from quaystone.plans.star import Star
 from quaystone.plans.views import table, tables
@@ -227,7 +228,7 @@ def asof_orders(spark, sf_dir):
     at = F.col("valid_from")
     changes = orders.where("o_orderkey % 40 = 0").groupBy("customer_id", F.col("o_orderdate").alias("valid_from")).agg(F.max("o_orderkey").alias("customer_sk"))
     after = F.lead(at).over(dims.Window.partitionBy("customer_id").orderBy("valid_from"))
-    versions = changes.withColumn("valid_to", F.coalesce(after, F.lit(dims.FOREVER).cast("timestamp_ntz")))
+    versions = changes.withColumn("valid_to", F.coalesce(after, ntz(dims.FOREVER)))
     return fact.with_customer_version(orders, versions, "o_orderdate").select("o_orderkey", "customer_sk")
 
 
