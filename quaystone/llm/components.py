@@ -13,12 +13,12 @@ SALTS = 16
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
     """Every node's neighbours (``both``: larger ones; else smaller ones) are tied to the smallest of node and
     neighbours.  A node may have a third of all edges: the minimum is aggregated before the shuffle, and its return to
-    the edges is salted by the far end."""
+    the edges is salted by the far end, in a merge join (Spark would judge the repeated side by its size before)."""
     if both:
         edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     least = least.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    tied = edges.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "_salt"])
+    tied = edges.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least.hint("merge"), ["a", "_salt"])
     if both:
         return tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
     own = least.where("_salt = 0").select("a", F.col("m").alias("b"))
