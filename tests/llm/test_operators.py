@@ -448,3 +448,16 @@ def test_block_max_is_exact():
     who, cosine = index.nearest(q, 15)
     assert np.allclose(cosine, expected, atol=1e-5)
     assert np.allclose(np.take_along_axis(q @ whole.T, np.maximum(who, 0), 1) * (who >= 0), cosine, atol=1e-5)
+
+
+def test_source_targets_ties_and_repeats(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 10), (None, 10)], "source string, source_size long")
+    assert {r["source"]: r["target"] for r in source_targets(sizes).collect()} == {"a": 5.0, "b": 10.0, None: 15.0}
+
+
+def test_large_groups_are_linked_in_blocks(spark):
+    """A chain of texts, each near only to its neighbours, in a group over the limit: every block finds its part."""
+    base = [f"v{i}" for i in range(240)]
+    rows = [(i, " ".join(base[4 * i : 4 * i + 160])) for i in range(20)]
+    found = {x["doc_id"]: x["component_id"] for x in near_duplicates(frame(spark, rows), group_docs=3, block=5).collect()}
+    assert found == {d: c for d, (_, c, _) in brute_near(rows).items()} and set(found.values()) == {0}
