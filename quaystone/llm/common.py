@@ -13,19 +13,33 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.sources.scratch import Scratch
-
-__all__ = ["Scratch"]
+from quaystone.sources import scratch
 
 #: Stands for a null doc_id.
 NULL_ID = -(2**63)
 #: The bytes that separate words.
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Words kept in a worker's hash cache before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 
+#: Rows that a stored stage hands to a Python worker at a time: whole texts may be long.
+ARROW_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+class Scratch(scratch.Scratch):
+    """Intermediate tables, written with small Arrow batches."""
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        conf, rows = self.spark.conf, self.spark.conf.get(ARROW_ROWS)
+        conf.set(ARROW_ROWS, str(min(int(rows), MOST_ROWS) if int(rows) > 0 else MOST_ROWS))
+        try:
+            return super().keep(df, name)
+        finally:
+            conf.set(ARROW_ROWS, rows)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -29,7 +29,7 @@ FALSE_TERMS = 0.001
 #: How the contract splits rows and cuts scores.
 FOLDS, HELD, CUT = 3, 1, 0.7
 _AROUND = b".,;:!?\"'()[]{}<>*#$%&|-_"
-_CACHE = 300_000
+_CACHE = 100_000
 
 
 def terms_of(word: bytes) -> tuple[bytes, ...]:
