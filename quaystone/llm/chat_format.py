@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import NULL_ID, chunks, id_out
+from quaystone.llm.common import NULL_ID, chunks, id_out, small_batches
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Strings that models read as control tokens.
@@ -129,6 +129,7 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant", with_text: bool
     conversation of its own; repeated rows are turns of their own.  A conversation is streamed: however long it is, one turn is
     in memory at a time (with ``with_text`` its output as well).
     """
+    small_batches(turns.sparkSession)
     rows = turns.select(
         F.coalesce(F.col("conv_id").cast("long"), F.lit(NULL_ID)).alias("conv_id"), "turn",
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),

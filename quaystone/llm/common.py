@@ -24,20 +24,22 @@ CACHE_WORDS = 100_000
 MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 
-#: Rows that a stored stage hands to a Python worker at a time: whole texts may be long.
+#: Rows that go to a Python worker at a time, at most: whole texts may be long.
 ARROW_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch and leaves it so: lazy results run after their operator has returned."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= MOST_ROWS:
+        spark.conf.set(ARROW_ROWS, str(MOST_ROWS))
+
+
 class Scratch(scratch.Scratch):
-    """Intermediate tables, written with small Arrow batches."""
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        conf, rows = self.spark.conf, self.spark.conf.get(ARROW_ROWS)
-        conf.set(ARROW_ROWS, str(min(int(rows), MOST_ROWS) if int(rows) > 0 else MOST_ROWS))
-        try:
-            return super().keep(df, name)
-        finally:
-            conf.set(ARROW_ROWS, rows)
+    """Intermediate tables of operators on texts."""
+
+    def __init__(self, spark: SparkSession):
+        super().__init__(spark)
+        small_batches(spark)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import NULL_ID, WordHashes, chunks, id_out, shingles, with_ids
+from quaystone.llm.common import NULL_ID, WordHashes, chunks, id_out, shingles, small_batches, with_ids
 from quaystone.llm.minhash_forest import _multipliers
 
 HASHES = 32
@@ -107,6 +107,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, hashe
     is one shingle.  Null or empty texts and items match nothing.  Repeated rows, of documents or items, give repeated
     rows.  An empty benchmark or an empty table of documents gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = with_ids(docs, F.col("text").cast("binary").alias("_bytes"))
     out = None
     for block in _blocks(benchmark, block_chars):
@@ -122,6 +123,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = 75, ha
     """Rows of ``docs``, all columns, without those that ``contaminated`` marks."""
     if "_bytes" in docs.columns or docs.columns.count("doc_id") != 1:
         raise ValueError("documents need one doc_id, and no column _bytes")
+    small_batches(docs.sparkSession)
     fields = docs.schema
     for block in _blocks(benchmark, block_chars):
         index = ItemIndex(block, hashes, percent)
