@@ -1,148 +1,225 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, in a block-max inverted index.
-
-Terms are lower-cased words without punctuation around them, and their first 4, 6 and 8 bytes; one more term stands for
-all other words.  The index keeps the terms that tell label 1 in a bounded sample (by likelihood ratio), with document
-counts over the whole corpus.
-Examples are ordered so that similar ones share a block; for each term every block knows its largest weight.  A query
-takes blocks in order of their bound and stops when no block can hold a nearer example than the k found: the result
-is that of comparing with every example.
+"""Toxicity by the nearest labelled examples under exact weighted TF-IDF cosine.
+
+Terms are lower-cased words without punctuation around them, and their first 4, 6 and 8 bytes, by 64-bit hash.  The index
+holds every term of a bounded sample of examples, with document counts over the whole corpus.  A term weighs its
+inverse document frequency times the root of one plus its likelihood ratio for label 1, so none is left out and those
+that tell label 1 count most.  Words in no example can't meet one and are not part of a vector.
+Terms that many examples hold are dense columns, all others sorted postings; every query is compared with every example.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import Scratch, chunks
+from quaystone.llm.common import Scratch, signed
 from quaystone.llm.labelled import Isotonic, held_out, training_sample
 
-#: Labelled rows in the index, at most about so many; terms it knows; neighbours that vote; examples in a block.
-SAMPLE, TERMS, NEIGHBOURS, BLOCK = 6000, 3000, 15, 64
-#: Share of index terms that may differ between the labels by chance (false discovery rate).
-FALSE_TERMS = 0.001
+#: Labelled rows in the index, at most about so many; neighbours that vote; rows and bytes of text taken at a time.
+SAMPLE, NEIGHBOURS, ROWS, BYTES = 6000, 15, 256, 2_000_000
+#: A term that one in so many examples holds is a dense column; queries that are compared with all examples at a time.
+DENSE, QUERIES = 16, 128
 #: How the contract splits rows and cuts scores.
 FOLDS, HELD, CUT = 3, 1, 0.7
 _AROUND = b".,;:!?\"'()[]{}<>*#$%&|-_"
-_CACHE = 100_000
+_CACHE = 300_000
 
 
 def terms_of(word: bytes) -> tuple[bytes, ...]:
     word = word.strip(_AROUND)
-    if not word:
-        return ()
-    return tuple({word, *(b"^" + word[:n] for n in (4, 6, 8) if len(word) >= n)})
+    n = len(word)
+    if n < 4:
+        return (word,) if n else ()
+    if n < 6:
+        return word, b"^" + word[:4]
+    return (word, b"^" + word[:4], b"^" + word[:6]) if n < 8 else (word, b"^" + word[:4], b"^" + word[:6], b"^" + word[:8])
+
+
+def _pieces(batches):
+    """Smaller record batches, by rows and by bytes of text, so that a worker's arrays stay small."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            done = size[at - 1] if at else 0
+            end = min(max(int(np.searchsorted(size, done + BYTES, "right")), at + 1), at + ROWS)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each length in turn."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
 class Vectors:
-    """Texts as sparse vectors over known terms."""
-
-    def __init__(self, terms: list[bytes]):
-        self.number = {t: i for i, t in enumerate(terms)} 
-        self.seen: dict[bytes, tuple[int, ...]] = {}
-
-    def counts(self, text: bytes) -> Counter:
-        """Term number -> occurrences in the text; number 0 stands for all words without a term of their own."""
-        out: Counter = Counter()
-        other = 0
-        for word, n in Counter(text.lower().split()).items():
-            own = self.seen.get(word)
-            if own is None:
-                if len(self.seen) >= _CACHE:
-                    self.seen.clear()
-                own = self.seen[word] = tuple(i for t in terms_of(word) if (i := self.number.get(t)) is not None)
-            for i in own:
-                out[i] += n
-            if not own:
-                other += n
-        if other:
-            out[0] = other
-        return out
+    """Texts as counts of terms: of those known, by number, or of all, by hash."""
+
+    def __init__(self, known: np.ndarray | None = None):
+        self.known = known
+        self._reset()
+
+    def _reset(self):
+        self.word: dict[bytes, int] = {}
+        self.starts, self.lengths, self.terms = (np.zeros(0, np.int64) for _ in range(3))
+        if self.known is None:
+            self.terms = self.terms.view(np.uint64)
+
+    def _learn(self, words: list[bytes]):
+        own = list(map(terms_of, words))
+        lengths = np.fromiter(map(len, own), np.int64, len(own))
+        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(own)), np.uint64, int(lengths.sum()))
+        if self.known is not None:
+            at = np.minimum(np.searchsorted(self.known, hashed), max(len(self.known) - 1, 0))
+            hit = self.known[at] == hashed if len(self.known) else np.zeros(len(hashed), bool)
+            lengths = np.bincount(np.repeat(np.arange(len(own)), lengths)[hit], minlength=len(own))
+            hashed = at[hit]
+        self.starts = np.concatenate([self.starts, len(self.terms) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.terms = np.concatenate([self.terms, hashed])
+        self.word.update(zip(words, range(len(self.word), len(self.word) + len(words)), strict=True))
+
+    def counts(self, texts: list[bytes | None], once: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, occurrences), by text and term; ``once`` takes a text's distinct words, where only terms matter."""
+        split = [(t or b"").lower().split() for t in texts]
+        if once:
+            split = [set(ws) for ws in split]
+        flat = list(chain.from_iterable(split))
+        new = set(flat) - self.word.keys()
+        if new and len(self.word) + len(new) > _CACHE:
+            self._reset()
+            new = set(flat)
+        if new:
+            self._learn(list(new))
+        row = np.repeat(np.arange(len(split)), [len(ws) for ws in split])
+        word = np.fromiter(map(self.word.__getitem__, flat), np.int64, len(flat))
+        if once:
+            n = np.ones(len(word), np.int64)
+        else:
+            pair, n = np.unique(row * (len(self.word) + 1) + word, return_counts=True)
+            row, word = np.divmod(pair, len(self.word) + 1)
+        lengths = self.lengths[word]
+        term = self.terms[_ranges(self.starts[word], lengths)]
+        row, n = np.repeat(row, lengths), np.repeat(n, lengths)
+        order = np.lexsort((term, row)) if self.known is None else np.argsort(row * (len(self.known) + 1) + term)
+        row, term, n = row[order], term[order], n[order]
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])]) if len(row) else row
+        return row[first], term[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _candidate_terms(batches):
-    """Terms of the sample's documents, with counts by label, summed within the partition."""
-    both: list[Counter] = [Counter(), Counter()]
-    for batch in chunks(batches):
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            both[y].update({t for w in set(text.lower().split()) for t in terms_of(w)})
-    keys = list(both[0] | both[1])
-    for at in range(0, len(keys), 50_000):
-        part = keys[at : at + 50_000]
-        yield pa.RecordBatch.from_pydict({"term": pa.array(part, pa.binary()), "n0": pa.array([both[0][t] for t in part], pa.int64()), "n1": pa.array([both[1][t] for t in part], pa.int64())})
-
-
-def _document_counts(batches, terms: list[bytes]):
-    vectors, total, n = Vectors(terms), Counter(), 0
-    for batch in chunks(batches):
-        for text in batch.column("text").to_pylist():
-            total.update(vectors.counts(text or b"").keys())
-            n += 1
-    yield pa.RecordBatch.from_pydict({"number": pa.array([-1, *total], pa.int32()), "n": pa.array([n, *total.values()], pa.int64())})
-
-
-def _example_counts(batches, terms: list[bytes]):
-    vectors = Vectors(terms)
-    for batch in chunks(batches):
-        own = [vectors.counts(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_pydict(
-            {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "numbers": pa.array([list(c) for c in own], pa.list_(pa.int32())), "counts": pa.array([list(c.values()) for c in own], pa.list_(pa.int64()))}
-        )
+    """Terms of the sample's documents, by hash, with counts by label, summed within each batch."""
+    vectors = Vectors()
+    for batch in _pieces(batches):
+        y = batch.column("y").to_numpy()
+        row, term, _ = vectors.counts(batch.column("text").to_pylist(), once=True)
+        keys, at = np.unique(term, return_inverse=True)
+        n1 = np.bincount(at, y[row], len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(signed(keys)), "n0": pa.array(np.bincount(at, minlength=len(keys)) - n1), "n1": pa.array(n1)})
+
+
+def _document_counts(batches, shared):
+    known = shared.value
+    vectors, total, n = Vectors(known), np.zeros(len(known), np.int64), 0
+    for batch in _pieces(batches):
+        total += np.bincount(vectors.counts(batch.column("text").to_pylist(), once=True)[1], minlength=len(known))
+        n += batch.num_rows
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"number": pa.array(np.r_[-1, held].astype(np.int32)), "n": pa.array(np.r_[n, total[held]])})
+
+
+def _example_counts(batches, shared):
+    vectors = Vectors(shared.value)
+    for batch in _pieces(batches):
+        row, number, n = vectors.counts(batch.column("text").to_pylist())
+        cut = np.searchsorted(row, np.arange(1, batch.num_rows))
+        packed = [[x.tobytes() for x in np.split(v.astype(np.int32), cut)] for v in (number, n)]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "numbers": pa.array(packed[0], pa.binary()), "counts": pa.array(packed[1], pa.binary())})
 
 
 class BlockMaxIndex:
-    """Examples in blocks: each block has the postings of its terms, and the largest weight of each term."""
+    """Unit vectors of the examples: a dense block of the terms that many hold, and postings of all other terms."""
 
-    def __init__(self, terms: list[bytes], idf: np.ndarray, ids: np.ndarray, y: np.ndarray, numbers: list, counts: list):
+    def __init__(self, terms, idf: np.ndarray, ids: np.ndarray, y: np.ndarray, numbers: list, counts: list):
         self.terms, self.idf = terms, idf.astype(np.float32)
-        dense = np.zeros((len(ids), len(terms)), np.float32)
-        for row, (i, c) in enumerate(zip(numbers, counts, strict=True)):
-            dense[row, np.asarray(i, int)] = c
-        dense = self.weigh(dense)
-        # similar examples side by side: by label, then by heaviest term
-        order = np.lexsort((ids, dense.argmax(1) if len(ids) else ids, y))
-        self.ids, self.y, dense = ids[order], y[order].astype(np.float32), dense[order]
-        self.blocks = []
-        bound = []
-        for at in range(0, len(ids), BLOCK):
-            part = dense[at : at + BLOCK]
-            own = np.flatnonzero(part.any(0))
-            self.blocks.append((at, own, np.ascontiguousarray(part[:, own].T)))
-            bound.append(part.max(0))
-        self.bound = np.array(bound, np.float32).T if bound else np.zeros((len(terms), 0), np.float32)
+        order = np.lexsort((ids, y))
+        self.ids, self.y = ids[order], y[order].astype(np.float32)
+        row = np.repeat(np.arange(len(ids)), [len(numbers[i]) for i in order])
+        number = np.concatenate([np.asarray(numbers[i], np.int64) for i in order]) if len(ids) else np.zeros(0, np.int64)
+        n = np.concatenate([np.asarray(counts[i], np.float32) for i in order]) if len(ids) else np.zeros(0, np.float32)
+        weight = self.unit(row, number, n, len(ids))
+        # postings by term
+        by = np.argsort(number, kind="stable")
+        self.row, self.weight = row[by].astype(np.int32), weight[by]
+        self.lengths = np.bincount(number, minlength=len(terms))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.column = np.full(len(terms), -1)
+        often = np.flatnonzero(self.lengths * DENSE >= max(len(ids), 1))
+        self.column[often] = np.arange(len(often))
+        self.dense = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"dense": None}  # made anew from the postings
+
+    def unit(self, row: np.ndarray, number: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
+        """Counts to the weights of unit vectors; a vector without known terms stays zero."""
+        w = np.log1p(n).astype(np.float32) * self.idf[number]
+        return w / np.maximum(np.sqrt(np.bincount(row, w.astype(float) ** 2, rows)), 1e-12).astype(np.float32)[row]
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
-        """Counts to unit TF-IDF vectors; a vector without known terms stays zero."""
-        w = np.log1p(counts) * self.idf
-        return w / np.maximum(np.sqrt((w * w).sum(1, keepdims=True)), 1e-12)
-
-    def nearest(self, queries: np.ndarray, k: int, own_ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples of each row; -1 and 0 where there are fewer.  ``own_ids``:
-        examples with a query's own id are left out."""
-        n = len(queries)
-        best = np.zeros((n, k), np.float32)
-        who = np.full((n, k), -1, np.int64)
-        bounds = queries @ self.bound
-        # blocks by their largest bound over the batch; each query looks only where its own bound beats its k-th
-        for b in np.argsort(-bounds.max(0)) if n and self.blocks else ():
-            rows = np.flatnonzero(bounds[:, b] * np.float32(1.00001) > best[:, -1])
-            if not len(rows):
-                continue
-            at, own, postings = self.blocks[b]
-            score = queries[np.ix_(rows, own)] @ postings
+        """The same for a matrix of counts."""
+        row, number = np.nonzero(counts)
+        out = np.zeros(counts.shape, np.float32)
+        out[row, number] = self.unit(row, number, counts[row, number], len(counts))
+        return out
+
+    def _cosines(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        if self.dense is None:
+            held = self.column[np.repeat(np.arange(len(self.lengths)), self.lengths)]
+            self.dense = np.zeros((self.column.max(initial=-1) + 1, len(self.ids)), np.float32)
+            self.dense[held[held >= 0], self.row[held >= 0]] = self.weight[held >= 0]
+        column = self.column[number]
+        often = column >= 0
+        query = np.zeros((n, len(self.dense)), np.float32)
+        query[row[often], column[often]] = weight[often]
+        row, number, weight = row[~often], number[~often], weight[~often]
+        lengths = self.lengths[number]
+        at = _ranges(self.starts[number], lengths)
+        score = np.bincount(np.repeat(row * len(self.ids), lengths) + self.row[at], np.repeat(weight, lengths) * self.weight[at], n * len(self.ids))
+        return query @ self.dense + score.reshape(n, -1).astype(np.float32)
+
+    def nearest(self, queries, k: int, own_ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and cosines of the k nearest examples of each row; -1 and 0 where there are fewer.  ``queries`` is a
+        matrix of unit vectors, or (row, term number, weight) by row, and the number of rows.  ``own_ids``: examples with a
+        query's own id are left out."""
+        if isinstance(queries, np.ndarray):
+            row, number = np.nonzero(queries)
+            queries = (row, number, queries[row, number], len(queries))
+        row, number, weight, n = queries
+        best, who = np.zeros((n, k), np.float32), np.full((n, k), -1, np.int64)
+        least = max(len(self.ids) - k, 0)
+        for at in range(0, n, QUERIES) if len(self.ids) else ():
+            size = min(QUERIES, n - at)
+            a, b = np.searchsorted(row, (at, at + size))
+            score = self._cosines(row[a:b] - at, number[a:b], weight[a:b], size)
             if own_ids is not None:
-                score[self.ids[at : at + score.shape[1]][None, :] == own_ids[rows, None]] = 0
-            every = np.concatenate([best[rows], score], 1)
-            names = np.concatenate([who[rows], np.broadcast_to(np.arange(at, at + score.shape[1]), score.shape)], 1)
-            names = np.where(every > 0, names, -1)
+                score[self.ids[None, :] == own_ids[at : at + size, None]] = 0
+            kth = np.partition(score, least, axis=1)[:, least]
+            r, c = np.nonzero((score >= kth[:, None]) & (score > 0))
             # nearest first; of equal cosines the smaller position
-            top = np.lexsort((np.where(names < 0, 2**62, names), -every), axis=1)[:, :k]
-            best[rows], who[rows] = np.take_along_axis(every, top, 1), np.take_along_axis(names, top, 1)
+            order = np.lexsort((c, -score[r, c], r))
+            r, c = r[order], c[order]
+            rank = np.arange(len(r)) - np.searchsorted(r, r)
+            r, c, rank = r[rank < k], c[rank < k], rank[rank < k]
+            best[at + r, rank], who[at + r, rank] = score[r, c], c
         return who, best
 
     def votes(self, who: np.ndarray, cosine: np.ndarray) -> np.ndarray:
@@ -155,61 +232,61 @@ class ToxicityModel:
     def __init__(self, index: BlockMaxIndex, calibrate: Isotonic, neighbours: int):
         self.index, self.calibrate, self.neighbours = index, calibrate, neighbours
 
-    def dense(self, texts: list[bytes | None], vectors: Vectors) -> np.ndarray:
-        x = np.zeros((len(texts), len(self.index.terms)), np.float32)
-        for row, t in enumerate(texts):
-            if own := vectors.counts(t or b""):
-                x[row, list(own)] = list(own.values())
-        return self.index.weigh(x)
+    def nearest(self, texts: list[bytes | None], vectors: Vectors) -> tuple[np.ndarray, np.ndarray]:
+        row, number, n = vectors.counts(texts)
+        return self.index.nearest((row, number, self.index.unit(row, number, n, len(texts)), len(texts)), self.neighbours)
+
+
+def likelihood_ratio(n0: np.ndarray, n1: np.ndarray, p0: int, p1: int) -> np.ndarray:
+    """Of terms' documents by label against the base rate; it holds for rare terms too.  0 if not more frequent with label 1."""
+    share = p1 / (p0 + p1)
+    part = lambda x, s: x * np.log(np.maximum(x, 1) / np.maximum((n0 + n1) * s, 1e-12))
+    return np.where(n1 / p1 > n0 / p0, 2 * (part(n1, share) + part(n0, 1 - share)), 0.0)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, neighbours: int = NEIGHBOURS, folds: int = FOLDS, held: int = HELD) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: int = NEIGHBOURS, folds: int = FOLDS, held: int = HELD) -> ToxicityModel:
     """Indexes at most about ``sample`` labelled rows outside the held-out fold, with term counts over all of ``docs``.
 
-    Terms are those more frequent with label 1, by likelihood ratio: examples of either label are vectors over what tells
-    label 1, so passages that many clean texts share don't outweigh it.  Calibration compares each example with the
-    others.  Without labelled rows every score is 0.
+    Every term of these rows is known; those more frequent with label 1 weigh more by their likelihood ratio, so that
+    passages that many clean texts share don't outweigh them.  Calibration compares each example with the others.
+    Without labelled rows every score is 0.
     """
-    scratch = Scratch(docs.sparkSession)
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     rows = scratch.keep(training_sample(docs, labels, "toxic", folds, held, sample), "examples")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     p0, p1 = max(totals.get(0, 0), 1), max(totals.get(1, 0), 1)
-    count = rows.mapInArrow(_candidate_terms, "term binary, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    share = p1 / (p0 + p1)
-    # likelihood ratio of a term's documents by label against the base rate; it holds for rare terms too
-    part = lambda x, s: F.when(x > 0, x * F.log(x / ((a + b) * s))).otherwise(0.0)
-    ratio = 2 * (part(a, share) + part(b, 1 - share))
-    count = scratch.keep(count.where(F.col("n0") + F.col("n1") >= 3).withColumn("ratio", ratio).withColumn("up", a / p1 > b / p0), "terms")
-    tested = count.count()
-    top = count.where("up").orderBy(F.desc("ratio"), "term").limit(terms).select("term", "ratio").collect()  # bounded by ``terms``
-    # Benjamini-Hochberg: the longest prefix whose last p-value is below its share of the false discovery rate
-    passing = [i for i, r in enumerate(top, 1) if math.erfc(math.sqrt(r["ratio"] / 2)) <= FALSE_TERMS * i / max(tested, 1)]
-    known = [b"", *(bytes(r["term"]) for r in top[: max(passing, default=0)])]
+    # the terms of a bounded sample
+    count = rows.mapInArrow(_candidate_terms, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    known = count.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    known, n0, n1 = known[order], count.column("n0").to_numpy()[order], count.column("n1").to_numpy()[order]
+    shared = spark.sparkContext.broadcast(known)
     text = docs.select(F.col("text").cast("binary").alias("text"))
-    found = text.mapInArrow(lambda bs: _document_counts(bs, known), "number int, n long").groupBy("number").agg(F.sum("n").alias("n")).collect()
-    df = {r["number"]: r["n"] for r in found}
-    idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(len(known))], float))) + 1
-    examples = rows.mapInArrow(lambda bs: _example_counts(bs, known), "doc_id long, y int, numbers array<int>, counts array<long>").orderBy("doc_id").collect()
-    index = BlockMaxIndex(known, idf, np.array([r["doc_id"] for r in examples], np.int64), np.array([r["y"] for r in examples], np.int64), [r["numbers"] for r in examples], [r["counts"] for r in examples])
-    raw, y = [], []
-    for at in range(0, len(examples), 512):
-        part = examples[at : at + 512]
-        x = np.zeros((len(part), len(known)), np.float32)
-        for row, r in enumerate(part):
-            x[row, np.asarray(r["numbers"], int)] = r["counts"]
-        who, cosine = index.nearest(index.weigh(x), neighbours, np.array([r["doc_id"] for r in part]))
+    found = text.mapInArrow(lambda bs: _document_counts(bs, shared), "number int, n long").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
+    number, n = found.column("number").to_numpy(), found.column("n").to_numpy()
+    df = np.zeros(len(known))
+    df[number[number >= 0]] = n[number >= 0]
+    weight = (np.log((1 + n[number < 0].sum()) / (1 + df)) + 1) * np.sqrt(1 + likelihood_ratio(n0, n1, p0, p1))
+    examples = rows.mapInArrow(lambda bs: _example_counts(bs, shared), "doc_id long, y int, numbers binary, counts binary").orderBy("doc_id", "y", "numbers").toArrow()
+    ids, y = examples.column("doc_id").to_numpy(), examples.column("y").to_numpy().astype(np.int64)
+    numbers, counts = ([np.frombuffer(x.as_py(), np.int32) for x in examples.column(c)] for c in ("numbers", "counts"))
+    index = BlockMaxIndex(known, weight, ids, y, numbers, counts)
+    raw = []
+    for at in range(0, len(ids), ROWS):
+        part, size = numbers[at : at + ROWS], len(numbers[at : at + ROWS])
+        row, own = np.repeat(np.arange(size), [len(x) for x in part]), np.concatenate(part).astype(np.int64)
+        who, cosine = index.nearest((row, own, index.unit(row, own, np.concatenate(counts[at : at + ROWS]), size), size), neighbours, ids[at : at + ROWS])
         raw.append(index.votes(who, cosine))
-        y.append(np.array([r["y"] for r in part]))
-    scratch.drop("examples", "terms")
-    return ToxicityModel(index, Isotonic(np.concatenate(raw), np.concatenate(y)) if raw else Isotonic(np.zeros(1), np.zeros(1)), neighbours)
+    scratch.drop("examples")
+    return ToxicityModel(index, Isotonic(np.concatenate(raw), y) if raw else Isotonic(np.zeros(1), np.zeros(1)), neighbours)
 
 
 def _score(batches, shared):
     model = cloudpickle.loads(shared.value)
     vectors = Vectors(model.index.terms)
-    for batch in chunks(batches, 512):
-        who, cosine = model.index.nearest(model.dense(batch.column("text").to_pylist(), vectors), model.neighbours)
+    for batch in _pieces(batches):
+        who, cosine = model.nearest(batch.column("text").to_pylist(), vectors)
         scores = model.calibrate(model.index.votes(who, cosine))
         evidence = [[{"doc_id": int(model.index.ids[i]), "toxic": int(model.index.y[i]), "cosine": round(float(c), 6)} for i, c in zip(w[:3], s[:3], strict=True) if i >= 0] for w, s in zip(who, cosine, strict=True)]
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
@@ -220,7 +297,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, folds: int = FOLDS, he
     """doc_id, held_out, score, predicted, evidence (the three nearest examples) for every row.
 
     A null text is empty; a text without known terms has no neighbours, and the score of no evidence.  Repeated rows
-    score alike.  The model is bounded by its sample and terms, and goes to the executors once."""
+    score alike.  The model is bounded by its sample, and goes to the executors once."""
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     out = rows.mapInArrow(lambda bs: _score(bs, shared), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")

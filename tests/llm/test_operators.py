@@ -21,7 +21,7 @@ from quaystone.llm.quality import fit_quality, keep_quality, score_quality, stat
 from quaystone.llm.runs import shared_members
 from quaystone.llm.secret_scan import BlobLedger, find_spans, scan_secrets
 from quaystone.llm.substring_dedup import substring_dedup
-from quaystone.llm.toxicity import BlockMaxIndex, fit_toxicity, score_toxicity
+from quaystone.llm.toxicity import BlockMaxIndex, fit_toxicity, score_toxicity, terms_of
 
 BLANK = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, _salt long, drop string"
@@ -450,6 +450,23 @@ def test_block_max_is_exact():
     assert np.allclose(np.take_along_axis(q @ whole.T, np.maximum(who, 0), 1) * (who >= 0), cosine, atol=1e-5)
 
 
+def test_toxicity_knows_every_term_of_the_examples(spark):
+    """Few examples, whose terms no test of significance passes: rare terms and those of clean text find the nearest."""
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{r.randrange(60)}" for _ in range(30)) + f" only{i} only{i}") for i in range(60)]
+    bad = [i for i in range(60) if i % 5 == 0]
+    rows = [(i, t + " disgusting moron scum" if i in bad else t) for i, t in rows]
+    learnt = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    probes = [(1000 + i, f"only{i}") for i in learnt]
+    df, labels = frame(spark, rows + probes), spark.createDataFrame([(i, int(i in bad)) for i in range(60)], "doc_id long, toxic int")
+    model = fit_toxicity(df, labels)
+    found = {x["doc_id"]: x for x in score_toxicity(df, model).collect()}
+    assert len(model.index.terms) == len({t for i in learnt for w in set(rows[i][1].encode().split()) for t in terms_of(w)})
+    assert all([e["doc_id"] for e in found[1000 + i]["evidence"]][0] == i for i in learnt)
+    held = [i for i in range(60) if i not in learnt]
+    assert [i for i in held if found[i]["score"] > 0.5] == [i for i in held if i in bad]
+
+
 def test_source_targets_ties_and_repeats(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 10), (None, 10)], "source string, source_size long")
     assert {r["source"]: r["target"] for r in source_targets(sizes).collect()} == {"a": 5.0, "b": 10.0, None: 15.0}
