@@ -38,25 +38,46 @@ def find_spans(text: str, kinds: tuple[str, ...] = tuple(RULES)) -> list[tuple[i
 
 
 def _scan(batches):
-    versions = sorted(RULE_VERSIONS)
     for batch in chunks(batches):
         blobs, spans, rules = [], [], []
         for blob, text, want in zip(batch.column("blob").to_pylist(), batch.column("text").to_pylist(), batch.column("rules").to_pylist(), strict=True):
-            kinds = tuple(k for k in RULES if f"{k}:{RULE_VERSIONS[k]}" in want)
+            # the row says which versions it wants of which kinds
+            version = {k: int(v) for k, v in (w.split(":") for w in want)}
             blobs.append(blob)
-            rules.append([f"{k}:{RULE_VERSIONS[k]}" for k in versions if k in kinds])
-            spans.append([{"start": a, "end": b, "kind": k} for a, b, k in find_spans(text, kinds)])
-        span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
+            rules.append(sorted(want))
+            spans.append([{"start": a, "end": b, "kind": k, "version": version[k]} for a, b, k in find_spans(text, tuple(k for k in RULES if k in version))])
+        span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("version", pa.int64())])
         yield pa.RecordBatch.from_pydict({"blob": pa.array(blobs, pa.string()), "rules": pa.array(rules, pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(span))})
 
 
 class BlobLedger:
-    """blob, rules (kind:version scanned), spans; append-only parquet in a shared folder, one part for each run."""
+    """blob, rules (kind:version scanned), spans (each with its rule's version); append-only parquet in a shared folder.
 
-    SCHEMA = "blob string, rules array<string>, spans array<struct<start: long, end: long, kind: string>>"
+    With a ``path`` the ledger is there, and a later run that names the same path goes on with it; without one it is a
+    scratch table of this object.  One run at a time may update a path.
+    """
+
+    SPANS = "array<struct<start: long, end: long, kind: string, version: long>>"
+    SCHEMA = f"blob string, rules array<string>, spans {SPANS}"
+
+    def __init__(self, scratch: Scratch, path: str | None = None):
+        self.scratch, self.path, self.parts, self.runs, self.rules = scratch, path, [], 0, dict(RULE_VERSIONS)
+        if path and self._exists(path):
+            self.parts = [self._stored()]
 
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.parts = scratch, []
+    def _exists(self, path: str) -> bool:
+        p = self.scratch.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.scratch.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def _stored(self) -> DataFrame:
+        return self.scratch.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def _append(self, rows: DataFrame) -> None:
+        if self.path:
+            rows.write.mode("append").parquet(self.path)
+            self.parts = [self._stored()]
+        else:
+            self.parts.append(self.scratch.keep(rows, f"ledger{self.runs}"))
 
     def table(self) -> DataFrame:
         out = self.scratch.spark.createDataFrame([], self.SCHEMA)
@@ -65,10 +86,14 @@ class BlobLedger:
         return out
 
     def update(self, versions: DataFrame, rules: dict[str, int] | None = None) -> DataFrame:
-        """Scans the blobs of ``versions`` (row, text) for rule versions not yet in the ledger; returns (row, blob)."""
-        rules = rules or RULE_VERSIONS
+        """Scans the blobs of ``versions`` (row, text) for rule versions not yet in the ledger; returns (row, blob).
+        ``findings`` then shows these versions."""
+        self.rules = rules = dict(rules or RULE_VERSIONS)
+        if unknown := rules.keys() - RULES.keys():
+            raise ValueError(f"no such rules: {sorted(unknown)}")
+        self.runs += 1
         wanted = F.array(*[F.lit(f"{k}:{v}") for k, v in rules.items()])
-        paths = self.scratch.keep(versions.select("row", F.sha2("text", 256).alias("blob")), f"paths{len(self.parts)}")
+        paths = self.scratch.keep(versions.select("row", F.sha2("text", 256).alias("blob")), f"paths{self.runs}")
         # one row stands for each blob; the partial minimum makes a blob of a third of all rows one row a task
         first = paths.groupBy("blob").agg(F.min("row").alias("row"))
         if self.parts:
@@ -79,25 +104,27 @@ class BlobLedger:
             missing = wanted
         unseen = first.select("row", "blob", missing.alias("rules")).where(F.size("rules") > 0)
         texts = versions.select("row", "text", F.sha2("text", 256).alias("blob")).join(unseen.hint("shuffle_hash"), ["row", "blob"])
-        self.parts.append(self.scratch.keep(texts.mapInArrow(_scan, self.SCHEMA), f"ledger{len(self.parts)}"))
+        self._append(texts.mapInArrow(_scan, self.SCHEMA))
         return paths
 
     def findings(self, paths: DataFrame) -> DataFrame:
-        """row, spans of every path; blobs with findings are few, and a blob that many paths hold is salted."""
-        found = self.table().where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_set("spans")).alias("spans"))
-        return salted_left_join(paths, found, "blob", "row").select("row", "blob", F.coalesce("spans", F.array().cast("array<struct<start: long, end: long, kind: string>>")).alias("spans"))
+        """row, spans of every path, by the rule versions of the last update; blobs with findings are few, and a blob that many paths hold is salted."""
+        current = F.array(*[F.lit(f"{k}:{v}") for k, v in self.rules.items()])
+        own = F.filter("spans", lambda s: F.array_contains(current, F.concat_ws(":", s["kind"], s["version"])))
+        found = self.table().where(F.size("spans") > 0).withColumn("spans", own).where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+        return salted_left_join(paths, found, "blob", "row").select("row", "blob", F.coalesce("spans", F.array().cast(self.SPANS)).alias("spans"))
 
 
-def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: dict[str, int] | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined), blob for every row.
 
     A document is a path with one version; a null text is empty.  Spans are by start, then by kind as listed, in code
     points, end exclusive.  Repeated rows and equal texts are one blob, scanned once, and reported for every row.  Pass a
-    ledger to scan only what it has not seen.
+    ledger to scan only what it has not seen; ``rules`` are the versions of the kinds, RULE_VERSIONS if none are given.
     """
     ledger = ledger or BlobLedger(Scratch(docs.sparkSession))
     rows = with_ids(docs, F.coalesce("text", F.lit("")).alias("text")).withColumnRenamed("doc_id", "row")
-    found = ledger.findings(ledger.update(rows))
+    found = ledger.findings(ledger.update(rows, rules))
     rank = F.array(*[F.lit(k) for k in RULES])
     spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     shown = lambda of: F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

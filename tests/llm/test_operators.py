@@ -390,6 +390,22 @@ def test_scan_secrets_and_ledger(spark):
     assert scan_secrets(frame(spark, [])).count() == 0
 
 
+def test_ledger_scans_new_rule_versions_and_is_reopened(spark, tmp_path):
+    path, versions = f"file://{tmp_path}/ledger", {"assign": 1, "access": 1, "hex": 1, "pem": 1}
+    rows = [(i, f"token={i % 3}abcdefgh " + "0a1b2c3d" * 4) for i in range(9)] + [(9, "nothing")]
+    shown = lambda rules, more=(): sorted((x["doc_id"], x["spans"]) for x in scan_secrets(frame(spark, [*rows, *more]), BlobLedger(Scratch(spark), path), rules).collect())
+    scanned = lambda: sorted(tuple(r["rules"]) for r in BlobLedger(Scratch(spark), path).table().collect())
+    first = shown(versions)
+    every = tuple(sorted(f"{k}:{v}" for k, v in versions.items()))
+    assert first == sorted((d, ",".join(f"{k}:{a}:{b}" for a, b, k in find_spans(t))) for d, t in rows) and scanned() == [every] * 4
+    assert shown(versions) == first and scanned() == [every] * 4  # a later run scans nothing again
+    raised = versions | {"hex": 2}
+    assert shown(raised) == first and scanned() == sorted([every] * 4 + [("hex:2",)] * 4)  # the raised rule alone, spans once
+    assert shown(versions) == first and len(scanned()) == 8
+    new = (20, "AKIA" + "Z" * 20)
+    assert (20, "access:0:24") in shown(raised, [new]) and len(scanned()) == 9
+
+
 # -- 1 and 9
 
 
