@@ -103,6 +103,12 @@ def shingles(words: list[bytes], hashes: WordHashes, k: int = 5) -> np.ndarray:
     return np.unique(grams(hashes.of(words), min(k, len(words))))
 
 
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each length in turn."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

@@ -1,12 +1,17 @@
 """Near duplicates by an LSH forest.
 
 Each document's set of 5-word shingles gets ``trees * depth`` minimum hashes.  Tree t orders the documents by the
-signature rotated to start at its own ``depth`` values.  Documents with a common prefix of ``depth`` values form a
-region; a region larger than ``region_docs`` is cut along the sorted order, which is the same as a longer prefix there
-(adaptive depth), and other trees cut it elsewhere.  Inside a region, documents whose signatures agree in ``loose`` of
-all places are tied into candidate groups.  Candidate groups are linked exactly, on full shingle sets.
+signature turned to start at its own ``depth`` values; documents with that prefix in common form a region.  In a region
+neighbours of the sorted order, which have the longest prefixes in common, are compared first, then what they leave
+apart; documents whose signatures agree in ``loose`` of all places are tied into candidate groups.
 
-At a similarity of 0.75 one tree misses a pair with probability 1 - 0.75**3, all 32 with 3e-8.
+The depth adapts: documents of a region over ``region_docs`` get ``DEEPER_ORDERS`` further orders by prefixes of
+``DEEPER`` places, each of its own permutation, in place of that region.  A region that is still over the bound is one
+candidate group, whole.  Nothing is cut.  Candidate groups are linked exactly, on full shingle sets (``linking``).
+
+At a similarity of 0.75 the probabilities to miss a pair add up: 3e-8 that no tree holds it, 4e-8 that its signatures
+agree in too few places (the same signature serves all trees), and for a pair that meets only in regions over the bound
+5e-5 that no deeper order holds it.
 """
 
 from __future__ import annotations
@@ -18,16 +23,15 @@ from pyspark.sql import functions as F
 
 from quaystone.llm.common import Scratch, WordHashes, chunks, id_out, mix, salted_left_join, shingles, signed, with_ids
 from quaystone.llm.components import connected_components
+from quaystone.llm.linking import BLOCK, BLOCK_ITEMS, deal, link_groups
 from quaystone.llm.runs import shared_members
 
 TREES, DEPTH = 32, 3
-#: Share of signature places (one byte each) that candidates agree in, at least: 4.5 deviations below 0.75.
-LOOSE = 0.55
+DEEPER_ORDERS, DEEPER = 64, 5
+#: Share of signature places (one byte each) that candidates agree in, at least: 5.7 deviations below 0.75.
+LOOSE = 0.5
+#: Documents that one task ties at a time.
 REGION_DOCS = 2048
-#: Candidate groups up to so many documents and shingles are linked in one task.
-GROUP_DOCS, GROUP_SHINGLES = 5000, 4_000_000
-#: Documents of a larger group, and their shingles, that are compared with the whole group at a time.
-BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -72,13 +76,15 @@ def _signatures(batches, trees: int, depth: int):
 
 
 def _ties(bits: np.ndarray, loose: float) -> list[tuple[int, int]]:
-    """A spanning forest of rows that agree in ``loose`` of their places: every row outside the largest group is
-    compared with all others."""
-    n = len(bits)
-    group = np.arange(n)
+    """A spanning forest of rows that agree in ``loose`` of their places.  Neighbours of the order come first; then every
+    row outside the largest group is compared with all others."""
+    n, least = len(bits), loose * bits.shape[1]
+    near = np.flatnonzero((bits[1:] == bits[:-1]).sum(1) >= least)
+    ties = [(int(i), int(i) + 1) for i in near]
+    start = np.ones(n, bool)
+    start[near + 1] = False
+    group = np.cumsum(start) - 1
     done = np.zeros(n, bool)
-    ties = []
-    least = loose * bits.shape[1]
     while True:
         sizes = np.bincount(group, minlength=n)
         todo = np.flatnonzero(~done & (group != sizes.argmax() if sizes.max() > 1 or done.any() else True))
@@ -92,144 +98,99 @@ def _ties(bits: np.ndarray, loose: float) -> list[tuple[int, int]]:
             group[group == g] = group[i]
 
 
-def _regions(batches, region_docs: int, loose: float):
-    """Ties (a, b) between documents of a region, from rows sorted by (key, signature)."""
+def _regions(batches, loose: float):
+    """Ties (a, b) between documents of a region, from rows sorted by (key, signature); a region is bounded."""
     key, docs, bits = None, [], []
 
     def flush():
-        if len(docs) < 2:
-            return None
         found = _ties(np.frombuffer(b"".join(bits), np.uint8).reshape(len(docs), -1), loose)
         return pa.RecordBatch.from_pydict({"a": pa.array([docs[i] for i, _ in found], pa.int64()), "b": pa.array([docs[j] for _, j in found], pa.int64())})
 
     for batch in batches:
         for k, doc, signature in zip(batch.column("k1").to_pylist(), batch.column("doc").to_pylist(), batch.column("signature").to_pylist(), strict=True):
-            if k != key or len(docs) >= region_docs:
-                if (out := flush()) is not None:
-                    yield out
-                # a cut inside a region keeps its last row, so that both parts hang together
-                same = k == key and len(docs)
-                key, docs, bits = k, docs[-1:] if same else [], bits[-1:] if same else []
+            if k != key:
+                if len(docs) > 1:
+                    yield flush()
+                key, docs, bits = k, [], []
             docs.append(doc)
             bits.append(signature)
-    if (out := flush()) is not None:
-        yield out
-
-
-def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Group number of each set, by exact links of 100 * common >= percent * union.
-
-    A row that is compared with all others has all its links; once the rows outside the largest group are done, no
-    link between groups can be missing."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    items, code = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    mark = np.zeros(len(items), np.int32)
-    group, done = np.arange(n), np.zeros(n, bool)
-    while True:
-        count = np.bincount(group, minlength=n)
-        todo = np.flatnonzero(~done & (group != count.argmax() if count.max() > 1 or done.any() else True))
-        if not len(todo):
-            return group
-        i = int(todo[0])
-        done[i] = True
-        own = code[starts[i] : starts[i] + sizes[i]]
-        mark[own] = 1
-        common = np.add.reduceat(mark[code], starts)
-        mark[own] = 0
-        link = (100 * common >= percent * (sizes + sizes[i] - common)) & (group != group[i])
-        for g in np.unique(group[link]):
-            group[group == g] = group[i]
+    if len(docs) > 1:
+        yield flush()
 
 
-def _link_groups(batches, percent: int):
-    """doc, component within its candidate group, from rows sorted by group."""
+def _deeper(batches, orders: int, depth: int):
+    """The keys of further orders: the first ``depth`` places of ``orders`` permutations of the signature."""
+    picks = None
+    place = np.arange(1, orders + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)
+    for batch in chunks(batches):
+        keys = []
+        for signature in batch.column("signature").to_pylist():
+            bits = np.frombuffer(signature, np.uint8).astype(np.uint64)
+            if picks is None:
+                r = np.random.RandomState(29)
+                picks = np.array([r.permutation(len(bits))[:depth] for _ in range(orders)])
+            key = place
+            for j in range(picks.shape[1]):
+                key = mix(key ^ bits[picks[:, j]])
+            keys.append(signed(key))
+        yield pa.RecordBatch.from_pydict({"doc": batch.column("doc"), "keys": pa.array(keys, pa.list_(pa.int64()))})
+
+
+def _split(scratch: Scratch, name: str, keys: DataFrame, region_docs: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (k1, doc, first) of regions of two documents or more, from (doc, keys): those within the bound, and those over it."""
+    places = scratch.keep(keys.select(F.explode("keys").alias("k1"), F.lit(0).cast("long").alias("k2"), "doc"), f"{name}-places")
+    active = shared_members(scratch, f"{name}-active", places).select("k1", "doc", "first")
+    over = scratch.keep(active.groupBy("k1").count().where(F.col("count") > region_docs).select("k1", F.lit(True).alias("over")), f"{name}-over")
+    if not over.take(1):
+        return active, None
+    active = scratch.keep(salted_left_join(active, over, "k1", "doc"), f"{name}-split")
+    return active.where("over is null").drop("over"), active.where("over").drop("over")
+
+
+def _tied(rows: DataFrame, signatures: DataFrame, loose: float) -> DataFrame:
+    rows = rows.select("k1", "doc").join(signatures, "doc")
+    # the key stands for a region's own places; what follows starts at another place in each region
+    at = F.pmod(F.col("k1"), F.octet_length("signature")).cast("int")
+    turned = F.concat(F.substring("signature", at + 1, F.octet_length("signature")), F.substring("signature", F.lit(1), at))
+    rows = rows.select("k1", "doc", turned.alias("signature")).repartition("k1").sortWithinPartitions("k1", "signature", "doc")
+    return rows.mapInArrow(lambda bs: _regions(bs, loose), "a long, b long")
+
+
+def candidate_groups(scratch: Scratch, reps: DataFrame, loose: float = LOOSE, region_docs: int = REGION_DOCS) -> DataFrame:
+    """doc, grp for every document tied to another, from a stored table of doc, keys, signature."""
+    signatures = reps.select("doc", "signature")
+    fit, over = _split(scratch, "trees", reps.select("doc", "keys"), region_docs)
+    ties = [_tied(fit, signatures, loose)]
+    if over is not None:
+        deep = signatures.join(over.select("doc").distinct(), "doc", "left_semi").mapInArrow(lambda bs: _deeper(bs, DEEPER_ORDERS, DEEPER), "doc long, keys array<long>")
+        fit, over = _split(scratch, "deeper", deep, region_docs)
+        ties.append(_tied(fit, signatures, loose))
+        if over is not None:
+            ties.append(over.select(F.col("doc").alias("a"), F.col("first").alias("b")))
+    every = ties[0]
+    for t in ties[1:]:
+        every = every.unionByName(t)
+    return connected_components(scratch, "candidates", every).select(F.col("node").alias("doc"), F.col("component").alias("grp"))
+
+
+def _sets(batches):
     hashes = WordHashes()
-    at, docs, sets = None, [], []
-
-    def flush():
-        group = _linked(sets, percent)
-        least = {}
-        for g, d in zip(group, docs, strict=True):
-            least[g] = min(d, least.get(g, d))
-        return pa.RecordBatch.from_pydict({"a": pa.array(docs, pa.int64()), "b": pa.array([least[g] for g in group], pa.int64())})
-
     for batch in chunks(batches, 256):
-        for g, doc, text in zip(batch.column("grp").to_pylist(), batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if g != at and docs:
-                yield flush()
-                docs, sets = [], []
-            at = g
-            docs.append(doc)
-            sets.append(shingles(text.lower().split(), hashes))
-    if docs:
-        yield flush()
+        sets = [shingles(t.lower().split(), hashes) for t in batch.column("text").to_pylist()]
+        keep = pa.array([len(s) > 0 for s in sets])
+        cols = {c: batch.column(c) for c in ("grp", "doc", "block", "blocks")}
+        yield pa.RecordBatch.from_pydict(cols | {"n": pa.array([len(s) for s in sets], pa.int64()), "items": pa.array([s.tobytes() for s in sets], pa.binary())}).filter(keep)
 
 
-def _block_links(batches, items: np.ndarray, owner: np.ndarray, sizes: np.ndarray, ids: np.ndarray, groups: np.ndarray, percent: int):
-    """Exact links of every row with a block of documents of its group."""
-    hashes = WordHashes()
-    for batch in chunks(batches, 256):
-        a, b = [], []
-        for g, doc, text in zip(batch.column("grp").to_pylist(), batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            own = shingles(text.lower().split(), hashes)
-            lo, hi = np.searchsorted(items, own), np.searchsorted(items, own, "right")
-            hit = np.concatenate([owner[x:y] for x, y in zip(lo, hi, strict=True) if y > x] or [owner[:0]])
-            common = np.bincount(hit, minlength=len(ids))
-            link = (100 * common >= percent * (sizes + len(own) - common)) & (groups == g) & (ids != doc)
-            a += [doc] * int(link.sum())
-            b += ids[link].tolist()
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _link_large(scratch: Scratch, rows: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) of candidate groups too large for a task: blocks of documents outside their group's largest
-    component are compared with every row of the group, until none is left.  A stated block of documents against all
-    rows; rows stay where they are."""
-    todo = scratch.keep(rows.select("grp", "doc", "n"), "large-todo")
-    part, n = None, 0
-    done = None
-    while True:
-        # a block of bounded size comes to the driver, never the group: so many documents, and so many shingles
-        block_rows, total = [], 0
-        for r in todo.orderBy(F.xxhash64("doc")).limit(block).collect():
-            total += r["n"]
-            if block_rows and total > BLOCK_SHINGLES:
-                break
-            block_rows.append((r["grp"], r["doc"]))
-        if not block_rows:
-            return part
-        ids = scratch.spark.createDataFrame(block_rows, "grp long, doc long")
-        picked = rows.select("grp", "doc", "text").join(F.broadcast(ids), ["grp", "doc"]).collect()
-        hashes = WordHashes()
-        sets = [shingles(bytes(r["text"]).lower().split(), hashes) for r in picked]
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        items = np.concatenate(sets)
-        order = np.argsort(items, kind="stable")
-        items, owner = items[order], owner[order]
-        sizes, ids, groups = np.array([len(s) for s in sets]), np.array([r["doc"] for r in picked]), np.array([r["grp"] for r in picked])
-        links = rows.mapInArrow(lambda bs, v=(items, owner, sizes, ids, groups): _block_links(bs, *v, percent), "a long, b long")
-        links = scratch.keep(links, f"large-{n}")
-        part = links if part is None else part.unionByName(links)
-        mine = scratch.spark.createDataFrame([(int(r["doc"]),) for r in picked], "doc long")
-        done = mine if done is None else done.unionByName(mine)
-        label = connected_components(scratch, f"large-{n}-cc", part.unionByName(rows.select(F.col("doc").alias("a"), F.col("doc").alias("b"))))
-        label = rows.select("grp", "doc", "n").join(label, F.col("doc") == F.col("node"), "left").select("grp", "doc", "n", F.coalesce("component", "doc").alias("component"))
-        biggest = label.groupBy("grp", "component").count().groupBy("grp").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
-        todo = label.join(F.broadcast(biggest), "grp").where("component != top").join(done, "doc", "left_anti").select("grp", "doc", "n")
-        todo = scratch.keep(todo, f"large-todo-{n}")
-        n += 1
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, depth: int = DEPTH, group_docs: int = GROUP_DOCS, group_shingles: int = GROUP_SHINGLES, region_docs: int = REGION_DOCS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, depth: int = DEPTH, region_docs: int = REGION_DOCS, block: int = BLOCK, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     A-Z is lower-cased; words are runs of other characters than \\x20 and \\x09-\\x0D; a document's set has its distinct
-    5-word shingles, or its whole sequence if it has fewer words.  Documents with 100 * common >= percent * union are
-    linked; component_id is the smallest doc_id reachable, kept if it is the document's own.  Documents without words
-    (null texts too) are linked with nothing.  A null doc_id is smaller than any other.  Repeated rows of one doc_id
-    get the same component; if their texts differ, links of either count.
+    5-word shingles (by 64-bit hash), or its whole sequence if it has fewer words.  Documents with
+    100 * common >= percent * union are linked; component_id is the smallest doc_id reachable, kept if it is the
+    document's own.  Documents without words (null texts too) are linked with nothing.  A null doc_id is smaller than
+    any other.  Rows of one doc_id are one document and get the same component; if their texts differ, links of each
+    count, and n_shingles is the row's own.
     """
     scratch = Scratch(docs.sparkSession)
     rows = with_ids(docs, F.col("text").cast("binary").alias("text"))
@@ -237,35 +198,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES, dept
     table = scratch.keep(table, "signatures")
     # equal sets: the smallest document stands for all
     full = table.where("n > 0")
+    repeated = bool(full.groupBy("doc_id").count().where("count > 1").take(1))
     same = shared_members(scratch, "same", full.select("k1", "k2", F.col("doc_id").alias("doc")), later_only=True)
-    same = scratch.keep(same.groupBy(F.col("doc").alias("doc_id")).agg(F.min("first").alias("first")), "copies")
-    reps = full.join(same, "doc_id", "left_anti")
-    places = scratch.keep(reps.select(F.explode("keys").alias("k1"), F.lit(0).cast("long").alias("k2"), F.col("doc_id").alias("doc")), "places")
-    active = shared_members(scratch, "active", places).select("k1", "doc")
-    ordered = active.join(reps.select(F.col("doc_id").alias("doc"), "signature"), "doc")
-    ordered = scratch.keep(ordered, "orders")
-    scratch.drop("places", "active")
-    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    # the key stands for a tree's own values; the rest follows from another place in each region
-    turned = F.concat(F.expr(f"substring(signature, int(pmod(k1, {trees * depth})) + 1)"), F.expr(f"substring(signature, 1, int(pmod(k1, {trees * depth})))"))
-    ordered = ordered.withColumn("signature", turned)
-    ordered = ordered.repartitionByRange(parts, "k1", "signature", "doc").sortWithinPartitions("k1", "signature", "doc")
-    ties = ordered.mapInArrow(lambda bs: _regions(bs, region_docs, LOOSE), "a long, b long")
-    groups = connected_components(scratch, "candidates", ties)
-    groups = scratch.keep(groups.select(F.col("node").alias("doc"), F.col("component").alias("grp")), "groups")
-    sized = groups.join(reps.select(F.col("doc_id").alias("doc"), "n"), "doc")
-    # a whole set of groups is small: one row for each, and only groups over the limit are looked up
-    large = sized.groupBy("grp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("items")).where((F.col("docs") > group_docs) | (F.col("items") > group_shingles))
-    large = scratch.keep(large.select("grp"), "large")
-    texts = rows.join(sized.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id").withColumnRenamed("doc_id", "doc")
-    texts = scratch.keep(texts, "texts")
-    small = texts.join(large, "grp", "left_anti") if (any_large := bool(large.take(1))) else texts
-    linked = small.repartition(parts, "grp").sortWithinPartitions("grp", "doc").mapInArrow(lambda bs: _link_groups(bs, percent), "a long, b long")
-    if any_large:
-        linked = linked.unionByName(_link_large(scratch, texts.join(F.broadcast(large), "grp"), percent, block))
-        linked = connected_components(scratch, "links", linked).select(F.col("node").alias("a"), F.col("component").alias("b"))
-    linked = scratch.keep(linked.groupBy(F.col("a").alias("first")).agg(F.min("b").alias("least")), "linked")
-    scratch.drop("texts", "orders", "same")
-    out = table.select("doc_id", "n").join(same, "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
+    same = scratch.keep(same.select("k1", "k2", F.col("doc").alias("doc_id"), "first").distinct(), "copies")
+    # by row: another text under a copy's doc_id keeps its own links
+    reps = full.join(same, ["k1", "k2", "doc_id"], "left_anti")
+    if repeated:
+        reps, rows = reps.dropDuplicates(["k1", "k2", "doc_id"]), rows.dropDuplicates(["doc_id", "text"])
+    reps = scratch.keep(reps.select(F.col("doc_id").alias("doc"), "n", "keys", "signature"), "reps")
+    groups = scratch.keep(candidate_groups(scratch, reps, LOOSE, region_docs), "groups")
+    sized = deal(groups.join(reps.select("doc", "n"), "doc"), "block", block, block_items).select(F.col("doc").alias("doc_id"), "grp", "block", "blocks")
+    if repeated:
+        sized = sized.distinct()
+    texts = rows.where("text is not null").join(sized.hint("shuffle_hash"), "doc_id").withColumnRenamed("doc_id", "doc")
+    sets = scratch.keep(texts.mapInArrow(_sets, "grp long, doc long, block int, blocks int, n long, items binary"), "sets")
+    linked = link_groups(scratch, sets, percent, block, block_items)
+    linked = scratch.keep(linked.groupBy(F.col("doc").alias("first")).agg(F.min("tied").alias("least")), "linked")
+    scratch.drop("reps", "groups", "sets")
+    copies = same.groupBy("doc_id").agg(F.min("first").alias("first"))
+    if repeated:
+        # a document with several texts ties what each of them is tied to
+        edges = linked.select(F.col("first").alias("a"), F.col("least").alias("b")).unionByName(same.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+        linked = scratch.keep(connected_components(scratch, "texts", edges).select(F.col("node").alias("first"), F.col("component").alias("least")), "linked-texts")
+    out = table.select("doc_id", "n").join(copies, "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
     out = salted_left_join(out, linked, "first", "doc_id").withColumn("component", F.coalesce("least", "first"))
     return out.select(id_out(), F.col("n").alias("n_shingles"), id_out("component", "component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))

@@ -122,8 +122,8 @@ def shared_members(scratch: Scratch, name: str, rows: DataFrame, min_docs: int =
     doc, and the payload; it is read twice (range bounds come from a sample), so pass a stored table."""
     payload = list(payload)
     rows = rows.select("k1", "k2", "doc", *payload)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "k1", "k2", "doc").sortWithinPartitions("k1", "k2", "doc")
+    # no number of partitions: Spark joins neighbouring small ones
+    ordered = rows.repartitionByRange("k1", "k2", "doc").sortWithinPartitions("k1", "k2", "doc")
     fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", first long, kind int, n long"
     out = scratch.keep(ordered.mapInArrow(lambda bs: _stream(bs, min_docs, payload, later_only), fields), name)
     whole = out.where(F.col("kind") == SUMMARY).groupBy("k1", "k2").agg(F.min("first").alias("_first"), F.sum("n").alias("_n")).where(F.col("_n") >= min_docs)

@@ -223,7 +223,7 @@ def brute_near(rows, percent=75):
     return {d: (len(sets[d]), comp[d], comp[d] == d) for d in sets}
 
 
-@pytest.mark.parametrize("limits", [{}, {"group_docs": 6, "block": 4}, {"region_docs": 8}])
+@pytest.mark.parametrize("limits", [{}, {"block": 4}, {"region_docs": 8}, {"region_docs": 3, "block": 7}])
 def test_near_duplicates(spark, limits):
     rows = corpus(4, 90)
     base = [f"b{i}" for i in range(200)]
@@ -237,6 +237,34 @@ def test_near_duplicates(spark, limits):
     assert found == brute_near(rows)
 
 
+def test_near_duplicates_with_regions_over_the_bound(spark):
+    """3,000 documents that share most words, over the bound in every tree; near pairs lie in their midst."""
+    r = random.Random(21)
+    base, rows = [f"s{i}" for i in range(60)], []
+    for i in range(1000):
+        w = list(base)
+        for j in range(0, 60, 6):
+            w[(j + i) % 60] = f"u{i}-{j}"
+        rows.append((10 * i, " ".join(w)))
+        for k in range(2):
+            v = list(w)
+            v[r.randrange(60)] = f"c{i}-{k}"
+            rows.append((10 * i + 1 + k, " ".join(v)))
+    pairs = near_duplicates(frame(spark, rows), region_docs=100)
+    found = {x["doc_id"]: x["component_id"] for x in pairs.collect()}
+    expected = {d: c for d, (_, c, _) in brute_near(rows[:300]).items()}
+    assert all(found[d] == c for d, c in expected.items())
+    assert sum(found[10 * i + 1 + k] == found[10 * i] for i in range(1000) for k in range(2)) >= 1990
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = ([f"{x}{i}" for i in range(80)] for x in "abc")
+    near = lambda w: " ".join([*w[:70], "z"])
+    rows = [(1, " ".join(a)), (2, " ".join(a)), (2, " ".join(b)), (3, near(b)), (4, " ".join(c)), (4, None), (4, ""), (5, near(c)), (5, near(c))]
+    found = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in near_duplicates(frame(spark, rows)).collect())
+    assert found == sorted([(1, 76, 1), (2, 76, 1), (2, 76, 1), (3, 67, 1), (4, 76, 4), (4, 0, 4), (4, 0, 4), (5, 67, 4), (5, 67, 4)])
+
+
 def test_near_duplicates_edges(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
     found = near_duplicates(frame(spark, [(1, None), (2, ""), (3, "A b"), (4, "a  B"), (4, "a  B"), (5, "a b c")])).collect()
@@ -492,5 +520,5 @@ def test_large_groups_are_linked_in_blocks(spark):
     """A chain of texts, each near only to its neighbours, in a group over the limit: every block finds its part."""
     base = [f"v{i}" for i in range(240)]
     rows = [(i, " ".join(base[4 * i : 4 * i + 160])) for i in range(20)]
-    found = {x["doc_id"]: x["component_id"] for x in near_duplicates(frame(spark, rows), group_docs=3, block=5).collect()}
+    found = {x["doc_id"]: x["component_id"] for x in near_duplicates(frame(spark, rows), block=5).collect()}
     assert found == {d: c for d, (_, c, _) in brute_near(rows).items()} and set(found.values()) == {0}
