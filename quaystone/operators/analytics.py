@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaystone.functions.exprs import count_if, finite, lenient_double, lenient_timestamp, ratio
+from quaystone.operators.dims import with_surrogate_key
 
 
 def defensive(bronze: DataFrame) -> DataFrame:
@@ -42,8 +43,9 @@ def top_merchants(tx: DataFrame, merchants: DataFrame, limit: int = 10) -> DataF
     """Merchants by revenue; transactions are summed by merchant before the names are joined."""
     sums = tx.where("amount > 0 and merchant_id <> ''").groupBy("merchant_id").agg(F.count(F.lit(1)).alias("txn_count"), F.sum("amount").alias("_sum"))
     named = sums.join(merchants.select("merchant_id", "merchant_name", "category"), "merchant_id")
-    named = named.withColumn("rnk", F.rank().over(Window.orderBy(F.desc("_sum"))))
-    return named.select("rnk", "merchant_id", "merchant_name", "category", "txn_count", F.round("_sum").alias("total_amount_vnd")).orderBy("rnk", "merchant_id").limit(limit)
+    # every merchant ahead of one of the first ``limit`` is among them, so ranks need these rows alone
+    named = named.orderBy(F.desc("_sum"), "merchant_id").limit(limit).withColumn("rnk", F.rank().over(Window.orderBy(F.desc("_sum"))))
+    return named.select("rnk", "merchant_id", "merchant_name", "category", "txn_count", F.round("_sum").alias("total_amount_vnd")).orderBy("rnk", "merchant_id")
 
 
 def amount_outliers(tx: DataFrame, least_z: float = 4, least_count: int = 10, limit: int | None = 15) -> DataFrame:
@@ -67,11 +69,30 @@ def failure_by_category(tx: DataFrame, merchants: DataFrame) -> DataFrame:
 # -- statistics
 
 
+def percentiles(rows: DataFrame, column: str, at: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., q, value: exact percentiles, interpolated between neighbours, for each group and each q of ``at``.
+
+    Values are ranked over range partitions, and the ranks that a percentile lies between are looked up by a join, so no
+    task holds a group.  Nulls count for nothing; a group without values has no rows."""
+    at = tuple(float(q) for q in at)
+    x = rows.select(*by, F.col(column).cast("double").alias("_x")).where("_x is not null")
+    # equal values of one group may be any share of all rows: a row number keeps them apart
+    ranked = with_surrogate_key(x.withColumn("_tie", F.monotonically_increasing_id()), "_rank", [*by, "_x", "_tie"]).select(*by, "_x", "_rank")
+    groups = ranked.groupBy(*by).agg(F.min("_rank").alias("_start"), F.count(F.lit(1)).alias("_n")).where("_n > 0")
+    wanted = groups.withColumn("q", F.explode(F.array(*[F.lit(q) for q in at]))).withColumn("_at", F.col("q") * (F.col("_n") - 1))
+    lo = (F.col("_start") + F.floor("_at")).cast("long")
+    wanted = wanted.select(*by, "q", (F.col("_at") - F.floor("_at")).alias("_part"), F.explode(F.array(lo, (F.col("_start") + F.ceil("_at")).cast("long"))).alias("_rank"))
+    found = wanted.join(ranked.select("_rank", "_x"), "_rank").groupBy(*by, "q").agg(F.max("_part").alias("_part"), F.min_by("_x", "_rank").alias("_lo"), F.max_by("_x", "_rank").alias("_hi"))
+    value = F.when(F.col("_part") == 0, F.col("_lo")).otherwise(F.col("_lo") * (1 - F.col("_part")) + F.col("_hi") * F.col("_part"))
+    return found.select(*by, "q", value.alias("value"))
+
+
 def lag_statistics(rows: DataFrame, lag: str = "ingestion_lag_seconds", late_after: int = 3600) -> DataFrame:
     """p50, p95, p99 (truncated), maximum and share of late rows."""
-    p = F.percentile(lag, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    one = rows.where(F.col(lag).isNotNull()).agg(p.alias("_p"), F.max(lag).alias("max_lag"), F.avg((F.col(lag) > late_after).cast("int")).alias("_late"))
-    return one.select(*[F.col("_p")[i].cast("long").alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "max_lag", F.round("_late", 6).alias("late_share"))
+    names = {0.5: "p50", 0.95: "p95", 0.99: "p99"}
+    p = percentiles(rows, lag, tuple(names)).agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).cast("long").alias(n) for q, n in names.items()])
+    one = rows.where(F.col(lag).isNotNull()).agg(F.max(lag).alias("max_lag"), F.round(F.avg((F.col(lag) > late_after).cast("int")), 6).alias("late_share"))
+    return p.withColumn("_one", F.lit(1)).join(one.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
 
 
 def log_amount_statistics(rows: DataFrame, by: str, amount: str = "amount_vnd") -> DataFrame:
@@ -83,12 +104,11 @@ def log_amount_statistics(rows: DataFrame, by: str, amount: str = "amount_vnd")
 def value_shares(rows: DataFrame, column: str) -> DataFrame:
     """Every value, null too, with its count and share."""
     out = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
+    return out.withColumn("share", F.round(F.col("n") / rows.agg(F.count(F.lit(1))).scalar(), 6))
 
 
 def quantiles(rows: DataFrame, column: str, at: tuple[float, ...] = (0.5, 0.95, 0.99, 0.999)) -> DataFrame:
-    one = rows.agg(F.percentile(column, F.array(*[F.lit(q) for q in at])).alias("_q"))
-    return one.select(F.posexplode("_q").alias("_i", "value")).select(F.element_at(F.array(*[F.lit(q) for q in at]), F.col("_i") + 1).alias("q"), F.round("value", 6).alias("value"))
+    return percentiles(rows, column, at).withColumn("value", F.round("value", 6))
 
 
 def null_shares(rows: DataFrame) -> DataFrame:
@@ -98,7 +118,9 @@ def null_shares(rows: DataFrame) -> DataFrame:
 
 
 def median_by(rows: DataFrame, by: str, column: str) -> DataFrame:
-    return rows.groupBy(by).agg(F.round(F.median(column), 6).alias("median"))
+    """Median of every group; null for a group without values."""
+    found = percentiles(rows, column, (0.5,), (by,)).select(F.col(by).alias("_by"), F.round("value", 6).alias("median"))
+    return rows.select(by).distinct().join(found, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "median")
 
 
 def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
@@ -110,7 +132,6 @@ def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int)
 def calibration(rows: DataFrame, by: str = "type", amount: str = "amount") -> DataFrame:
     """Log-normal parameters, tail and mean of the amounts of each type, as a generator wants them."""
     x = F.log1p(F.col(amount))
-    return rows.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 6).alias("mu"), F.round(F.stddev_samp(x), 6).alias("sigma"),
-        F.round(F.percentile(amount, F.lit(0.999)), 4).alias("p999"), F.round(F.avg(amount), 4).alias("mean"),
-    )
+    sums = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 6).alias("mu"), F.round(F.stddev_samp(x), 6).alias("sigma"), F.round(F.avg(amount), 4).alias("mean"))
+    tail = percentiles(rows, amount, (0.999,), (by,)).select(F.col(by).alias("_by"), F.round("value", 4).alias("p999"))
+    return sums.join(tail, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mu", "sigma", "p999", "mean")

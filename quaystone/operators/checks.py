@@ -28,9 +28,17 @@ class Check:
 
 @dataclass(frozen=True)
 class Gate:
+    """Two figures that must agree to ``within``."""
+
     name: str
-    passed: bool
+    observed: float
+    expected: float = 0
     detail: str = ""
+    within: float = 0
+
+    @property
+    def passed(self) -> bool:
+        return bool(abs(self.observed - self.expected) <= self.within)
 
 
 def verdict(checks: list[Check], strict: bool = False) -> str:
@@ -44,3 +52,7 @@ def verdict(checks: list[Check], strict: bool = False) -> str:
 def as_table(spark: SparkSession, checks: list[Check]) -> DataFrame:
     rows = [asdict(c) | {"passed": c.passed} for c in checks]
     return spark.createDataFrame([tuple(float(r[k]) if k in ("observed", "threshold") else r[k] for k in ("name", "group", "severity", "observed", "threshold", "comparator", "passed", "detail")) for r in rows], SCHEMA)
+
+
+def gates_as_table(spark: SparkSession, gates: list[Gate]) -> DataFrame:
+    return spark.createDataFrame([(g.name, float(g.observed), float(g.expected), g.passed, g.detail) for g in gates], "gate string, observed double, expected double, passed boolean, detail string")

@@ -17,12 +17,12 @@ CALENDAR = (dt.date(2025, 12, 1), dt.date(2026, 7, 31))
 PAYDAYS = (1, 2, 14, 15)
 #: Columns kept of each dimension.
 KEEP = {
-    "account": "account_id customer_id account_type opened_date status currency".split(),
-    "merchant": "merchant_id merchant_name category city country onboarded_date risk_score".split(),
-    "device": "device_id customer_id device_type os app_version first_seen is_trusted".split(),
-    "location": "location_id country city region lat lon timezone".split(),
+    "account": ["account_id", "customer_id", "account_type", "opened_date", "status", "currency"],
+    "merchant": ["merchant_id", "merchant_name", "category", "city", "country", "onboarded_date", "risk_score"],
+    "device": ["device_id", "customer_id", "device_type", "os", "app_version", "first_seen", "is_trusted"],
+    "location": ["location_id", "country", "city", "region", "lat", "lon", "timezone"],
 }
-CUSTOMER = "full_name email phone dob signup_date home_city home_country risk_tier kyc_level".split()
+CUSTOMER = ["full_name", "email", "phone", "dob", "signup_date", "home_city", "home_country", "risk_tier", "kyc_level"]
 
 
 def calendar(spark: SparkSession, start: dt.date = CALENDAR[0], end: dt.date = CALENDAR[1]) -> DataFrame:
@@ -58,12 +58,19 @@ def with_unknown(df: DataFrame, sk: str, key: str, **values) -> DataFrame:
     return row.unionByName(df)
 
 
+def keep_first(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row for each key: the first by ``source_row_number``, the row's place in its file, where rows have it; rows of
+    the same place, or of none, by their other columns."""
+    rest = F.struct(*[c for c in columns if c != key])
+    place = F.col("source_row_number").cast("long") if "source_row_number" in rows.columns else F.lit(0).cast("long")
+    return rows.groupBy(key).agg(F.min_by(rest, F.struct(F.coalesce(place, F.lit(2**63 - 1)).alias("p"), rest.alias("r"))).alias("_r")).select(key, "_r.*").select(*columns)
+
+
 def one_version(silver: DataFrame, kind: str) -> DataFrame:
-    """A dimension without history: one row for each key (of several the smallest by its other columns), numbered,
-    with the Unknown member."""
+    """A dimension without history: one row for each key, numbered, with the Unknown member; of several rows of a key the
+    first, as ``keep_first`` says."""
     key, columns = f"{kind}_id", KEEP[kind]
-    rest = F.struct(*[c for c in columns if c != key])
-    once = silver.select(*columns).groupBy(key).agg(F.min(rest).alias("_r")).select(key, "_r.*").select(*columns)
+    once = keep_first(silver, key, columns)
     return with_unknown(with_surrogate_key(once, f"{kind}_sk", [key]), f"{kind}_sk", key)
 
 
@@ -88,7 +95,7 @@ def customer_versions(customers: DataFrame, events: DataFrame, locations: DataFr
         "customer_id", "event_id", F.col("change_time").alias("valid_to"), F.lag("change_time").over(by).alias("_from"),
         old("risk_tier").alias("_tier"), old("home_city").alias("_home"), old("phone").alias("_phone"), country.alias("_land"),
     )
-    snapshot = customers.select("customer_id", *CUSTOMER).dropDuplicates(["customer_id"])
+    snapshot = keep_first(customers, "customer_id", ["customer_id", *CUSTOMER])
     merged = {"risk_tier": "_tier", "home_city": "_home", "phone": "_phone"}
     past = undone.join(snapshot, "customer_id").select(
         "customer_id",

@@ -28,10 +28,10 @@ RATE_LIMITS = {
 }
 LEAST_VALID, LEAST_COVERAGE = 0.95, 0.99
 #: Columns that a Silver table must have.
-REQUIRED = (
-    "transaction_id customer_id account_id merchant_id device_id card_id transaction_type channel status currency amount_original exchange_rate amount_vnd country city "
-    "location_id event_time event_date ingestion_time ingestion_lag_seconds source_system batch_id file_name source_row_number"
-).split()
+REQUIRED = [
+    "transaction_id", "customer_id", "account_id", "merchant_id", "device_id", "card_id", "transaction_type", "channel", "status", "currency", "amount_original", "exchange_rate", "amount_vnd",
+    "country", "city", "location_id", "event_time", "event_date", "ingestion_time", "ingestion_lag_seconds", "source_system", "batch_id", "file_name", "source_row_number",
+]
 #: Flag that should catch each injected error.
 EXPECTED_FLAG = {
     "null_transaction_id": "_dq_null_transaction_id",

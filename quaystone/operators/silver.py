@@ -37,12 +37,13 @@ BUCKETS = {
     "quarantine_bad_records": ("_dq_null_transaction_id", "_dq_invalid_currency", "_dq_invalid_channel", "_dq_invalid_type", "_dq_invalid_status", "_dq_invalid_location"),
 }
 #: Output columns.
-COLUMNS = (
-    "transaction_id customer_id account_id merchant_id device_id card_id transaction_type channel status currency amount_original exchange_rate amount_vnd country city "
-    "location_id event_time event_date ingestion_time ingestion_lag_seconds source_system batch_id file_name source_row_number"
-).split() + FLAGS + ["_dq_errors", "_dq_bucket", "_is_valid", "_is_duplicate_survivor", "_dq_run_id"]
+COLUMNS = [
+    "transaction_id", "customer_id", "account_id", "merchant_id", "device_id", "card_id", "transaction_type", "channel", "status", "currency", "amount_original", "exchange_rate", "amount_vnd", "country", "city",
+    "location_id", "event_time", "event_date", "ingestion_time", "ingestion_lag_seconds", "source_system", "batch_id", "file_name", "source_row_number",
+    *FLAGS, "_dq_errors", "_dq_bucket", "_is_valid", "_is_duplicate_survivor", "_dq_run_id",
+]
 UPPER, LOWER = ("currency", "country"), ("transaction_type", "channel", "status")
-STRIPPED = "transaction_id customer_id account_id merchant_id device_id card_id city location_id source_system batch_id file_name".split()
+STRIPPED = ["transaction_id", "customer_id", "account_id", "merchant_id", "device_id", "card_id", "city", "location_id", "source_system", "batch_id", "file_name"]
 
 
 def typed(bronze: DataFrame) -> DataFrame:
@@ -59,15 +60,15 @@ def typed(bronze: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:
-    """transaction_id, survivor (smallest source_row_number) of ids on several rows; empty ids form no group.  Two narrow
+    """transaction_id, n, survivor (smallest source_row_number) of ids on several rows; empty ids form no group.  Two narrow
     columns are shuffled, not the rows."""
     group = rows.where("transaction_id <> ''").groupBy("transaction_id")
-    return group.agg(F.count(F.lit(1)).alias("_n"), F.min("source_row_number").alias("survivor")).where("_n > 1").drop("_n")
+    return group.agg(F.count(F.lit(1)).alias("n"), F.min("source_row_number").alias("survivor")).where("n > 1")
 
 
 def with_duplicates(rows: DataFrame) -> DataFrame:
     """_is_duplicate_survivor and _dq_duplicate, over the whole table (duplicates cross months)."""
-    groups = duplicate_groups(rows).withColumnRenamed("transaction_id", "_dup_id")
+    groups = duplicate_groups(rows).select(F.col("transaction_id").alias("_dup_id"), "survivor")
     joined = rows.join(groups, F.col("transaction_id") == F.col("_dup_id"), "left")
     survivor = flag(F.col("source_row_number") == F.col("survivor"))
     return joined.withColumns({"_is_duplicate_survivor": F.col("_dup_id").isNotNull() & survivor, "_dq_duplicate": F.col("_dup_id").isNotNull() & ~survivor}).drop("_dup_id", "survivor")

@@ -10,8 +10,10 @@ def _strip(c: str) -> str:
 
 
 _INPUTS = {name: name for name in ("raw_transactions", "raw_customers", "raw_scd_events", "raw_accounts", "raw_merchants", "raw_devices", "raw_locations", "raw_rates", "raw_labels", "raw_manifest")}
-_FLAGS = """null_transaction_id duplicate invalid_amount invalid_timestamp invalid_currency invalid_channel invalid_type invalid_status invalid_location fk_customer fk_account fk_merchant""".split()
-_CODE = dict(zip(_FLAGS, "null_transaction_id duplicate_transaction_id invalid_amount invalid_timestamp invalid_currency invalid_channel invalid_type invalid_status invalid_location fk_customer_orphan fk_account_orphan fk_merchant_orphan".split(), strict=True))
+_FLAGS = [
+    "null_transaction_id", "duplicate", "invalid_amount", "invalid_timestamp", "invalid_currency", "invalid_channel", "invalid_type", "invalid_status", "invalid_location", "fk_customer", "fk_account", "fk_merchant",
+]
+_CODE = {f: f for f in _FLAGS} | {"duplicate": "duplicate_transaction_id", "fk_customer": "fk_customer_orphan", "fk_account": "fk_account_orphan", "fk_merchant": "fk_merchant_orphan"}
 
 #: name -> (inputs it needs, text)
 _STEPS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -154,6 +156,13 @@ _SILVER = (
     "ingestion_time, ingestion_lag_seconds, source_system, batch_id, file_name, source_row_number, " + ", ".join(f"_dq_{f}" for f in _FLAGS) + ", _dq_errors, _dq_bucket, _is_valid, _is_duplicate_survivor, _dq_run_id"
 )
 _FACT_COLUMNS = "transaction_id, date_key, customer_sk, account_sk, merchant_sk, device_sk, location_sk, channel, transaction_type, status, currency, fraud_pattern, amount_original, exchange_rate, amount_vnd, is_fraud, event_time, ingestion_time, ingestion_lag_seconds"
+#: Limits of the rates.
+_LIMITS = {
+    "null_transaction_id": 0.003, "invalid_amount": 0.01, "invalid_timestamp": 0.0075, "invalid_currency": 0.003, "invalid_channel": 0.003, "invalid_type": 0.001, "invalid_status": 0.001,
+    "invalid_location": 0.003, "duplicate": 0.005, "fk_customer": 0.01, "fk_account": 0.01, "fk_merchant": 0.01,
+}
+_BUCKETS = ["quarantine_duplicate_transactions", "quarantine_invalid_timestamp", "quarantine_invalid_amount", "quarantine_bad_records"]
+_SKS = ["customer_sk", "account_sk", "merchant_sk", "device_sk", "location_sk"]
 _BIT = "CAST(sum(CASE WHEN {0} THEN 1 ELSE 0 END) AS BIGINT)"
 
 
@@ -161,7 +170,101 @@ def _n(condition: str) -> str:
     return _BIT.format(condition)
 
 
+def _gates(*rows: tuple[str, str, str]) -> str:
+    """gate, observed, expected, passed from scalar queries."""
+    union = " UNION ALL ".join(f"SELECT '{name}' AS gate, CAST(coalesce(({a}), 0) AS DOUBLE) AS observed, CAST(coalesce(({b}), 0) AS DOUBLE) AS expected" for name, a, b in rows)
+    return f"SELECT *, abs(observed - expected) <= CASE gate WHEN 'amount_vnd_sum_conserved' THEN 1 ELSE 0 END AS passed FROM ({union})"
+
+
+def _twice(table: str, key: str = "transaction_id", having: str = "count(*) > 1", where: str = "TRUE") -> str:
+    return f"SELECT count(*) FROM (SELECT {key} FROM {table} WHERE {where} GROUP BY 1 HAVING {having})"
+
+
+def _checks_sql() -> str:
+    rate = lambda f: f"(SELECT round({_n(f)} / count(*), 6) FROM silver)"
+    rows = [(f"rate_{f}", "rate", "WARNING", rate(f"_dq_{f}"), limit, "<=") for f, limit in _LIMITS.items()]
+    rows.append(("valid_rate", "rate", "WARNING", rate("_is_valid"), 0.95, ">="))
+    counts = {
+        "rowcount_silver_eq_bronze": "SELECT (SELECT count(*) FROM silver) - (SELECT count(*) FROM raw_transactions)",
+        "schema_conformance": "SELECT 0",
+        "amount_vnd_notnull_when_valid": "SELECT count(*) FROM clean WHERE amount_vnd IS NULL",
+        "exchange_rate_notnull_when_valid": "SELECT count(*) FROM clean WHERE exchange_rate IS NULL",
+        "bucket_consistency": "SELECT count(*) FROM silver WHERE _is_valid <> (_dq_bucket = '')",
+        "event_date_in_window": "SELECT count(*) FROM clean WHERE NOT coalesce(event_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31', FALSE)",
+        "exactly_one_survivor_per_group": _twice("silver", having="count(*) > 1 AND sum(CAST(_is_duplicate_survivor AS INT)) <> 1", where="transaction_id <> ''"),
+        "no_dup_among_valid": _twice("clean", where="transaction_id <> ''"),
+    }
+    rows += [(name, "integrity", "ERROR", f"({q})", 0, "==") for name, q in counts.items()]
+    rows.append(("manifest_coverage", "reconciliation", "ERROR", "(SELECT min(round(CAST(caught AS DOUBLE) / injected, 6)) FROM covered)", 0.99, ">="))
+    union = " UNION ALL ".join(f"""SELECT '{n}' AS name, '{g}' AS "group", '{s}' AS severity, CAST({q} AS DOUBLE) AS observed, CAST({t} AS DOUBLE) AS threshold, '{c}' AS comparator""" for n, g, s, q, t, c in rows)
+    return f"SELECT *, CASE comparator WHEN '<=' THEN observed <= threshold WHEN '>=' THEN observed >= threshold ELSE observed = threshold END AS passed FROM ({union})"
+
+
+_COVERED = """SELECT error_type, count(*) AS injected, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS caught, round(sum(CAST(hit AS INT)) / count(*), 6) AS coverage FROM (
+    SELECT error_type, coalesce(CASE error_type WHEN 'null_transaction_id' THEN _dq_null_transaction_id WHEN 'invalid_amount' THEN _dq_invalid_amount WHEN 'invalid_timestamp' THEN _dq_invalid_timestamp WHEN 'invalid_currency' THEN _dq_invalid_currency
+        WHEN 'orphan_customer' THEN _dq_fk_customer WHEN 'duplicate_transaction_id' THEN _dq_duplicate OR _is_duplicate_survivor END, FALSE) AS hit
+    FROM raw_manifest LEFT JOIN silver ON source_row_number = CAST(row_index AS BIGINT)) GROUP BY 1"""
+_STEPS["covered"] = (("raw_manifest", "silver"), _COVERED)
+_STEPS["mart_daily"] = (("fact",), "SELECT date_key, count(*) AS txn_count, sum(is_fraud) AS fraud_count FROM fact GROUP BY 1")
+_STEPS["mart_customer"] = (
+    ("fact", "dim_customer"),
+    "SELECT c.customer_id, count(*) AS txn_count, sum(is_fraud) AS fraud_count, sum(is_fraud) / count(*) AS fraud_rate, sum(CASE WHEN f.status = 'failed' THEN 1 ELSE 0 END) / count(*) AS failed_rate FROM fact f JOIN dim_customer c ON c.customer_sk = f.customer_sk GROUP BY 1",
+)
+_STEPS["mart_merchant"] = (("fact", "dim_merchant"), "SELECT m.merchant_id, count(*) AS txn_count FROM fact f JOIN dim_merchant m ON m.merchant_sk = f.merchant_sk WHERE f.merchant_sk <> -1 GROUP BY 1")
+
+_COUNT = "SELECT count(*) FROM"
+_QUARANTINE_GATES = (
+    ("conservation_sum_eq_silver", f"SELECT ({_COUNT} clean) + ({_COUNT} silver WHERE NOT _is_valid)", f"{_COUNT} silver"),
+    ("clean_eq_valid", f"{_COUNT} clean", f"{_COUNT} silver WHERE _is_valid"),
+    ("buckets_match_report", f"{_COUNT} (SELECT _dq_bucket FROM silver WHERE NOT _is_valid AND _dq_bucket NOT IN ({', '.join(f"'{b}'" for b in _BUCKETS)}))", "0"),
+    ("no_valid_in_quarantine", f"{_COUNT} clean WHERE NOT _is_valid", "0"),
+    ("reason_non_empty", f"{_COUNT} silver WHERE NOT _is_valid AND coalesce(_dq_errors, '') = ''", "0"),
+    ("bucket_purity", "0", "0"),
+    ("transaction_id_unique_in_clean", _twice("clean", where="transaction_id <> ''"), "0"),
+)
+_GOLD_GATES = (
+    ("fact_rowcount_eq_clean", f"{_COUNT} fact", f"{_COUNT} clean"),
+    ("no_null_sk", f"SELECT {' + '.join(_n(f'{k} IS NULL') for k in [*_SKS, 'date_key'])} FROM fact", "0"),
+    ("all_sk_resolve_to_dim", "SELECT " + " + ".join(f"({_COUNT} fact WHERE {k} NOT IN (SELECT {k} FROM dim_{k.removesuffix('_sk')}))" for k in _SKS), "0"),
+    ("date_key_in_dim_date", f"{_COUNT} fact WHERE date_key NOT IN (SELECT date_key FROM dim_date)", "0"),
+    ("fraud_pattern_consistency", f"{_COUNT} fact WHERE (is_fraud = 1) <> (fraud_pattern IS NOT NULL)", "0"),
+    ("transaction_id_unique", _twice("fact"), "0"),
+    ("one_is_current_per_customer", _twice("dim_customer", "customer_id", "sum(CAST(is_current AS INT)) <> 1"), "0"),
+    ("amount_vnd_sum_conserved", "SELECT round((SELECT sum(amount_vnd) FROM fact) - (SELECT sum(amount_vnd) FROM clean), 2) + 0.0", "0"),
+    ("unknown_usage", f"SELECT {' + '.join(_n(f'{k} = -1') for k in _SKS)} FROM fact", f"SELECT {' + '.join(_n(f'{k} = -1') for k in _SKS)} FROM fact"),
+    ("is_fraud_total", "SELECT sum(is_fraud) FROM fact", f"{_COUNT} clean WHERE transaction_id IN (SELECT transaction_id FROM labels WHERE is_fraud = 1)"),
+)
+_MART_GATES = (
+    ("daily_sum_txn", "SELECT sum(txn_count) FROM mart_daily", f"{_COUNT} fact"),
+    ("daily_rowcount", f"{_COUNT} mart_daily", "SELECT count(DISTINCT date_key) FROM fact"),
+    ("daily_fraud", "SELECT sum(fraud_count) FROM mart_daily", "SELECT sum(is_fraud) FROM fact"),
+    ("customer_sum_txn", "SELECT sum(txn_count) FROM mart_customer", f"{_COUNT} fact"),
+    ("customer_rowcount", f"{_COUNT} mart_customer", "SELECT count(DISTINCT customer_id) FROM fact f JOIN dim_customer c ON c.customer_sk = f.customer_sk"),
+    ("customer_fraud", "SELECT sum(fraud_count) FROM mart_customer", "SELECT sum(is_fraud) FROM fact"),
+    ("customer_rate_bounds", f"{_COUNT} mart_customer WHERE NOT (fraud_rate BETWEEN 0 AND 1 AND failed_rate BETWEEN 0 AND 1)", "0"),
+    ("merchant_rowcount", f"{_COUNT} mart_merchant", "SELECT count(DISTINCT merchant_sk) FROM fact WHERE merchant_sk <> -1"),
+    ("merchant_sum_txn", "SELECT sum(txn_count) FROM mart_merchant", f"{_COUNT} fact WHERE merchant_sk <> -1"),
+    ("fraud_features_rowcount", f"{_COUNT} mart_features", f"{_COUNT} fact WHERE customer_sk <> -1"),
+    ("fraud_features_is_fraud", "SELECT sum(is_fraud) FROM mart_features", "SELECT sum(is_fraud) FROM fact WHERE customer_sk <> -1"),
+    ("fraud_features_zscore_not_null", f"{_COUNT} mart_features WHERE amount_zscore IS NULL", "0"),
+    ("fraud_features_count_monotonic", f"{_COUNT} mart_features WHERE txn_count_1h > txn_count_24h", "0"),
+    ("fraud_features_txn_unique", _twice("mart_features"), "0"),
+)
+
 ORACLES = {
+    "dq_checks": with_steps(_checks_sql(), "silver", "clean", "raw_transactions", "covered"),
+    "quarantine_gates": with_steps(_gates(*_QUARANTINE_GATES), "silver", "clean"),
+    "gold_gates": with_steps(_gates(*_GOLD_GATES), "clean", "fact", "dim_date"),
+    "mart_gates": with_steps(_gates(*_MART_GATES), "fact", "dim_customer", "mart_daily", "mart_customer", "mart_merchant", "mart_features"),
+    "landing_csv": with_steps("SELECT *, '2024-01-01T00:00:00' AS _ingested_at, 'merchants.csv' AS _source_file, 'merchant_gateway' AS _source_system, 'b1' AS _batch_id FROM raw_merchants", "raw_merchants"),
+    "landing_transactions": with_steps("SELECT *, 'txn_month=' || _partition_month AS _source_file FROM raw_transactions", "raw_transactions"),
+    "landing_rates_json": with_steps(
+        """SELECT date, 'VND' AS base_currency, 'VND' AS quote, rate_vnd, rate_usd, rate_eur, 'fx_api' AS source_system, CAST(row_number() OVER (PARTITION BY substr(date, 1, 7) ORDER BY date) - 1 AS INT) AS _row,
+    '2024-01-01T00:00:00' AS _ingested_at, 'rates.json' AS _source_file, 'fx_api' AS _source_system, 'b1' AS _batch_id FROM raw_rates""",
+        "raw_rates",
+    ),
+    "replaced_partitions": "SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN value + 1 ELSE value END AS value FROM events",
+    "sql_script": "SELECT o_orderpriority, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 1000 GROUP BY 1",
     "q0_quality_peek": with_steps(
         f"SELECT count(*) AS total_rows, {_n('NOT coalesce(isfinite(TRY_CAST(amount AS DOUBLE)), FALSE)')} AS bad_amount, {_n('TRY_CAST(transaction_time AS TIMESTAMP) IS NULL')} AS bad_timestamp, {_n(chr(39).join(['transaction_id = ', '', '']))} AS empty_txn_id FROM raw_transactions",
         "raw_transactions",
@@ -208,13 +311,7 @@ WHERE z > 3 AND n >= 10 ORDER BY z DESC, transaction_id LIMIT 15""",
     (SELECT count(*) FROM (SELECT transaction_id FROM clean WHERE transaction_id <> '' GROUP BY 1 HAVING count(*) > 1)) AS no_dup_among_valid FROM silver""",
         "silver", "clean",
     ),
-    "dq_manifest_coverage": with_steps(
-        """SELECT error_type, count(*) AS injected, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS caught, round(sum(CAST(hit AS INT)) / count(*), 6) AS coverage FROM (
-    SELECT error_type, coalesce(CASE error_type WHEN 'null_transaction_id' THEN _dq_null_transaction_id WHEN 'invalid_amount' THEN _dq_invalid_amount WHEN 'invalid_timestamp' THEN _dq_invalid_timestamp WHEN 'invalid_currency' THEN _dq_invalid_currency
-        WHEN 'orphan_customer' THEN _dq_fk_customer WHEN 'duplicate_transaction_id' THEN _dq_duplicate OR _is_duplicate_survivor END, FALSE) AS hit
-    FROM raw_manifest LEFT JOIN silver ON source_row_number = CAST(row_index AS BIGINT)) GROUP BY 1""",
-        "raw_manifest", "silver",
-    ),
+    "dq_manifest_coverage": with_steps("SELECT * FROM covered", "covered"),
     "dim_date": with_steps("SELECT * FROM dim_date", "dim_date"),
     "dim_account": with_steps("SELECT * FROM dim_account", "dim_account"),
     "dim_merchant": with_steps("SELECT * FROM dim_merchant", "dim_merchant"),
@@ -224,7 +321,7 @@ WHERE z > 3 AND n >= 10 ORDER BY z DESC, transaction_id LIMIT 15""",
     "fraud_label_per_id": with_steps("SELECT transaction_id AS _key, is_fraud, fraud_pattern FROM labels", "labels"),
     "fact_transactions": with_steps(f"SELECT {_FACT_COLUMNS} FROM fact", "fact"),
     "asof_orders": """
-WITH v AS (SELECT o_custkey AS k, o_orderdate AS valid_from, max(o_orderkey) AS sk FROM orders WHERE o_orderkey % 40 = 0 GROUP BY 1, 2)
+WITH v AS (SELECT o_custkey AS k, o_orderdate AS valid_from, max(o_orderkey) AS sk FROM orders GROUP BY 1, 2)
 SELECT o.o_orderkey, coalesce(v.sk, -1) AS customer_sk FROM orders o ASOF LEFT JOIN v ON v.k = o.o_custkey AND o.o_orderdate >= v.valid_from""",
     "constraints": with_steps(
         """SELECT 'unique(transaction_id)' AS "constraint", CAST(coalesce((SELECT sum(n) FROM (SELECT count(*) AS n FROM typed GROUP BY transaction_id HAVING count(*) > 1)), 0) AS BIGINT) AS rows

@@ -12,7 +12,7 @@ from quaystone.functions.exprs import ntz
 from quaystone.operators import analytics, checks, dims, fact, marts, quality, quarantine, silver, synth
 from quaystone.plans.star import Star
 from quaystone.plans.views import table, tables
-from quaystone.sources import landing
+from quaystone.sources import landing, sinks
 from quaystone.sources.scratch import Scratch
 
 CALENDAR = (dt.date(2023, 12, 1), dt.date(2024, 7, 31))
@@ -83,10 +83,71 @@ def bronze_lineage(spark, sf_dir):
     return landing.stamp(table(spark, sf_dir, "raw_merchants"), "merchants.csv", "merchant_gateway", "b1", STAMP)
 
 
+def written(spark, sf_dir, name: str) -> str:
+    """A driver table's rows as a raw file of ``name`` in the scratch folder, to be landed."""
+    base, s = Scratch(spark).base, lambda c: F.col(c).cast("string").alias(c)
+    if name == "merchants.csv":
+        rows = table(spark, sf_dir, "raw_merchants").select(*landing.CSV_SOURCES["merchants"][0])
+        rows.write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(f"{base}/{name}")
+    elif name == "transactions":
+        rows = table(spark, sf_dir, "raw_transactions").withColumnRenamed("_partition_month", "txn_month")
+        rows.write.partitionBy("txn_month").options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(f"{base}/{name}")
+    elif name == "rates.json":  # a document for each month
+        r = table(spark, sf_dir, "raw_rates")
+        rates = F.struct(F.col("rate_vnd").alias("VND"), F.col("rate_usd").alias("USD"), F.col("rate_eur").alias("EUR"))
+        record = F.struct("date", F.lit("VND").alias("base_currency"), F.lit("VND").alias("quote"), rates.alias("rates"), F.lit("fx_api").alias("source_system"))
+        months = r.groupBy(F.substring("date", 1, 7)).agg(F.sort_array(F.collect_list(record)).alias("records"))
+        months.select(F.to_json(F.struct(F.lit("fx").alias("api_name"), F.lit(STAMP).alias("generated_at"), "records"))).write.text(f"{base}/{name}")
+    else:  # a document for each user and day
+        e = driver(spark, sf_dir, "events").withColumn("metadata", F.from_json("props", "map<string, string>"))
+        record = F.struct(s("event_id"), F.col("user_id").cast("string").alias("customer_id"), "event_type", F.col("ts").cast("string").alias("event_time"), "metadata")
+        users = e.groupBy("user_id", F.to_date("ts")).agg(F.collect_list(record).alias("records"))
+        users.select(F.to_json(F.struct("records"))).write.text(f"{base}/{name}")
+    return f"{base}/{name}"
+
+
 @query
 def json_flatten(spark, sf_dir):
-    parsed = driver(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string, string>").alias("m"))
-    return parsed.select("event_id", F.col("m")["k"].cast("long").alias("k"), F.to_json("m").alias("metadata"))
+    rows = landing.land_customer_events(spark, written(spark, sf_dir, "events.json"), "b1", STAMP, one_document=False)
+    return rows.select(F.col("event_id").cast("long").alias("event_id"), F.get_json_object("metadata", "$.k").cast("long").alias("k"), "metadata")
+
+
+@query
+def landing_csv(spark, sf_dir):
+    return landing.land_csv(spark, written(spark, sf_dir, "merchants.csv"), "merchants", "b1", STAMP)
+
+
+@query
+def landing_transactions(spark, sf_dir):
+    rows = landing.land_transactions(spark, f"{written(spark, sf_dir, 'transactions')}/txn_month=*", "b1", STAMP)
+    return rows.select(*landing.TRANSACTION_COLUMNS, "_partition_month", "_source_file")
+
+
+@query
+def landing_rates_json(spark, sf_dir):
+    return landing.land_exchange_rates(spark, written(spark, sf_dir, "rates.json"), "b1", STAMP, one_document=False)
+
+
+@query
+def replaced_partitions(spark, sf_dir):
+    path = f"{Scratch(spark).base}/events"
+    rows = driver(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    sinks.replace_table(rows.limit(0), path, ("event_type",))  # what the folder held before
+    sinks.replace_table(rows, path, ("event_type",))
+    sinks.replace_partitions(rows.where("event_type = 'click'").withColumn("value", F.col("value") + 1), path, "event_type")
+    return spark.read.schema("event_id long, value double, event_type string").parquet(path)
+
+
+@query
+def sql_script(spark, sf_dir):
+    script = f"""
+-- orders over 1000; the view is this script's own
+CREATE OR REPLACE TEMPORARY VIEW quaystone_orders AS SELECT o_orderpriority, o_totalprice FROM parquet.`{sf_dir}/orders.parquet` WHERE o_totalprice > 1000;
+-- name: by_priority
+SELECT o_orderpriority, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM quaystone_orders GROUP BY 1;
+DROP VIEW quaystone_orders;
+"""
+    return sinks.run_script(spark, script)["by_priority"]
 
 
 # -- typed and flagged layer
@@ -99,9 +160,7 @@ def silver_transactions(spark, sf_dir):
 
 @query
 def silver_duplicate_survivors(spark, sf_dir):
-    rows = silver.typed(table(spark, sf_dir, "raw_transactions"))
-    # the group's size beside its survivor, from the same narrow aggregate
-    return rows.where("transaction_id <> ''").groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"), F.min("source_row_number").alias("survivor")).where("n > 1")
+    return silver.duplicate_groups(silver.typed(table(spark, sf_dir, "raw_transactions")))
 
 
 @query
@@ -226,7 +285,7 @@ def fact_transactions(spark, sf_dir):
 def asof_orders(spark, sf_dir):
     orders = driver(spark, sf_dir, "orders").withColumn("customer_id", F.col("o_custkey"))
     at = F.col("valid_from")
-    changes = orders.where("o_orderkey % 40 = 0").groupBy("customer_id", F.col("o_orderdate").alias("valid_from")).agg(F.max("o_orderkey").alias("customer_sk"))
+    changes = orders.groupBy("customer_id", F.col("o_orderdate").alias("valid_from")).agg(F.max("o_orderkey").alias("customer_sk"))
     after = F.lead(at).over(dims.Window.partitionBy("customer_id").orderBy("valid_from"))
     versions = changes.withColumn("valid_to", F.coalesce(after, ntz(dims.FOREVER)))
     return fact.with_customer_version(orders, versions, "o_orderdate").select("o_orderkey", "customer_sk")
@@ -326,7 +385,7 @@ def calibration(spark, sf_dir):
     return analytics.calibration(driver(spark, sf_dir, "events"), "event_type", "value").withColumnRenamed("event_type", "type")
 
 
-# -- checks and gates: rows only
+# -- checks and gates
 
 
 def stored(spark: SparkSession, sf_dir: str) -> Star:
@@ -337,35 +396,35 @@ def stored(spark: SparkSession, sf_dir: str) -> Star:
     return s
 
 
-def gate_table(spark: SparkSession, gates: list) -> DataFrame:
-    return spark.createDataFrame([(g.name, g.passed, g.detail) for g in gates], "gate string, passed boolean, detail string")
+def gates(spark: SparkSession, found: list) -> DataFrame:
+    return checks.gates_as_table(spark, found).select("gate", F.round("observed", 2).alias("observed"), "expected", "passed")
 
 
 @query
 def dq_checks(spark, sf_dir):
     s = stored(spark, sf_dir)
     found = quality.run_checks(s.silver, table(spark, sf_dir, "raw_transactions").count(), dt.date(2024, 1, 1), dt.date(2024, 1, 31), table(spark, sf_dir, "raw_manifest"))
-    return checks.as_table(spark, found)
+    return checks.as_table(spark, found).drop("detail")
 
 
 @query
 def quarantine_gates(spark, sf_dir):
     rows = stored(spark, sf_dir).silver
-    return gate_table(spark, quarantine.verify(rows, quarantine.clean(rows), quarantine.quarantine(rows, "run", STAMP)))
+    return gates(spark, quarantine.verify(rows, quarantine.clean(rows), quarantine.quarantine(rows, "run", STAMP)))
 
 
 @query
 def gold_gates(spark, sf_dir):
     s = stored(spark, sf_dir)
     others = {k: getattr(s, f"dim_{k}") for k in ("account", "merchant", "device", "location")}
-    return gate_table(spark, fact.verify(s.fact, s.clean, others, s.dim_date, s.dim_customer, s.raw["fraud_labels"]))
+    return gates(spark, fact.verify(s.fact, s.clean, others, s.dim_date, s.dim_customer, s.raw["fraud_labels"]))
 
 
 @query
 def mart_gates(spark, sf_dir):
     s = stored(spark, sf_dir)
     built = [marts.mart_daily(s.fact, s.dim_date), marts.mart_customer_risk(s.fact, s.dim_customer), marts.mart_merchant_risk(s.fact, s.dim_merchant), marts.mart_fraud_features(s.fact, s.dim_customer, s.dim_location)]
-    return gate_table(spark, marts.verify(s.fact, *built, s.dim_customer))
+    return gates(spark, marts.verify(s.fact, *built, s.dim_customer))
 
 
 # -- generator: rows only

@@ -12,18 +12,18 @@ from pyspark.sql import types as T
 from quaystone.functions.exprs import strip
 
 #: Raw columns of each source, in file order.
-TRANSACTION_COLUMNS = (
-    "transaction_id customer_id account_id merchant_id device_id card_id amount currency transaction_type channel "
-    "transaction_time country city status location_id ingestion_time source_system batch_id file_name source_row_number"
-).split()
+TRANSACTION_COLUMNS = [
+    "transaction_id", "customer_id", "account_id", "merchant_id", "device_id", "card_id", "amount", "currency", "transaction_type", "channel",
+    "transaction_time", "country", "city", "status", "location_id", "ingestion_time", "source_system", "batch_id", "file_name", "source_row_number",
+]
 CSV_SOURCES = {
-    "customers": ("customer_id full_name email phone dob signup_date home_city home_country risk_tier kyc_level".split(), "core_banking"),
-    "customer_scd_events": ("event_id customer_id change_time attribute_name old_value new_value source_system".split(), "core_banking"),
-    "accounts": ("account_id customer_id account_type opened_date status currency current_balance".split(), "core_banking"),
-    "merchants": ("merchant_id merchant_name category city country onboarded_date risk_score base_failure_rate".split(), "merchant_gateway"),
-    "devices": ("device_id customer_id device_type os app_version first_seen is_trusted".split(), "mobile_wallet"),
-    "cards": ("card_id account_id customer_id network card_type last4 issue_date expiry_year_month status".split(), "card_processor"),
-    "locations": ("location_id country city region lat lon timezone".split(), "reference_data"),
+    "customers": (["customer_id", "full_name", "email", "phone", "dob", "signup_date", "home_city", "home_country", "risk_tier", "kyc_level"], "core_banking"),
+    "customer_scd_events": (["event_id", "customer_id", "change_time", "attribute_name", "old_value", "new_value", "source_system"], "core_banking"),
+    "accounts": (["account_id", "customer_id", "account_type", "opened_date", "status", "currency", "current_balance"], "core_banking"),
+    "merchants": (["merchant_id", "merchant_name", "category", "city", "country", "onboarded_date", "risk_score", "base_failure_rate"], "merchant_gateway"),
+    "devices": (["device_id", "customer_id", "device_type", "os", "app_version", "first_seen", "is_trusted"], "mobile_wallet"),
+    "cards": (["card_id", "account_id", "customer_id", "network", "card_type", "last4", "issue_date", "expiry_year_month", "status"], "card_processor"),
+    "locations": (["location_id", "country", "city", "region", "lat", "lon", "timezone"], "reference_data"),
 }
 
 

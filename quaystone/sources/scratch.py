@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named, as in tests."""
+    """The shared folder the cluster names; a folder of our own only where none is named and all work is done in this
+    process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(scratch_dir, "own", None)
         if folder is None:
             path = tempfile.mkdtemp(prefix="quaystone-")
@@ -22,18 +25,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 class Scratch:
     """Intermediate tables in the shared folder.
 
     ``keep`` writes a DataFrame as parquet and reads it back: lineage ends there, so a lost executor costs at most
     the stage at work.  ``drop`` removes tables that nothing will read again.  Tables a lazy result still reads stay
-    until the session's owner empties the folder.
+    until ``close``, which the one who uses the result up may call (or ``with``), or the folder's owner empties it.
     """
 
     def __init__(self, spark: SparkSession):
@@ -47,6 +44,18 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            _remove(self.spark, f"{self.base}/{name}")
-        # shuffle files of plans that nobody holds any more go when the driver collects its garbage
-        self.spark.sparkContext._jvm.System.gc()
+            self.remove(f"{self.base}/{name}")
+
+    def remove(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def close(self) -> None:
+        """Removes all tables of this object."""
+        self.remove(self.base)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
