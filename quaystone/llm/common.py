@@ -24,22 +24,29 @@ CACHE_WORDS = 100_000
 MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 
-#: Rows that go to a Python worker at a time, at most: whole texts may be long.
+#: Rows that go to a Python worker at a time while an intermediate table is made, at most: whole texts may be long.
 ARROW_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch and leaves it so: lazy results run after their operator has returned."""
-    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= MOST_ROWS:
-        spark.conf.set(ARROW_ROWS, str(MOST_ROWS))
+class Scratch(scratch.Scratch):
+    """Intermediate tables of operators on texts.  A result that is not stored goes by the session's own settings."""
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        before = self.spark.conf.get(ARROW_ROWS)
+        if 0 < int(before) <= MOST_ROWS:
+            return super().keep(df, name)
+        self.spark.conf.set(ARROW_ROWS, str(MOST_ROWS))
+        try:
+            return super().keep(df, name)
+        finally:
+            self.spark.conf.set(ARROW_ROWS, before)
 
-class Scratch(scratch.Scratch):
-    """Intermediate tables of operators on texts."""
 
-    def __init__(self, spark: SparkSession):
-        super().__init__(spark)
-        small_batches(spark)
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, or it with underscores before it, whichever no column has."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +63,13 @@ def id_out(name: str = "doc_id", alias: str | None = None):
     return F.when(F.col(name) != F.lit(NULL_ID), F.col(name)).alias(alias or name)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system Spark knows; none if it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 class WordHashes(dict):
     """64-bit hashes of words, computed once per worker and word."""
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import NULL_ID, WordHashes, chunks, id_out, shingles, small_batches, with_ids
+from quaystone.llm.common import NULL_ID, WordHashes, chunks, free_name, id_out, shingles, with_ids
 from quaystone.llm.minhash_forest import _multipliers
 
 HASHES = 32
@@ -84,16 +84,17 @@ def _blocks(benchmark: DataFrame, block_chars: int):
         yield block
 
 
-def _search(batches, index: ItemIndex, hits_only: bool):
+def _search(batches, index: ItemIndex, hits_only: bool, texts: str = "_bytes"):
     words = WordHashes()
     for batch in chunks(batches):
         hits, clean = [], []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("_bytes").to_pylist(), strict=True):
+        ids = batch.column("doc_id").to_pylist() if hits_only else [None] * batch.num_rows
+        for doc, text in zip(ids, batch.column(texts).to_pylist(), strict=True):
             found = index.search(own) if len(own := shingles((text or b"").lower().split(), words)) else []
             clean.append(not found)
             hits += [(doc, *x) for x in sorted(found)]
         if not hits_only:
-            yield batch.filter(pa.array(clean, pa.bool_())).drop_columns(["_bytes"])
+            yield batch.filter(pa.array(clean, pa.bool_())).drop_columns([texts])
         elif hits:
             columns = zip(("doc_id", "item_id", "common", "item_shingles"), zip(*hits, strict=True), strict=True)
             yield pa.RecordBatch.from_pydict({name: pa.array(values, pa.int64()) for name, values in columns})
@@ -107,7 +108,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, hashe
     is one shingle.  Null or empty texts and items match nothing.  Repeated rows, of documents or items, give repeated
     rows.  An empty benchmark or an empty table of documents gives an empty result.
     """
-    small_batches(docs.sparkSession)
     rows = with_ids(docs, F.col("text").cast("binary").alias("_bytes"))
     out = None
     for block in _blocks(benchmark, block_chars):
@@ -120,12 +120,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, hashe
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, percent: int = 75, hashes: int = HASHES, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows of ``docs``, all columns, without those that ``contaminated`` marks."""
-    if "_bytes" in docs.columns or docs.columns.count("doc_id") != 1:
-        raise ValueError("documents need one doc_id, and no column _bytes")
-    small_batches(docs.sparkSession)
-    fields = docs.schema
+    """Rows of ``docs``, all columns, whatever their names, without those that ``contaminated`` marks."""
+    fields, name = docs.schema, free_name(docs.columns, "_bytes")
     for block in _blocks(benchmark, block_chars):
         index = ItemIndex(block, hashes, percent)
-        docs = docs.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(lambda bs, index=index: _search(bs, index, False), fields)
+        docs = docs.withColumn(name, F.col("text").cast("binary")).mapInArrow(lambda bs, index=index: _search(bs, index, False, name), fields)
     return docs

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import Scratch, chunks
+from quaystone.llm.common import Scratch, chunks, free_name
 from quaystone.llm.labelled import Isotonic, held_out, own_fold, training_sample
 
 #: Labelled rows to fit on, at most about so many.
@@ -136,13 +136,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds:
     return QualityModel(kernel, solve(zz.sum(0), zy.sum(0)), Isotonic(raw, measured["y"].to_numpy()))
 
 
-def _score(batches, model: QualityModel, keep_from: float | None):
+def _score(batches, model: QualityModel, keep_from: float | None, texts: str = "_bytes"):
     for batch in chunks(batches):
-        scores = model.scores(batch.column("_bytes").to_pylist())
+        scores = model.scores(batch.column(texts).to_pylist())
         if keep_from is None:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(scores)})
         else:
-            yield batch.filter(pa.array(scores >= keep_from)).drop_columns(["_bytes"])
+            yield batch.filter(pa.array(scores >= keep_from)).drop_columns([texts])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, folds: int = FOLDS, held: int = HELD, cut: float = CUT) -> DataFrame:
@@ -153,5 +153,6 @@ def score_quality(docs: DataFrame, model: QualityModel, folds: int = FOLDS, held
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, cut: float = CUT) -> DataFrame:
-    """Rows of ``docs``, all columns, whose score is ``cut`` or more."""
-    return docs.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(lambda bs: _score(bs, model, cut), docs.schema)
+    """Rows of ``docs``, all columns, whatever their names, whose score is ``cut`` or more."""
+    name = free_name(docs.columns, "_bytes")
+    return docs.withColumn(name, F.col("text").cast("binary")).mapInArrow(lambda bs: _score(bs, model, cut, name), docs.schema)
