@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from quaystone.llm.common import Scratch
 
 MEMBER, UNDECIDED, SUMMARY = 0, 1, 2
+#: Rows of a run that a task holds while it has too few documents; a longer run is decided by its summary.
+HELD_ROWS = 50_000
 
 
 def _stream(batches, min_docs: int, payload: list[str], later_only: bool):
@@ -67,6 +69,10 @@ def _stream(batches, min_docs: int, payload: list[str], later_only: bool):
                 yield from _later(table(piece, None, first_doc, MEMBER), later_only)
             else:
                 held.append(piece)
+                if sum(b.num_rows for b in held) > HELD_ROWS:  # one document may repeat a key any number of times
+                    for b in held:
+                        yield table(b, None, first_doc, UNDECIDED)
+                    is_first, held = True, []
         if begin == len(starts):
             continue
         if open_key is not None:  # the open run is closed
@@ -116,15 +122,16 @@ def _later(batch, later_only):
         yield batch
 
 
-def shared_members(scratch: Scratch, name: str, rows: DataFrame, min_docs: int = 2, payload: tuple[str, ...] = (), later_only: bool = False) -> DataFrame:
+def shared_members(scratch: Scratch, name: str, rows: DataFrame, min_docs: int = 2, payload: tuple[str, ...] = (), later_only: bool = False, then: tuple[str, ...] = ()) -> DataFrame:
     """Rows of keys (k1, k2) that occur in at least ``min_docs`` different documents, with ``first``, the smallest
     document of the key.  ``later_only`` leaves out the rows of that document.  ``rows`` has non-null longs k1, k2 and
-    doc, and the payload; it is read twice (range bounds come from a sample), so pass a stored table."""
+    doc, and the payload; rows of a document come in the order of the columns ``then``.  It is read twice (range bounds
+    come from a sample), so pass a stored table."""
     payload = list(payload)
-    rows = rows.select("k1", "k2", "doc", *payload)
+    rows = rows.select("k1", "k2", "doc", *payload, *then)
     # no number of partitions: Spark joins neighbouring small ones
-    ordered = rows.repartitionByRange("k1", "k2", "doc").sortWithinPartitions("k1", "k2", "doc")
-    fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", first long, kind int, n long"
+    ordered = rows.repartitionByRange("k1", "k2", "doc").sortWithinPartitions("k1", "k2", "doc", *then)
+    fields = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c not in then) + ", first long, kind int, n long"
     out = scratch.keep(ordered.mapInArrow(lambda bs: _stream(bs, min_docs, payload, later_only), fields), name)
     whole = out.where(F.col("kind") == SUMMARY).groupBy("k1", "k2").agg(F.min("first").alias("_first"), F.sum("n").alias("_n")).where(F.col("_n") >= min_docs)
     # at most two summaries for each task of the shuffle: bounded by the number of partitions, not by rows
