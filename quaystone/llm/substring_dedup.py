@@ -4,25 +4,31 @@ A window is ``window`` consecutive words.  Of the ``window - gram + 1`` hashed w
 its fingerprint (winnowing), so equal windows have equal fingerprints and neighbouring windows mostly share theirs:
 the index holds about one entry for twenty words, and loses no repeat.
 
-``FingerprintLog`` keeps sorted immutable runs of (fingerprint, document) of past batches.  A new batch is merged with
-all runs in fingerprint order; documents that share a fingerprint are candidates.  Candidates are verified: every one
-of their windows under a shared fingerprint is hashed in 128 bits, and the windows of equal hash are found in a second
-sorted merge.  ``compact`` merges the runs into one.
+``FingerprintLog`` keeps sorted immutable runs of (fingerprint, document) of past batches, bucketed by fingerprint with
+bounds that never change, so a new batch is dealt to the buckets and merge-joined with each run where the run lies.  Runs
+are compacted, ``COMPACT`` at a time, into one; at a path they are there for a later session.
+
+Documents that share a fingerprint are candidates.  Candidates are verified: every one of their windows under a shared
+fingerprint is hashed in 128 bits (of 64-bit word hashes), and the windows of equal hash are found in a second sorted
+merge.  A document then looks its windows up in its own list by the first 64 of these bits.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import Scratch, WordHashes, chunks, grams, id_out, signed, with_ids
+from quaystone.llm.common import NULL_ID, Scratch, WordHashes, children, chunks, grams, id_out, signed, with_ids
 from quaystone.llm.runs import shared_members
 
 GRAM = 8
+#: Buckets of a run, the shares that one fingerprint's documents are dealt over, and runs that are compacted into one.
+BUCKETS, SALTS, COMPACT = 64, 8, 4
 SECOND = np.uint64(0xA24BAED4963EE407)
 
 
@@ -42,19 +48,20 @@ def fingerprints(h: np.ndarray, window: int) -> np.ndarray:
     return _sliding_min(grams(h, gram), window - gram + 1) if len(h) >= window else np.zeros(0, np.uint64)
 
 
-def _survey(batches, window: int):
+def _survey(batches, window: int, with_text: bool):
     hashes = WordHashes()
     for batch in chunks(batches):
         rows = []
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for doc, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
             words = (text or b"").split()
             prints = np.unique(fingerprints(hashes.of(words), window)) if len(words) >= window else np.zeros(0, np.uint64)
-            digest = hashlib.sha256(b" ".join(words))
+            plain = b" ".join(words)
+            digest = hashlib.sha256(plain)
             k = np.frombuffer(digest.digest()[:16], np.int64)
-            rows.append((doc, len(words), digest.hexdigest(), int(k[0]), int(k[1]), signed(prints)))
-        doc, n, sha, k1, k2, prints = zip(*rows, strict=True)
+            rows.append((doc, h, len(words), digest.hexdigest(), int(k[0]), int(k[1]), signed(prints), plain if with_text else None))
+        doc, h, n, sha, k1, k2, prints, plain = zip(*rows, strict=True)
         yield pa.RecordBatch.from_pydict(
-            {"doc_id": pa.array(doc, pa.int64()), "n_words": pa.array(n, pa.int64()), "sha": pa.array(sha, pa.string()), "k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "prints": pa.array(prints, pa.list_(pa.int64()))}
+            {"doc_id": pa.array(doc, pa.int64()), "h": pa.array(h, pa.int64()), "n_words": pa.array(n, pa.int64()), "sha": pa.array(sha, pa.string()), "k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "prints": pa.array(prints, pa.list_(pa.int64())), "plain": pa.array(plain, pa.binary())}
         )
 
 
@@ -79,7 +86,7 @@ def _cover(batches, window: int, with_text: bool):
     hashes = WordHashes()
     for batch in chunks(batches, 256):
         rows = []
-        for doc, text, seen in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("seen"), strict=True):
+        for doc, key, text, seen in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), batch.column("seen"), strict=True):
             words = text.split()
             at = np.isin(grams(hashes.of(words), window), seen.values.to_numpy().view(np.uint64))
             edges = np.zeros(len(words) + 1, np.int32)
@@ -88,64 +95,128 @@ def _cover(batches, window: int, with_text: bool):
             np.add.at(edges, starts + window, -1)
             gone = np.cumsum(edges[:-1]) > 0
             kept = b" ".join([w for w, g in zip(words, gone, strict=True) if not g])
-            rows.append((doc, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept))
-        doc, n, sha, kept = zip(*rows, strict=True) if rows else ([],) * 4
-        cols = {"doc_id": pa.array(doc, pa.int64()), "n_removed": pa.array(n, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+            rows.append((doc, key, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept))
+        doc, key, n, sha, kept = zip(*rows, strict=True) if rows else ([],) * 5
+        cols = {"doc_id": pa.array(doc, pa.int64()), "h": pa.array(key, pa.int64()), "n_removed": pa.array(n, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
         yield pa.RecordBatch.from_pydict(cols | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
 
 
 class FingerprintLog:
-    """Sorted immutable runs of (k1 = fingerprint, k2 = 0, doc), in a folder shared by the cluster."""
+    """Sorted immutable runs of (k1 = fingerprint, salt, doc) as bucketed tables in a folder shared by the cluster.
 
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.runs, self.made = scratch, [], 0
+    With a ``path`` the runs are there, and a later session that names the same path goes on with them; without one they
+    are scratch of this object.  One session at a time may write a path.
+    """
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        self.made += 1
-        return self.scratch.keep(rows.sortWithinPartitions("k1", "doc"), f"run{self.made}")
+    def __init__(self, scratch: Scratch, path: str | None = None):
+        self.scratch, self.spark = scratch, scratch.spark
+        self.path = path or f"{scratch.base}/log"
+        self.runs = {name: self._open(name) for name in children(self.spark, self.path) if name.startswith("run-")}
+
+    def _open(self, name: str) -> str:
+        """The run as a table of this session's catalog."""
+        table = f"quaystone_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {table} (k1 BIGINT, salt INT, doc BIGINT) USING parquet CLUSTERED BY (k1, salt) SORTED BY (k1, salt, doc) INTO {BUCKETS} BUCKETS LOCATION '{self.path}/{name}'")
+        return table
+
+    def _append(self, rows: DataFrame) -> None:
+        name = f"run-{max((int(n.split('-')[1]) for n in self.runs), default=0) + 1:08d}"
+        table = self._open(name)
+        rows.repartition(BUCKETS, "k1", "salt").write.insertInto(table)
+        self.runs[name] = table
+
+    def _forget(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE {self.runs.pop(name)}")
+            self.scratch.remove(f"{self.path}/{name}")
+
+    def table(self) -> DataFrame:
+        """All runs."""
+        out = self.spark.createDataFrame([], "k1 long, salt int, doc long")
+        for t in self.runs.values():
+            out = out.unionByName(self.spark.table(t))
+        return out
+
+    def upto(self) -> int | None:
+        """The largest doc_id that entered the log, with or without a window of its own."""
+        if "upto" not in children(self.spark, self.path):
+            return None
+        return self.spark.read.schema("doc long").parquet(f"{self.path}/upto").agg(F.max("doc")).first()[0]
+
+    def mark(self, doc: int) -> None:
+        """The batch up to this doc_id is complete."""
+        self.spark.createDataFrame([(doc,)], "doc long").coalesce(1).write.mode("append").parquet(f"{self.path}/upto")
 
     def merge(self, batch: DataFrame, label: str) -> DataFrame:
-        """Adds a batch as a new run; rows (doc, k1) of fingerprints that it shares within itself or with past runs,
-        past documents included."""
-        run = self._write(batch)
-        every = run
-        for old in self.runs:
-            every = every.unionByName(old)
-        self.runs.append(run)
-        return shared_members(self.scratch, f"merged-{label}", every).select("doc", "k1")
-
-    def compact(self) -> DataFrame:
-        """One run in place of all."""
-        every = self.runs[0]
-        for old in self.runs[1:]:
-            every = every.unionByName(old)
-        old = [f"run{i}" for i in range(self.made - len(self.runs) + 1, self.made + 1)]
-        run = self._write(every.repartitionByRange("k1", "doc"))
-        self.scratch.drop(*old)
-        self.runs = [run]
-        return run
-
-
-def substring_dedup(docs: DataFrame, window: int = 50, batches: int = 2, with_text: bool = False) -> DataFrame:
+        """Adds a batch (k1, doc), a stored table, as a new run; rows (doc, k1) of fingerprints that it shares within
+        itself or with past runs, past documents included."""
+        own = batch.select("k1", F.lit(0).cast("long").alias("k2"), "doc")
+        shared = shared_members(self.scratch, f"merged-{label}", own).select("doc", "k1")
+        if self.runs:
+            # the batch's distinct fingerprints go to the buckets of the runs; a run is neither moved nor sorted
+            keys = batch.select("k1").distinct().select("k1", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            keys = self.scratch.keep(keys, f"keys-{label}")
+            past = None
+            for t in self.runs.values():
+                found = self.holders(t, keys)
+                past = found if past is None else past.unionByName(found)
+            past = self.scratch.keep(past, f"past-{label}")
+            known = past.select("k1").distinct()
+            known = known.select("k1", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            again = self.salted(batch).join(known.hint("merge"), ["k1", "salt"], "left_semi").select("doc", "k1")
+            shared = shared.unionByName(past).unionByName(again)
+        self._append(self.salted(batch))
+        if len(self.runs) >= COMPACT:
+            self.compact()
+        return shared
+
+    def holders(self, table: str, keys: DataFrame) -> DataFrame:
+        """Rows (doc, k1) of a run whose (k1, salt) is among ``keys``: a merge join in the run's buckets."""
+        return self.spark.table(table).join(keys.hint("merge"), ["k1", "salt"], "left_semi").select("doc", "k1")
+
+    @staticmethod
+    def salted(batch: DataFrame) -> DataFrame:
+        return batch.select("k1", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), "doc")
+
+    def compact(self) -> None:
+        """One run in place of all; the next batch is merged with it."""
+        old = list(self.runs)
+        self._append(self.table())
+        self._forget(old)
+
+
+    def close(self) -> None:
+        """Removes the runs."""
+        self._forget(list(self.runs))
+
+
+def substring_dedup(docs: DataFrame, window: int = 50, batches: int = 2, with_text: bool = False, log: FingerprintLog | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept text) for every row of ``docs``.
 
     Words are runs of other characters than \\x20 and \\x09-\\x0D, unchanged; a null text has none.  Each word covered by
     a window that also starts in a document with a smaller doc_id is removed; windows within one document alone are no
     repeats.  A null doc_id is smaller than any other.  Repeated rows of one doc_id are one document; rows of one
-    doc_id with different texts are judged together.  The table enters the index in ``batches`` parts by doc_id.
+    doc_id with different texts are each judged by their own windows.  The table enters the index in ``batches`` parts by doc_id.
+
+    With a ``log`` that holds earlier documents, only rows with a doc_id beyond them are fingerprinted, judged and
+    returned; ``docs`` still has the earlier rows, whose texts are read where a fingerprint is shared.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = with_ids(docs, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    survey = rows.mapInArrow(lambda bs: _survey(bs, window), "doc_id long, n_words long, sha string, k1 long, k2 long, prints array<long>")
+    own, log = log is None, log or FingerprintLog(scratch)
+    past = log.upto()
+    rows = with_ids(docs, F.xxhash64("text").alias("h"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    new = rows if past is None else rows.where(F.col("doc_id") > past)
+    survey = new.mapInArrow(lambda bs: _survey(bs, window, with_text), "doc_id long, h long, n_words long, sha string, k1 long, k2 long, prints array<long>, plain binary")
     survey = scratch.keep(survey, "survey")
     # copies of a whole text: the first stands for all; every window of a later one starts in the first
-    whole = survey.where(F.col("n_words") >= window).select("k1", "k2", F.col("doc_id").alias("doc"))
-    copies = scratch.keep(shared_members(scratch, "copies", whole, later_only=True).select(F.col("doc").alias("doc_id")).distinct(), "later")
-    firsts = survey.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), "prints")
-    prints = firsts.select(F.explode("prints").alias("k1"), F.lit(0).cast("long").alias("k2"), "doc")
-    span = survey.agg(F.min(F.when(F.col("doc_id") > -(2**63), F.col("doc_id"))), F.max("doc_id")).first()
+    whole = survey.where(F.col("n_words") >= window).select("k1", "k2", F.col("doc_id").alias("doc"), "h")
+    copies = shared_members(scratch, "copies", whole, payload=("h",), later_only=True).select(F.col("doc").alias("doc_id"), "h").distinct()
+    copies = scratch.keep(copies, "later")
+    firsts = survey.join(copies, ["doc_id", "h"], "left_anti").select(F.col("doc_id").alias("doc"), "prints")
+    prints = scratch.keep(firsts.select(F.explode("prints").alias("k1"), "doc").distinct(), "prints")
+    span = survey.agg(F.min(F.when(F.col("doc_id") > NULL_ID, F.col("doc_id"))), F.max("doc_id")).first()
     lo, hi = (span[0] or 0), (span[1] or 0)
-    log, shared = FingerprintLog(scratch), None
+    shared = None
     bounds = [lo + (hi + 1 - lo) * b // batches for b in range(1, batches)]
     for b in range(batches):
         part = prints
@@ -157,18 +228,22 @@ def substring_dedup(docs: DataFrame, window: int = 50, batches: int = 2, with_te
         shared = found if shared is None else shared.unionByName(found)
     shared = shared.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("k1").alias("shared"))
     suspects = scratch.keep(rows.join(shared.hint("shuffle_hash"), "doc_id"), "suspects")
-    scratch.drop(*(f"merged-{b}" for b in range(batches)), "copies")
-    log.compact()
+    scratch.drop(*(f"{t}-{b}" for t in ("merged", "keys", "past") for b in range(batches)), "copies", "prints")
+    if own:
+        log.close()
+    elif span[1] is not None:
+        log.mark(span[1])
     windows = suspects.mapInArrow(lambda bs: _windows(bs, window), "k1 long, k2 long, doc long")
     windows = scratch.keep(windows, "windows")
     seen = shared_members(scratch, "seen", windows, later_only=True)
     scratch.drop("windows")
-    seen = seen.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("k1").alias("seen"))
-    fields = "doc_id long, n_removed long, kept_sha256 string" + ", kept binary" * with_text
-    covered = suspects.select("doc_id", "text").join(seen.hint("shuffle_hash"), "doc_id").mapInArrow(lambda bs: _cover(bs, window, with_text), fields)
-    covered = covered.dropDuplicates(["doc_id"])
-    gone = copies.select("doc_id", F.lit(True).alias("_copy"))
-    out = survey.select("doc_id", "n_words", "sha").join(covered, "doc_id", "left").join(gone, "doc_id", "left")
+    seen = seen.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("k1").alias("seen"))
+    fields = "doc_id long, h long, n_removed long, kept_sha256 string" + ", kept binary" * with_text
+    covered = suspects.join(seen.hint("shuffle_hash"), "doc_id").mapInArrow(lambda bs: _cover(bs, window, with_text), fields)
+    # repeated rows have one verdict
+    covered = scratch.keep(covered.dropDuplicates(["doc_id", "h"]), "covered")
+    gone = copies.select("doc_id", "h", F.lit(True).alias("_copy"))
+    out = survey.select("doc_id", "h", "n_words", "sha", "plain").join(covered, ["doc_id", "h"], "left").join(gone, ["doc_id", "h"], "left")
     columns = [
         id_out(),
         "n_words",
@@ -176,5 +251,5 @@ def substring_dedup(docs: DataFrame, window: int = 50, batches: int = 2, with_te
         F.when(F.col("_copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     ]
     if with_text:
-        columns.append(F.when(F.col("_copy"), F.lit("")).otherwise(F.col("kept").cast("string")).alias("kept"))
+        columns.append(F.when(F.col("_copy"), F.lit("")).otherwise(F.coalesce("kept", "plain").cast("string")).alias("kept"))
     return out.select(columns)
