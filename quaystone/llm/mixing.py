@@ -6,7 +6,8 @@
 3. Slot n of the schedule is the point n * golden ratio (mod 1, in 31-bit integers), mapped through the cumulative
    quotas to a source.  A slot's rank among its source's slots is the number of the block it takes, in epochs; slots
    beyond the quota fall away, and the few blocks that the points leave over follow in slots at the end.
-4. Slots join blocks on (source, block), blocks join the documents' pieces.
+4. Slots join blocks on (source, block), blocks join the documents' pieces: what a document gives, and the first slot
+   that takes words of it.  ``mix_schedule`` lists the slots themselves, the order in which a reader takes the blocks.
 
 Ranks and offsets come from sums by chunks first and windows within a chunk, so no window holds a whole source.
 """
@@ -22,6 +23,8 @@ from quaystone.llm.common import Scratch, id_out, with_ids
 GOLDEN, PERIOD = 1327217885, 2**31
 #: Slots or documents in one chunk of a rank or offset, about.
 CHUNK = 2048
+#: Words of a block at least, and slots of a schedule at most, about: blocks grow with the corpus.
+BLOCK_WORDS, MOST_SLOTS = 64, 2**23
 #: Cells that cut [0, 1) to look a point up by an equi-join.
 CELLS = 4096
 
@@ -52,21 +55,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
     return out.select("source", "source_size", F.least("_cap", level * F.col("_w")).alias("target"), F.col("_rank").alias("rank"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, block_words: int = 64, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs``.
+def _sizes(scratch: Scratch, docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, size, source, place (in the shuffled order of the source), _h: a stored table."""
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = with_ids(docs, n_words(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("_h"), digest.alias("_md5"))
+    # rows of one id, a null one too, lie apart unless their texts are equal
+    place = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed)), "_md5").cast("binary"))
+    return scratch.keep(rows.select("doc_id", "size", "source", place.alias("place"), "_h"), "sizes")
 
-    A null text has size 0; a null source is a source of its own, the last; documents of size 0 take nothing; repeated
-    rows and equal texts are documents of their own.  Each source takes its target rounded down, no document more than
-    ``most_epochs`` times its size.  The order in a source follows a hash of doc_id and seed, so reruns agree.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    size = n_words(F.col("text"))
-    rows = with_ids(docs, size.alias("size"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("_h"))
-    # a place in the shuffled order of the source; equal ids are told apart by text, then by number
-    place = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")).cast("binary"))
-    rows = scratch.keep(rows.select("doc_id", "size", "source", place.alias("place"), "_h"), "sizes")
+
+def _plan(scratch: Scratch, rows: DataFrame, weights: tuple[int, ...], most_epochs: int, block_words: int | None) -> tuple[DataFrame, int]:
+    """A row for each source: target, quota in words and blocks, its part of the schedule; and the words of a block."""
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    totals = scratch.keep(totals, "totals")
+    if block_words is None:
+        block_words = max(BLOCK_WORDS, -(-(totals.agg(F.sum("source_size")).first()[0] or 0) // MOST_SLOTS))
     targets = source_targets(totals.select("source", "source_size"), weights, most_epochs)
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     quota = F.floor(F.col("target") + 1e-6).cast("long")
@@ -82,34 +85,67 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int
     )
     upto = Window.orderBy("rank")
     table = table.withColumn("_to", F.sum("need").over(upto)).withColumn("slots", F.sum("need").over(Window.partitionBy(F.lit(1))))
-    table = scratch.keep(table.withColumn("_from", F.col("_to") - F.col("need")), "targets")
+    return scratch.keep(table.withColumn("_from", F.col("_to") - F.col("need")), "targets"), block_words
 
-    # -- schedule: slot -> source -> rank
-    total = table.agg(F.coalesce(F.max("slots"), F.lit(0)).alias("n"), F.coalesce(F.sum("need"), F.lit(0))).first()["n"]
+
+def _turns(scratch: Scratch, table: DataFrame) -> DataFrame:
+    """slot, rank (of the source), turn (the number of the block it takes, in epochs), need: one row for each turn of a quota."""
+    total = table.agg(F.coalesce(F.max("slots"), F.lit(0)).alias("n")).first()["n"]
     point = F.pmod(F.pmod(F.col("slot"), F.lit(PERIOD)) * F.lit(GOLDEN), F.lit(PERIOD))
     reach = table.where("need > 0").select(
         "rank", "need", (F.col("_from") / F.col("slots")).alias("lo"), (F.col("_to") / F.col("slots")).alias("hi")
     )
     cells = reach.withColumn("cell", F.explode(F.sequence((F.col("lo") * CELLS).cast("int"), F.least((F.col("hi") * CELLS).cast("int"), F.lit(CELLS - 1)))))
-    slots = spark.range(total).select(F.col("id").alias("slot"), (point.cast("double") / PERIOD).alias("u")).withColumns({"cell": (F.col("u") * CELLS).cast("int")})
+    slots = table.sparkSession.range(total).select(F.col("id").alias("slot"), (point.cast("double") / PERIOD).alias("u")).withColumns({"cell": (F.col("u") * CELLS).cast("int")})
     slots = slots.join(cells, "cell").where("u >= lo and u < hi").select("slot", "rank", (F.col("slot") / CHUNK).cast("long").alias("chunk"), "need")
     slots = scratch.keep(slots, "slots")
     before = slots.groupBy("rank", "chunk").agg(F.count(F.lit(1)).alias("_n"), F.max("need").alias("need"))
-    earlier = Window.partitionBy("rank").orderBy("chunk")
-    before = before.withColumn("_before", F.sum("_n").over(earlier) - F.col("_n"))
+    before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy("rank").orderBy("chunk")) - F.col("_n"))
     within = Window.partitionBy("rank", "chunk").orderBy("slot")
     ranked = slots.withColumn("_in", F.row_number().over(within) - 1).join(before.select("rank", "chunk", "_before"), ["rank", "chunk"])
-    ranked = ranked.select("rank", (F.col("_before") + F.col("_in")).alias("turn"))
-    # blocks that the points leave over: turns from the number of slots a source got up to its quota
+    ranked = ranked.select("slot", "rank", (F.col("_before") + F.col("_in")).alias("turn"), "need").where("turn < need")
+    # blocks that the points leave over: turns from the number of slots a source got up to its quota, one source after another
     got = slots.groupBy("rank").agg(F.count(F.lit(1)).alias("_got"))
     short = table.join(got, "rank", "left").withColumn("_got", F.coalesce("_got", F.lit(0))).where("need > _got")
-    extra = short.select("rank", F.explode(F.sequence("_got", F.col("need") - 1)).alias("turn"))
-    quotas = table.select("rank", "source", "blocks", "need", "rest", "epochs")
-    turns = ranked.unionByName(extra).join(quotas, "rank").where("turn < need")
+    short = short.withColumn("_at", F.sum(F.col("need") - F.col("_got")).over(Window.orderBy("rank")) - F.col("need"))
+    extra = short.select("rank", F.explode(F.sequence("_got", F.col("need") - 1)).alias("turn"), "need", "_at")
+    extra = extra.select((F.lit(total) + F.col("_at") + F.col("turn")).alias("slot"), "rank", "turn", "need")
+    return ranked.unionByName(extra)
+
+
+def mix_schedule(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, block_words: int | None = None, seed: int = 7) -> DataFrame:
+    """slot, source, epoch, block, words: what each slot of the mix takes, in the order of slots.  Among the first n slots every
+    source has nearly its share, for every n.  Parameters and edge cases as for ``mix``."""
+    scratch = Scratch(docs.sparkSession)
+    table, block_words = _plan(scratch, _sizes(scratch, docs, seed), weights, most_epochs, block_words)
+    turns = _turns(scratch, table).drop("need").join(table.select("rank", "source", "blocks", "need", "rest", "source_size"), "rank")
+    block = F.pmod("turn", F.col("blocks"))
+    last = (F.col("turn") == F.col("need") - 1) & (F.col("rest") > 0)
+    words = F.least(F.lit(block_words), F.col("source_size") - block * block_words)
+    words = F.when(last, F.pmod(F.col("rest") - 1, F.lit(block_words)) + 1).otherwise(words)
+    return turns.select("slot", "source", (F.col("turn") / F.col("blocks")).cast("long").alias("epoch"), block.alias("block"), words.cast("long").alias("words"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, block_words: int | None = None, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_slot for every row of ``docs``.
+
+    A null text has size 0; a null source is a source of its own, the last; documents of size 0 take nothing; repeated
+    rows and equal texts are documents of their own.  Each source takes its target rounded down, no document more than
+    ``most_epochs`` times its size.  first_slot is the first slot of the schedule that takes words of the document, null
+    if none does.  The order in a source follows a hash of doc_id, text and seed, so reruns agree.  Blocks have
+    ``block_words`` words, or as many as make at most about MOST_SLOTS blocks, BLOCK_WORDS at least.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = _sizes(scratch, docs, seed)
+    table, block_words = _plan(scratch, rows, weights, most_epochs, block_words)
+    turns = _turns(scratch, table).drop("need").join(table.select("rank", "blocks", "need", "rest"), "rank")
+    # the last turn of a source takes the first words of its block alone
+    last = (F.col("turn") == F.col("need") - 1) & (F.col("rest") > 0)
     uses = turns.groupBy("rank", F.pmod("turn", F.col("blocks")).alias("block")).agg(
-        # the last turn of a source takes the first words of its block alone
-        F.sum(F.when((F.col("turn") == F.col("need") - 1) & (F.col("rest") > 0), 0).otherwise(1)).alias("whole"),
-        F.max(F.when((F.col("turn") == F.col("need") - 1) & (F.col("rest") > 0), F.pmod(F.col("rest") - 1, F.lit(block_words)) + 1).otherwise(0)).alias("part"),
+        F.sum(F.when(last, 0).otherwise(1)).alias("whole"),
+        F.max(F.when(last, F.pmod(F.col("rest") - 1, F.lit(block_words)) + 1).otherwise(0)).alias("part"),
+        F.min(F.when(~last, F.col("slot"))).alias("whole_slot"),
+        F.min(F.when(last, F.col("slot"))).alias("part_slot"),
     )
 
     # -- blocks: offsets of the documents in their source's stream
@@ -118,7 +154,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int
     part = F.pmod(F.conv(F.substring("place", 1, 6), 16, 10).cast("long"), F.greatest((F.col("rows") / CHUNK).cast("long"), F.lit(1)))
     placed = placed.select("doc_id", "size", "place", "_h", "rank", part.alias("chunk"))
     sums = placed.groupBy("rank", "chunk").agg(F.sum("size").alias("_sum"))
-    sums = sums.withColumn("_base", F.sum("_sum").over(earlier) - F.col("_sum")).drop("_sum")
+    sums = sums.withColumn("_base", F.sum("_sum").over(Window.partitionBy("rank").orderBy("chunk")) - F.col("_sum")).drop("_sum")
     in_chunk = Window.partitionBy("rank", "chunk").orderBy("place", "doc_id", "_h", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_end", F.sum("size").over(in_chunk)).withColumn("_nth", F.row_number().over(Window.partitionBy("rank", "chunk").orderBy("place", "doc_id", "_h", "size")))
     placed = placed.join(sums, ["rank", "chunk"]).select(
@@ -132,6 +168,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int
     edge = F.col("block") * block_words
     lo, hi = F.greatest("begin", edge) - edge, F.least(F.col("begin") + F.col("size"), edge + block_words) - edge
     words = F.col("whole") * (hi - lo) + F.greatest(F.least(hi, F.col("part")) - lo, F.lit(0))
-    taken = pieces.join(uses, ["rank", "block"]).groupBy("rank", "row").agg(F.sum(words).alias("taken"))
+    first = F.least("whole_slot", F.when(F.col("part") > lo, F.col("part_slot")))
+    taken = pieces.join(uses, ["rank", "block"]).groupBy("rank", "row").agg(F.sum(words).alias("taken"), F.min(first).alias("first_slot"))
     out = placed.join(taken, ["rank", "row"], "left").join(table.select("rank", "source_size", "target"), "rank")
-    return out.select(id_out(), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(id_out(), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")

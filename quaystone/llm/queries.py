@@ -11,7 +11,7 @@ from quaystone.llm.decontamination import contaminated
 from quaystone.llm.exact_dedup import exact_duplicates
 from quaystone.llm.line_dedup import line_dedup
 from quaystone.llm.minhash_forest import near_duplicates
-from quaystone.llm.mixing import CHUNK, mix
+from quaystone.llm.mixing import BLOCK_WORDS, CHUNK, GOLDEN, MOST_SLOTS, PERIOD, mix
 from quaystone.llm.quality import fit_quality, score_quality
 from quaystone.llm.secret_scan import scan_secrets
 from quaystone.llm.substring_dedup import substring_dedup
@@ -65,7 +65,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the bitmap is the operator's; the digest columns are the query's
+    # the compressed bitmap is the operator's; the query shows what its bits are
     return line_dedup(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("keep_bitmap")
 
 
@@ -141,10 +141,10 @@ FROM d LEFT JOIN a ON a.doc_id = d.doc_id"""
 
 def _mixing_sql() -> str:
     """A source's stream is taken whole for so many epochs, then from its start: the words of a document are those
-    epochs of its size and what of it lies before the rest."""
+    epochs of its size and what of it lies before the rest.  Its first slot is that of the blocks it lies in."""
     digit = lambda i: f"(strpos('0123456789abcdef', substr(place, {i}, 1)) - 1) * {16 ** (6 - i)}"
     return f"""
-WITH d AS (SELECT doc_id, source, CAST(len({_WORDS.format('text')}) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR) || ':7') AS place FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS.format('text')}) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR) || ':7:' || md5(coalesce(text, ''))) AS place FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k, CAST(source_size AS DOUBLE) * 3 AS cap FROM s),
 w AS (SELECT *, CAST((k - 1) % 3 + 1 AS DOUBLE) AS w FROM r),
@@ -152,9 +152,19 @@ g AS (SELECT *, cap / w AS filled, (sum(CAST(source_size AS DOUBLE)) OVER () - c
     FROM w WINDOW b AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT *, least(cap, coalesce((SELECT level FROM g WHERE level <= filled ORDER BY filled, k LIMIT 1), CAST('inf' AS DOUBLE)) * w) AS target FROM g),
 q AS (SELECT *, CAST(floor(target + 1e-6) AS BIGINT) AS quota, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS epochs, quota - epochs * source_size AS rest FROM t),
-p AS (SELECT d.*, source_size, target, epochs, rest, ({' + '.join(digit(i) for i in range(1, 7))}) % greatest(n // {CHUNK}, 1) AS chunk FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-e AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY chunk, place, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM p)
-SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(upto, rest) - (upto - size)) AS BIGINT) AS taken FROM e"""
+p AS (SELECT d.*, k, source_size, target, epochs, rest, ({' + '.join(digit(i) for i in range(1, 7))}) % greatest(n // {CHUNK}, 1) AS chunk FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+e AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY chunk, place, doc_id ROWS UNBOUNDED PRECEDING) AS upto, upto - size AS begin FROM p),
+b AS (SELECT CAST(greatest({BLOCK_WORDS}, (coalesce(sum(size), 0) + {MOST_SLOTS - 1}) // {MOST_SLOTS}) AS BIGINT) AS bw FROM d),
+c AS (SELECT k, rest, bw, (source_size + bw - 1) // bw AS blocks, epochs * blocks + (rest + bw - 1) // bw AS need FROM q, b),
+z AS (SELECT *, sum(need) OVER (ORDER BY k) AS hi, hi - need AS lo, sum(need) OVER () AS slots FROM c),
+u AS (SELECT slot, CAST(((slot % {PERIOD}) * {GOLDEN}) % {PERIOD} AS DOUBLE) / {PERIOD} AS u FROM (SELECT unnest(range(CAST(max(slots) AS BIGINT))) AS slot FROM z)),
+h AS (SELECT slot, k, need, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS turn FROM u JOIN z ON u >= CAST(lo AS DOUBLE) / slots AND u < CAST(hi AS DOUBLE) / slots),
+m AS (SELECT k, need, slots, n, sum(need - n) OVER (ORDER BY k) - need AS behind FROM (SELECT z.k, z.need, slots, count(h.slot) AS n FROM z LEFT JOIN h ON h.k = z.k GROUP BY ALL) WHERE need > n),
+v AS (SELECT slot, k, turn FROM h WHERE turn < need UNION ALL SELECT CAST(slots + behind + turn AS BIGINT), k, turn FROM (SELECT k, slots, behind, unnest(range(n, CAST(need AS BIGINT))) AS turn FROM m)),
+x AS (SELECT k, turn % blocks AS block, bw, min(slot) FILTER (NOT (turn = need - 1 AND rest > 0)) AS whole, min(slot) FILTER (turn = need - 1 AND rest > 0) AS last, any_value((rest - 1) % bw + 1) AS part FROM v JOIN c USING (k) GROUP BY ALL),
+y AS (SELECT doc_id, k, begin, unnest(range(CAST(begin // bw AS BIGINT), CAST((begin + size - 1) // bw + 1 AS BIGINT))) AS block FROM e, b WHERE size > 0),
+f AS (SELECT doc_id, min(least(whole, CASE WHEN part > greatest(begin, block * bw) - block * bw THEN last END)) AS first_slot FROM y JOIN x USING (k, block) GROUP BY doc_id)
+SELECT e.doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(upto, rest) - begin) AS BIGINT) AS taken, first_slot FROM e LEFT JOIN f ON f.doc_id = e.doc_id"""
 
 
 ORACLES = {
@@ -191,6 +201,7 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c
 WITH l AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
     FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
 c AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
-SELECT doc_id, count(*) AS n_lines, count(c.k) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN c.k IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+SELECT doc_id, count(*) AS n_lines, count(c.k) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN c.k IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256,
+    sha256(string_agg(CASE WHEN c.k IS NULL THEN '1' ELSE '0' END, '' ORDER BY i)) AS keep_sha256
 FROM l LEFT JOIN c ON c.k = l.k GROUP BY doc_id""",
 }
