@@ -1,10 +1,12 @@
-"""Toxicity by the nearest labelled examples under exact weighted TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under exact weighted TF-IDF cosine, with a block-max inverted index.
 
 Terms are lower-cased words without punctuation around them, and their first 4, 6 and 8 bytes, by 64-bit hash.  The index
 holds every term of a bounded sample of examples, with document counts over the whole corpus.  A term weighs its
 inverse document frequency times the root of one plus its likelihood ratio for label 1, so none is left out and those
 that tell label 1 count most.  Words in no example can't meet one and are not part of a vector.
-Terms that many examples hold are dense columns, all others sorted postings; every query is compared with every example.
+
+Postings by term give each example's score from all but the most frequent terms.  Those are matrices by block of
+examples, with each term's largest weight in the block: a block whose bound stays under the k-th best is passed over.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import Scratch, signed
+from quaystone.llm.common import Scratch, ranges, signed
 from quaystone.llm.labelled import Isotonic, held_out, training_sample
 
 #: Labelled rows in the index, at most about so many; neighbours that vote; rows and bytes of text taken at a time.
 SAMPLE, NEIGHBOURS, ROWS, BYTES = 6000, 15, 256, 2_000_000
-#: A term that one in so many examples holds is a dense column; queries that are compared with all examples at a time.
-DENSE, QUERIES = 16, 128
+#: A term that one in so many examples holds is in the blocks' matrices; examples of a block; queries taken at a time.
+DENSE, BLOCK, QUERIES = 16, 64, 128
 #: How the contract splits rows and cuts scores.
 FOLDS, HELD, CUT = 3, 1, 0.7
 _AROUND = b".,;:!?\"'()[]{}<>*#$%&|-_"
@@ -54,12 +56,6 @@ def _pieces(batches):
             at = end
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... for each length in turn."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 class Vectors:
     """Texts as counts of terms: of those known, by number, or of all, by hash."""
 
@@ -87,27 +83,25 @@ class Vectors:
         self.terms = np.concatenate([self.terms, hashed])
         self.word.update(zip(words, range(len(self.word), len(self.word) + len(words)), strict=True))
 
-    def counts(self, texts: list[bytes | None], once: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def counts(self, texts: pa.Array, once: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, occurrences), by text and term; ``once`` takes a text's distinct words, where only terms matter."""
-        split = [(t or b"").lower().split() for t in texts]
-        if once:
-            split = [set(ws) for ws in split]
-        flat = list(chain.from_iterable(split))
-        new = set(flat) - self.word.keys()
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.view(pa.string()), "")))
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in words if w not in self.word]
         if new and len(self.word) + len(new) > _CACHE:
             self._reset()
-            new = set(flat)
+            new = words
         if new:
-            self._learn(list(new))
-        row = np.repeat(np.arange(len(split)), [len(ws) for ws in split])
-        word = np.fromiter(map(self.word.__getitem__, flat), np.int64, len(flat))
-        if once:
-            n = np.ones(len(word), np.int64)
-        else:
-            pair, n = np.unique(row * (len(self.word) + 1) + word, return_counts=True)
-            row, word = np.divmod(pair, len(self.word) + 1)
+            self._learn(new)
+        known = np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
+        row = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
+        pair, n = np.unique(row * (len(words) + 1) + coded.indices.to_numpy(), return_counts=True)
+        row, word = np.divmod(pair, len(words) + 1)
+        word = known[word]
+        n = np.ones(len(word), np.int64) if once else n
         lengths = self.lengths[word]
-        term = self.terms[_ranges(self.starts[word], lengths)]
+        term = self.terms[ranges(self.starts[word], lengths)]
         row, n = np.repeat(row, lengths), np.repeat(n, lengths)
         order = np.lexsort((term, row)) if self.known is None else np.argsort(row * (len(self.known) + 1) + term)
         row, term, n = row[order], term[order], n[order]
@@ -120,7 +114,7 @@ def _candidate_terms(batches):
     vectors = Vectors()
     for batch in _pieces(batches):
         y = batch.column("y").to_numpy()
-        row, term, _ = vectors.counts(batch.column("text").to_pylist(), once=True)
+        row, term, _ = vectors.counts(batch.column("text"), once=True)
         keys, at = np.unique(term, return_inverse=True)
         n1 = np.bincount(at, y[row], len(keys)).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"term": pa.array(signed(keys)), "n0": pa.array(np.bincount(at, minlength=len(keys)) - n1), "n1": pa.array(n1)})
@@ -130,7 +124,7 @@ def _document_counts(batches, shared):
     known = shared.value
     vectors, total, n = Vectors(known), np.zeros(len(known), np.int64), 0
     for batch in _pieces(batches):
-        total += np.bincount(vectors.counts(batch.column("text").to_pylist(), once=True)[1], minlength=len(known))
+        total += np.bincount(vectors.counts(batch.column("text"), once=True)[1], minlength=len(known))
         n += batch.num_rows
     held = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"number": pa.array(np.r_[-1, held].astype(np.int32)), "n": pa.array(np.r_[n, total[held]])})
@@ -139,35 +133,51 @@ def _document_counts(batches, shared):
 def _example_counts(batches, shared):
     vectors = Vectors(shared.value)
     for batch in _pieces(batches):
-        row, number, n = vectors.counts(batch.column("text").to_pylist())
+        row, number, n = vectors.counts(batch.column("text"))
         cut = np.searchsorted(row, np.arange(1, batch.num_rows))
-        packed = [[x.tobytes() for x in np.split(v.astype(np.int32), cut)] for v in (number, n)]
+        packed = [[x.tobytes() for x in np.split(v, cut)] for v in (number.astype(np.int32), np.minimum(n, 65535).astype(np.uint16))]
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "numbers": pa.array(packed[0], pa.binary()), "counts": pa.array(packed[1], pa.binary())})
 
 
 class BlockMaxIndex:
-    """Unit vectors of the examples: a dense block of the terms that many hold, and postings of all other terms."""
+    """Unit vectors of the examples: postings by term, and for the terms that many hold matrices by block of examples."""
 
     def __init__(self, terms, idf: np.ndarray, ids: np.ndarray, y: np.ndarray, numbers: list, counts: list):
         self.terms, self.idf = terms, idf.astype(np.float32)
-        order = np.lexsort((ids, y))
-        self.ids, self.y = ids[order], y[order].astype(np.float32)
-        row = np.repeat(np.arange(len(ids)), [len(numbers[i]) for i in order])
-        number = np.concatenate([np.asarray(numbers[i], np.int64) for i in order]) if len(ids) else np.zeros(0, np.int64)
-        n = np.concatenate([np.asarray(counts[i], np.float32) for i in order]) if len(ids) else np.zeros(0, np.float32)
+        size = np.array([len(x) for x in numbers], np.int64)
+        row = np.repeat(np.arange(len(ids)), size)
+        number = np.concatenate([np.asarray(x, np.int64) for x in numbers]) if len(ids) else np.zeros(0, np.int64)
+        n = np.concatenate([np.asarray(x, np.float32) for x in counts]) if len(ids) else np.zeros(0, np.float32)
         weight = self.unit(row, number, n, len(ids))
-        # postings by term
-        by = np.argsort(number, kind="stable")
-        self.row, self.weight = row[by].astype(np.int32), weight[by]
         self.lengths = np.bincount(number, minlength=len(terms))
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.column = np.full(len(terms), -1)
         often = np.flatnonzero(self.lengths * DENSE >= max(len(ids), 1))
         self.column[often] = np.arange(len(often))
-        self.dense = None
+        # examples whose heaviest frequent term is the same stand together, so that the bounds of blocks are close
+        theme = np.full(len(ids), -1)
+        heavy = np.flatnonzero(self.column[number] >= 0)
+        heavy = heavy[np.lexsort((number[heavy], weight[heavy]))]
+        theme[row[heavy]] = number[heavy]
+        order = np.lexsort((ids, y, theme))
+        self.ids, self.y = ids[order], y[order].astype(np.float32)
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        by = np.lexsort((place[row], number))
+        self.row, self.weight = place[row[by]].astype(np.int32), weight[by]
+        self.copies = int(np.unique(ids, return_counts=True)[1].max(initial=0))
+        self.blocks = None
 
     def __getstate__(self):
-        return self.__dict__ | {"dense": None}  # made anew from the postings
+        return self.__dict__ | {"blocks": None}  # made anew from the postings
+
+    def _matrices(self):
+        held = self.column[np.repeat(np.arange(len(self.lengths)), self.lengths)]
+        dense = np.zeros((self.column.max(initial=-1) + 1, len(self.ids)), np.float32)
+        dense[held[held >= 0], self.row[held >= 0]] = self.weight[held >= 0]
+        self.edges = np.arange(0, len(self.ids), BLOCK)
+        self.blocks = [np.ascontiguousarray(dense[:, a : a + BLOCK]) for a in self.edges]
+        self.most = np.stack([b.max(1, initial=0) for b in self.blocks], 1)
 
     def unit(self, row: np.ndarray, number: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
         """Counts to the weights of unit vectors; a vector without known terms stays zero."""
@@ -181,20 +191,33 @@ class BlockMaxIndex:
         out[row, number] = self.unit(row, number, counts[row, number], len(counts))
         return out
 
-    def _cosines(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-        if self.dense is None:
-            held = self.column[np.repeat(np.arange(len(self.lengths)), self.lengths)]
-            self.dense = np.zeros((self.column.max(initial=-1) + 1, len(self.ids)), np.float32)
-            self.dense[held[held >= 0], self.row[held >= 0]] = self.weight[held >= 0]
+    def _cosines(self, row: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
+        """Cosines of n queries with all examples; -1 in blocks that can't reach a query's k nearest."""
+        if self.blocks is None:
+            self._matrices()
         column = self.column[number]
         often = column >= 0
-        query = np.zeros((n, len(self.dense)), np.float32)
+        query = np.zeros((n, len(self.most)), np.float32)
         query[row[often], column[often]] = weight[often]
         row, number, weight = row[~often], number[~often], weight[~often]
         lengths = self.lengths[number]
-        at = _ranges(self.starts[number], lengths)
+        at = ranges(self.starts[number], lengths)
         score = np.bincount(np.repeat(row * len(self.ids), lengths) + self.row[at], np.repeat(weight, lengths) * self.weight[at], n * len(self.ids))
-        return query @ self.dense + score.reshape(n, -1).astype(np.float32)
+        score = score.astype(np.float32).reshape(n, -1)
+        best = np.maximum.reduceat(score, self.edges, axis=1)
+        # the k-th best block by postings alone is a lower bound of the k-th best example
+        least = np.partition(best, len(self.edges) - k, axis=1)[:, len(self.edges) - k] if len(self.edges) >= k else np.zeros(n, np.float32)
+        reach = query @ self.most + best + 1e-5 >= least[:, None]
+        for i, (a, matrix) in enumerate(zip(self.edges, self.blocks, strict=True)):
+            some = np.flatnonzero(reach[:, i])
+            part = score[:, a : a + BLOCK]
+            if len(some) == n:
+                part += query @ matrix
+            else:
+                part[~reach[:, i]] = -1
+                if len(some):
+                    part[some] += query[some] @ matrix
+        return score
 
     def nearest(self, queries, k: int, own_ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples of each row; -1 and 0 where there are fewer.  ``queries`` is a
@@ -209,7 +232,7 @@ class BlockMaxIndex:
         for at in range(0, n, QUERIES) if len(self.ids) else ():
             size = min(QUERIES, n - at)
             a, b = np.searchsorted(row, (at, at + size))
-            score = self._cosines(row[a:b] - at, number[a:b], weight[a:b], size)
+            score = self._cosines(row[a:b] - at, number[a:b], weight[a:b], size, k + (self.copies if own_ids is not None else 0))
             if own_ids is not None:
                 score[self.ids[None, :] == own_ids[at : at + size, None]] = 0
             kth = np.partition(score, least, axis=1)[:, least]
@@ -229,12 +252,10 @@ class BlockMaxIndex:
 
 
 class ToxicityModel:
-    def __init__(self, index: BlockMaxIndex, calibrate: Isotonic, neighbours: int):
-        self.index, self.calibrate, self.neighbours = index, calibrate, neighbours
+    """``shared`` is the index, sent to the executors once."""
 
-    def nearest(self, texts: list[bytes | None], vectors: Vectors) -> tuple[np.ndarray, np.ndarray]:
-        row, number, n = vectors.counts(texts)
-        return self.index.nearest((row, number, self.index.unit(row, number, n, len(texts)), len(texts)), self.neighbours)
+    def __init__(self, index: BlockMaxIndex, shared, calibrate: Isotonic, neighbours: int):
+        self.index, self.shared, self.calibrate, self.neighbours = index, shared, calibrate, neighbours
 
 
 def likelihood_ratio(n0: np.ndarray, n1: np.ndarray, p0: int, p1: int) -> np.ndarray:
@@ -262,7 +283,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neigh
     order = np.argsort(known)
     known, n0, n1 = known[order], count.column("n0").to_numpy()[order], count.column("n1").to_numpy()[order]
     shared = spark.sparkContext.broadcast(known)
-    text = docs.select(F.col("text").cast("binary").alias("text"))
+    text = docs.select(F.col("text").cast("string").alias("text"))
     found = text.mapInArrow(lambda bs: _document_counts(bs, shared), "number int, n long").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
     number, n = found.column("number").to_numpy(), found.column("n").to_numpy()
     df = np.zeros(len(known))
@@ -270,35 +291,47 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neigh
     weight = (np.log((1 + n[number < 0].sum()) / (1 + df)) + 1) * np.sqrt(1 + likelihood_ratio(n0, n1, p0, p1))
     examples = rows.mapInArrow(lambda bs: _example_counts(bs, shared), "doc_id long, y int, numbers binary, counts binary").orderBy("doc_id", "y", "numbers").toArrow()
     ids, y = examples.column("doc_id").to_numpy(), examples.column("y").to_numpy().astype(np.int64)
-    numbers, counts = ([np.frombuffer(x.as_py(), np.int32) for x in examples.column(c)] for c in ("numbers", "counts"))
+    numbers, counts = ([np.frombuffer(x.as_py(), t) for x in examples.column(c)] for c, t in (("numbers", np.int32), ("counts", np.uint16)))
     index = BlockMaxIndex(known, weight, ids, y, numbers, counts)
-    raw = []
-    for at in range(0, len(ids), ROWS):
-        part, size = numbers[at : at + ROWS], len(numbers[at : at + ROWS])
-        row, own = np.repeat(np.arange(size), [len(x) for x in part]), np.concatenate(part).astype(np.int64)
-        who, cosine = index.nearest((row, own, index.unit(row, own, np.concatenate(counts[at : at + ROWS]), size), size), neighbours, ids[at : at + ROWS])
-        raw.append(index.votes(who, cosine))
+    del examples, numbers, counts, count, found
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(index))
+    raw = rows.mapInArrow(lambda bs: _own_votes(bs, sent, neighbours), "raw double, y int").toArrow()  # bounded by ``sample``
+    shared.unpersist()
     scratch.drop("examples")
-    return ToxicityModel(index, Isotonic(np.concatenate(raw), y) if raw else Isotonic(np.zeros(1), np.zeros(1)), neighbours)
+    return ToxicityModel(index, sent, Isotonic(raw.column("raw").to_numpy(), raw.column("y").to_numpy()) if len(ids) else Isotonic(np.zeros(1), np.zeros(1)), neighbours)
 
 
-def _score(batches, shared):
-    model = cloudpickle.loads(shared.value)
-    vectors = Vectors(model.index.terms)
+def _nearest(batches, shared, neighbours: int, own: bool):
+    index = cloudpickle.loads(shared.value)
+    vectors = Vectors(index.terms)
     for batch in _pieces(batches):
-        who, cosine = model.nearest(batch.column("text").to_pylist(), vectors)
-        scores = model.calibrate(model.index.votes(who, cosine))
-        evidence = [[{"doc_id": int(model.index.ids[i]), "toxic": int(model.index.y[i]), "cosine": round(float(c), 6)} for i, c in zip(w[:3], s[:3], strict=True) if i >= 0] for w, s in zip(who, cosine, strict=True)]
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(scores, pa.float64()), "evidence": pa.array(evidence, kind)})
+        row, number, n = vectors.counts(batch.column("text"))
+        ids = batch.column("doc_id").to_numpy() if own else None
+        yield batch, index, *index.nearest((row, number, index.unit(row, number, n, batch.num_rows), batch.num_rows), neighbours, ids)
+
+
+def _own_votes(batches, shared, neighbours: int):
+    """Votes of the other examples on each example."""
+    for batch, index, who, cosine in _nearest(batches, shared, neighbours, True):
+        yield pa.RecordBatch.from_pydict({"raw": pa.array(index.votes(who, cosine).astype(float)), "y": batch.column("y")})
+
+
+def _score(batches, shared, calibrate: Isotonic, neighbours: int):
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
+    for batch, index, who, cosine in _nearest(batches, shared, neighbours, False):
+        first = who[:, :3] >= 0
+        found = who[:, :3][first]
+        fields = [pa.array(index.ids[found]), pa.array(index.y[found].astype(np.int32)), pa.array(np.round(cosine[:, :3][first].astype(float), 6))]
+        evidence = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(first.sum(1))].astype(np.int32)), pa.StructArray.from_arrays(fields, ["doc_id", "toxic", "cosine"]))
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(calibrate(index.votes(who, cosine)).astype(float)), "evidence": evidence.cast(kind)})
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, folds: int = FOLDS, held: int = HELD, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (the three nearest examples) for every row.
 
     A null text is empty; a text without known terms has no neighbours, and the score of no evidence.  Repeated rows
-    score alike.  The model is bounded by its sample, and goes to the executors once."""
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    score alike.  The index is bounded by its sample, and goes to the executors once."""
+    shared, calibrate, neighbours = model.shared, model.calibrate, model.neighbours
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    out = rows.mapInArrow(lambda bs: _score(bs, shared), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
+    out = rows.mapInArrow(lambda bs: _score(bs, shared, calibrate, neighbours), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
     return out.select("doc_id", held_out(F.col("doc_id"), folds, held).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "evidence")
