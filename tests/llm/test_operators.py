@@ -16,11 +16,11 @@ from quaystone.llm.exact_dedup import exact_duplicates
 from quaystone.llm.labelled import Isotonic
 from quaystone.llm.line_dedup import line_dedup
 from quaystone.llm.minhash_forest import near_duplicates
-from quaystone.llm.mixing import mix, source_targets
+from quaystone.llm.mixing import mix, mix_schedule, source_targets
 from quaystone.llm.quality import fit_quality, keep_quality, score_quality, statistics
 from quaystone.llm.runs import shared_members
 from quaystone.llm.secret_scan import BlobLedger, find_spans, scan_secrets
-from quaystone.llm.substring_dedup import substring_dedup
+from quaystone.llm.substring_dedup import COMPACT, FingerprintLog, substring_dedup
 from quaystone.llm.toxicity import BlockMaxIndex, fit_toxicity, score_toxicity, terms_of
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -158,9 +158,20 @@ def test_line_dedup(spark, least):
         assert (f["n_lines"], f["n_dropped"], f["kept_sha256"], f["text"]) == (len(ls), len(ls) - len(kept), sha("\n".join(kept)), "\n".join(kept))
         bits = np.unpackbits(np.frombuffer(zlib.decompress(bytes(f["keep_bitmap"])), np.uint8))[: len(ls)]
         assert bits.tolist() == [int(key(x) not in bad) for x in ls]
+        assert f["keep_sha256"] == sha("".join(map(str, bits.tolist())))
     assert line_dedup(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_repeated_ids_and_first_places(spark):
+    rows = [(i, "x") for i in range(9)] + [(20, "precious\nx"), (20, "x\nprecious\nx"), (20, "x\nprecious\nx")]
+    found = line_dedup(frame(spark, rows), with_text=True).collect()
+    assert sorted((r["n_lines"], r["text"]) for r in found if r["doc_id"] == 20) == [(2, "precious"), (3, "precious"), (3, "precious")]
+    found = line_dedup(frame(spark, rows), with_text=True, keep_first=True).collect()
+    assert {r["doc_id"]: r["text"] for r in found if r["doc_id"] != 20} == {0: "x"} | {i: "" for i in range(1, 9)}
+    with pytest.raises(ValueError):
+        line_dedup(frame(spark, rows).withColumn("n_lines", F.lit(1)), carry=("n_lines",))
+
+
 # -- 4
 
 
@@ -200,6 +211,33 @@ def test_substring_dedup_repeated_rows(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in found) == [(1, 0), (1, 0), (2, 70)]
 
 
+def test_substring_dedup_of_repeated_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b + " tail")]
+    found = substring_dedup(frame(spark, rows), 50, with_text=True).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["kept"]) for r in found) == [(1, 0, a), (2, 0, b), (2, 0, b), (2, 60, ""), (3, 60, "tail")]
+
+
+def test_fingerprint_log_is_reopened_and_compacted(spark, tmp_path):
+    rows = corpus(14, 80)[:80]
+    passage = " ".join(f"q{i}" for i in range(70))
+    rows = [(i, f"{t} {passage}" if i % 3 == 0 else t) for i, t, _ in rows]
+    expected = brute_substring(rows, 20)
+    found, path = {}, f"file://{tmp_path}/log"
+    for upto in (10, 20, 35, 50, 51, 80):  # a session each, with all rows so far
+        log = FingerprintLog(Scratch(spark), path)
+        assert len(log.runs) < COMPACT
+        part = substring_dedup(frame(spark, rows[:upto]), 20, 1, log=log).collect()
+        assert len(part) == upto - len(found)
+        found |= {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in part}
+    assert found == expected
+    log = FingerprintLog(Scratch(spark), path)
+    keys = spark.createDataFrame([(1, 2)], "k1 long, salt int")
+    plan = log.holders(next(iter(log.runs.values())), keys)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    # the batch alone is dealt
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan, plan
+
+
 # -- 6
 
 
@@ -390,6 +428,29 @@ def test_mix(spark):
     assert [x["taken"] for x in mix(frame(spark, [(1, None)])).collect()] == [0]
 
 
+def test_schedule_keeps_the_shares_in_every_prefix(spark):
+    rows = corpus(12, 200) + [(900 + i, " ".join(f"r{i}-{j}" for j in range(500)), "b") for i in range(20)]
+    slots = sorted(mix_schedule(frame(spark, rows), block_words=16).collect())
+    assert [x["slot"] for x in slots] == sorted({x["slot"] for x in slots})
+    got = {}
+    for x in slots:
+        got.setdefault(x["source"], []).append(x)
+    mixed = mix(frame(spark, rows), block_words=16).collect()
+    source = {d: s for d, _, s in rows}
+    for s, own in got.items():
+        assert [(x["epoch"], x["block"]) for x in own] == sorted((x["epoch"], x["block"]) for x in own)
+        assert sum(x["words"] for x in own) == sum(x["taken"] for x in mixed if source[x["doc_id"]] == s)
+    # the discrepancy of golden-ratio points is logarithmic: no prefix strays by more than a few slots
+    regular = [x["source"] for x in slots]
+    for n in range(1, len(regular) + 1, 7):
+        for s, own in got.items():
+            assert abs(sum(x == s for x in regular[:n]) - n * len(own) / len(regular)) < 8
+    # a document's first slot is the first that reads one of its blocks
+    assert all((x["first_slot"] is None) == (x["taken"] == 0) for x in mixed)
+    assert {x["first_slot"] for x in mixed} - {None} <= {x["slot"] for x in slots}
+    assert min(x["first_slot"] for x in mixed if x["first_slot"] is not None) == slots[0]["slot"]
+
+
 # -- 2
 
 
@@ -491,6 +552,7 @@ def test_block_max_is_exact():
     expected = -np.sort(-(q @ whole.T), axis=1)[:, :15]
     who, cosine = index.nearest(q, 15)
     assert np.allclose(cosine, expected, atol=1e-5)
+    assert len(index.blocks) == 8 and (index.column >= 0).any() and (index.column < 0).any()
     assert np.allclose(np.take_along_axis(q @ whole.T, np.maximum(who, 0), 1) * (who >= 0), cosine, atol=1e-5)
 
 
