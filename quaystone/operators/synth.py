@@ -304,6 +304,42 @@ def _day_weights(cfg: GeneratorConfig) -> list[float]:
     return out
 
 
+def largest_remainder(total: int, mix: dict[str, float]) -> dict[str, int]:
+    """Whole parts of ``total`` by share: rounded down, and what is left goes to the largest remainders, the earlier name first."""
+    exact = {name: round(total * share / sum(mix.values()), 9) for name, share in mix.items()}
+    parts = {name: math.floor(x) for name, x in exact.items()}
+    for name in sorted(mix, key=lambda n: parts[n] - exact[n])[: total - sum(parts.values())]:
+        parts[name] += 1
+    return parts
+
+
+def invariants(spark: SparkSession, cfg: GeneratorConfig) -> DataFrame:
+    """check, n: counts that hold for every seed, with 0 for faults: sizes of all tables, fraud by pattern, ids and errors."""
+    raw = raw_transactions(spark, cfg)
+    bad = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
+    is_ = lambda e: F.coalesce(F.col("_error") == e, F.lit(False))
+    month = F.date_format("_at", "yyyy-MM")
+    once = raw.agg(
+        F.count(F.lit(1)).alias("transactions"),
+        *[bad(F.col("pattern") == p).alias(f"fraud: {p}") for p in FRAUD_MIX],
+        bad(F.col("pattern").isNotNull() & F.col("_error").isNotNull()).alias("errors on fraud"),
+        bad((F.col("transaction_id") == "") != is_("null_transaction_id")).alias("empty ids not injected"),
+        bad((F.col("transaction_id") != F.col("_id")) & ~is_("null_transaction_id") & ~is_("duplicate_transaction_id")).alias("ids not of their row"),
+        bad((F.to_date("_at") < F.lit(cfg.date_start)) | (F.to_date("_at") > F.lit(cfg.date_end))).alias("outside the window"),
+        bad(F.col("file_name") != F.concat(F.lit("txn_"), month, F.lit(".csv"))).alias("not in the file of their month"),
+        bad((F.col("location_id") == "loc_bad_record") != is_("invalid_location")).alias("bad locations not injected"),
+    )
+    sizes = {"customers": customers, "accounts": accounts, "merchants": merchants, "devices": devices, "cards": cards}
+    out = once.unpivot([], once.columns, "check", "n")
+    for name, make in sizes.items():
+        out = out.unionByName(make(spark, cfg).agg(F.countDistinct(CSV_SOURCES[name][0][0]).alias("n")).select(F.lit(name).alias("check"), "n"))
+    faults = validate_raw(raw.select(*TRANSACTION_COLUMNS), error_manifest(raw), fraud_labels(raw), customers(spark, cfg), accounts(spark, cfg), merchants(spark, cfg))
+    out = out.unionByName(faults.where("check <> 'rows'"))
+    rates = exchange_rates(spark, cfg).select(F.size("records").cast("long").alias("n")).select(F.lit("rate days").alias("check"), "n")
+    events = customer_events(spark, cfg).agg(F.sum(F.size("records")).cast("long").alias("n")).select(F.lit("customer events").alias("check"), "n")
+    return out.unionByName(rates).unionByName(events)
+
+
 def clean_transactions(spark: SparkSession, cfg: GeneratorConfig) -> DataFrame:
     """Typed transactions with fraud, before any error: ``pattern`` is null for legitimate ones.
 
@@ -315,10 +351,9 @@ def clean_transactions(spark: SparkSession, cfg: GeneratorConfig) -> DataFrame:
     # fraud rows are spread evenly: every (n / fraud_rows)-th row, shifted by the seed
     stride = max(n // max(fraud_rows, 1), 1)
     nth = F.when((F.pmod(F.col("id"), F.lit(stride)) == cfg.seed % stride) & (F.floor(F.col("id") / stride) < fraud_rows), F.floor(F.col("id") / stride))
-    bound, pattern = 0.0, None
-    for name, share in FRAUD_MIX.items():
-        bound += share
-        edge = round(fraud_rows * bound)
+    edge, pattern = 0, None
+    for name, rows_of in largest_remainder(fraud_rows, FRAUD_MIX).items():
+        edge += rows_of
         pattern = F.when(nth < edge, name) if pattern is None else pattern.when(nth < edge, name)
     group = F.lit(None).cast("long")
     for name, size in FRAUD_GROUP.items():

@@ -256,6 +256,15 @@ ORACLES = {
     "quarantine_gates": with_steps(_gates(*_QUARANTINE_GATES), "silver", "clean"),
     "gold_gates": with_steps(_gates(*_GOLD_GATES), "clean", "fact", "dim_date"),
     "mart_gates": with_steps(_gates(*_MART_GATES), "fact", "dim_customer", "mart_daily", "mart_customer", "mart_merchant", "mart_features"),
+    "generator_invariants": """
+WITH c AS (SELECT (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM supplier) AS merchants, (SELECT count(*) FROM orders) AS n, CAST(round_even((SELECT count(*) FROM orders) * 0.007, 0) AS BIGINT) AS fraud),
+mix AS (SELECT * FROM (VALUES (1, 'velocity_burst', 0.25), (2, 'amount_spike', 0.20), (3, 'new_device_location', 0.20), (4, 'cross_country', 0.15), (5, 'night_high_amount', 0.12), (6, 'card_testing', 0.08)) m(nth, pattern, share)),
+part AS (SELECT nth, pattern, fraud, CAST(floor(round(fraud * share, 9)) AS BIGINT) AS whole, round(fraud * share, 9) - whole AS rest FROM mix, c),
+given AS (SELECT pattern, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, nth) <= fraud - sum(whole) OVER () THEN 1 ELSE 0 END AS n FROM part)
+SELECT 'fraud: ' || pattern AS "check", CAST(n AS BIGINT) AS n FROM given UNION ALL SELECT 'fraud_labels', fraud FROM c UNION ALL SELECT 'transactions', n FROM c
+UNION ALL SELECT unnest(['errors on fraud', 'empty ids not injected', 'ids not of their row', 'outside the window', 'not in the file of their month', 'bad locations not injected', 'unexpected_orphans', 'unexpected_faults', 'unexpected_duplicates']), 0
+UNION ALL SELECT 'customers', customers FROM c UNION ALL SELECT 'merchants', merchants FROM c UNION ALL SELECT 'accounts', CAST(round_even(customers * 1.2, 0) AS BIGINT) FROM c UNION ALL SELECT 'devices', CAST(round_even(customers * 1.5, 0) AS BIGINT) FROM c
+UNION ALL SELECT 'cards', CAST(round_even(customers * 0.8, 0) AS BIGINT) FROM c UNION ALL SELECT 'rate days', date_diff('day', DATE '2025-12-13', DATE '2026-06-10') + 1 UNION ALL SELECT 'customer events', CAST(greatest(customers, round_even(customers * 2.5, 0)) AS BIGINT) FROM c""",
     "landing_csv": with_steps("SELECT *, '2024-01-01T00:00:00' AS _ingested_at, 'merchants.csv' AS _source_file, 'merchant_gateway' AS _source_system, 'b1' AS _batch_id FROM raw_merchants", "raw_merchants"),
     "landing_transactions": with_steps("SELECT *, 'txn_month=' || _partition_month AS _source_file FROM raw_transactions", "raw_transactions"),
     "landing_rates_json": with_steps(

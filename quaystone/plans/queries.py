@@ -427,7 +427,7 @@ def mart_gates(spark, sf_dir):
     return gates(spark, marts.verify(s.fact, *built, s.dim_customer))
 
 
-# -- generator: rows only
+# -- generator
 
 
 def small(spark: SparkSession, sf_dir: str) -> synth.GeneratorConfig:
@@ -456,3 +456,8 @@ def generator_validation(spark, sf_dir):
     cfg = small(spark, sf_dir)
     raw = synth.raw_transactions(spark, cfg)
     return synth.validate_raw(raw.select(*landing.TRANSACTION_COLUMNS), synth.error_manifest(raw), synth.fraud_labels(raw), synth.customers(spark, cfg), synth.accounts(spark, cfg), synth.merchants(spark, cfg))
+
+
+@query
+def generator_invariants(spark, sf_dir):
+    return synth.invariants(spark, small(spark, sf_dir))
