@@ -6,14 +6,13 @@ scanned and what was found; a run scans only unseen pairs and joins the findings
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import Scratch, chunks, id_out, salted_left_join, with_ids
+from quaystone.llm.common import Scratch, children, chunks, id_out, salted_left_join, with_ids
 
 #: Pattern, group whose length counts, least length; in the order in which kinds are listed.
 RULES = {
@@ -24,6 +23,8 @@ RULES = {
 }
 BASE = ("assign", "access", "hex")
 RULE_VERSIONS = {"assign": 1, "access": 1, "hex": 1, "pem": 1}
+#: Unseen blobs, of about 150 bytes each, that are sent to the texts at most.
+FEW = 50_000
 _COMPILED = {k: (re.compile(p, f | re.ASCII), g, n) for k, (p, g, n, f) in RULES.items()}
 
 
@@ -62,13 +63,9 @@ class BlobLedger:
 
     def __init__(self, scratch: Scratch, path: str | None = None):
         self.scratch, self.path, self.parts, self.runs, self.rules = scratch, path, [], 0, dict(RULE_VERSIONS)
-        if path and self._exists(path):
+        if path and children(scratch.spark, path):
             self.parts = [self._stored()]
 
-    def _exists(self, path: str) -> bool:
-        p = self.scratch.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.scratch.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
     def _stored(self) -> DataFrame:
         return self.scratch.spark.read.schema(self.SCHEMA).parquet(self.path)
 
@@ -102,8 +99,10 @@ class BlobLedger:
             missing = F.array_except(wanted, F.coalesce("known", F.array().cast("array<string>")))
         else:
             missing = wanted
-        unseen = first.select("row", "blob", missing.alias("rules")).where(F.size("rules") > 0)
-        texts = versions.select("row", "text", F.sha2("text", 256).alias("blob")).join(unseen.hint("shuffle_hash"), ["row", "blob"])
+        unseen = self.scratch.keep(first.select("row", "blob", missing.alias("rules")).where(F.size("rules") > 0), f"unseen{self.runs}")
+        # few unseen blobs, as in most runs after the first, are sent to the texts; else texts are dealt to them
+        unseen = F.broadcast(unseen) if unseen.count() <= FEW else unseen.hint("shuffle_hash")
+        texts = versions.select("row", "text", F.sha2("text", 256).alias("blob")).join(unseen, ["row", "blob"])
         self._append(texts.mapInArrow(_scan, self.SCHEMA))
         return paths
 

@@ -17,7 +17,7 @@ from quaystone.llm.labelled import Isotonic
 from quaystone.llm.line_dedup import line_dedup
 from quaystone.llm.minhash_forest import near_duplicates
 from quaystone.llm.mixing import mix, mix_schedule, source_targets
-from quaystone.llm.quality import fit_quality, keep_quality, score_quality, statistics
+from quaystone.llm.quality import INNER, RIDGE, Kernel, fit_quality, keep_quality, score_quality, statistics
 from quaystone.llm.runs import shared_members
 from quaystone.llm.secret_scan import BlobLedger, find_spans, scan_secrets
 from quaystone.llm.substring_dedup import COMPACT, FingerprintLog, substring_dedup
@@ -584,3 +584,102 @@ def test_large_groups_are_linked_in_blocks(spark):
     rows = [(i, " ".join(base[4 * i : 4 * i + 160])) for i in range(20)]
     found = {x["doc_id"]: x["component_id"] for x in near_duplicates(frame(spark, rows), block=5).collect()}
     assert found == {d: c for d, (_, c, _) in brute_near(rows).items()} and set(found.values()) == {0}
+
+
+def brute_toxicity(docs, truth, neighbours=15):
+    """Scores from dictionaries: terms, document counts over all texts, weights, cosines, votes, pooled calibration."""
+    from collections import Counter
+    from math import log, log1p, sqrt
+
+    def counts(text):
+        out = Counter()
+        for w, n in Counter((text or "").encode().lower().split()).items():
+            for t in terms_of(w):
+                out[t] += n
+        return out
+
+    vectors = [counts(t) for _, t in docs]
+    learnt = [i for i, (d, t) in enumerate(docs) if d is not None and t is not None and d in truth and zlib.crc32(str(d).encode()) % 3 != 1]
+    df = Counter(t for v in vectors for t in v)
+    y = [truth[docs[i][0]] for i in learnt]
+    p1, p0 = sum(y), len(y) - sum(y)
+    n1, n0 = Counter(), Counter()
+    for i, label in zip(learnt, y, strict=True):
+        (n1 if label else n0).update(vectors[i].keys())
+    weight = {}
+    for t in n1.keys() | n0.keys():
+        a, b, share = n1[t], n0[t], p1 / (p0 + p1)
+        part = lambda x, s, n=a + b: x * log(x / (n * s)) if x else 0.0
+        lean = 2 * (part(a, share) + part(b, 1 - share)) if a / p1 > b / p0 else 0.0
+        weight[t] = (log((1 + len(docs)) / (1 + df[t])) + 1) * sqrt(1 + lean)
+    unit = []
+    for v in vectors:
+        w = {t: log1p(n) * weight[t] for t, n in v.items() if t in weight}
+        norm = sqrt(sum(x * x for x in w.values())) or 1.0
+        unit.append({t: x / norm for t, x in w.items()})
+
+    def vote(i, without=None):
+        near = sorted(((sum(x * unit[j].get(t, 0.0) for t, x in unit[i].items()), y[k]) for k, j in enumerate(learnt) if without is None or docs[j][0] != without), reverse=True)[:neighbours]
+        w = [(c / max(1.05 - c, 0.05), label) for c, label in near if c > 0]
+        return sum(x * label for x, label in w) / (sum(x for x, _ in w) + 0.05)
+
+    calibrate = Isotonic(np.array([vote(i, docs[i][0]) for i in learnt]), np.array(y))
+    return calibrate(np.array([vote(i) for i in range(len(docs))]))
+
+
+def test_toxicity_score_by_brute_force(spark):
+    r = random.Random(17)
+    vocabulary = [f"wort{i}" for i in range(120)]
+    docs, truth = [], {}
+    for i in range(160):
+        w = [r.choice(vocabulary) + r.choice(["", "", ".", ","]) for _ in range(r.randint(5, 60))]
+        truth[i] = int(r.random() < 0.25)
+        if truth[i]:
+            w[r.randrange(len(w))] = r.choice(["vile", "Vilest", "nasty"])
+        docs.append((i, " ".join(w)))
+    docs += [(500, "é " + "wort1 " * 20_000), (501, None), (502, ""), (503, docs[3][1]), (None, docs[4][1])]
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    df = frame(spark, docs)
+    found = {x["doc_id"]: x["score"] for x in score_toxicity(df, fit_toxicity(df, labels)).collect()}
+    expected = brute_toxicity(docs, truth)
+    assert np.allclose([found[d] for d, _ in docs], expected, atol=2e-3), max(abs(found[d] - e) for (d, _), e in zip(docs, expected, strict=True))
+    assert found[503] == found[3] and found[None] == found[4]
+
+
+def test_kernel_is_near_a_gaussian():
+    r = np.random.RandomState(3)
+    x = r.normal(0, 1, (60, 8))
+    k = Kernel(np.zeros(8), np.ones(8), features=8192, gamma=0.05)
+    z = k(x)[:, :8192]
+    exact = np.exp(-0.05 * ((x[:, None] - x[None]) ** 2).sum(-1))
+    assert abs(z @ z.T - exact).max() < 0.06
+
+
+def test_quality_equations_and_calibration_by_brute_force(spark):
+    docs, df, labels, truth = labelled_corpus(spark, 300)
+    docs.append((900, "x y " * 30_000))
+    df = frame(spark, docs)
+    model = fit_quality(df, labels)
+    learnt = [(d, t, truth[d][0]) for d, t in docs if d in truth and d is not None and t is not None and zlib.crc32(str(d).encode()) % 5 != 0]
+    x = np.array([statistics(t.encode()) for _, t, _ in learnt])
+    y = np.array([q for *_, q in learnt], float)
+    assert np.allclose(model.kernel.mean, x.mean(0)) and np.allclose(model.kernel.deviation, np.where(x.std(0) > 1e-9, x.std(0), 1.0))
+    z = model.kernel(x)
+    ridge = RIDGE * np.eye(z.shape[1])
+    ridge[-1, -1] = 1e-6
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + ridge, z.T @ y), atol=1e-6)
+    fold = np.array([zlib.crc32(b"fold:%d" % d) % INNER for d, *_ in learnt])
+    raw = np.zeros(len(y))
+    for f in range(INNER):
+        a, b = z[fold != f], y[fold != f]
+        raw[fold == f] = z[fold == f] @ np.linalg.solve(a.T @ a + ridge, a.T @ b)
+    # the largest of the smallest means that end there: isotonic regression by its definition
+    order = np.argsort(raw, kind="stable")
+    raw, y = raw[order], y[order]
+    best = [max(min(y[j : k + 1].mean() for k in range(i, len(y))) for j in range(i + 1)) for i in range(0, len(y), 9)]
+    plain = Isotonic(raw, y, prior=0)
+    assert np.allclose(plain(raw[::9]), best, atol=1e-9)
+    assert np.allclose(model.calibrate(raw), Isotonic(raw, y)(raw), atol=1e-6)
+    found = {r["doc_id"]: r["score"] for r in score_quality(df, model).collect()}
+    assert all(abs(found[d] - model.scores([(t or "").encode()])[0]) < 1e-9 for d, t in docs[::13])
+    assert keep_quality(df.withColumn("_bytes", F.lit(1)), model).count() == sum(r >= 0.3 for r in [found[d] for d, _ in docs])

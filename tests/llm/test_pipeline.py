@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from quaystone.llm.quality import fit_quality, score_quality
 from quaystone.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -29,9 +30,26 @@ def test_stages(spark, tmp_path):
     lines = spark.read.parquet(f"{tmp_path}/lines")
     assert lines.where(F.length("text") != F.col("n_chars")).count() == 0
     kept = {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/near").collect()}
-    from tests.llm.test_operators import brute_near
+    from tests.llm.test_operators import brute_near, fill, words
 
     assert kept == {d for d, (_, _, k) in brute_near([(r["doc_id"], r["text"]) for r in lines.collect()]).items() if k}
+    # benchmark: no kept document holds three quarters of an item, every other one does
+    grams = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))(words(t, True))
+    items = [g for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if (g := grams(r["text"]))]
+    clean = {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/near").collect() if not any(100 * len(grams(r["text"]) & g) >= 75 * len(g) for g in items)}
+    left = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/benchmark").collect()}
+    assert left.keys() == clean
+    # mixture: every source at its target
+    sizes, taken = {}, {}
+    for r in spark.read.parquet(f"{tmp_path}/mixture").collect():
+        source = left[r["doc_id"]]["source"]
+        assert r["size"] == len(words(left[r["doc_id"]]["text"]))
+        sizes[source], taken[source] = sizes.get(source, 0) + r["size"], taken.get(source, 0) + r["taken"]
+    assert all(abs(taken[s] - t) <= 1 for s, t in fill(sizes).items())
+    # quality: what the fitted model, tested against brute force elsewhere, accepts
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    accepted = {r["doc_id"] for r in score_quality(docs, fit_quality(docs, labels)).where("score >= 0.3").collect()}
+    assert {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/quality").collect()} == accepted
 
 
 def test_run(spark):
@@ -43,5 +61,5 @@ def test_run(spark):
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)]])
 def test_stages_on_odd_tables(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == len(rows)
