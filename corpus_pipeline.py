@@ -61,6 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = scratch.keep(stage(spark, docs, sf_dir), f"{i}-{name}")
-        if i > 1:
+        if i:
             scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs
