@@ -24,7 +24,7 @@ RULES = {
 BASE = ("assign", "access", "hex")
 RULE_VERSIONS = {"assign": 1, "access": 1, "hex": 1, "pem": 1}
 #: Unseen blobs, of about 150 bytes each, that are sent to the texts at most.
-FEW = 50_000
+FEW = 10_000
 _COMPILED = {k: (re.compile(p, f | re.ASCII), g, n) for k, (p, g, n, f) in RULES.items()}
 
 
