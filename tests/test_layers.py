@@ -244,3 +244,73 @@ def test_empty_tables(spark, empty):
     else:
         f = facts(spark, [(1, 7, 1, 1, "2026-01-01T00:00:00", 10, "success", None)]).limit(0)
         assert marts.mart_daily(f, dims.calendar(spark)).count() == 0 and dims.calendar(spark).count() == 243
+
+
+def test_percentiles_of_groups_with_ties_and_nulls(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), r.choice([1.0, 1.0, 2.5, r.random() * 100])) for _ in range(400)] + [("a", None), ("only null", None), ("one", 7.0)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    by = {}
+    for k, x in rows:
+        if x is not None:
+            by.setdefault(k, []).append(x)
+    at = (0.0, 0.25, 0.5, 0.999, 1.0)
+    found = {(x["k"], x["q"]): x["value"] for x in analytics.percentiles(df, "x", at, ("k",)).collect()}
+    assert found.keys() == {(k, q) for k in by for q in at}
+    assert all(abs(v - np.quantile(by[k], q)) < 1e-9 for (k, q), v in found.items())
+    assert {x["k"]: x["median"] for x in analytics.median_by(df, "k", "x").collect()}["only null"] is None
+    assert analytics.quantiles(df.limit(0), "x").count() == 0
+
+
+def test_exact_distinct_counts_and_busiest_hour(spark):
+    import random
+
+    r = random.Random(8)
+    base, day = dt.datetime(2024, 1, 1), 86_400
+    seconds = sorted([0, day, day, day + 1, 7 * day, 7 * day + 1, *(r.choice([r.randrange(9 * day), r.randrange(9) * day]) for _ in range(120))])
+    rows = [(f"t{i:03}", r.choice(["c1", "c2"]), base + dt.timedelta(seconds=t), 1.0, "success", r.randrange(3), r.randrange(4), "VN") for i, t in enumerate(seconds)]
+    df = spark.createDataFrame(rows, "transaction_id string, customer_id string, event_time timestamp_ntz, amount_vnd double, status string, device_sk long, merchant_sk long, txn_country string")
+    found = {x["transaction_id"]: x for x in marts.behaviour(df, exact_distinct=True).collect()}
+    near = lambda row, span: [o for o in rows if o[1] == row[1] and 0 <= (row[2] - o[2]).total_seconds() <= span]
+    for row in rows:
+        assert found[row[0]]["unique_merchants_24h_exact"] == len({o[6] for o in near(row, day)})
+        assert found[row[0]]["unique_devices_7d_exact"] == len({o[5] for o in near(row, 7 * day)})
+    times = [base + dt.timedelta(seconds=r.randrange(40_000)) for _ in range(300)]
+    times += [times[0] + dt.timedelta(hours=1)] * 3
+    expected = max(sum(0 <= (t - o).total_seconds() <= 3600 for o in times) for t in times)
+    assert marts.busiest_hour(spark.createDataFrame([(t,) for t in times], "event_time timestamp_ntz")).first()[0] == expected
+    assert marts.busiest_hour(df.limit(0)).first()[0] is None
+
+
+def test_keep_first(spark):
+    rows = [("k", "b", "2"), ("k", "a", "3"), ("k", "c", "2"), ("m", "z", None), ("m", "y", "9")]
+    df = spark.createDataFrame(rows, "k string, v string, source_row_number string")
+    assert sorted(map(tuple, dims.keep_first(df, "k", ["k", "v"]).collect())) == [("k", "b"), ("m", "y")]
+    assert sorted(map(tuple, dims.keep_first(df.drop("source_row_number"), "k", ["k", "v"]).collect())) == [("k", "a"), ("m", "y")]
+
+
+def test_scratch_is_owned(spark):
+    from types import SimpleNamespace
+
+    from quaystone.sources.scratch import Scratch, scratch_dir
+
+    with Scratch(spark) as s:
+        assert s.keep(spark.range(3), "x").count() == 3
+        path = f"{s.base}/x"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch_dir(cluster)
+
+
+def test_largest_remainder():
+    from quaystone.operators.synth import FRAUD_MIX, largest_remainder
+
+    for n in (0, 1, 7, 10, 105, 14_000):
+        parts = largest_remainder(n, FRAUD_MIX)
+        assert sum(parts.values()) == n and all(abs(parts[k] - n * v) < 1 for k, v in FRAUD_MIX.items())
