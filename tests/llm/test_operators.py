@@ -144,6 +144,7 @@ def test_line_dedup(spark, least):
     lines = ["Common", " common\t", "COMMON\x0b", "é", "É", "", " x", "once"]
     rows = [(i, "\n".join(r.choice(lines) if r.random() < 0.6 else f"u{i}-{j}" for j in range(r.randrange(6)))) for i in range(40)]
     rows += [(100, None), (101, ""), (102, "\n\n"), (None, "common\nmine"), (103, "common\n" * 5000 + "end")]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     key = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s.strip(BLANK))
     holders = {}
     for d, t in rows:
@@ -160,6 +161,7 @@ def test_line_dedup(spark, least):
         assert bits.tolist() == [int(key(x) not in bad) for x in ls]
         assert f["keep_sha256"] == sha("".join(map(str, bits.tolist())))
     assert line_dedup(frame(spark, [])).count() == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before  # the session is the caller's
 
 
 def test_line_dedup_of_repeated_ids_and_first_places(spark):
