@@ -103,3 +103,16 @@ def broken_constraints(table: DataFrame, *, unique: tuple[str, ...] = (), not_nu
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+class ConstraintError(ValueError):
+    """Declared keys that the rows break."""
+
+
+def enforce(table: DataFrame, **constraints) -> DataFrame:
+    """``table`` itself, if it breaks none of the constraints (as for ``broken_constraints``), so that a table is written only
+    with its keys in order, as a database would have it."""
+    broken = {r["constraint"]: r["rows"] for r in broken_constraints(table, **constraints).where("rows > 0").collect()}  # a row for each constraint
+    if broken:
+        raise ConstraintError(f"rows that break constraints: {broken}")
+    return table

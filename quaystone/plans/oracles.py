@@ -273,6 +273,9 @@ UNION ALL SELECT 'cards', CAST(round_even(customers * 0.8, 0) AS BIGINT) FROM c
         "raw_rates",
     ),
     "replaced_partitions": "SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN value + 1 ELSE value END AS value FROM events",
+    "ctas_mart": "SELECT o_orderstatus, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
+    "footer_rows": "SELECT count(*) AS rows FROM orders",
+    "schema_only": "SELECT column_name AS name FROM (DESCRIBE SELECT * FROM events)",
     "sql_script": "SELECT o_orderpriority, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 1000 GROUP BY 1",
     "q0_quality_peek": with_steps(
         f"SELECT count(*) AS total_rows, {_n('NOT coalesce(isfinite(TRY_CAST(amount AS DOUBLE)), FALSE)')} AS bad_amount, {_n('TRY_CAST(transaction_time AS TIMESTAMP) IS NULL')} AS bad_timestamp, {_n(chr(39).join(['transaction_id = ', '', '']))} AS empty_txn_id FROM raw_transactions",

@@ -138,6 +138,24 @@ def replaced_partitions(spark, sf_dir):
     return spark.read.schema("event_id long, value double, event_type string").parquet(path)
 
 
+@query
+def ctas_mart(spark, sf_dir):
+    scratch = Scratch(spark)
+    name = f"quaystone_{scratch.base.rsplit('/', 1)[-1]}"
+    select = f"SELECT o_orderstatus, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM parquet.`{sf_dir}/orders.parquet` GROUP BY 1"
+    return sinks.create_table_as(spark, name, select, f"{scratch.base}/mart")
+
+
+@query
+def footer_rows(spark, sf_dir):
+    return landing.rows_by_file(spark, f"{sf_dir}/orders.parquet").agg(F.sum("rows").alias("rows"))
+
+
+@query
+def schema_only(spark, sf_dir):
+    return landing.schema_of(spark, f"{sf_dir}/events.parquet").select("name")
+
+
 @query
 def sql_script(spark, sf_dir):
     script = f"""

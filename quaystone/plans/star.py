@@ -105,6 +105,9 @@ def run_batch(spark: SparkSession, raw_dir: str, out_dir: str, *, start: dt.date
     for name in ("dim_date", "dim_customer", "dim_account", "dim_merchant", "dim_device", "dim_location", "fact"):
         sinks.replace_table(getattr(star, name), f"{gold}/{name}")
         setattr(star, name, spark.read.parquet(f"{gold}/{name}"))
+    # the keys that the star schema declares; the gates below report the same and more
+    keys = {f"{k}_sk": (getattr(star, f"dim_{k}"), f"{k}_sk") for k in ("customer", "account", "merchant", "device", "location")}
+    fact.enforce(star.fact, unique=("transaction_id",), not_null=("transaction_id", "date_key", *keys), foreign=keys | {"date_key": (star.dim_date, "date_key")})
     others = {k: getattr(star, f"dim_{k}") for k in ("account", "merchant", "device", "location")}
     gates["gold"] = fact.verify(star.fact, star.clean, others, star.dim_date, star.dim_customer, raw["fraud_labels"])
     built = {

@@ -95,6 +95,11 @@ def rows_by_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def schema_of(spark: SparkSession, path: str) -> DataFrame:
+    """name, type of a parquet table's columns, from its footers alone."""
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in spark.read.parquet(path).schema], "name string, type string")
+
+
 def distinct_ids(df: DataFrame, column: str) -> DataFrame:
     """The stripped ids of a table, once each."""
     return df.select(strip(column).alias(column)).distinct()

@@ -20,6 +20,14 @@ def replace_partitions(df: DataFrame, path: str, *columns: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
 
 
+def create_table_as(spark: SparkSession, table: str, select: str, path: str | None = None) -> DataFrame:
+    """CREATE TABLE AS in place of a table of that name; with ``path`` its files are there and outlive the session."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    location = f"LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE {table} USING parquet {location} AS {select}")
+    return spark.table(table)
+
+
 def statements(sql: str) -> list[tuple[str, str]]:
     """(name, statement) of a SQL script: split at semicolons outside quotes and comments; the name comes from the last
     ``-- name: ...`` line before the statement."""

@@ -308,6 +308,14 @@ def test_scratch_is_owned(spark):
         scratch_dir(cluster)
 
 
+def test_keys_are_enforced(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (2, None)], "id int, k string")
+    keys = spark.createDataFrame([("a",)], "k string")
+    assert fact.enforce(t, not_null=("id",)) is t
+    with pytest.raises(fact.ConstraintError, match="unique.*foreign"):
+        fact.enforce(t, unique=("id",), not_null=("id",), foreign={"k": (keys, "k")})
+
+
 def test_largest_remainder():
     from quaystone.operators.synth import FRAUD_MIX, largest_remainder
 
