@@ -28,7 +28,7 @@ CHANNEL_MIX = {
     "withdrawal": {"atm": 0.82, "mobile": 0.18},
     "topup": {"mobile": 0.72, "atm": 0.18, "web": 0.10},
 }
-#: mu, sigma, cap in VND
+#: Mu, sigma, cap in VND of amounts.
 AMOUNT = {
     "debit": (10.900768, 1.201596, 3584168),
     "payment": (11.968131, 1.184834, 1794028),
@@ -39,6 +39,7 @@ AMOUNT = {
 FRAUD_FLOOR = {"transfer": (15.920044, 1.861425), "withdrawal": (15.843907, 2.101312)}
 OTHER_FLOOR = (14.0, 0.85)
 PER_UNIT = {"VND": 1.0, "USD": 25_400.0, "EUR": 27_300.0}
+#: Share of each hour, and how fraud is made.
 HOURS = (
     0.010, 0.006, 0.004, 0.004, 0.005, 0.008, 0.018, 0.040, 0.058, 0.067, 0.070, 0.071,
     0.072, 0.070, 0.068, 0.066, 0.065, 0.067, 0.069, 0.065, 0.052, 0.036, 0.024, 0.015,
@@ -62,6 +63,7 @@ FRAUD_CHANNELS = {
     "card_testing": {"pos": 0.35, "web": 0.65},
 }
 SPIKE_CAP = 400_000_000
+#: Share of rows with each error, and the bucket that should catch it.
 ERROR_RATES = {
     "null_transaction_id": 0.0010,
     "duplicate_transaction_id": 0.0020,
@@ -80,6 +82,7 @@ EXPECTED_BUCKET = {
     "invalid_amount": "quarantine_invalid_amount",
     "invalid_timestamp": "quarantine_invalid_timestamp",
 }
+#: Reference locations.
 LOCATIONS = [
     ("loc_vn_hcm", "VN", "Ho Chi Minh City", "South", "10.7769", "106.7009", "Asia/Ho_Chi_Minh"),
     ("loc_vn_hn", "VN", "Hanoi", "North", "21.0278", "105.8342", "Asia/Ho_Chi_Minh"),
