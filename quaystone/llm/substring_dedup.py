@@ -27,8 +27,8 @@ from quaystone.llm.common import NULL_ID, Scratch, WordHashes, children, chunks,
 from quaystone.llm.runs import shared_members
 
 GRAM = 8
-#: Buckets of a run, the shares that one fingerprint's documents are dealt over, and runs that are compacted into one.
-BUCKETS, SALTS, COMPACT = 64, 8, 4
+#: Shares that one fingerprint's documents are dealt over, and runs that are compacted into one.
+SALTS, COMPACT = 16, 4
 SECOND = np.uint64(0xA24BAED4963EE407)
 
 
@@ -105,24 +105,26 @@ class FingerprintLog:
     """Sorted immutable runs of (k1 = fingerprint, salt, doc) as bucketed tables in a folder shared by the cluster.
 
     With a ``path`` the runs are there, and a later session that names the same path goes on with them; without one they
-    are scratch of this object.  One session at a time may write a path.
+    are scratch of this object.  One session at a time may write a path.  A new run has ``buckets`` buckets, as many as the
+    session has shuffle partitions if none are given; a run keeps its own number.
     """
 
-    def __init__(self, scratch: Scratch, path: str | None = None):
+    def __init__(self, scratch: Scratch, path: str | None = None, buckets: int | None = None):
         self.scratch, self.spark = scratch, scratch.spark
+        self.buckets = buckets or int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = path or f"{scratch.base}/log"
         self.runs = {name: self._open(name) for name in children(self.spark, self.path) if name.startswith("run-")}
 
     def _open(self, name: str) -> str:
         """The run as a table of this session's catalog."""
-        table = f"quaystone_{uuid.uuid4().hex}"
-        self.spark.sql(f"CREATE TABLE {table} (k1 BIGINT, salt INT, doc BIGINT) USING parquet CLUSTERED BY (k1, salt) SORTED BY (k1, salt, doc) INTO {BUCKETS} BUCKETS LOCATION '{self.path}/{name}'")
+        table, buckets = f"quaystone_{uuid.uuid4().hex}", name.split("-")[2]
+        self.spark.sql(f"CREATE TABLE {table} (k1 BIGINT, salt INT, doc BIGINT) USING parquet CLUSTERED BY (k1, salt) SORTED BY (k1, salt, doc) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
         return table
 
     def _append(self, rows: DataFrame) -> None:
-        name = f"run-{max((int(n.split('-')[1]) for n in self.runs), default=0) + 1:08d}"
+        name = f"run-{max((int(n.split('-')[1]) for n in self.runs), default=0) + 1:08d}-{self.buckets}"
         table = self._open(name)
-        rows.repartition(BUCKETS, "k1", "salt").write.insertInto(table)
+        rows.repartition(self.buckets, "k1", "salt").write.insertInto(table)
         self.runs[name] = table
 
     def _forget(self, names: list[str]) -> None:
