@@ -382,6 +382,22 @@ def test_format_chats(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
+def test_long_conversations_over_many_batches(spark):
+    r = random.Random(2)
+    turns = [(c, i, r.choice(["user", "assistant"]), r.choice(["", "</s>", "text " * 50, "<|im_end|>"])) for c in (1, 2, None) for i in range(700)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(6)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    found = {x["conv_id"]: x for x in format_chats(df, with_text=True).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for c in (1, 2, None):
+        own = [t for t in turns if t[0] == c]
+        x = found[c]
+        assert x["n_turns"] == 700 and x["turns_sha256"] == sha("".join(f"{t[2]}\n{t[3]}\n" for t in own))
+        assert x["loss_sha256"] == sha("".join(t[3] for t in own if t[2] == "assistant"))
+        assert [p[:2] for p in parse(x["formatted"])] == [t[2:] for t in own]  # the whole output is in the grammar
+
+
 # -- 8
 
 
@@ -411,6 +427,7 @@ def test_targets_fill_up(spark):
 
 def test_mix(spark):
     rows = corpus(12, 200) + [(900, "one two three", "rare"), (901, "x " * 3000, "b"), (901, "x " * 3000, "b")]
+    rows += [(None, f"n{i} " * (i % 9), "a") for i in range(300)]
     found = mix(frame(spark, rows)).collect()
     assert len(found) == len(rows)
     sizes = {}
@@ -419,6 +436,7 @@ def test_mix(spark):
     target = fill(sizes)
     source = {d: s for d, _, s in rows}
     taken = {}
+    source[None] = "a"
     for x in found:
         s = source[x["doc_id"]]
         assert x["source_size"] == sizes[s] and abs(x["target"] - target[s]) < 1e-6 * max(1, target[s])
