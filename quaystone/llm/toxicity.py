@@ -11,37 +11,55 @@ examples, with each term's largest weight in the block: a block whose bound stay
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import Scratch, ranges, signed
+from quaystone.llm.common import Scratch, mix, ranges, signed
 from quaystone.llm.labelled import Isotonic, held_out, training_sample
 
 #: Labelled rows in the index, at most about so many; neighbours that vote; rows and bytes of text taken at a time.
 SAMPLE, NEIGHBOURS, ROWS, BYTES = 6000, 15, 256, 2_000_000
 #: A term that one in so many examples holds is in the blocks' matrices; examples of a block; queries taken at a time.
-DENSE, BLOCK, QUERIES = 16, 64, 128
+DENSE, BLOCK, QUERIES, CACHED = 16, 64, 128, 8
 #: How the contract splits rows and cuts scores.
 FOLDS, HELD, CUT = 3, 1, 0.7
 _AROUND = b".,;:!?\"'()[]{}<>*#$%&|-_"
-_CACHE = 300_000
+_STEMS = (4, 6, 8)
 
 
 def terms_of(word: bytes) -> tuple[bytes, ...]:
+    """The terms of a word: itself, and marked as such its first bytes, as far as it has so many."""
     word = word.strip(_AROUND)
-    n = len(word)
-    if n < 4:
-        return (word,) if n else ()
-    if n < 6:
-        return word, b"^" + word[:4]
-    return (word, b"^" + word[:4], b"^" + word[:6]) if n < 8 else (word, b"^" + word[:4], b"^" + word[:6], b"^" + word[:8])
+    return (word, *(b"^" + word[:k] for k in _STEMS if len(word) >= k)) if word else ()
+
+
+def term_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``terms_of`` each word, a column for the word and one for each length of a stem, and which of them there
+    are.  Words are read eight bytes at a time from their buffer; no object is made of a word."""
+    words = pc.ascii_trim(words, characters=_AROUND.decode())
+    start = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    data = words.buffers()[2]
+    data = np.concatenate([np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    start, size = start[:-1], np.diff(start)
+    cut = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
+    first = eight[start] & cut[np.minimum(size, 8)]
+    out = np.empty((len(words), 1 + len(_STEMS)), np.uint64)
+    for j, k in enumerate(_STEMS, 1):
+        out[:, j] = mix((first & cut[k]) ^ np.uint64(k * 0x9FB21C651E98DF25 % 2**64))
+    whole = mix(first ^ (size.astype(np.uint64) << np.uint64(56)))
+    longer = np.flatnonzero(size > 8)
+    at = 8
+    while len(longer):
+        whole[longer] = mix(whole[longer] * np.uint64(0xD6E8FEB86659FD93) ^ (eight[start[longer] + at] & cut[np.minimum(size[longer] - at, 8)]))
+        at += 8
+        longer = longer[size[longer] > at]
+    out[:, 0] = whole
+    return out, size[:, None] >= np.array([1, *_STEMS])
 
 
 def _pieces(batches):
@@ -61,47 +79,33 @@ class Vectors:
 
     def __init__(self, known: np.ndarray | None = None):
         self.known = known
-        self._reset()
 
-    def _reset(self):
-        self.word: dict[bytes, int] = {}
-        self.starts, self.lengths, self.terms = (np.zeros(0, np.int64) for _ in range(3))
+    def _terms(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of all words, one after another, and how many each has."""
+        hashed, real = term_hashes(words)
         if self.known is None:
-            self.terms = self.terms.view(np.uint64)
-
-    def _learn(self, words: list[bytes]):
-        own = list(map(terms_of, words))
-        lengths = np.fromiter(map(len, own), np.int64, len(own))
-        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(own)), np.uint64, int(lengths.sum()))
-        if self.known is not None:
-            at = np.minimum(np.searchsorted(self.known, hashed), max(len(self.known) - 1, 0))
-            hit = self.known[at] == hashed if len(self.known) else np.zeros(len(hashed), bool)
-            lengths = np.bincount(np.repeat(np.arange(len(own)), lengths)[hit], minlength=len(own))
-            hashed = at[hit]
-        self.starts = np.concatenate([self.starts, len(self.terms) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.terms = np.concatenate([self.terms, hashed])
-        self.word.update(zip(words, range(len(self.word), len(self.word) + len(words)), strict=True))
+            return hashed[real], real.sum(1)
+        if not len(self.known):
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        lengths, hashed = real.sum(1), hashed[real]
+        order = np.argsort(hashed)  # in order, the lookups stay in the cache
+        at = np.empty(len(hashed), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.known, hashed[order]), len(self.known) - 1)
+        hit = self.known[at] == hashed
+        return at[hit], np.bincount(np.repeat(np.arange(len(words)), lengths)[hit], minlength=len(words))
 
     def counts(self, texts: pa.Array, once: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, occurrences), by text and term; ``once`` takes a text's distinct words, where only terms matter."""
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.view(pa.string()), "")))
         coded = split.values.dictionary_encode()
-        words = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-        new = [w for w in words if w not in self.word]
-        if new and len(self.word) + len(new) > _CACHE:
-            self._reset()
-            new = words
-        if new:
-            self._learn(new)
-        known = np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
+        terms, of = self._terms(coded.dictionary)
+        starts = np.cumsum(of) - of
         row = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
-        pair, n = np.unique(row * (len(words) + 1) + coded.indices.to_numpy(), return_counts=True)
-        row, word = np.divmod(pair, len(words) + 1)
-        word = known[word]
+        pair, n = np.unique(row * (len(of) + 1) + coded.indices.to_numpy(), return_counts=True)
+        row, word = np.divmod(pair, len(of) + 1)
         n = np.ones(len(word), np.int64) if once else n
-        lengths = self.lengths[word]
-        term = self.terms[ranges(self.starts[word], lengths)]
+        lengths = of[word]
+        term = terms[ranges(starts[word], lengths)]
         row, n = np.repeat(row, lengths), np.repeat(n, lengths)
         order = np.lexsort((term, row)) if self.known is None else np.argsort(row * (len(self.known) + 1) + term)
         row, term, n = row[order], term[order], n[order]
@@ -200,10 +204,13 @@ class BlockMaxIndex:
         query = np.zeros((n, len(self.most)), np.float32)
         query[row[often], column[often]] = weight[often]
         row, number, weight = row[~often], number[~often], weight[~often]
-        lengths = self.lengths[number]
-        at = ranges(self.starts[number], lengths)
-        score = np.bincount(np.repeat(row * len(self.ids), lengths) + self.row[at], np.repeat(weight, lengths) * self.weight[at], n * len(self.ids))
-        score = score.astype(np.float32).reshape(n, -1)
+        score = np.empty((n, len(self.ids)), np.float32)
+        for q in range(0, n, CACHED):  # so few that their scores and postings stay in the cache
+            a, b = np.searchsorted(row, (q, q + CACHED))
+            lengths = self.lengths[number[a:b]]
+            at = ranges(self.starts[number[a:b]], lengths)
+            part = np.bincount(np.repeat((row[a:b] - q) * len(self.ids), lengths) + self.row[at], np.repeat(weight[a:b], lengths) * self.weight[at], min(CACHED, n - q) * len(self.ids))
+            score[q : q + CACHED] = part.reshape(-1, len(self.ids))
         best = np.maximum.reduceat(score, self.edges, axis=1)
         # the k-th best block by postings alone is a lower bound of the k-th best example
         least = np.partition(best, len(self.edges) - k, axis=1)[:, len(self.edges) - k] if len(self.edges) >= k else np.zeros(n, np.float32)
