@@ -149,8 +149,8 @@ class BlockMaxIndex:
     def __init__(self, terms, idf: np.ndarray, ids: np.ndarray, y: np.ndarray, numbers: list, counts: list):
         self.terms, self.idf = terms, idf.astype(np.float32)
         size = np.array([len(x) for x in numbers], np.int64)
-        row = np.repeat(np.arange(len(ids)), size)
-        number = np.concatenate([np.asarray(x, np.int64) for x in numbers]) if len(ids) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), size)
+        number = np.concatenate([np.asarray(x, np.int32) for x in numbers]) if len(ids) else np.zeros(0, np.int32)
         n = np.concatenate([np.asarray(x, np.float32) for x in counts]) if len(ids) else np.zeros(0, np.float32)
         weight = self.unit(row, number, n, len(ids))
         self.lengths = np.bincount(number, minlength=len(terms))
@@ -165,10 +165,11 @@ class BlockMaxIndex:
         theme[row[heavy]] = number[heavy]
         order = np.lexsort((ids, y, theme))
         self.ids, self.y = ids[order], y[order].astype(np.float32)
-        place = np.empty(len(ids), np.int64)
+        place = np.empty(len(ids), np.int32)
         place[order] = np.arange(len(ids))
-        by = np.lexsort((place[row], number))
-        self.row, self.weight = place[row[by]].astype(np.int32), weight[by]
+        row = place[row]
+        by = np.lexsort((row, number))
+        self.row, self.weight = row[by], weight[by]
         self.copies = int(np.unique(ids, return_counts=True)[1].max(initial=0))
         self.blocks = None
 
