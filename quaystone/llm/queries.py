@@ -12,10 +12,13 @@ from quaystone.llm.exact_dedup import exact_duplicates
 from quaystone.llm.line_dedup import line_dedup
 from quaystone.llm.minhash_forest import near_duplicates
 from quaystone.llm.mixing import BLOCK_WORDS, CHUNK, GOLDEN, MOST_SLOTS, PERIOD, mix
+from quaystone.llm.pieces import encode_pieces
 from quaystone.llm.quality import fit_quality, score_quality
 from quaystone.llm.secret_scan import scan_secrets
+from quaystone.llm.source_divergence import LEAST_DOCS, RANKS, UNIT, source_divergence
 from quaystone.llm.substring_dedup import substring_dedup
 from quaystone.llm.toxicity import fit_toxicity, score_toxicity
+from quaystone.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, codebooks_digest, compress_vectors, with_label_error
 
 #: Fixed value: what both turns of conversation -1 say.
 PROBE = "</s>[INST] ok [/INST]"
@@ -69,6 +72,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("keep_bitmap")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = encode_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress_vectors(read(spark, sf_dir, "embeddings"))
+    out = with_label_error(codes)
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +107,9 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_source_divergence": op13_source_divergence,
     "pipeline": pipeline,
 }
 
@@ -167,6 +191,52 @@ f AS (SELECT doc_id, min(least(whole, CASE WHEN part > greatest(begin, block * b
 SELECT e.doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(upto, rest) - begin) AS BIGINT) AS taken, first_slot FROM e LEFT JOIN f ON f.doc_id = e.doc_id"""
 
 
+def _codes_sql() -> str:
+    """Every round compares every part with every entry of its codebook; the smallest of distance * 256 + index is the
+    nearest entry, of equal ones the first."""
+    dot = lambda a, b: f"CAST(list_inner_product({a}, {b}) AS BIGINT)"
+    near = f"min(({dot('p.v', 'p.v')} - 2 * {dot('p.v', 'c.v')} + {dot('c.v', 'c.v')}) * 256 + c.k)"
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT p.row, p.part, {near} AS best FROM p JOIN c{r} c ON c.part = p.part GROUP BY ALL)")
+        if r < ROUNDS:
+            steps.append(
+                f"s{r} AS (SELECT part, k, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT a.part, best % 256 AS k, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM a{r} a JOIN p ON p.row = a.row AND p.part = a.part) GROUP BY ALL), "
+                f"m{r} AS (SELECT part, k, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY j) AS v FROM s{r} GROUP BY ALL), "
+                f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.k, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.part = c.part AND m.k = c.k)"
+            )
+    return f"""
+WITH e AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS v, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT row, part, v[part * (len(v) // {PARTS}) + 1 : (part + 1) * (len(v) // {PARTS})] AS v FROM e, range({PARTS}) t(part)),
+c0 AS MATERIALIZED (SELECT part, row - 1 AS k, v FROM p WHERE row <= {ENTRIES}),
+{', '.join(steps)},
+g AS (SELECT row, string_agg(lower(printf('%02x', best % 256)), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY row),
+h AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, k, j)) AS books FROM (SELECT part, k, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM c{ROUNDS}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, books AS codebooks_sha256 FROM e JOIN g ON g.row = e.row, h"""
+
+
+def _divergence_sql() -> str:
+    """The sums over all terms of a lang for each pair of its sources, term by term."""
+    share = lambda n, t: f"(1 + CAST({UNIT} AS HUGEINT) * ({n} + 1) // ({t}))"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT doc, lang, source, {_LOWER.format("unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'))")} AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= {LEAST_DOCS}),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+c AS MATERIALIZED (SELECT w.lang, source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+t AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS MATERIALIZED (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, {share('coalesce(c.n, 0)', 't.total + l.v')} AS p, {share('k.n', 'l.total + l.v')} AS q
+    FROM t JOIN l ON l.lang = t.lang JOIN k ON k.lang = t.lang LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+o AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source
+        LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.item = h.source
+    UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r
+QUALIFY part = 'pair' OR rank <= {RANKS}"""
+
+
 ORACLES = {
     "op2_secret_scan": _secrets_sql(),
     "op3_exact_dedup": """
@@ -197,6 +267,8 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id =
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = d.doc_id""",
     "op7_chat_format": _chat_sql(),
     "op8_source_mixing": _mixing_sql(),
+    "op12_vector_codes": _codes_sql(),
+    "op13_source_divergence": _divergence_sql(),
     "op10_line_dedup": r"""
 WITH l AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
     FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),

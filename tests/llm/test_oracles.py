@@ -21,6 +21,9 @@ FIRST = {
     "op8_source_mixing": ["doc_id", "size", "source_size", "target", "taken"],
     "op9_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
     "op10_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
+    "op11_sentencepiece": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op12_vector_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+    "op13_source_divergence": ["lang", "source", "part", "item", "value", "rank"],
     "pipeline": ["doc_id", "size", "source_size", "target", "taken"],
 }
 
