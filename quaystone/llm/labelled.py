@@ -15,19 +15,19 @@ def id_crc(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_fold: int, bound: int) -> DataFrame:
-    """doc_id, text (binary), y of at most about ``bound`` labelled rows outside the held-out fold.
+    """doc_id, text (binary), y of at most ``bound`` labelled rows outside the held-out fold.
 
-    Rows without a doc_id, text or label are left out; of several labels of a document the largest counts.  The sample
-    takes the ids whose hash lies under a share of the hash range, so it is the same in every run.
+    Rows without a doc_id, text or label are left out; of several labels of a document the largest counts.  The labelled
+    ids of smallest hash are taken, and of their rows, which may be any number, those of smallest hash: the same in every
+    run, exact for any number of labels, and never more than ``bound`` rows.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(F.pmod(id_crc(F.col("doc_id")), F.lit(folds)) != held_fold).groupBy("doc_id").agg(F.max("y").alias("y"))
-    n = known.count()
-    share = min(1.0, bound / max(n, 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    known = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(bound)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null and text is not null")
-    # the sample is bounded, so its side is the one to send
-    return text.join(F.broadcast(known), "doc_id")
+    # ``bound`` ids at most, so theirs is the side to send; the rows are dealt out again after the limit
+    found = text.join(F.broadcast(known), "doc_id")
+    return found.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(bound).repartition("doc_id")
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

@@ -1,16 +1,21 @@
 """Toxicity by the nearest labelled examples under exact weighted TF-IDF cosine, with a block-max inverted index.
 
-Terms are lower-cased words without punctuation around them, and their first 4, 6 and 8 bytes, by 64-bit hash.  The index
-holds every term of a bounded sample of examples, with document counts over the whole corpus.  A term weighs its
-inverse document frequency times the root of one plus its likelihood ratio for label 1, so none is left out and those
-that tell label 1 count most.  Words in no example can't meet one and are not part of a vector.
+Terms are lower-cased words without punctuation around them, and their first bytes, by 64-bit hash.  A term weighs its
+inverse document frequency over the whole corpus times a power of one plus its likelihood ratio for label 1, so none is
+left out and those that tell label 1 count most.  The power is chosen by folds inside the training rows.
 
-Postings by term give each example's score from all but the most frequent terms.  Those are matrices by block of
-examples, with each term's largest weight in the block: a block whose bound stays under the k-th best is passed over.
+The index holds every term of a bounded sample of examples.  Postings by term give each example's score from all but the
+most frequent terms.  Those are matrices by block of examples, with each term's largest weight in the block: a block
+whose bound stays under the k-th best is passed over.
+
+A text's vector has all its terms.  Those that no example holds meet none, so they change no order among the examples but
+the length of the vector: they are joined with the corpus' counts by term, and their squares summed by text.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,17 +23,21 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.llm.common import Scratch, mix, ranges, signed
+from quaystone.llm.common import Scratch, id_out, mix, ranges, signed, with_ids
 from quaystone.llm.labelled import Isotonic, held_out, training_sample
 
-#: Labelled rows in the index, at most about so many; neighbours that vote; rows and bytes of text taken at a time.
-SAMPLE, NEIGHBOURS, ROWS, BYTES = 6000, 15, 256, 2_000_000
+#: Labelled rows in the index, at most; neighbours that vote; rows and bytes of text taken at a time.
+SAMPLE, NEIGHBOURS, ROWS, BYTES = 4000, 15, 256, 2_000_000
 #: A term that one in so many examples holds is in the blocks' matrices; examples of a block; queries taken at a time.
 DENSE, BLOCK, QUERIES, CACHED = 16, 64, 128, 8
 #: How the contract splits rows and cuts scores.
 FOLDS, HELD, CUT = 3, 1, 0.7
 _AROUND = b".,;:!?\"'()[]{}<>*#$%&|-_"
-_STEMS = (4, 6, 8)
+_STEMS = (5,)
+#: Powers of the likelihood ratio to choose from, and folds of the training rows to choose by.
+POWERS, INNER = (0.25, 0.5, 0.75), 3
+#: Terms that a task holds before it hands their counts over; squares are summed in units of 2**-20, in any order.
+HELD_TERMS, SQUARE = 2_000_000, 2**20
 
 
 def terms_of(word: bytes) -> tuple[bytes, ...]:
@@ -74,73 +83,83 @@ def _pieces(batches):
             at = end
 
 
-class Vectors:
-    """Texts as counts of terms: of those known, by number, or of all, by hash."""
-
-    def __init__(self, known: np.ndarray | None = None):
-        self.known = known
-
-    def _terms(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of all words, one after another, and how many each has."""
-        hashed, real = term_hashes(words)
-        if self.known is None:
-            return hashed[real], real.sum(1)
-        if not len(self.known):
-            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
-        lengths, hashed = real.sum(1), hashed[real]
-        order = np.argsort(hashed)  # in order, the lookups stay in the cache
-        at = np.empty(len(hashed), np.int64)
-        at[order] = np.minimum(np.searchsorted(self.known, hashed[order]), len(self.known) - 1)
-        hit = self.known[at] == hashed
-        return at[hit], np.bincount(np.repeat(np.arange(len(words)), lengths)[hit], minlength=len(words))
-
-    def counts(self, texts: pa.Array, once: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, occurrences), by text and term; ``once`` takes a text's distinct words, where only terms matter."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.view(pa.string()), "")))
-        coded = split.values.dictionary_encode()
-        terms, of = self._terms(coded.dictionary)
-        starts = np.cumsum(of) - of
-        row = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
-        pair, n = np.unique(row * (len(of) + 1) + coded.indices.to_numpy(), return_counts=True)
-        row, word = np.divmod(pair, len(of) + 1)
-        n = np.ones(len(word), np.int64) if once else n
-        lengths = of[word]
-        term = terms[ranges(starts[word], lengths)]
-        row, n = np.repeat(row, lengths), np.repeat(n, lengths)
-        order = np.lexsort((term, row)) if self.known is None else np.argsort(row * (len(self.known) + 1) + term)
-        row, term, n = row[order], term[order], n[order]
-        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])]) if len(row) else row
-        return row[first], term[first], np.add.reduceat(n, first) if len(first) else n
-
-
-def _candidate_terms(batches):
-    """Terms of the sample's documents, by hash, with counts by label, summed within each batch."""
-    vectors = Vectors()
+def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, code, occurrences) of the terms of texts, by text and code; and the hash that each code stands for, ascending."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.view(pa.string()), "")))
+    coded = split.values.dictionary_encode()
+    hashed, real = term_hashes(coded.dictionary)
+    hashes, code = np.unique(hashed[real], return_inverse=True)
+    of = real.sum(1)
+    row = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
+    pair, n = np.unique(row * (len(of) + 1) + coded.indices.to_numpy(), return_counts=True)
+    row, word = np.divmod(pair, len(of) + 1)
+    code = code[ranges((np.cumsum(of) - of)[word], of[word])]
+    # words that differ in punctuation, or after their first bytes, have a term in common
+    pair = np.repeat(row, of[word]) * (len(hashes) + 1) + code
+    order = np.argsort(pair)
+    pair, n = pair[order], np.repeat(n, of[word])[order]
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else pair
+    row, code = np.divmod(pair[first], len(hashes) + 1)
+    return row, code, np.add.reduceat(n, first) if len(first) else n, hashes
+
+
+def _find(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of ``hashes`` in the ascending ``known``, -1 for none."""
+    if not len(known):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at, -1)
+
+
+def own_text_fold(text: bytes | None) -> int:
+    """The inner fold of an example; copies of a text are in one."""
+    return zlib.crc32(b"fold:" + (text or b"")) % INNER
+
+
+def _sample_terms(batches):
+    """Terms of the sample's documents, by hash and inner fold, with counts by label, summed within each batch."""
     for batch in _pieces(batches):
         y = batch.column("y").to_numpy()
-        row, term, _ = vectors.counts(batch.column("text"), once=True)
-        keys, at = np.unique(term, return_inverse=True)
-        n1 = np.bincount(at, y[row], len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"term": pa.array(signed(keys)), "n0": pa.array(np.bincount(at, minlength=len(keys)) - n1), "n1": pa.array(n1)})
+        fold = np.array([own_text_fold(t) for t in batch.column("text").to_pylist()], np.int64)
+        row, code, _, hashes = counted(batch.column("text"))
+        key, at = np.unique(code * INNER + fold[row], return_inverse=True)
+        n1 = np.bincount(at, y[row], len(key)).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(signed(hashes[key // INNER])), "fold": pa.array((key % INNER).astype(np.int32)), "n0": pa.array(np.bincount(at, minlength=len(key)) - n1), "n1": pa.array(n1)})
+
 
+def _corpus_terms(batches):
+    """Terms of all documents with the number of documents that hold them, summed within a task."""
 
-def _document_counts(batches, shared):
-    known = shared.value
-    vectors, total, n = Vectors(known), np.zeros(len(known), np.int64), 0
+    def total(parts):
+        terms, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+        return terms, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+    def rows(parts):
+        terms, n = total(parts)
+        return pa.RecordBatch.from_pydict({"term": pa.array(signed(terms)), "n": pa.array(n)})
+
+    parts, held = [], 0
     for batch in _pieces(batches):
-        total += np.bincount(vectors.counts(batch.column("text"), once=True)[1], minlength=len(known))
-        n += batch.num_rows
-    held = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"number": pa.array(np.r_[-1, held].astype(np.int32)), "n": pa.array(np.r_[n, total[held]])})
+        _, code, _, hashes = counted(batch.column("text"))
+        parts.append((hashes, np.bincount(code, minlength=len(hashes))))
+        held += len(hashes)
+        if held > HELD_TERMS:
+            parts = [total(parts)]
+            held = len(parts[0][0])
+            if held > HELD_TERMS // 2:
+                yield rows(parts)
+                parts, held = [], 0
+    if parts:
+        yield rows(parts)
 
 
 def _example_counts(batches, shared):
-    vectors = Vectors(shared.value)
     for batch in _pieces(batches):
-        row, number, n = vectors.counts(batch.column("text"))
+        row, code, n, hashes = counted(batch.column("text"))
         cut = np.searchsorted(row, np.arange(1, batch.num_rows))
-        packed = [[x.tobytes() for x in np.split(v, cut)] for v in (number.astype(np.int32), np.minimum(n, 65535).astype(np.uint16))]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "numbers": pa.array(packed[0], pa.binary()), "counts": pa.array(packed[1], pa.binary())})
+        packed = [[x.tobytes() for x in np.split(v, cut)] for v in (_find(shared.value, hashes)[code].astype(np.int32), n.astype(np.int64))]
+        fold = [own_text_fold(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "fold": pa.array(fold, pa.int32()), "numbers": pa.array(packed[0], pa.binary()), "counts": pa.array(packed[1], pa.binary())})
 
 
 class BlockMaxIndex:
@@ -254,16 +273,34 @@ class BlockMaxIndex:
         return who, best
 
     def votes(self, who: np.ndarray, cosine: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the neighbours, weighted by nearness, with one vote of weight 0.05 for label 0."""
-        w = np.where(who >= 0, cosine / np.maximum(1.05 - cosine, 0.05), 0)
-        return (w * self.y[np.maximum(who, 0)]).sum(1) / (w.sum(1) + 0.05) if len(self.y) else np.zeros(len(who))
+        """``votes`` of the examples at these places."""
+        return votes(np.where(who >= 0, self.y[np.maximum(who, 0)], -1), cosine) if len(self.y) else np.zeros(len(who))
 
 
-class ToxicityModel:
-    """``shared`` is the index, sent to the executors once."""
+class Examples:
+    """The sample as counts of terms, with what weights come from: idf, and documents by inner fold and label."""
 
-    def __init__(self, index: BlockMaxIndex, shared, calibrate: Isotonic, neighbours: int):
-        self.index, self.shared, self.calibrate, self.neighbours = index, shared, calibrate, neighbours
+    def __init__(self, idf: np.ndarray, n0: np.ndarray, n1: np.ndarray, ids: np.ndarray, y: np.ndarray, fold: np.ndarray, numbers: list, counts: list):
+        self.idf, self.n0, self.n1 = idf, n0, n1
+        self.ids, self.y, self.fold, self.numbers, self.counts = ids, y, fold, numbers, counts
+
+    def index(self, power: float, without: int | None = None) -> BlockMaxIndex:
+        """An index of all examples, or of those outside a fold, weighted by these alone."""
+        folds = [f for f in range(INNER) if f != without]
+        which = np.flatnonzero(self.fold != (-1 if without is None else without))
+        p1 = int(self.y[which].sum())
+        lean = likelihood_ratio(self.n0[folds].sum(0), self.n1[folds].sum(0), max(len(which) - p1, 1), max(p1, 1))
+        return BlockMaxIndex(self.idf, self.idf * (1 + lean) ** power, self.ids[which], self.y[which], [self.numbers[i] for i in which], [self.counts[i] for i in which])
+
+    def votes(self, power: float, fold: int, neighbours: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the examples of a fold, and the votes of all others on them."""
+        index, which = self.index(power, fold), np.flatnonzero(self.fold == fold)
+        if not len(which):
+            return which, np.zeros(0)
+        row = np.repeat(np.arange(len(which)), [len(self.numbers[i]) for i in which])
+        number, n = (np.concatenate([v[i] for i in which]) for v in (self.numbers, self.counts))
+        who, cosine = index.nearest((row, number, index.unit(row, number, n, len(which)), len(which)), neighbours)
+        return which, index.votes(who, cosine)
 
 
 def likelihood_ratio(n0: np.ndarray, n1: np.ndarray, p0: int, p1: int) -> np.ndarray:
@@ -273,73 +310,121 @@ def likelihood_ratio(n0: np.ndarray, n1: np.ndarray, p0: int, p1: int) -> np.nda
     return np.where(n1 / p1 > n0 / p0, 2 * (part(n1, share) + part(n0, 1 - share)), 0.0)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: int = NEIGHBOURS, folds: int = FOLDS, held: int = HELD) -> ToxicityModel:
-    """Indexes at most about ``sample`` labelled rows outside the held-out fold, with term counts over all of ``docs``.
+class ToxicityModel:
+    """``shared`` is the index and its terms, sent to the executors once; ``counts`` has the documents of each term that
+    several documents hold, of ``rows`` in all."""
+
+    def __init__(self, terms: np.ndarray, shared, counts: DataFrame, rows: int, power: float, calibrate: Isotonic, neighbours: int):
+        self.terms, self.shared, self.counts, self.rows = terms, shared, counts, rows
+        self.power, self.calibrate, self.neighbours = power, calibrate, neighbours
+
+
+def _validate(batches, shared, neighbours: int):
+    """Votes on the examples of a fold by the others, for each (power, fold)."""
+    examples = cloudpickle.loads(shared.value)
+    for batch in batches:
+        for power, fold in zip(*(batch.column(c).to_pylist() for c in ("power", "fold")), strict=True):
+            which, vote = examples.votes(power, fold, neighbours)
+            yield pa.RecordBatch.from_pydict({"power": pa.array([power] * len(which), pa.float64()), "place": pa.array(which, pa.int64()), "vote": pa.array(vote.astype(float))})
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: int = NEIGHBOURS, folds: int = FOLDS, held: int = HELD, powers: tuple[float, ...] = POWERS) -> ToxicityModel:
+    """Indexes at most ``sample`` labelled rows outside the held-out fold, with term counts over all of ``docs``.
 
-    Every term of these rows is known; those more frequent with label 1 weigh more by their likelihood ratio, so that
-    passages that many clean texts share don't outweigh them.  Calibration compares each example with the others.
-    Without labelled rows every score is 0.
+    For each power and each inner fold of these rows the others vote on the fold, with weights from the others alone; the
+    power of the smallest mean squared error is taken (the first of equal ones), and its votes are what the calibration is
+    fitted to.  No label of a held-out row is read.  Without labelled rows every score is 0.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = scratch.keep(training_sample(docs, labels, "toxic", folds, held, sample), "examples")
-    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    p0, p1 = max(totals.get(0, 0), 1), max(totals.get(1, 0), 1)
-    # the terms of a bounded sample
-    count = rows.mapInArrow(_candidate_terms, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    known = count.column("term").to_numpy().view(np.uint64)
-    order = np.argsort(known)
-    known, n0, n1 = known[order], count.column("n0").to_numpy()[order], count.column("n1").to_numpy()[order]
-    shared = spark.sparkContext.broadcast(known)
+    terms = scratch.keep(rows.mapInArrow(_sample_terms, "term long, fold int, n0 long, n1 long").groupBy("term", "fold").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "terms")
     text = docs.select(F.col("text").cast("string").alias("text"))
-    found = text.mapInArrow(lambda bs: _document_counts(bs, shared), "number int, n long").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
-    number, n = found.column("number").to_numpy(), found.column("n").to_numpy()
-    df = np.zeros(len(known))
-    df[number[number >= 0]] = n[number >= 0]
-    weight = (np.log((1 + n[number < 0].sum()) / (1 + df)) + 1) * np.sqrt(1 + likelihood_ratio(n0, n1, p0, p1))
-    examples = rows.mapInArrow(lambda bs: _example_counts(bs, shared), "doc_id long, y int, numbers binary, counts binary").orderBy("doc_id", "y", "numbers").toArrow()
-    ids, y = examples.column("doc_id").to_numpy(), examples.column("y").to_numpy().astype(np.int64)
-    numbers, counts = ([np.frombuffer(x.as_py(), t) for x in examples.column(c)] for c, t in (("numbers", np.int32), ("counts", np.uint16)))
-    index = BlockMaxIndex(known, weight, ids, y, numbers, counts)
-    del examples, numbers, counts, count, found
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps(index))
-    raw = rows.mapInArrow(lambda bs: _own_votes(bs, sent, neighbours), "raw double, y int").toArrow()  # bounded by ``sample``
+    counts = text.mapInArrow(_corpus_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where("n > 1")
+    counts, total = scratch.keep(counts, "counts"), docs.count()
+    # the terms of a bounded sample, here and below
+    by = terms.toArrow()
+    known, at = np.unique(by.column("term").to_numpy().view(np.uint64), return_inverse=True)
+    label = np.zeros((2, INNER, len(known)), np.int64)
+    for i in (0, 1):
+        label[i, by.column("fold").to_numpy(), at] = by.column(f"n{i}").to_numpy()
+    found = counts.join(F.broadcast(terms.select("term").distinct()), "term").toArrow()
+    df = np.ones(len(known))
+    df[_find(known, found.column("term").to_numpy().view(np.uint64))] = found.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(known)
+    out = rows.mapInArrow(lambda bs: _example_counts(bs, shared), "doc_id long, y int, fold int, numbers binary, counts binary").orderBy("doc_id", "y", "numbers").toArrow()
+    ids, y, fold = (out.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "y", "fold"))
+    numbers, n = ([np.frombuffer(x.as_py(), t) for x in out.column(c)] for c, t in (("numbers", np.int32), ("counts", np.int64)))
+    examples = Examples(np.log((1 + total) / (1 + df)) + 1, *label, ids, y, fold, numbers, n)
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(examples))
+    cells = [(float(p), f) for p in powers for f in range(INNER)]
+    votes = spark.createDataFrame(cells, "power double, fold int").repartition(len(cells), "power", "fold").mapInArrow(lambda bs: _validate(bs, sent, neighbours), "power double, place long, vote double").toArrow()
     shared.unpersist()
-    scratch.drop("examples")
-    return ToxicityModel(index, sent, Isotonic(raw.column("raw").to_numpy(), raw.column("y").to_numpy()) if len(ids) else Isotonic(np.zeros(1), np.zeros(1)), neighbours)
-
-
-def _nearest(batches, shared, neighbours: int, own: bool):
-    index = cloudpickle.loads(shared.value)
-    vectors = Vectors(index.terms)
+    sent.unpersist()
+    scratch.drop("examples", "terms")
+    power, place, vote = (votes.column(c).to_numpy() for c in ("power", "place", "vote"))
+    errors = [((vote[power == p] - y[place[power == p]]) ** 2).mean() if len(ids) else 0.0 for p in powers]
+    best = float(powers[int(np.argmin(errors))])
+    calibrate = Isotonic(vote[power == best], y[place[power == best]]) if len(ids) else Isotonic(np.zeros(1), np.zeros(1))
+    index = spark.sparkContext.broadcast(cloudpickle.dumps((known, examples.index(best))))
+    return ToxicityModel(known, index, counts, total, best, calibrate, neighbours)
+
+
+def _near(batches, shared, neighbours: int):
+    """The nearest examples of each text by the terms that examples hold, the sum of squares of these terms, and the terms
+    that none holds."""
+    known, index = cloudpickle.loads(shared.value)
     for batch in _pieces(batches):
-        row, number, n = vectors.counts(batch.column("text"))
-        ids = batch.column("doc_id").to_numpy() if own else None
-        yield batch, index, *index.nearest((row, number, index.unit(row, number, n, batch.num_rows), batch.num_rows), neighbours, ids)
-
-
-def _own_votes(batches, shared, neighbours: int):
-    """Votes of the other examples on each example."""
-    for batch, index, who, cosine in _nearest(batches, shared, neighbours, True):
-        yield pa.RecordBatch.from_pydict({"raw": pa.array(index.votes(who, cosine).astype(float)), "y": batch.column("y")})
-
-
-def _score(batches, shared, calibrate: Isotonic, neighbours: int):
+        row, code, n, hashes = counted(batch.column("text"))
+        number = _find(known, hashes)[code]
+        new = number < 0
+        own = np.searchsorted(row[new], np.arange(batch.num_rows + 1)).astype(np.int32)
+        others = [pa.ListArray.from_arrays(own, pa.array(v)) for v in (signed(hashes[code[new]]), n[new].astype(np.int64))]
+        row, number, n = row[~new], number[~new], n[~new]
+        square = np.bincount(row, (np.log1p(n) * index.idf[number]) ** 2, batch.num_rows).astype(float)
+        who, cosine = index.nearest((row, number, index.unit(row, number, n, batch.num_rows), batch.num_rows), neighbours)
+        offsets = (np.arange(batch.num_rows + 1) * neighbours).astype(np.int32)
+        kind = lambda v, t: pa.ListArray.from_arrays(offsets, pa.array(v.ravel(), t))
+        there = who >= 0
+        ids = np.where(there, index.ids[np.maximum(who, 0)] if len(index.ids) else 0, 0)
+        toxic = np.where(there, index.y[np.maximum(who, 0)] if len(index.ids) else 0, -1).astype(np.int32)
+        yield pa.RecordBatch.from_pydict(
+            {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "square": pa.array(square), "ids": kind(ids, pa.int64()), "toxic": kind(toxic, pa.int32()), "cosine": kind(cosine, pa.float32()), "terms": others[0], "n": others[1]}
+        )
+
+
+def votes(toxic: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """Share of label 1 among the neighbours (-1: none), weighted by nearness, with one vote of weight 0.05 for label 0."""
+    w = np.where(toxic >= 0, cosine / np.maximum(1.05 - cosine, 0.05), 0)
+    return (w * np.maximum(toxic, 0)).sum(1) / (w.sum(1) + 0.05)
+
+
+def _score(batches, calibrate: Isotonic, neighbours: int):
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-    for batch, index, who, cosine in _nearest(batches, shared, neighbours, False):
-        first = who[:, :3] >= 0
-        found = who[:, :3][first]
-        fields = [pa.array(index.ids[found]), pa.array(index.y[found].astype(np.int32)), pa.array(np.round(cosine[:, :3][first].astype(float), 6))]
+    for batch in batches:
+        ids, toxic, cosine = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, neighbours) for c in ("ids", "toxic", "cosine"))
+        known, other = batch.column("square").to_numpy(), batch.column("other").to_numpy()
+        cosine = cosine * np.sqrt(known / np.maximum(known + other, 1e-12))[:, None]
+        first = toxic[:, :3] >= 0
+        fields = [pa.array(ids[:, :3][first]), pa.array(toxic[:, :3][first]), pa.array(np.round(cosine[:, :3][first], 6))]
         evidence = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(first.sum(1))].astype(np.int32)), pa.StructArray.from_arrays(fields, ["doc_id", "toxic", "cosine"]))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(calibrate(index.votes(who, cosine)).astype(float)), "evidence": evidence.cast(kind)})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(calibrate(votes(toxic, cosine))), "evidence": evidence.cast(kind)})
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, folds: int = FOLDS, held: int = HELD, cut: float = CUT) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (the three nearest examples) for every row.
-
-    A null text is empty; a text without known terms has no neighbours, and the score of no evidence.  Repeated rows
-    score alike.  The index is bounded by its sample, and goes to the executors once."""
-    shared, calibrate, neighbours = model.shared, model.calibrate, model.neighbours
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    out = rows.mapInArrow(lambda bs: _score(bs, shared, calibrate, neighbours), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
-    return out.select("doc_id", held_out(F.col("doc_id"), folds, held).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "evidence")
+    """doc_id, held_out, score, predicted, evidence (the three nearest examples and their cosines) for every row.
+
+    A null text is empty; a text that shares no term with an example has no neighbours, and the score of no evidence.
+    A term that fewer than two documents of the fit hold weighs as one that one holds.  Repeated rows score alike."""
+    scratch, shared, calibrate, neighbours = Scratch(docs.sparkSession), model.shared, model.calibrate, model.neighbours
+    rows = with_ids(docs, F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    fields = "doc_id long, h long, square double, ids array<long>, toxic array<int>, cosine array<float>, terms array<long>, n array<long>"
+    near = scratch.keep(rows.mapInArrow(lambda bs: _near(bs, shared, neighbours), fields), "near")
+    other = near.select("doc_id", "h", F.posexplode(F.arrays_zip("terms", "n")).alias("at", "t")).select("doc_id", "h", (F.col("at") == 0).cast("long").alias("row"), "t.terms", "t.n")
+    counts = model.counts.select(F.col("term").alias("terms"), F.col("n").alias("df"))
+    weight = F.log1p("n") * (F.log((1 + F.lit(float(model.rows))) / (1 + F.coalesce("df", F.lit(1)))) + 1)
+    # repeated rows have one sum
+    other = other.join(counts.hint("merge"), "terms", "left").groupBy("doc_id", "h").agg((F.sum(F.round(weight * weight * SQUARE).cast("long")) / (SQUARE * F.sum("row"))).alias("other"))
+    near = near.join(other.hint("merge"), ["doc_id", "h"], "left").select("doc_id", "square", "ids", "toxic", "cosine", F.coalesce("other", F.lit(0.0)).alias("other"))
+    out = near.mapInArrow(lambda bs: _score(bs, calibrate, neighbours), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
+    return out.select(id_out(), held_out(id_out(), folds, held).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "evidence")

@@ -13,7 +13,7 @@ from quaystone.llm.common import Scratch, WordHashes, grams, shingles
 from quaystone.llm.components import connected_components
 from quaystone.llm.decontamination import ItemIndex, clean_documents, contaminated
 from quaystone.llm.exact_dedup import exact_duplicates
-from quaystone.llm.labelled import Isotonic
+from quaystone.llm.labelled import Isotonic, training_sample
 from quaystone.llm.line_dedup import line_dedup
 from quaystone.llm.minhash_forest import near_duplicates
 from quaystone.llm.mixing import mix, mix_schedule, source_targets
@@ -21,7 +21,8 @@ from quaystone.llm.quality import INNER, RIDGE, Kernel, fit_quality, keep_qualit
 from quaystone.llm.runs import shared_members
 from quaystone.llm.secret_scan import BlobLedger, find_spans, scan_secrets
 from quaystone.llm.substring_dedup import COMPACT, FingerprintLog, substring_dedup
-from quaystone.llm.toxicity import BlockMaxIndex, fit_toxicity, score_toxicity, terms_of
+from quaystone.llm.toxicity import INNER as INNER_FOLDS
+from quaystone.llm.toxicity import POWERS, BlockMaxIndex, fit_toxicity, own_text_fold, score_toxicity, terms_of
 
 BLANK = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, _salt long, drop string"
@@ -589,12 +590,52 @@ def test_toxicity_knows_every_term_of_the_examples(spark):
     df, labels = frame(spark, rows + probes), spark.createDataFrame([(i, int(i in bad)) for i in range(60)], "doc_id long, toxic int")
     model = fit_toxicity(df, labels)
     found = {x["doc_id"]: x for x in score_toxicity(df, model).collect()}
-    assert len(model.index.terms) == len({t for i in learnt for w in set(rows[i][1].encode().split()) for t in terms_of(w)})
+    assert len(model.terms) == len({t for i in learnt for w in set(rows[i][1].encode().split()) for t in terms_of(w)})
     assert all([e["doc_id"] for e in found[1000 + i]["evidence"]][0] == i for i in learnt)
     held = [i for i in range(60) if i not in learnt]
     assert [i for i in held if found[i]["score"] > 0.5] == [i for i in held if i in bad]
 
 
+def test_unknown_words_count_in_the_cosine(spark):
+    """An example's words among thousands that no example holds are far from it, and no evidence of its label."""
+    rows = [(i, f"plain words number{i} of day{i % 7}") for i in range(200)] + [(300 + i, f"vile filthy scum again{i}") for i in range(60)]
+    probes = [(1000, "vile filthy scum"), (1001, "vile filthy scum " + " ".join(f"unheard{i}" for i in range(5000))), (1001, "another text of this id"), (None, "vile filthy scum")]
+    probes += [probes[1]] * 2
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i, _ in rows], "doc_id long, toxic int")
+    df = frame(spark, rows + probes)
+    found = {}
+    for x in score_toxicity(df, fit_toxicity(df, labels)).where("doc_id >= 1000 or doc_id is null").collect():
+        found.setdefault(x["doc_id"], []).append(x)
+    short, long, none = found[1000][0], [x for x in found[1001] if x["evidence"] and x["evidence"][0]["toxic"] == 1], found[None][0]
+    assert short["evidence"][0]["cosine"] > 0.5 and short["score"] == none["score"] > 0.7
+    assert len(long) == 3 and len({(x["score"], x["evidence"][0]["cosine"]) for x in long}) == 1
+    assert long[0]["evidence"][0]["cosine"] < 0.5 * short["evidence"][0]["cosine"] and long[0]["score"] < short["score"]
+
+
+def test_counts_beyond_16_bits(spark):
+    """A word that an example repeats 100,000 times weighs more than one of 65,535 times."""
+    rows = [(i, f"word{i} common text") for i in range(30)] + [(100, "spam " * 100_000 + "end"), (102, "spam " * 100_000 + "end")]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows if i != 102], "doc_id long, toxic int")
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
+    df = frame(spark, rows)
+    found = {x["doc_id"]: x for x in score_toxicity(df, fit_toxicity(df, labels)).collect()}
+    expected = brute_toxicity(rows, {i: int(i >= 100) for i, _ in rows if i != 102})[2]
+    if 100 not in held:
+        assert found[102]["evidence"][0]["doc_id"] == 100 and abs(found[102]["evidence"][0]["cosine"] - expected(31, 30)) < 1e-5
+
+
+@pytest.mark.parametrize("bound", [200, 3])
+def test_a_sample_bounds_rows(spark, bound):
+    """One id on thousands of rows, and more labels than the bound: never more rows than it, and the same ones again."""
+    rows = [(2, f"row {i % 900}") for i in range(5000)] + [(i, f"text {i}") for i in range(10, 400)]
+    labels = spark.createDataFrame([(2, 1, 1)] + [(i, i % 2, 0) for i in range(10, 400)], "doc_id long, quality int, toxic int")
+    df = frame(spark, rows)
+    for label, folds, held in (("toxic", 3, 1), ("quality", 5, 0)):
+        got = sorted((r["doc_id"], bytes(r["text"]), r["y"]) for r in training_sample(df, labels, label, folds, held, bound).collect())
+        assert len(got) == bound and all(zlib.crc32(str(d).encode()) % folds != held for d, _, _ in got)
+        assert got == sorted((r["doc_id"], bytes(r["text"]), r["y"]) for r in training_sample(df.repartition(7), labels, label, folds, held, bound).collect())
+
+
 def test_source_targets_ties_and_repeats(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 10), (None, 10)], "source string, source_size long")
     assert {r["source"]: r["target"] for r in source_targets(sizes).collect()} == {"a": 5.0, "b": 10.0, None: 15.0}
@@ -609,7 +650,8 @@ def test_large_groups_are_linked_in_blocks(spark):
 
 
 def brute_toxicity(docs, truth, neighbours=15):
-    """Scores from dictionaries: terms, document counts over all texts, weights, cosines, votes, pooled calibration."""
+    """Scores from dictionaries: terms, document counts over all texts, weights, cosines over all words of a text, folds of
+    the training rows, votes, pooled calibration.  Also the power, and the cosine of each pair (text, example)."""
     from collections import Counter
     from math import log, log1p, sqrt
 
@@ -623,30 +665,46 @@ def brute_toxicity(docs, truth, neighbours=15):
     vectors = [counts(t) for _, t in docs]
     learnt = [i for i, (d, t) in enumerate(docs) if d is not None and t is not None and d in truth and zlib.crc32(str(d).encode()) % 3 != 1]
     df = Counter(t for v in vectors for t in v)
-    y = [truth[docs[i][0]] for i in learnt]
-    p1, p0 = sum(y), len(y) - sum(y)
-    n1, n0 = Counter(), Counter()
-    for i, label in zip(learnt, y, strict=True):
-        (n1 if label else n0).update(vectors[i].keys())
-    weight = {}
-    for t in n1.keys() | n0.keys():
-        a, b, share = n1[t], n0[t], p1 / (p0 + p1)
-        part = lambda x, s, n=a + b: x * log(x / (n * s)) if x else 0.0
-        lean = 2 * (part(a, share) + part(b, 1 - share)) if a / p1 > b / p0 else 0.0
-        weight[t] = (log((1 + len(docs)) / (1 + df[t])) + 1) * sqrt(1 + lean)
-    unit = []
-    for v in vectors:
-        w = {t: log1p(n) * weight[t] for t, n in v.items() if t in weight}
-        norm = sqrt(sum(x * x for x in w.values())) or 1.0
-        unit.append({t: x / norm for t, x in w.items()})
-
-    def vote(i, without=None):
-        near = sorted(((sum(x * unit[j].get(t, 0.0) for t, x in unit[i].items()), y[k]) for k, j in enumerate(learnt) if without is None or docs[j][0] != without), reverse=True)[:neighbours]
+    y = {i: truth[docs[i][0]] for i in learnt}
+    idf = {t: log((1 + len(docs)) / (1 + n)) + 1 for t, n in df.items()}
+
+    def units(rows, power):
+        p1 = sum(y[i] for i in rows)
+        p0, p1 = max(len(rows) - p1, 1), max(p1, 1)
+        n = [Counter(t for i in rows if y[i] == label for t in vectors[i]) for label in (0, 1)]
+        share = p1 / (p0 + p1)
+        part = lambda x, s: x * log(x / s) if x else 0.0
+
+        def weight(t):
+            b, a = n[0][t], n[1][t]
+            lean = 2 * (part(a, (a + b) * share) + part(b, (a + b) * (1 - share))) if a / p1 > b / p0 else 0.0
+            return idf[t] * (1 + lean) ** power
+
+        out = []
+        for v in vectors:
+            w = {t: log1p(n) * weight(t) for t, n in v.items()}
+            norm = sqrt(sum(x * x for x in w.values())) or 1.0
+            out.append({t: x / norm for t, x in w.items()})
+        return out
+
+    def vote(i, unit, rows):
+        near = sorted(((sum(x * unit[j].get(t, 0.0) for t, x in unit[i].items()), y[j]) for j in rows), reverse=True)[:neighbours]
         w = [(c / max(1.05 - c, 0.05), label) for c, label in near if c > 0]
         return sum(x * label for x, label in w) / (sum(x for x, _ in w) + 0.05)
 
-    calibrate = Isotonic(np.array([vote(i, docs[i][0]) for i in learnt]), np.array(y))
-    return calibrate(np.array([vote(i) for i in range(len(docs))]))
+    found = {}
+    for power in POWERS:
+        votes = {}
+        for f in range(INNER_FOLDS):
+            rows = [i for i in learnt if own_text_fold(docs[i][1].encode()) != f]
+            unit = units(rows, power)
+            votes |= {i: vote(i, unit, rows) for i in learnt if i not in rows}
+        found[power] = [votes[i] for i in learnt]
+    truths = np.array([y[i] for i in learnt])
+    power = min(POWERS, key=lambda p: ((np.array(found[p]) - truths) ** 2).mean())
+    unit = units(learnt, power)
+    cosine = lambda i, j: sum(x * unit[j].get(t, 0.0) for t, x in unit[i].items())
+    return Isotonic(np.array(found[power]), truths)(np.array([vote(i, unit, learnt) for i in range(len(docs))])), power, cosine
 
 
 def test_toxicity_score_by_brute_force(spark):
@@ -662,8 +720,13 @@ def test_toxicity_score_by_brute_force(spark):
     docs += [(500, "é " + "wort1 " * 20_000), (501, None), (502, ""), (503, docs[3][1]), (None, docs[4][1])]
     labels = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
     df = frame(spark, docs)
-    found = {x["doc_id"]: x["score"] for x in score_toxicity(df, fit_toxicity(df, labels)).collect()}
-    expected = brute_toxicity(docs, truth)
+    model = fit_toxicity(df, labels)
+    scored = {x["doc_id"]: x for x in score_toxicity(df, model).collect()}
+    found = {d: x["score"] for d, x in scored.items()}
+    expected, power, cosine = brute_toxicity(docs, truth)
+    assert model.power == power
+    at = {d: i for i, (d, _) in enumerate(docs)}
+    assert all(abs(e["cosine"] - cosine(at[d], at[e["doc_id"]])) < 1e-4 for d, x in scored.items() for e in x["evidence"])
     assert np.allclose([found[d] for d, _ in docs], expected, atol=2e-3), max(abs(found[d] - e) for (d, _), e in zip(docs, expected, strict=True))
     assert found[503] == found[3] and found[None] == found[4]
 
