@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from quaystone.llm.common import chunks, id_out, ranges, with_ids
 
 #: Texts that frequent chunks are looked for in, about; chunks in the table; characters of a chunk in it; at most.
-SAMPLE, TABLE, TABLE_CHARS = 20_000, 2**19, 48
+SAMPLE, TABLE, TABLE_CHARS = 50_000, 2**20, 48
+#: Distinct chunks of the sample that a task holds before it hands their counts over.
+HELD = 500_000
 #: Texts and asks taken at a time; bytes of ids and of decoded text that a worker hands over at a time, about.
 ROWS, ASKS, BYTES = 256, 20_000, 4_000_000
 MARKER = "▁"
@@ -71,14 +73,21 @@ def split(text: str, separable: bool) -> list[str]:
 
 
 def _frequent(batches, separable: bool):
-    """Chunks of a part of the sample with their numbers of occurrences, a batch at a time."""
-    for batch in chunks(batches, 2 * ROWS):
-        n: dict[str, int] = {}
+    """Chunks of a part of the sample with their numbers of occurrences."""
+
+    def rows(n):
+        short = [c for c in n if len(c) <= TABLE_CHARS]
+        return pa.RecordBatch.from_pydict({"chunk": pa.array(short, pa.string()), "n": pa.array([n[c] for c in short], pa.int64())})
+
+    n: dict[str, int] = {}
+    for batch in chunks(batches, ROWS):
         for text in batch.column("text").to_pylist():
             for chunk in split(text, separable):
                 n[chunk] = n.get(chunk, 0) + 1
-        short = [c for c in n if len(c) <= TABLE_CHARS]
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(short, pa.string()), "n": pa.array([n[c] for c in short], pa.int64())})
+        if len(n) > HELD:
+            yield rows(n)
+            n = {}
+    yield rows(n)
 
 
 def _segment(batches, model):
@@ -136,9 +145,8 @@ def _put_together(batches, table, model):
         for doc, size, packed, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "numbers")), batch.column("own"), strict=True):
             raw = pa.decompress(packed, 4 * size, "zstd", asbytes=True) if size else b""
             number = np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
-            its = sorted((x["number"], x["ids"]) for x in own.as_py() or ())
-            its_ids = np.frombuffer(b"".join(x for _, x in its), np.int32)
-            its_lengths = np.array([len(x) // 4 for _, x in its], np.int64)
+            its = [x["ids"] for x in sorted(own.as_py() or (), key=lambda x: x["number"])]
+            its_ids, its_lengths = np.frombuffer(b"".join(its), np.int32), np.array([len(x) // 4 for x in its], np.int64)
             begin, length = np.empty_like(number), np.empty_like(number)
             late = number >= len(known)
             begin[~late], length[~late] = starts[number[~late]], lengths[number[~late]]
@@ -196,7 +204,8 @@ def encode_pieces(docs: DataFrame, model: str, sample: int = SAMPLE, most: int =
     asks = rows.select("doc_id", "h", "text").mapInArrow(lambda bs: _asks(bs, table, separable), "doc_id long, h long, number int, chunk string")
     # no number of partitions: Spark joins neighbouring small ones
     given = asks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lambda bs: _segment(bs, sent), "doc_id long, h long, number int, ids binary")
-    given = given.groupBy("doc_id", "h").agg(F.collect_set(F.struct("number", "ids")).alias("own"))  # a text's own chunks
+    # narrow rows are shuffled, and gathered behind the shuffle: a text's own chunks, once each for repeated rows
+    given = given.repartition("doc_id", "h").groupBy("doc_id", "h").agg(F.collect_set(F.struct("number", "ids")).alias("own"))
     texts = rows.mapInArrow(lambda bs: _numbers(bs, table, separable), "doc_id long, h long, size long, numbers binary")
     out = texts.join(given.hint("merge"), ["doc_id", "h"], "left").select("doc_id", "size", "numbers", "own")
     out = out.mapInArrow(lambda bs: _put_together(bs, table, sent), "doc_id long, ids array<int>, decoded string")
