@@ -23,8 +23,8 @@ from quaystone.llm.common import Scratch, id_out, with_ids
 GOLDEN, PERIOD = 1327217885, 2**31
 #: Slots or documents in one chunk of a rank or offset, about.
 CHUNK = 2048
-#: Words of a block at least, and slots of a schedule at most, about: blocks grow with the corpus.
-BLOCK_WORDS, MOST_SLOTS = 64, 2**23
+#: Words of a block, whatever the size of the corpus.
+BLOCK_WORDS = 64
 #: Cells that cut [0, 1) to look a point up by an equi-join.
 CELLS = 4096
 
@@ -64,12 +64,10 @@ def _sizes(scratch: Scratch, docs: DataFrame, seed: int) -> DataFrame:
     return scratch.keep(rows.select("doc_id", "size", "source", place.alias("place"), "_h"), "sizes")
 
 
-def _plan(scratch: Scratch, rows: DataFrame, weights: tuple[int, ...], most_epochs: int, block_words: int | None) -> tuple[DataFrame, int]:
-    """A row for each source: target, quota in words and blocks, its part of the schedule; and the words of a block."""
+def _plan(scratch: Scratch, rows: DataFrame, weights: tuple[int, ...], most_epochs: int, block_words: int) -> DataFrame:
+    """A row for each source: target, quota in words and blocks, its part of the schedule."""
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     totals = scratch.keep(totals, "totals")
-    if block_words is None:
-        block_words = max(BLOCK_WORDS, -(-(totals.agg(F.sum("source_size")).first()[0] or 0) // MOST_SLOTS))
     targets = source_targets(totals.select("source", "source_size"), weights, most_epochs)
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     quota = F.floor(F.col("target") + 1e-6).cast("long")
@@ -85,7 +83,7 @@ def _plan(scratch: Scratch, rows: DataFrame, weights: tuple[int, ...], most_epoc
     )
     upto = Window.orderBy("rank")
     table = table.withColumn("_to", F.sum("need").over(upto)).withColumn("slots", F.sum("need").over(Window.partitionBy(F.lit(1))))
-    return scratch.keep(table.withColumn("_from", F.col("_to") - F.col("need")), "targets"), block_words
+    return scratch.keep(table.withColumn("_from", F.col("_to") - F.col("need")), "targets")
 
 
 def _turns(scratch: Scratch, table: DataFrame) -> DataFrame:
@@ -113,11 +111,11 @@ def _turns(scratch: Scratch, table: DataFrame) -> DataFrame:
     return ranked.unionByName(extra)
 
 
-def mix_schedule(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, block_words: int | None = None, seed: int = 7) -> DataFrame:
+def mix_schedule(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
     """slot, source, epoch, block, words: what each slot of the mix takes, in the order of slots.  Among the first n slots every
     source has nearly its share, for every n.  Parameters and edge cases as for ``mix``."""
     scratch = Scratch(docs.sparkSession)
-    table, block_words = _plan(scratch, _sizes(scratch, docs, seed), weights, most_epochs, block_words)
+    table = _plan(scratch, _sizes(scratch, docs, seed), weights, most_epochs, block_words)
     turns = _turns(scratch, table).drop("need").join(table.select("rank", "source", "blocks", "need", "rest", "source_size"), "rank")
     block = F.pmod("turn", F.col("blocks"))
     last = (F.col("turn") == F.col("need") - 1) & (F.col("rest") > 0)
@@ -126,18 +124,18 @@ def mix_schedule(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epo
     return turns.select("slot", "source", (F.col("turn") / F.col("blocks")).cast("long").alias("epoch"), block.alias("block"), words.cast("long").alias("words"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, block_words: int | None = None, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken, first_slot for every row of ``docs``.
 
     A null text has size 0; a null source is a source of its own, the last; documents of size 0 take nothing; repeated
     rows and equal texts are documents of their own.  Each source takes its target rounded down, no document more than
     ``most_epochs`` times its size.  first_slot is the first slot of the schedule that takes words of the document, null
     if none does.  The order in a source follows a hash of doc_id, text and seed, so reruns agree.  Blocks have
-    ``block_words`` words, or as many as make at most about MOST_SLOTS blocks, BLOCK_WORDS at least.
+    ``block_words`` words; the schedule has a slot for each, so it grows with the words of the mix.
     """
     scratch = Scratch(docs.sparkSession)
     rows = _sizes(scratch, docs, seed)
-    table, block_words = _plan(scratch, rows, weights, most_epochs, block_words)
+    table = _plan(scratch, rows, weights, most_epochs, block_words)
     turns = _turns(scratch, table).drop("need").join(table.select("rank", "blocks", "need", "rest"), "rank")
     # the last turn of a source takes the first words of its block alone
     last = (F.col("turn") == F.col("need") - 1) & (F.col("rest") > 0)

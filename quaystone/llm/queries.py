@@ -11,7 +11,7 @@ from quaystone.llm.decontamination import contaminated
 from quaystone.llm.exact_dedup import exact_duplicates
 from quaystone.llm.line_dedup import line_dedup
 from quaystone.llm.minhash_forest import near_duplicates
-from quaystone.llm.mixing import BLOCK_WORDS, CHUNK, GOLDEN, MOST_SLOTS, PERIOD, mix
+from quaystone.llm.mixing import BLOCK_WORDS, CHUNK, GOLDEN, PERIOD, mix
 from quaystone.llm.pieces import encode_pieces
 from quaystone.llm.quality import fit_quality, score_quality
 from quaystone.llm.secret_scan import scan_secrets
@@ -178,7 +178,7 @@ t AS (SELECT *, least(cap, coalesce((SELECT level FROM g WHERE level <= filled O
 q AS (SELECT *, CAST(floor(target + 1e-6) AS BIGINT) AS quota, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS epochs, quota - epochs * source_size AS rest FROM t),
 p AS (SELECT d.*, k, source_size, target, epochs, rest, ({' + '.join(digit(i) for i in range(1, 7))}) % greatest(n // {CHUNK}, 1) AS chunk FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 e AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY chunk, place, doc_id ROWS UNBOUNDED PRECEDING) AS upto, upto - size AS begin FROM p),
-b AS (SELECT CAST(greatest({BLOCK_WORDS}, (coalesce(sum(size), 0) + {MOST_SLOTS - 1}) // {MOST_SLOTS}) AS BIGINT) AS bw FROM d),
+b AS (SELECT CAST({BLOCK_WORDS} AS BIGINT) AS bw),
 c AS (SELECT k, rest, bw, (source_size + bw - 1) // bw AS blocks, epochs * blocks + (rest + bw - 1) // bw AS need FROM q, b),
 z AS (SELECT *, sum(need) OVER (ORDER BY k) AS hi, hi - need AS lo, sum(need) OVER () AS slots FROM c),
 u AS (SELECT slot, CAST(((slot % {PERIOD}) * {GOLDEN}) % {PERIOD} AS DOUBLE) / {PERIOD} AS u FROM (SELECT unnest(range(CAST(max(slots) AS BIGINT))) AS slot FROM z)),
@@ -253,7 +253,10 @@ k AS (SELECT d.doc_id, len(w) AS n, len(coalesce(ps, [])) AS r,
     FROM d LEFT JOIN g ON d.doc_id = g.doc_id)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k""",
     "op5_decontamination": f"""
-WITH ds AS ({_shingles('documents', 'doc_id')}), bs AS ({_shingles('benchmark', 'item_id')}),
+WITH bw AS (SELECT item_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM benchmark), dw AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM documents),
+ks AS (SELECT DISTINCT len(w) AS k FROM bw WHERE len(w) BETWEEN 1 AND 4),
+ds AS ({_shingles('documents', 'doc_id')} UNION SELECT doc_id, array_to_string(w[i : i + k - 1], ' ') FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, ks WHERE len(w) >= k)),
+bs AS ({_shingles('benchmark', 'item_id')}),
 size AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
 hit AS (SELECT doc_id, item_id, count(*) AS c FROM ds JOIN bs USING (s) GROUP BY ALL)
 SELECT doc_id, hit.item_id, c AS common, n AS item_shingles, c / n AS containment FROM hit JOIN size ON size.item_id = hit.item_id WHERE 100 * c >= 75 * n""",

@@ -139,19 +139,32 @@ class FingerprintLog:
             out = out.unionByName(self.spark.table(t))
         return out
 
-    def upto(self) -> int | None:
-        """The largest doc_id that entered the log, with or without a window of its own."""
-        if "upto" not in children(self.spark, self.path):
+    def judged(self) -> DataFrame | None:
+        """doc_id, h of every row that entered the log, with or without a window of its own; None before the first."""
+        if "judged" not in children(self.spark, self.path):
             return None
-        return self.spark.read.schema("doc long").parquet(f"{self.path}/upto").agg(F.max("doc")).first()[0]
-
-    def mark(self, doc: int) -> None:
-        """The batch up to this doc_id is complete."""
-        self.spark.createDataFrame([(doc,)], "doc long").coalesce(1).write.mode("append").parquet(f"{self.path}/upto")
+        return self.spark.read.schema("doc_id long, h long").parquet(f"{self.path}/judged")
+
+    def mark(self, rows: DataFrame) -> None:
+        """These rows (doc_id, h) are in the log now.  Their run is there before, so a batch that failed in between is
+        taken anew, and its fingerprints twice, which changes nothing."""
+        rows.select("doc_id", "h").write.mode("append").parquet(f"{self.path}/judged")
+
+    def later_holders(self, batch: DataFrame, label: str) -> DataFrame:
+        """Past documents (doc) that share a fingerprint with a smaller document of the batch (k1, doc)."""
+        least = batch.groupBy("k1").agg(F.min("doc").alias("least"))
+        keys = least.select("k1", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        keys, out = self.scratch.keep(keys, f"least-{label}"), None
+        for t in self.runs.values():
+            found = self.spark.table(t).join(keys.hint("merge"), ["k1", "salt"]).where("doc > least").select("doc")
+            out = found if out is None else out.unionByName(found)
+        return self.scratch.keep((out if out is not None else batch.where("false")).select("doc").distinct(), f"again-{label}")
 
-    def merge(self, batch: DataFrame, label: str) -> DataFrame:
+    def merge(self, batch: DataFrame, label: str, again: DataFrame | None = None) -> DataFrame:
         """Adds a batch (k1, doc), a stored table, as a new run; rows (doc, k1) of fingerprints that it shares within
-        itself or with past runs, past documents included."""
+        itself or with past runs, past documents included.  ``again`` has rows of past documents, which are looked up as
+        the batch's are and not added."""
+        added, batch = batch, batch if again is None else self.scratch.keep(batch.unionByName(again), f"asked-{label}")
         own = batch.select("k1", F.lit(0).cast("long").alias("k2"), "doc")
         shared = shared_members(self.scratch, f"merged-{label}", own).select("doc", "k1")
         if self.runs:
@@ -165,9 +178,9 @@ class FingerprintLog:
             past = self.scratch.keep(past, f"past-{label}")
             known = past.select("k1").distinct()
             known = known.select("k1", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-            again = self.salted(batch).join(known.hint("merge"), ["k1", "salt"], "left_semi").select("doc", "k1")
-            shared = shared.unionByName(past).unionByName(again)
-        self._append(self.salted(batch))
+            asked = self.salted(batch).join(known.hint("merge"), ["k1", "salt"], "left_semi").select("doc", "k1")
+            shared = shared.unionByName(past).unionByName(asked)
+        self._append(self.salted(added))
         if len(self.runs) >= COMPACT:
             self.compact()
         return shared
@@ -186,7 +199,6 @@ class FingerprintLog:
         self._append(self.table())
         self._forget(old)
 
-
     def close(self) -> None:
         """Removes the runs."""
         self._forget(list(self.runs))
@@ -200,23 +212,33 @@ def substring_dedup(docs: DataFrame, window: int = 50, batches: int = 2, with_te
     repeats.  A null doc_id is smaller than any other.  Repeated rows of one doc_id are one document; rows of one
     doc_id with different texts are each judged by their own windows.  The table enters the index in ``batches`` parts by doc_id.
 
-    With a ``log`` that holds earlier documents, only rows with a doc_id beyond them are fingerprinted, judged and
-    returned; ``docs`` still has the earlier rows, whose texts are read where a fingerprint is shared.
+    With a ``log``, rows that it holds are known by doc_id and text, so batches come in any order of ids.  New rows are
+    fingerprinted, judged and returned; so are past rows whose windows may also start in a smaller new document, with their
+    verdict of now.  The latest verdicts of all rows are those of one run over the whole table.  ``docs`` still has the
+    earlier rows, whose texts are read where a fingerprint is shared.
     """
     scratch = Scratch(docs.sparkSession)
     own, log = log is None, log or FingerprintLog(scratch)
-    past = log.upto()
+    past = log.judged()
     rows = with_ids(docs, F.xxhash64("text").alias("h"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    new = rows if past is None else rows.where(F.col("doc_id") > past)
-    survey = new.mapInArrow(lambda bs: _survey(bs, window, with_text), "doc_id long, h long, n_words long, sha string, k1 long, k2 long, prints array<long>, plain binary")
-    survey = scratch.keep(survey, "survey")
+    new = rows if past is None else rows.join(past.distinct().hint("shuffle_hash"), ["doc_id", "h"], "left_anti")
+    survey_of = lambda r: r.mapInArrow(lambda bs: _survey(bs, window, with_text), "doc_id long, h long, n_words long, sha string, k1 long, k2 long, prints array<long>, plain binary")
+    survey = fresh = scratch.keep(survey_of(new), "survey")
+    prints_of = lambda r: r.select(F.explode("prints").alias("k1"), F.col("doc_id").alias("doc")).distinct()
+    again = None
+    if past is not None:
+        late = log.later_holders(scratch.keep(prints_of(fresh), "fresh"), "late")
+        back = rows.join(late.select(F.col("doc").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").join(past.distinct().hint("shuffle_hash"), ["doc_id", "h"], "left_semi")
+        back = scratch.keep(survey_of(back), "back")
+        again = scratch.keep(prints_of(back), "again")
+        survey = fresh.unionByName(back)
     # copies of a whole text: the first stands for all; every window of a later one starts in the first
     whole = survey.where(F.col("n_words") >= window).select("k1", "k2", F.col("doc_id").alias("doc"), "h")
     copies = shared_members(scratch, "copies", whole, payload=("h",), later_only=True).select(F.col("doc").alias("doc_id"), "h").distinct()
     copies = scratch.keep(copies, "later")
-    firsts = survey.join(copies, ["doc_id", "h"], "left_anti").select(F.col("doc_id").alias("doc"), "prints")
-    prints = scratch.keep(firsts.select(F.explode("prints").alias("k1"), "doc").distinct(), "prints")
-    span = survey.agg(F.min(F.when(F.col("doc_id") > NULL_ID, F.col("doc_id"))), F.max("doc_id")).first()
+    firsts = fresh.join(copies, ["doc_id", "h"], "left_anti")
+    prints = scratch.keep(prints_of(firsts), "prints")
+    span = fresh.agg(F.min(F.when(F.col("doc_id") > NULL_ID, F.col("doc_id"))), F.max("doc_id")).first()
     lo, hi = (span[0] or 0), (span[1] or 0)
     shared = None
     bounds = [lo + (hi + 1 - lo) * b // batches for b in range(1, batches)]
@@ -226,15 +248,16 @@ def substring_dedup(docs: DataFrame, window: int = 50, batches: int = 2, with_te
             part = part.where(F.col("doc") >= bounds[b - 1])
         if b < batches - 1:
             part = part.where(F.col("doc") < bounds[b])
-        found = log.merge(part, str(b))
+        # past documents are looked up once all new ones are in the log
+        found = log.merge(part, str(b), again if b == batches - 1 else None)
         shared = found if shared is None else shared.unionByName(found)
     shared = shared.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("k1").alias("shared"))
     suspects = scratch.keep(rows.join(shared.hint("shuffle_hash"), "doc_id"), "suspects")
-    scratch.drop(*(f"{t}-{b}" for t in ("merged", "keys", "past") for b in range(batches)), "copies", "prints")
+    scratch.drop(*(f"{t}-{b}" for t in ("merged", "asked", "keys", "past") for b in range(batches)), "copies", "prints", "fresh", "again")
     if own:
         log.close()
-    elif span[1] is not None:
-        log.mark(span[1])
+    else:
+        log.mark(fresh)
     windows = suspects.mapInArrow(lambda bs: _windows(bs, window), "k1 long, k2 long, doc long")
     windows = scratch.keep(windows, "windows")
     seen = shared_members(scratch, "seen", windows, later_only=True)

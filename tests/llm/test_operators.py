@@ -221,6 +221,38 @@ def test_substring_dedup_of_repeated_ids(spark):
     assert sorted((r["doc_id"], r["n_removed"], r["kept"]) for r in found) == [(1, 0, a), (2, 0, b), (2, 0, b), (2, 60, ""), (3, 60, "tail")]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_log_takes_batches_in_any_order(spark, tmp_path, seed):
+    """Late, null and repeated ids: after every batch the latest verdicts are those of one run over all rows so far."""
+    r = random.Random(seed)
+    rows = [(d, t) for d, t, *_ in corpus(20 + seed, 60)[:60]]
+    passage = " ".join(f"q{i}" for i in range(70))
+    rows = [(i, f"{t} {passage}" if i % 4 == 0 else t) for i, t in rows] + [(None, f"{passage} of no id"), (None, rows[7][1]), (61, rows[3][1]), (-5, rows[8][1]), (62, None)]
+    r.shuffle(rows)
+    latest, path, at = {}, f"file://{tmp_path}/log", 0
+    for n in (12, 13, 30, 48, len(rows)):
+        part = substring_dedup(frame(spark, rows[:n]), 20, 2, log=FingerprintLog(Scratch(spark), path)).collect()
+        assert len(part) >= n - at
+        at = n
+        for x in part:
+            latest.setdefault((x["doc_id"], x["n_words"]), {}).update({"v": (x["n_removed"], x["kept_sha256"])})
+        low = lambda i: -(2**63) if i is None else i
+        first = {}
+        for d, t in rows[:n]:
+            w = words(t)
+            for i in range(len(w) - 19):
+                key = tuple(w[i : i + 20])
+                first[key] = min(first.get(key, low(d)), low(d))
+        for d, t in rows[:n]:
+            w = words(t)
+            gone = [False] * len(w)
+            for i in range(len(w) - 19):
+                if first[tuple(w[i : i + 20])] < low(d):
+                    gone[i : i + 20] = [True] * 20
+            assert latest[d, len(w)]["v"] == (sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g))), (n, d)
+    assert substring_dedup(frame(spark, rows), 20, 1, log=FingerprintLog(Scratch(spark), path)).count() == 0
+
+
 def test_fingerprint_log_is_reopened_and_compacted(spark, tmp_path):
     rows = corpus(14, 80)[:80]
     passage = " ".join(f"q{i}" for i in range(70))
@@ -317,7 +349,7 @@ def test_near_duplicates_edges(spark):
 
 def test_contaminated(spark):
     r = random.Random(6)
-    items = [(i, " ".join(f"i{i}x{j}" for j in range(r.choice([3, 5, 8, 20, 90])))) for i in range(30)] + [(90, None), (91, ""), (None, "no id item of six words here")]
+    items = [(i, " ".join(f"i{i}x{j}" for j in range(r.choice([1, 3, 4, 5, 8, 20, 90])))) for i in range(30)] + [(90, None), (91, ""), (None, "no id item of six words here")]
     docs = []
     for i in range(40):
         w = [f"d{r.randrange(500)}" for _ in range(r.choice([0, 3, 50, 800]))]
@@ -328,20 +360,30 @@ def test_contaminated(spark):
         docs.append((i, " ".join(w[:at] + [x.upper() for x in part] + w[at:])))
     docs += [(100, None), (None, items[7][1])]
     grown = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))(words(t, True))
-    expected = sorted((str(d), str(i), len(grown(t) & grown(x)), len(grown(x))) for d, t in docs for i, x in items if grown(x) and 100 * len(grown(t) & grown(x)) >= 75 * len(grown(x)))
+    short = {len(w) for _, x in items if 0 < len(w := words(x)) < 5}
+    runs = lambda w: {tuple(w[i : i + k]) for k in short for i in range(len(w) - k + 1)}
+    held = lambda t, x: len((grown(t) | runs(words(t, True))) & grown(x))
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs += [(7, docs[7][1]), (8, docs[9][1]), (101, " ".join(docs[i][1] for i in range(40)) + " filler" * 30_000)]
-    expected = sorted((str(d), str(i), len(grown(t) & grown(x)), len(grown(x))) for d, t in docs for i, x in items if grown(x) and 100 * len(grown(t) & grown(x)) >= 75 * len(grown(x)))
+    expected = sorted((str(d), str(i), held(t, x), len(grown(x))) for d, t in docs for i, x in items if grown(x) and 100 * held(t, x) >= 75 * len(grown(x)))
     for most in (8_000_000, 40):  # as an index, and by joins
         found = contaminated(frame(spark, docs), bench, index_shingles=most).collect()
         assert sorted((str(x["doc_id"]), str(x["item_id"]), x["common"], x["item_shingles"]) for x in found) == expected
         kept = clean_documents(spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, _bytes int"), bench, index_shingles=most).collect()
-        marked = lambda t: any(100 * len(grown(t) & grown(x)) >= 75 * len(grown(x)) for _, x in items if grown(x))
+        marked = lambda t: any(100 * held(t, x) >= 75 * len(grown(x)) for _, x in items if grown(x))
         assert sorted((str(x["doc_id"]), x["text"]) for x in kept if x["text"]) == sorted((str(d), t) for d, t in docs if t and not marked(t))
     assert contaminated(frame(spark, []), bench).count() == 0
     assert contaminated(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_in_long_documents(spark):
+    docs = [(1, "alpha Beta gamma delta epsilon zeta"), (2, "beta gamma"), (3, "beta gamma delta"), (4, "gamma beta delta x y z"), (5, "delta " * 10)]
+    bench = spark.createDataFrame([(1, "beta gamma delta"), (2, "delta"), (3, "y z")], "item_id long, text string")
+    for most in (8_000_000, 1):
+        found = contaminated(frame(spark, docs), bench, index_shingles=most).collect()
+        assert sorted((x["doc_id"], x["item_id"]) for x in found) == [(1, 1), (1, 2), (3, 1), (3, 2), (4, 2), (4, 3), (5, 2)]
+
+
 def test_item_index_sizes():
     h = WordHashes()
     sets = [(i, shingles(t.split(), h)) for i, t in ((1, b"a b c d e f g h"), (2, b"x"))]
