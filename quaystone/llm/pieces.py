@@ -1,17 +1,18 @@
-"""SentencePiece encoding by a table of distinct chunks, and decoding.
+"""SentencePiece encoding by tables of distinct chunks, and decoding.
 
 A chunk is a run of whitespace markers and what follows up to the next one.  Where no piece of a vocabulary crosses from
 other characters to a marker, merges never cross a chunk's edge, so a text's ids are those of its chunks in a row, and
-each distinct chunk is segmented once:
+distinct chunks are segmented in place of occurrences:
 
-1. Frequent chunks (found twice or more in a bounded sample of texts, ``TABLE`` at most) are segmented first and go to the
-   executors as a table of bounded size, so that no frequent chunk is ever a shuffle key.
-2. Every other chunk of a text is asked for by (chunk, text, number).  Asks are dealt and sorted by chunk, so equal ones
-   stand together and are segmented once, wherever they come from; their ids go back to the texts.
-3. Texts travel as chunk numbers, meet their ids and are put together by position.
+1. Frequent chunks (found twice or more in a bounded sample of texts, ``TABLE`` at most) are segmented once, by Spark, and
+   go to the executors as a table of bounded size.
+2. Chunks outside it are rare: a task keeps a table of its own for them, each segmented once where the task first meets
+   it.  A chunk that only one text has is so segmented once in all.
+3. A text is the numbers of its chunks in both tables, and its ids are taken from the tables by position.
 
-Which chunks are in the table changes the work alone, never the ids.  Vocabularies whose pieces do cross markers, or
-whose normalisation looks beyond a chunk, are encoded by whole texts in place of chunks, by the same steps.
+Texts are read once and never shuffled.  Which chunks are in which table changes the work alone, never the ids.
+Vocabularies whose pieces do cross markers, or whose normalisation looks beyond a chunk, are encoded by whole texts in
+place of chunks, by the same steps.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from quaystone.llm.common import chunks, id_out, ranges, with_ids
 SAMPLE, TABLE, TABLE_CHARS = 50_000, 2**20, 48
 #: Distinct chunks of the sample that a task holds before it hands their counts over.
 HELD = 500_000
-#: Texts and asks taken at a time; bytes of ids and of decoded text that a worker hands over at a time, about.
-ROWS, ASKS, BYTES = 256, 20_000, 4_000_000
+#: Texts and chunks taken at a time; chunks in a task's own table; bytes of ids and decoded text handed over at a time, about.
+ROWS, CHUNKS, OWN, BYTES = 512, 20_000, 200_000, 4_000_000
 MARKER = "▁"
 _RUNS = re.compile(" *[^ ]+| +")
 #: Texts whose ids must be those of their chunks, or a model isn't taken to be separable.
@@ -91,71 +92,50 @@ def _frequent(batches, separable: bool):
 
 
 def _segment(batches, model):
-    """``chunk`` to its ids; equal neighbours are segmented once."""
-    segmenter, last = Segmenter(model.value), (None, b"")
-    for batch in chunks(batches, ASKS):
-        coded = batch.column("chunk").dictionary_encode()
-        found = coded.dictionary.to_pylist()
-        known = [last[1]] if found and found[0] == last[0] else []  # goes on from the batch before
-        ids = known + [np.array(x, np.int32).tobytes() for x in segmenter.segment(found[len(known) :])]
-        last = (found[-1], ids[-1]) if found else last
-        column = pa.DictionaryArray.from_arrays(coded.indices, pa.array(ids, pa.binary())).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "chunk"), column], [*(c for c in batch.schema.names if c != "chunk"), "ids"])
-
-
-def _asks(batches, table, separable: bool):
-    """doc_id, h, number, chunk for every distinct chunk of a text that isn't in the table; numbers by first place."""
-    for batch in chunks(batches, ROWS):
-        known = table.value[0]
-        rows, found = [], []
-        for text in batch.column("text").to_pylist():
-            own = dict.fromkeys(split(text, separable))
-            own = [c for c in own if c not in known]
-            rows.append(len(own))
-            found += own
-        at = np.repeat(np.arange(len(rows)), rows)
-        number = np.arange(len(at)) - np.repeat(np.cumsum(rows) - rows, rows)
-        columns = {c: batch.column(c).take(pa.array(at)) for c in ("doc_id", "h")}
-        yield pa.RecordBatch.from_pydict(columns | {"number": pa.array(number.astype(np.int32)), "chunk": pa.array(found, pa.string())})
-
-
-def _numbers(batches, table, separable: bool):
-    """Texts as numbers of chunks: of the table's from 0, of a text's own ones after these."""
-    for batch in chunks(batches, ROWS):
-        known, packed, lengths = table.value[0], [], []
-        for text in batch.column("text").to_pylist():
-            own: dict[str, int] = {}
-            get, add, n, out = known.get, own.setdefault, len(known), []
-            for chunk in split(text, separable):
-                i = get(chunk)
-                out.append(i if i is not None else n + add(chunk, len(own)))
-            # frequent chunks have small numbers, so that bytes of one weight compress together
-            raw = np.array(out, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-            packed.append(pa.compress(raw, "zstd", asbytes=True))
-            lengths.append(len(out))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "h": batch.column("h"), "size": pa.array(lengths, pa.int64()), "numbers": pa.array(packed, pa.binary())})
-
-
-def _put_together(batches, table, model):
+    """``chunk`` to its ids."""
+    segmenter = Segmenter(model.value)
+    for batch in chunks(batches, CHUNKS):
+        ids = [np.array(x, np.int32).tobytes() for x in segmenter.segment(batch.column("chunk").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("n"), pa.array(ids, pa.binary())], ["chunk", "n", "ids"])
+
+
+class _Tables:
+    """The shared table of chunks, and one of a task's own that grows behind it."""
+
+    def __init__(self, shared, segmenter: Segmenter):
+        self.known, self.flat, self.starts, self.lengths = shared
+        self.segmenter, self.shared = segmenter, shared
+        self.own: dict[str, int] = {}
+
+    def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Each text's chunks as numbers in the tables; new ones are segmented, once each."""
+        if len(self.own) > OWN:
+            self.__init__(self.shared, self.segmenter)
+        known, own = self.known, self.own
+        new = [c for c in dict.fromkeys(c for found in texts for c in found if c not in known) if c not in own]
+        if new:
+            own.update(zip(new, range(len(known) + len(own), len(known) + len(own) + len(new)), strict=True))
+            ids = self.segmenter.segment(new)
+            lengths = np.array([len(x) for x in ids], np.int64)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.int32)])
+        get = lambda c: i if (i := known.get(c)) is not None else own[c]
+        return [np.fromiter(map(get, found), np.int64, len(found)) for found in texts]
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        return self.flat[ranges(self.starts[numbers], self.lengths[numbers])]
+
+
+def _encode(batches, table, model, separable: bool):
     segmenter = Segmenter(model.value)
-    known, flat, starts, lengths = table.value
-    end = segmenter.library.eos_id()
+    tables = _Tables(table.value, segmenter)
+    end = np.array([segmenter.library.eos_id()], np.int32)
     for batch in chunks(batches, ROWS):
+        doc_ids, texts = batch.column("doc_id").to_pylist(), [split(t, separable) for t in batch.column("text").to_pylist()]
         out_id, out_ids, out_text, held = [], [], [], 0
-        for doc, size, packed, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "numbers")), batch.column("own"), strict=True):
-            raw = pa.decompress(packed, 4 * size, "zstd", asbytes=True) if size else b""
-            number = np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel().astype(np.int64)
-            its = [x["ids"] for x in sorted(own.as_py() or (), key=lambda x: x["number"])]
-            its_ids, its_lengths = np.frombuffer(b"".join(its), np.int32), np.array([len(x) // 4 for x in its], np.int64)
-            begin, length = np.empty_like(number), np.empty_like(number)
-            late = number >= len(known)
-            begin[~late], length[~late] = starts[number[~late]], lengths[number[~late]]
-            begin[late] = len(flat) + (np.cumsum(its_lengths) - its_lengths)[number[late] - len(known)]
-            length[late] = its_lengths[number[late] - len(known)]
-            at = ranges(begin, length)
-            ids, mine = np.empty(len(at) + 1, np.int32), at >= len(flat)
-            ids[:-1][~mine], ids[:-1][mine] = flat[at[~mine]], its_ids[at[mine] - len(flat)]
-            ids[-1] = end
+        for doc, numbers in zip(doc_ids, tables.numbers(texts), strict=True):
+            ids = np.concatenate([tables.ids(numbers), end])
             out_id.append(doc)
             out_ids.append(ids)
             out_text.append(segmenter.library.decode(ids.tolist()))
@@ -173,14 +153,13 @@ def _rows(doc_ids: list, ids: list, texts: list) -> pa.RecordBatch:
 
 
 def frequent_chunks(docs: DataFrame, model, separable: bool, sample: int = SAMPLE, most: int = TABLE):
-    """({chunk: number}, ids in a row, their starts and lengths): at most ``most`` chunks, most frequent first."""
+    """({chunk: number}, ids in a row, their starts and lengths): at most ``most`` chunks."""
     share = min(1.0, sample / max(docs.count(), 1))
     text = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**40)) < F.lit(int(share * 2**40))).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = text.mapInArrow(lambda bs: _frequent(bs, separable), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
     n = n.where("n > 1").orderBy(F.desc("n"), "chunk").limit(most)
-    rows = n.select("n", F.col("chunk").alias("word"), "chunk").mapInArrow(lambda bs: _segment(bs, model), "n long, word string, ids binary")
-    rows = rows.toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # bounded by ``most`` and TABLE_CHARS
-    words, ids = rows.column("word").to_pylist(), [np.frombuffer(x.as_py(), np.int32) for x in rows.column("ids")]
+    rows = n.mapInArrow(lambda bs: _segment(bs, model), "chunk string, n long, ids binary").toArrow()  # bounded by ``most`` and TABLE_CHARS
+    words, ids = rows.column("chunk").to_pylist(), [np.frombuffer(x.as_py(), np.int32) for x in rows.column("ids")]
     lengths = np.array([len(x) for x in ids], np.int64)
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
     return dict(zip(words, range(len(words)), strict=True)), flat, np.cumsum(lengths) - lengths, lengths
@@ -199,14 +178,6 @@ def encode_pieces(docs: DataFrame, model: str, sample: int = SAMPLE, most: int =
     separable = Segmenter(proto).separable()
     sent = spark.sparkContext.broadcast(proto)
     table = spark.sparkContext.broadcast(frequent_chunks(docs, sent, separable, sample, most))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = with_ids(docs, F.xxhash64("text").alias("h"), text.alias("text"))
-    asks = rows.select("doc_id", "h", "text").mapInArrow(lambda bs: _asks(bs, table, separable), "doc_id long, h long, number int, chunk string")
-    # no number of partitions: Spark joins neighbouring small ones
-    given = asks.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lambda bs: _segment(bs, sent), "doc_id long, h long, number int, ids binary")
-    # narrow rows are shuffled, and gathered behind the shuffle: a text's own chunks, once each for repeated rows
-    given = given.repartition("doc_id", "h").groupBy("doc_id", "h").agg(F.collect_set(F.struct("number", "ids")).alias("own"))
-    texts = rows.mapInArrow(lambda bs: _numbers(bs, table, separable), "doc_id long, h long, size long, numbers binary")
-    out = texts.join(given.hint("merge"), ["doc_id", "h"], "left").select("doc_id", "size", "numbers", "own")
-    out = out.mapInArrow(lambda bs: _put_together(bs, table, sent), "doc_id long, ids array<int>, decoded string")
+    rows = with_ids(docs, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    out = rows.mapInArrow(lambda bs: _encode(bs, table, sent, separable), "doc_id long, ids array<int>, decoded string")
     return out.select(id_out(), "ids", "decoded")

@@ -66,18 +66,23 @@ def test_chunks_are_the_text():
         assert split(t, False) == [t]
 
 
-def test_no_frequent_chunk_is_shuffled(spark, library):
-    """Rows dealt by chunk are those outside the table alone, one for each text and chunk."""
-    from quaystone.llm.pieces import _asks
+def test_a_task_segments_a_chunk_once(library, monkeypatch):
+    """Chunks of the shared table never, each other one when it is first met, and anew once the task's table was full."""
+    from quaystone.llm import pieces
 
-    class Shared:
-        value = ({"the": 0},)
-
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "h": pa.array([1, 2]), "text": pa.array(["the a the a b", "the the"])})
-    (out,) = _asks([batch], Shared, True)
-    assert out.to_pydict() == {"doc_id": [1, 1], "h": [1, 1], "number": [0, 1], "chunk": ["a", "b"]}
+    with open(MODEL, "rb") as f:
+        segmenter = Segmenter(f.read())
+    seen, plain = [], segmenter.segment
+    segmenter.segment = lambda found: seen.extend(found) or plain(found)
+    shared = {"the": 0}, np.array(library.encode("the"), np.int32), np.zeros(1, np.int64), np.array([len(library.encode("the"))])
+    tables = pieces._Tables(shared, segmenter)
+    for _ in range(3):
+        (numbers,) = tables.numbers([split("the rare the words rare", True)])
+        assert tables.ids(numbers).tolist() == library.encode("the rare the words rare")
+    assert seen == ["rare", "words"]
+    monkeypatch.setattr(pieces, "OWN", 1)
+    (numbers,) = tables.numbers([["rare", "words", ""]])
+    assert seen[2:] == ["rare", "words", ""] and tables.ids(numbers).tolist() == library.encode("rare words ")
 
 
 # -- vector codes
