@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaystone.functions.exprs import count_if, finite, lenient_double, lenient_timestamp, ratio
-from quaystone.operators.dims import with_surrogate_key
+from quaystone.operators.selection import percentiles
 
 
 def defensive(bronze: DataFrame) -> DataFrame:
@@ -69,24 +69,6 @@ def failure_by_category(tx: DataFrame, merchants: DataFrame) -> DataFrame:
 # -- statistics
 
 
-def percentiles(rows: DataFrame, column: str, at: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
-    """by..., q, value: exact percentiles, interpolated between neighbours, for each group and each q of ``at``.
-
-    Values are ranked over range partitions, and the ranks that a percentile lies between are looked up by a join, so no
-    task holds a group.  Nulls count for nothing; a group without values has no rows."""
-    at = tuple(float(q) for q in at)
-    x = rows.select(*by, F.col(column).cast("double").alias("_x")).where("_x is not null")
-    # equal values of one group may be any share of all rows: a row number keeps them apart
-    ranked = with_surrogate_key(x.withColumn("_tie", F.monotonically_increasing_id()), "_rank", [*by, "_x", "_tie"]).select(*by, "_x", "_rank")
-    groups = ranked.groupBy(*by).agg(F.min("_rank").alias("_start"), F.count(F.lit(1)).alias("_n")).where("_n > 0")
-    wanted = groups.withColumn("q", F.explode(F.array(*[F.lit(q) for q in at]))).withColumn("_at", F.col("q") * (F.col("_n") - 1))
-    lo = (F.col("_start") + F.floor("_at")).cast("long")
-    wanted = wanted.select(*by, "q", (F.col("_at") - F.floor("_at")).alias("_part"), F.explode(F.array(lo, (F.col("_start") + F.ceil("_at")).cast("long"))).alias("_rank"))
-    found = wanted.join(ranked.select("_rank", "_x"), "_rank").groupBy(*by, "q").agg(F.max("_part").alias("_part"), F.min_by("_x", "_rank").alias("_lo"), F.max_by("_x", "_rank").alias("_hi"))
-    value = F.when(F.col("_part") == 0, F.col("_lo")).otherwise(F.col("_lo") * (1 - F.col("_part")) + F.col("_hi") * F.col("_part"))
-    return found.select(*by, "q", value.alias("value"))
-
-
 def lag_statistics(rows: DataFrame, lag: str = "ingestion_lag_seconds", late_after: int = 3600) -> DataFrame:
     """p50, p95, p99 (truncated), maximum and share of late rows."""
     names = {0.5: "p50", 0.95: "p95", 0.99: "p99"}
@@ -96,9 +78,10 @@ def lag_statistics(rows: DataFrame, lag: str = "ingestion_lag_seconds", late_aft
 
 
 def log_amount_statistics(rows: DataFrame, by: str, amount: str = "amount_vnd") -> DataFrame:
-    """Mean and deviation of log(1 + amount) by group."""
+    """Mean and deviation of log(1 + amount) by group, over finite amounts above 0."""
     x = F.log1p(F.col(amount))
-    return rows.where(F.col(amount) > 0).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 6).alias("mean_log"), F.round(F.stddev_samp(x), 6).alias("std_log"))
+    good = rows.where(finite(F.col(amount)) & (F.col(amount) > 0))
+    return good.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 6).alias("mean_log"), F.round(F.stddev_samp(x), 6).alias("std_log"))
 
 
 def value_shares(rows: DataFrame, column: str) -> DataFrame:
@@ -118,20 +101,32 @@ def null_shares(rows: DataFrame) -> DataFrame:
 
 
 def median_by(rows: DataFrame, by: str, column: str) -> DataFrame:
-    """Median of every group; null for a group without values."""
+    """Median of the finite values of every group; null for a group without any."""
     found = percentiles(rows, column, (0.5,), (by,)).select(F.col(by).alias("_by"), F.round("value", 6).alias("median"))
     return rows.select(by).distinct().join(found, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "median")
 
 
 def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
-    """bin (1..bins, 0 and bins + 1 outside) and rows in it."""
+    """bin (1..bins, 0 and bins + 1 outside) and rows in it; infinities lie outside, null and NaN in none."""
     b: Column = F.width_bucket(F.col(column), F.lit(low), F.lit(high), F.lit(bins))
-    return rows.where(F.col(column).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def calibration(rows: DataFrame, by: str = "type", amount: str = "amount") -> DataFrame:
-    """Log-normal parameters, tail and mean of the amounts of each type, as a generator wants them."""
-    x = F.log1p(F.col(amount))
-    sums = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 6).alias("mu"), F.round(F.stddev_samp(x), 6).alias("sigma"), F.round(F.avg(amount), 4).alias("mean"))
-    tail = percentiles(rows, amount, (0.999,), (by,)).select(F.col(by).alias("_by"), F.round("value", 4).alias("p999"))
-    return sums.join(tail, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mu", "sigma", "p999", "mean")
+    return rows.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def calibration(rows: DataFrame, by: str = "type", amount: str = "amount", fraud: str = "is_fraud", scale: float = 1.0, types: tuple[str, ...] = ()) -> DataFrame:
+    """What a generator wants of the amounts of each type, over finite amounts times ``scale``: n, share of all rows, log-normal
+    mu and sigma, cap (the 0.999 quantile as a whole number, 1 at least), mean; the same mu and sigma of fraud alone, its
+    rows and rate.  Types of ``types`` without rows have n, share and rate 0; a sigma of one row is null."""
+    rows = rows.where(finite(F.col(amount))).select(F.col(by).alias("_by"), (F.col(amount) * F.lit(scale)).alias("_x"), (F.coalesce(F.col(fraud), F.lit(0)) == 1).alias("_fraud"))
+    log, bad = F.log(F.col("_x") + 1), F.when(F.col("_fraud"), F.log(F.col("_x") + 1))
+    sums = rows.groupBy("_by").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(log), 6).alias("mu"), F.round(F.stddev_samp(log), 6).alias("sigma"), F.round(F.avg("_x"), 4).alias("mean"),
+        count_if(F.col("_fraud")).alias("fraud_n"), F.round(F.avg(bad), 6).alias("fraud_mu"), F.round(F.stddev_samp(bad), 6).alias("fraud_sigma"),
+    )
+    tail = percentiles(rows, "_x", (0.999,), ("_by",)).select(F.col("_by").alias("_type"), F.greatest(F.lit(1.0), "value").cast("long").alias("cap"))
+    out = sums.join(tail, F.col("_by").eqNullSafe(F.col("_type")), "left").drop("_type")
+    if types:
+        listed = rows.sparkSession.createDataFrame([(t,) for t in types], "_type string")
+        out = out.join(F.broadcast(listed), F.col("_by").eqNullSafe(F.col("_type")), "full").withColumn("_by", F.coalesce("_by", "_type")).na.fill(0, ["n", "fraud_n"])
+    share = F.round(F.coalesce(ratio(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)), 6)  # a row for each type
+    rate = F.round(F.coalesce(ratio(F.col("fraud_n"), F.col("n")), F.lit(0.0)), 6)
+    return out.select(F.col("_by").alias(by), "n", share.alias("share"), "mu", "sigma", "cap", "mean", "fraud_n", rate.alias("fraud_rate"), "fraud_mu", "fraud_sigma")

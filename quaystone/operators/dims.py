@@ -36,12 +36,12 @@ def calendar(spark: SparkSession, start: dt.date = CALENDAR[0], end: dt.date = C
     )
 
 
-def with_surrogate_key(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def with_surrogate_key(df: DataFrame, name: str, keys: list[str], scratch: Scratch | None = None) -> DataFrame:
     """1..n in key order.  Range partitions make the order global: each task numbers its own part, and the sizes of the
     parts before it (one row a task) are added, so no task holds the whole table.  The parts are stored first: their
-    bounds come from a sample, which a second evaluation might draw anew."""
+    bounds come from a sample, which a second evaluation might draw anew.  They are in ``scratch``, whose owner frees them."""
     order = [F.col(k).asc_nulls_first() for k in keys]
-    parts = Scratch(df.sparkSession).keep(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    parts = (scratch or Scratch(df.sparkSession)).keep(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
     numbered = parts.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -66,12 +66,12 @@ def keep_first(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(rest, F.struct(F.coalesce(place, F.lit(2**63 - 1)).alias("p"), rest.alias("r"))).alias("_r")).select(key, "_r.*").select(*columns)
 
 
-def one_version(silver: DataFrame, kind: str) -> DataFrame:
+def one_version(silver: DataFrame, kind: str, scratch: Scratch | None = None) -> DataFrame:
     """A dimension without history: one row for each key, numbered, with the Unknown member; of several rows of a key the
     first, as ``keep_first`` says."""
     key, columns = f"{kind}_id", KEEP[kind]
     once = keep_first(silver, key, columns)
-    return with_unknown(with_surrogate_key(once, f"{kind}_sk", [key]), f"{kind}_sk", key)
+    return with_unknown(with_surrogate_key(once, f"{kind}_sk", [key], scratch), f"{kind}_sk", key)
 
 
 def customer_versions(customers: DataFrame, events: DataFrame, locations: DataFrame) -> DataFrame:
@@ -112,8 +112,8 @@ def customer_versions(customers: DataFrame, events: DataFrame, locations: DataFr
     return past.unionByName(current)
 
 
-def dim_customer(customers: DataFrame, events: DataFrame, locations: DataFrame) -> DataFrame:
+def dim_customer(customers: DataFrame, events: DataFrame, locations: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Numbered versions and the Unknown member."""
     versions = customer_versions(customers, events, locations)
-    numbered = with_surrogate_key(versions, "customer_sk", ["customer_id", "valid_from", "valid_to"])
+    numbered = with_surrogate_key(versions, "customer_sk", ["customer_id", "valid_from", "valid_to"], scratch)
     return with_unknown(numbered, "customer_sk", "customer_id", valid_from=BEGINNING, valid_to=FOREVER, is_current=True)

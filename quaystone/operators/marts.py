@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from quaystone.functions.exprs import count_if, ratio
 from quaystone.operators.checks import Gate
 from quaystone.operators.dims import UNKNOWN, UNKNOWN_SK
+from quaystone.operators.slices import with_context
 
 #: Watchlist limits, high amount, score weights and caps.
 WATCH = {"fraud_rate": 0.05, "zscore": 4, "txn_1h": 10, "devices": 5}
 HIGH_AMOUNT = 46_000_000
 NIGHT = (0, 5)
+#: Rows of a customer beyond which its history is cut into weeks.
+HEAVY = 1_000_000
 HOUR, DAY, WEEK = "INTERVAL '1' HOUR", "INTERVAL '1' DAY", "INTERVAL '7' DAY"
 #: Just longer than a day, a week: the nearest time outside of the trailing interval.
 PAST_DAY, PAST_WEEK = "INTERVAL '1 00:00:00.000001' DAY TO SECOND", "INTERVAL '7 00:00:00.000001' DAY TO SECOND"
 
 
+#: Columns of the fact that each mart reads.
+DAILY_COLUMNS = ["date_key", "amount_vnd", "status", "is_fraud", "customer_sk"]
+CUSTOMER_COLUMNS = ["customer_sk", "device_sk", "location_sk", "event_time", "amount_vnd", "status", "is_fraud"]
+MERCHANT_COLUMNS = ["merchant_sk", "customer_sk", "amount_vnd", "status", "is_fraud"]
+FEATURE_COLUMNS = ["transaction_id", "customer_sk", "device_sk", "merchant_sk", "location_sk", "event_time", "amount_vnd", "status", "is_fraud", "fraud_pattern"]
+
+
 def trailing(spark_sql: str, interval: str, key: str = "customer_id", time: str = "event_time") -> Column:
     """An aggregate over the key's rows of the trailing interval; rows of the same time are in."""
     return F.expr(f"{spark_sql} OVER (PARTITION BY {key} ORDER BY {time} RANGE BETWEEN {interval} PRECEDING AND CURRENT ROW)")
@@ -124,42 +134,66 @@ def mart_merchant_risk(fact: DataFrame, dim_merchant: DataFrame) -> DataFrame:
     )
 
 
-def behaviour(rows: DataFrame, exact_distinct: bool = False) -> DataFrame:
+def behaviour(rows: DataFrame, exact_distinct: bool = False, heavy: int = HEAVY) -> DataFrame:
     """Trailing, first-seen and gap features of transactions (transaction_id, customer_id, event_time, amount_vnd, status,
-    device_sk, merchant_sk, txn_country), all windows over one shuffle by customer.
+    device_sk, merchant_sk, txn_country).
+
+    All windows of a customer are over one shuffle by customer.  A customer of more than ``heavy`` rows is cut into weeks
+    instead, each with the two weeks before it as context: as far as a trailing week of rows whose own freshness looks back
+    a week.  What a frame can't say, which row was a device's or country's first, comes from an aggregate.
 
     unique_merchants_24h and unique_devices_7d add up, over the trailing interval, the rows whose previous sighting is
     none or longer ago than the interval: they may be lower than the number of distinct values.  ``exact_distinct``
     adds that number in columns of its own: sightings that began a stay in the interval, less those that were not renewed
     and have left it, both as running sums, so no frame holds a set."""
+    # at most one customer for every ``heavy`` rows
+    long_ones = F.broadcast(rows.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy).select(F.col("customer_id").alias("_long")))
+    match = F.col("customer_id") == F.col("_long")
     at = ["event_time", "transaction_id"]
     first = lambda c: F.when(F.row_number().over(Window.partitionBy("customer_id", c).orderBy(*at)) == 1, 1).otherwise(0)
-    gap = lambda c: F.col("event_time") - F.lag("event_time").over(Window.partitionBy("customer_id", c).orderBy(*at))
-    fresh = lambda c, iv: F.when(gap(c).isNull() | (gap(c) > F.expr(iv)), 1).otherwise(0)
     # partitioned by customer alone, which serves the windows by customer and device, country or merchant as well
-    rows = rows.repartition("customer_id").withColumns({"is_new_device": first("device_sk"), "is_new_location": first("txn_country"), "_fresh_merchant": fresh("merchant_sk", DAY), "_fresh_device": fresh("device_sk", WEEK)})
+    short = rows.join(long_ones, match, "left_anti").repartition("customer_id")
+    short = _trailing_features(short.withColumns({"is_new_device": first("device_sk"), "is_new_location": first("txn_country")}), ["customer_id"], exact_distinct)
+    cut = rows.join(long_ones, match, "left_semi")
+    firsts = None
+    for name, c in (("is_new_device", "device_sk"), ("is_new_location", "txn_country")):
+        one = cut.groupBy("customer_id", c).agg(F.min(F.struct(*at)).alias("_f")).select("customer_id", "_f.*", *[F.lit(int(n == name)).alias(n) for n in ("is_new_device", "is_new_location")])
+        firsts = one if firsts is None else firsts.unionByName(one)
+    firsts = firsts.groupBy("customer_id", *at).agg(F.max("is_new_device").alias("is_new_device"), F.max("is_new_location").alias("is_new_location"))
+    on = (cut["transaction_id"] == firsts["transaction_id"]) & (cut["customer_id"] == firsts["customer_id"]) & (cut["event_time"] == firsts["event_time"])
+    cut = cut.join(firsts, on, "left").select(cut["*"], *[F.coalesce(firsts[c], F.lit(0)).alias(c) for c in ("is_new_device", "is_new_location")])
+    cut = with_context(cut, "event_time", 7, 2, ["customer_id", *at, "amount_vnd", "status", "device_sk", "merchant_sk"]).repartition("customer_id", "_slice")
+    cut = _trailing_features(cut, ["customer_id", "_slice"], exact_distinct).where("_own").drop("_own", "_slice")
+    return short.unionByName(cut)
+
+
+def _trailing_features(rows: DataFrame, by: list[str], exact_distinct: bool) -> DataFrame:
+    at, keys = ["event_time", "transaction_id"], ", ".join(by)
+    gap = lambda c: F.col("event_time") - F.lag("event_time").over(Window.partitionBy(*by, c).orderBy(*at))
+    fresh = lambda c, iv: F.when(gap(c).isNull() | (gap(c) > F.expr(iv)), 1).otherwise(0)
+    rows = rows.withColumns({"_fresh_merchant": fresh("merchant_sk", DAY), "_fresh_device": fresh("device_sk", WEEK)})
     features = {
-        "_avg": trailing("avg(amount_vnd)", WEEK),
-        "_std": trailing("stddev_samp(amount_vnd)", WEEK),
-        "txn_count_1h": trailing("count(*)", HOUR),
-        "txn_count_24h": trailing("count(*)", DAY),
-        "failed_txn_count_24h": trailing("sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END)", DAY),
-        "unique_merchants_24h": trailing("sum(_fresh_merchant)", DAY),
-        "unique_devices_7d": trailing("sum(_fresh_device)", WEEK),
+        "_avg": trailing("avg(amount_vnd)", WEEK, keys),
+        "_std": trailing("stddev_samp(amount_vnd)", WEEK, keys),
+        "txn_count_1h": trailing("count(*)", HOUR, keys),
+        "txn_count_24h": trailing("count(*)", DAY, keys),
+        "failed_txn_count_24h": trailing("sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END)", DAY, keys),
+        "unique_merchants_24h": trailing("sum(_fresh_merchant)", DAY, keys),
+        "unique_devices_7d": trailing("sum(_fresh_device)", WEEK, keys),
     }
     if exact_distinct:
-        wait = lambda c: F.lead("event_time").over(Window.partitionBy("customer_id", c).orderBy(*at)) - F.col("event_time")
+        wait = lambda c: F.lead("event_time").over(Window.partitionBy(*by, c).orderBy(*at)) - F.col("event_time")
         left = lambda c, iv: F.when(wait(c).isNull() | (wait(c) > F.expr(iv)), 1).otherwise(0)
         rows = rows.withColumns({"_left_merchant": left("merchant_sk", DAY), "_left_device": left("device_sk", WEEK)})
         present = lambda c, over: F.expr(
-            f"sum(_fresh_{c}) OVER (PARTITION BY customer_id ORDER BY event_time RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - "
-            f"coalesce(sum(_left_{c}) OVER (PARTITION BY customer_id ORDER BY event_time RANGE BETWEEN UNBOUNDED PRECEDING AND {over} PRECEDING), 0)"
+            f"sum(_fresh_{c}) OVER (PARTITION BY {keys} ORDER BY event_time RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - "
+            f"coalesce(sum(_left_{c}) OVER (PARTITION BY {keys} ORDER BY event_time RANGE BETWEEN UNBOUNDED PRECEDING AND {over} PRECEDING), 0)"
         )
         features |= {"unique_merchants_24h_exact": present("merchant", PAST_DAY), "unique_devices_7d_exact": present("device", PAST_WEEK)}
     return rows.withColumns(features).drop("_fresh_merchant", "_fresh_device", "_left_merchant", "_left_device")
 
 
-def mart_fraud_features(fact: DataFrame, dim_customer: DataFrame, dim_location: DataFrame, high_amount: float = HIGH_AMOUNT, exact_distinct: bool = False) -> DataFrame:
+def mart_fraud_features(fact: DataFrame, dim_customer: DataFrame, dim_location: DataFrame, high_amount: float = HIGH_AMOUNT, exact_distinct: bool = False, heavy: int = HEAVY) -> DataFrame:
     """A row for each transaction of a known customer.  The home country is that of the customer's version at the time."""
     rows = (
         fact.where(F.col("customer_sk") != UNKNOWN_SK)
@@ -174,7 +208,7 @@ def mart_fraud_features(fact: DataFrame, dim_customer: DataFrame, dim_location:
     )
     bit = lambda c: F.when(c, 1).otherwise(0)
     exact = ["unique_merchants_24h_exact", "unique_devices_7d_exact"] if exact_distinct else []
-    return behaviour(rows, exact_distinct).select(
+    return behaviour(rows, exact_distinct, heavy).select(
         "transaction_id", "customer_id", "event_time", "is_fraud", "fraud_pattern", F.col("amount_vnd").alias("txn_amount"),
         F.round("_avg", 2).alias("avg_amount_7d"), F.round(z, 4).alias("amount_zscore"), "txn_count_1h", "txn_count_24h",
         "unique_merchants_24h", "unique_devices_7d", "is_new_device", "is_new_location", "failed_txn_count_24h",

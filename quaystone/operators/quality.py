@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystone.functions.exprs import count_if
+from quaystone.functions.exprs import count_if, ratio
 from quaystone.operators.checks import Check
 from quaystone.operators.silver import BUCKETS, FLAGS
 
@@ -64,6 +64,17 @@ def buckets_by_month(silver: DataFrame, month: str = "_partition_month") -> Data
     return silver.groupBy(month).agg(count_if(F.col("_dq_bucket") == "").alias("valid"), *[count_if(F.col("_dq_bucket") == b).alias(b) for b in BUCKETS])
 
 
+def rates_by_grain(silver: DataFrame, month: str = "_partition_month") -> DataFrame:
+    """grain (``month`` or ``total``), month, rows, a count for each flag and bucket, valid rows and their rate: both grains
+    from one scan, as grouping sets."""
+    sets = silver.groupingSets([[month], []], month)
+    out = sets.agg(
+        F.when(F.grouping_id() == 0, "month").otherwise("total").alias("grain"), F.count(F.lit(1)).alias("rows"), *[count_if(F.col(f)).alias(f"n{f}") for f in FLAGS],
+        *[count_if(F.col("_dq_bucket") == b).alias(b) for b in BUCKETS], count_if(F.col("_is_valid")).alias("valid"),
+    )
+    return out.withColumn("valid_rate", F.round(ratio(F.col("valid"), F.col("rows")), 6)).withColumnRenamed(month, "month")
+
+
 def top_error_codes(silver: DataFrame, limit: int | None = None) -> DataFrame:
     """error_code, n by frequency; soft codes of valid rows count as well."""
     out = silver.where("_dq_errors <> ''").select(F.explode(F.split("_dq_errors", ",")).alias("error_code")).groupBy("error_code").agg(F.count(F.lit(1)).alias("n"))

@@ -81,8 +81,10 @@ def known(rows: DataFrame, ids: DataFrame, column: str, hit: str) -> DataFrame:
 
 
 def daily_rates(rates: DataFrame) -> DataFrame:
-    """_rate_date, _rate_currency, exchange_rate in VND; of several records for a date the last one counts."""
-    order = F.col("_row") if "_row" in rates.columns else F.lit(0)
+    """_rate_date, _rate_currency, exchange_rate in VND; of several records for a date the last one counts: the latest payload's,
+    by its time and then its file, and in that the last."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("generated_at", "_payload") if c in rates.columns]
+    order = F.struct(*parts, *([F.col("_row")] if "_row" in rates.columns else []), *[F.col(f"rate_{c.lower()}").cast("string") for c in CURRENCIES])
     wide = rates.groupBy(F.col("date").cast("string").alias("_rate_date")).agg(
         *[F.max_by(lenient_double(F.col(f"rate_{c.lower()}").cast("string")), order).alias(c) for c in CURRENCIES]
     )

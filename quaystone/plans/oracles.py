@@ -265,11 +265,11 @@ SELECT 'fraud: ' || pattern AS "check", CAST(n AS BIGINT) AS n FROM given UNION
 UNION ALL SELECT unnest(['errors on fraud', 'empty ids not injected', 'ids not of their row', 'outside the window', 'not in the file of their month', 'bad locations not injected', 'unexpected_orphans', 'unexpected_faults', 'unexpected_duplicates']), 0
 UNION ALL SELECT 'customers', customers FROM c UNION ALL SELECT 'merchants', merchants FROM c UNION ALL SELECT 'accounts', CAST(round_even(customers * 1.2, 0) AS BIGINT) FROM c UNION ALL SELECT 'devices', CAST(round_even(customers * 1.5, 0) AS BIGINT) FROM c
 UNION ALL SELECT 'cards', CAST(round_even(customers * 0.8, 0) AS BIGINT) FROM c UNION ALL SELECT 'rate days', date_diff('day', DATE '2025-12-13', DATE '2026-06-10') + 1 UNION ALL SELECT 'customer events', CAST(greatest(customers, round_even(customers * 2.5, 0)) AS BIGINT) FROM c""",
-    "landing_csv": with_steps("SELECT *, '2024-01-01T00:00:00' AS _ingested_at, 'merchants.csv' AS _source_file, 'merchant_gateway' AS _source_system, 'b1' AS _batch_id FROM raw_merchants", "raw_merchants"),
+    "landing_csv": with_steps("SELECT *, '2024-01-01T00:00:00' AS _ingested_at, 'merchants.csv' AS _source_file, 'merchant_csv' AS _source_system, 'b1' AS _batch_id FROM raw_merchants", "raw_merchants"),
     "landing_transactions": with_steps("SELECT *, 'txn_month=' || _partition_month AS _source_file FROM raw_transactions", "raw_transactions"),
     "landing_rates_json": with_steps(
         """SELECT date, 'VND' AS base_currency, 'VND' AS quote, rate_vnd, rate_usd, rate_eur, 'fx_api' AS source_system, CAST(row_number() OVER (PARTITION BY substr(date, 1, 7) ORDER BY date) - 1 AS INT) AS _row,
-    '2024-01-01T00:00:00' AS _ingested_at, 'rates.json' AS _source_file, 'fx_api' AS _source_system, 'b1' AS _batch_id FROM raw_rates""",
+    '2024-01-01T00:00:00' AS _ingested_at, 'rates.json' AS _source_file, 'mock_fx_api' AS _source_system, '2024-01-01T00:00:00' AS generated_at, 'b1' AS _batch_id FROM raw_rates""",
         "raw_rates",
     ),
     "replaced_partitions": "SELECT event_id, event_type, CASE WHEN event_type = 'click' THEN value + 1 ELSE value END AS value FROM events",
@@ -302,7 +302,7 @@ WHERE z > 3 AND n >= 10 ORDER BY z DESC, transaction_id LIMIT 15""",
     "silver_fx_conversion": with_steps("SELECT event_date, currency, count(*) AS n, min(exchange_rate) AS low_rate, max(exchange_rate) AS high_rate, round(sum(CASE WHEN isfinite(amount_vnd) THEN amount_vnd END), 2) AS amount_vnd FROM silver GROUP BY 1, 2", "silver"),
     "silver_dimension_casts": with_steps("SELECT device_id, customer_id, device_type, os, app_version, CAST(first_seen AS DATE) AS first_seen, lower(is_trusted) = 'true' AS is_trusted FROM raw_devices", "raw_devices"),
     "fx_unpivot": with_steps("SELECT date AS _rate_date, _rate_currency, CAST(r AS DOUBLE) AS exchange_rate FROM (SELECT date, unnest(['VND', 'USD', 'EUR']) AS _rate_currency, unnest([rate_vnd, rate_usd, rate_eur]) AS r FROM raw_rates)", "raw_rates"),
-    "bronze_lineage": with_steps("SELECT *, '2024-01-01T00:00:00' AS _ingested_at, 'merchants.csv' AS _source_file, 'merchant_gateway' AS _source_system, 'b1' AS _batch_id FROM raw_merchants", "raw_merchants"),
+    "bronze_lineage": with_steps("SELECT *, '2024-01-01T00:00:00' AS _ingested_at, 'merchants.csv' AS _source_file, 'merchant_csv' AS _source_system, 'b1' AS _batch_id FROM raw_merchants", "raw_merchants"),
     "json_flatten": "SELECT event_id, CAST(props ->> 'k' AS BIGINT) AS k, '{\"k\":\"' || (props ->> 'k') || '\"}' AS metadata FROM events",
     "quarantine_rows": with_steps("SELECT _dq_bucket AS quarantine_bucket, _dq_errors AS quarantine_reason, source_row_number, transaction_id FROM silver WHERE NOT _is_valid", "silver"),
     "clean_rows": with_steps("SELECT transaction_id, amount_vnd, _dq_errors FROM clean", "clean"),
@@ -385,5 +385,72 @@ FROM (SELECT date_diff('second', o_orderdate, l_shipdate) AS lag FROM lineitem J
     "null_shares": with_steps("SELECT unnest(['amount_original', 'event_time', 'exchange_rate', 'amount_vnd']) AS \"column\", unnest([round(avg(CAST(amount_original IS NULL AS INT)), 6), round(avg(CAST(event_time IS NULL AS INT)), 6), round(avg(CAST(exchange_rate IS NULL AS INT)), 6), round(avg(CAST(amount_vnd IS NULL AS INT)), 6)]) AS null_share FROM silver", "silver"),
     "median_by_type": "SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY 1",
     "histogram": "SELECT CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 200 THEN 21 ELSE floor(value / 10) + 1 END AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1",
-    "calibration": "SELECT event_type AS type, count(*) AS n, round(avg(ln(1 + value)), 6) AS mu, round(stddev_samp(ln(1 + value)), 6) AS sigma, round(quantile_cont(value, 0.999), 4) AS p999, round(avg(value), 4) AS mean FROM events GROUP BY 1",
+    "calibration": with_steps(
+        """SELECT t.type, coalesce(n, 0) AS n, coalesce(round(CAST(n AS DOUBLE) / sum(n) OVER (), 6), 0) AS share, mu, sigma, cap, mean, coalesce(fraud_n, 0) AS fraud_n, coalesce(round(CAST(fraud_n AS DOUBLE) / n, 6), 0) AS fraud_rate, fraud_mu, fraud_sigma
+FROM (SELECT unnest(['payment', 'transfer', 'withdrawal', 'topup', 'debit', 'refund']) AS type) t LEFT JOIN (
+    SELECT transaction_type, count(*) AS n, round(avg(ln(x + 1)), 6) AS mu, round(stddev_samp(ln(x + 1)), 6) AS sigma, CAST(trunc(greatest(1, quantile_cont(x, 0.999))) AS BIGINT) AS cap, round(avg(x), 4) AS mean,
+        CAST(sum(bad) AS BIGINT) AS fraud_n, round(avg(CASE WHEN bad = 1 THEN ln(x + 1) END), 6) AS fraud_mu, round(stddev_samp(CASE WHEN bad = 1 THEN ln(x + 1) END), 6) AS fraud_sigma
+    FROM (SELECT transaction_type, amount_original * 20 AS x, coalesce(is_fraud, 0) AS bad FROM typed t LEFT JOIN labels l ON l.transaction_id = t.transaction_id WHERE isfinite(amount_original) AND amount_original > 0) GROUP BY 1) a ON a.transaction_type = t.type""",
+        "typed", "labels",
+    ),
+    "raw_amount_statistics": with_steps(
+        """SELECT a.*, p50, p95, p50 AS median FROM (SELECT transaction_type, count(*) AS n, round(avg(ln(1 + x)), 6) AS mean_log, round(stddev_samp(ln(1 + x)), 6) AS std_log FROM (SELECT transaction_type, amount_original AS x FROM typed WHERE isfinite(amount_original) AND amount_original > 0) GROUP BY 1) a
+JOIN (SELECT transaction_type, round(quantile_cont(amount_original, 0.5), 4) AS p50, round(quantile_cont(amount_original, 0.95), 4) AS p95 FROM typed WHERE isfinite(amount_original) GROUP BY 1) b ON b.transaction_type = a.transaction_type""",
+        "typed",
+    ),
+    "landing_reordered": with_steps(
+        """SELECT * REPLACE (CASE WHEN CAST(substr(merchant_id, 5) AS BIGINT) % 2 = 1 THEN '' ELSE city END AS city), '2024-01-01T00:00:00' AS _ingested_at, 'merchant_csv' AS _source_system, 'b1' AS _batch_id FROM raw_merchants""", "raw_merchants"
+    ),
+    "landing_rejects": with_steps(
+        """SELECT CASE WHEN n % 10 = 3 THEN 'missing_fields' ELSE 'extra_fields' END AS reason, merchant_id || ',' || merchant_name || ',' || category || ',' || city || ',' || country || ',' || onboarded_date || ',' || risk_score
+    || CASE WHEN n % 10 = 7 THEN ',' || base_failure_rate || ',more' ELSE '' END AS record FROM (SELECT *, CAST(substr(merchant_id, 5) AS BIGINT) AS n FROM raw_merchants) WHERE n % 10 IN (3, 7)
+UNION ALL SELECT 'landed', CAST((SELECT count(*) FROM raw_merchants WHERE CAST(substr(merchant_id, 5) AS BIGINT) % 10 NOT IN (3, 7)) AS VARCHAR)""",
+        "raw_merchants",
+    ),
+    "duplicate_batches": with_steps("SELECT transaction_id, count(*) AS n, min(source_row_number) AS survivor FROM typed WHERE transaction_id <> '' GROUP BY 1 HAVING count(*) > 1", "typed"),
+    "asof_events": """
+WITH v AS (SELECT user_id AS k, ts AS valid_from, max(event_id) AS sk FROM events WHERE event_type = 'signup' GROUP BY 1, 2)
+SELECT e.event_id, coalesce(v.sk, -1) AS customer_sk FROM events e ASOF LEFT JOIN v ON v.k = e.user_id AND e.ts >= v.valid_from""",
+    "scd2_by_delta": with_steps("SELECT * REPLACE (strftime(valid_from, '%Y-%m-%d %H:%M:%S') AS valid_from, strftime(valid_to, '%Y-%m-%d %H:%M:%S') AS valid_to) FROM versions", "versions"),
+    "dq_by_grain": with_steps(
+        "\nUNION ALL ".join(
+            f"SELECT '{grain}' AS grain, {month} AS month, count(*) AS rows, {', '.join(_n(f'_dq_{f}') + f' AS n_dq_{f}' for f in _FLAGS)}, {', '.join(_n(f'_dq_bucket = {chr(39)}{b}{chr(39)}') + f' AS {b}' for b in _BUCKETS)}, "
+            f"{_n('_is_valid')} AS valid, round({_n('_is_valid')} / count(*), 6) AS valid_rate FROM silver{group}"
+            for grain, month, group in (("month", "_partition_month", " GROUP BY _partition_month"), ("total", "NULL", ""))
+        ),
+        "silver",
+    ),
+    "published_versions": "SELECT event_id, event_type, value FROM events WHERE event_type <> 'click'",
+    "known_members": with_steps("SELECT * FROM dim_merchant WHERE merchant_sk <> -1", "dim_merchant"),
+    "empty_buckets": "SELECT unnest(['quarantine_duplicate_transactions', 'quarantine_invalid_timestamp', 'quarantine_invalid_amount', 'quarantine_bad_records']) AS bucket, CAST(0 AS BIGINT) AS rows, CAST(46 AS BIGINT) AS columns",
+    "labels_from_csv": with_steps("SELECT transaction_id AS _key, is_fraud, fraud_pattern FROM labels", "labels"),
+    "raw_validation": with_steps(
+        """, named AS (SELECT DISTINCT row_index FROM raw_manifest), r AS (SELECT t.*, m.row_index IS NULL AS unnamed, TRY_CAST(amount AS DOUBLE) AS x FROM raw_transactions t LEFT JOIN named m ON m.row_index = t.source_row_number)
+SELECT 'rows' AS "check", count(*) AS n FROM r
+UNION ALL SELECT 'unexpected_orphans', count(*) FROM r WHERE unnamed AND (customer_id NOT IN (SELECT customer_id FROM raw_customers) OR account_id NOT IN (SELECT account_id FROM raw_accounts) OR (merchant_id <> '' AND merchant_id NOT IN (SELECT merchant_id FROM raw_merchants)))
+UNION ALL SELECT 'unexpected_faults', count(*) FROM r WHERE unnamed AND (x IS NULL OR isnan(x) OR x <= 0 OR currency NOT IN ('VND', 'USD', 'EUR') OR channel NOT IN ('mobile', 'qr', 'pos', 'web', 'atm'))
+UNION ALL SELECT 'unexpected_duplicates', count(*) FROM (SELECT transaction_id FROM raw_transactions WHERE transaction_id IN (SELECT transaction_id FROM raw_transactions WHERE transaction_id <> '' GROUP BY 1 HAVING count(*) > 1)
+    AND source_row_number NOT IN (SELECT row_index FROM raw_manifest WHERE error_type = 'duplicate_transaction_id') GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'fraud_labels', CAST((SELECT sum(CAST(is_fraud AS INT)) FROM raw_labels) AS BIGINT)""",
+        "raw_transactions", "raw_manifest", "raw_labels", "raw_customers", "raw_accounts", "raw_merchants",
+    ),
+    "distinct_rollup": with_steps(
+        "\nUNION ALL ".join(
+            f"SELECT '{k}' AS key, '{grain}' AS grain, {group} AS \"group\", count(DISTINCT {k}) AS n FROM fact{by}"
+            for k in ("customer_sk", "merchant_sk", "device_sk")
+            for grain, group, by in (("fine", "CAST(date_key AS VARCHAR)", " GROUP BY date_key"), ("coarse", "CAST(date_key // 100 AS VARCHAR)", " GROUP BY date_key // 100"), ("all", "'all'", ""))
+        ),
+        "fact",
+    ),
+    "weekly_features": """
+WITH b AS (SELECT *, event_id % 7 AS device, event_id % 11 AS merchant, event_id % 5 AS place FROM events),
+g AS (SELECT *, row_number() OVER (PARTITION BY user_id, device ORDER BY ts, CAST(event_id AS VARCHAR)) = 1 AS new_device, row_number() OVER (PARTITION BY user_id, place ORDER BY ts, CAST(event_id AS VARCHAR)) = 1 AS new_place,
+    coalesce(ts - lag(ts) OVER (PARTITION BY user_id, merchant ORDER BY ts, CAST(event_id AS VARCHAR)) > INTERVAL 24 HOUR, TRUE) AS fresh_merchant,
+    coalesce(ts - lag(ts) OVER (PARTITION BY user_id, device ORDER BY ts, CAST(event_id AS VARCHAR)) > INTERVAL 7 DAY, TRUE) AS fresh_device FROM b)
+SELECT CAST(event_id AS VARCHAR) AS transaction_id, CAST(new_device AS INT) AS is_new_device, CAST(new_place AS INT) AS is_new_location, count(*) OVER h AS txn_count_1h, count(*) OVER d AS txn_count_24h,
+    CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER d AS BIGINT) AS failed_txn_count_24h, CAST(sum(CAST(fresh_merchant AS INT)) OVER d AS BIGINT) AS unique_merchants_24h, CAST(sum(CAST(fresh_device AS INT)) OVER w AS BIGINT) AS unique_devices_7d,
+    round(avg(value) OVER w, 8) AS avg_7d, round(stddev_samp(value) OVER w, 6) AS std_7d FROM g
+WINDOW h AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), d AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW),
+    w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW)""",
 }
+ORACLES["mart_files"] = ORACLES["mart_merchant_risk"]

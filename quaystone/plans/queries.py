@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.functions.exprs import ntz
-from quaystone.operators import analytics, checks, dims, fact, marts, quality, quarantine, silver, synth
+from quaystone.operators import analytics, checks, dims, distinct, fact, incremental, marts, quality, quarantine, silver, synth
 from quaystone.plans.star import Star
 from quaystone.plans.views import table, tables
 from quaystone.sources import landing, sinks
@@ -80,7 +80,7 @@ def q5_failure_by_category(spark, sf_dir):
 
 @query
 def bronze_lineage(spark, sf_dir):
-    return landing.stamp(table(spark, sf_dir, "raw_merchants"), "merchants.csv", "merchant_gateway", "b1", STAMP)
+    return landing.stamp(table(spark, sf_dir, "raw_merchants"), "merchants.csv", "merchant_csv", "b1", STAMP)
 
 
 def written(spark, sf_dir, name: str) -> str:
@@ -117,6 +117,31 @@ def landing_csv(spark, sf_dir):
     return landing.land_csv(spark, written(spark, sf_dir, "merchants.csv"), "merchants", "b1", STAMP)
 
 
+@query
+def landing_reordered(spark, sf_dir):
+    """Merchants from two files whose columns stand in another order; one has a column more, one lacks one."""
+    base, columns = Scratch(spark).base, landing.CSV_SOURCES["merchants"][0]
+    rows = table(spark, sf_dir, "raw_merchants").withColumns({"n": F.substring("merchant_id", 5, 9).cast("long"), "note": F.lit("x")})
+    write = lambda part, names, name: part.select(*names).write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(f"{base}/{name}")
+    write(rows.where("n % 2 = 0"), [*reversed(columns), "note"], "merchants-0.csv")
+    write(rows.where("n % 2 = 1"), [c for c in columns if c != "city"], "merchants-1.csv")
+    return landing.land_csv(spark, f"{base}/merchants-*.csv", "merchants", "b1", STAMP).drop("_source_file")
+
+
+@query
+def landing_rejects(spark, sf_dir):
+    """Records of merchants that are a field short or one too long."""
+    base, columns = Scratch(spark).base, landing.CSV_SOURCES["merchants"][0]
+    rows = table(spark, sf_dir, "raw_merchants").withColumn("n", F.substring("merchant_id", 5, 9).cast("long"))
+    line = F.when(F.col("n") % 10 == 3, F.concat_ws(",", *columns[:-1])).when(F.col("n") % 10 == 7, F.concat_ws(",", *columns, F.lit("more"))).otherwise(F.concat_ws(",", *columns))
+    # one file: a header and a line for each merchant
+    head = spark.range(1).select(F.lit(0).alias("o"), F.lit(",".join(columns)).alias("value"))
+    head.unionByName(rows.select(F.lit(1).alias("o"), line.alias("value"))).coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{base}/merchants.csv")
+    found = landing.rejected_csv(spark, f"{base}/merchants.csv", columns).select("reason", "record")
+    good = landing.read_csv(spark, f"{base}/merchants.csv", columns)
+    return found.unionByName(good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("landed").alias("reason"), F.col("n").cast("string").alias("record")))
+
+
 @query
 def landing_transactions(spark, sf_dir):
     rows = landing.land_transactions(spark, f"{written(spark, sf_dir, 'transactions')}/txn_month=*", "b1", STAMP)
@@ -125,7 +150,7 @@ def landing_transactions(spark, sf_dir):
 
 @query
 def landing_rates_json(spark, sf_dir):
-    return landing.land_exchange_rates(spark, written(spark, sf_dir, "rates.json"), "b1", STAMP, one_document=False)
+    return landing.land_exchange_rates(spark, written(spark, sf_dir, "rates.json"), "b1", STAMP, one_document=False).drop("_payload")
 
 
 @query
@@ -138,6 +163,60 @@ def replaced_partitions(spark, sf_dir):
     return spark.read.schema("event_id long, value double, event_type string").parquet(path)
 
 
+@query
+def published_versions(spark, sf_dir):
+    """A published table after a second version took the place of the first."""
+    path, rows = f"{Scratch(spark).base}/published", driver(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    sinks.publish(rows.where("event_type = 'click'"), path)
+    sinks.publish(rows.where("event_type <> 'click'"), path, ("event_type",))
+    sinks.forget_versions(spark, path)
+    return sinks.published(spark, path).select("event_id", "event_type", "value")
+
+
+@query
+def known_members(spark, sf_dir):
+    """The rows of a dimension without its Unknown member, as a load into a table of declared keys takes them."""
+    path = f"{Scratch(spark).base}/merchants"
+    sinks.replace_table(star(spark, sf_dir).dim_merchant, path)
+    return spark.read.parquet(path).where(F.col("merchant_sk") != dims.UNKNOWN_SK)
+
+
+@query
+def mart_files(spark, sf_dir):
+    """A mart written to parquet and read again."""
+    path = f"{Scratch(spark).base}/mart_merchant_risk"
+    sinks.replace_table(star(spark, sf_dir).mart_merchant_risk, path)
+    return spark.read.parquet(path)
+
+
+@query
+def empty_buckets(spark, sf_dir):
+    """Rows and columns of the quarantine's tables on disk where no row is rejected: each has its schema."""
+    base, rows = Scratch(spark).base, star(spark, sf_dir).silver.where("_is_valid")
+    out = None
+    for name, part in quarantine.buckets(quarantine.quarantine(rows, "run", STAMP)).items():
+        sinks.replace_table(part, f"{base}/{name}")
+        back = spark.read.parquet(f"{base}/{name}")
+        one = back.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("bucket"), "rows", F.lit(len(back.columns)).cast("long").alias("columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def labels_from_csv(spark, sf_dir):
+    """Labels landed from CSV by three of their columns, one for each transaction."""
+    base = Scratch(spark).base
+    table(spark, sf_dir, "raw_labels").withColumn("label_source", F.lit("rules")).write.options(header=True, emptyValue="").csv(f"{base}/fraud_labels.csv")
+    return fact.label_per_id(landing.read_csv(spark, f"{base}/fraud_labels.csv", ["transaction_id", "is_fraud", "fraud_pattern"]))
+
+
+@query
+def raw_validation(spark, sf_dir):
+    """Faults of the raw transactions that the manifest does not name."""
+    names = ("raw_transactions", "raw_manifest", "raw_labels", "raw_customers", "raw_accounts", "raw_merchants")
+    return synth.validate_raw(*tables(spark, sf_dir, *names))
+
+
 @query
 def ctas_mart(spark, sf_dir):
     scratch = Scratch(spark)
@@ -181,6 +260,17 @@ def silver_duplicate_survivors(spark, sf_dir):
     return silver.duplicate_groups(silver.typed(table(spark, sf_dir, "raw_transactions")))
 
 
+@query
+def duplicate_batches(spark, sf_dir):
+    """Duplicate groups from batches that come one after another, with the last one taken twice."""
+    rows = silver.typed(table(spark, sf_dir, "raw_transactions"))
+    state = incremental.DuplicateState(spark, f"{Scratch(spark).base}/duplicates", 8)
+    for i in range(3):
+        state.add(rows.where(F.pmod("source_row_number", F.lit(3)) == i), f"part {i}")
+    state.add(rows.where(F.pmod("source_row_number", F.lit(3)) == 2), "part 2")
+    return state.table().where("n > 1")
+
+
 @query
 def silver_fx_conversion(spark, sf_dir):
     amount = F.when(~F.isnan("amount_vnd") & (F.abs("amount_vnd") != float("inf")), F.col("amount_vnd"))
@@ -227,6 +317,11 @@ def dq_rates_by_month(spark, sf_dir):
     return quality.rates_by_month(star(spark, sf_dir).silver)
 
 
+@query
+def dq_by_grain(spark, sf_dir):
+    return quality.rates_by_grain(star(spark, sf_dir).silver)
+
+
 @query
 def dq_buckets_by_month(spark, sf_dir):
     return quality.buckets_by_month(star(spark, sf_dir).silver)
@@ -309,38 +404,83 @@ def asof_orders(spark, sf_dir):
     return fact.with_customer_version(orders, versions, "o_orderdate").select("o_orderkey", "customer_sk")
 
 
+@query
+def asof_events(spark, sf_dir):
+    """Every event with the last signup of its user up to it, from all events."""
+    e = driver(spark, sf_dir, "events").withColumn("customer_id", F.col("user_id"))
+    changes = e.where("event_type = 'signup'").groupBy("customer_id", F.col("ts").alias("valid_from")).agg(F.max("event_id").alias("customer_sk"))
+    after = F.lead("valid_from").over(dims.Window.partitionBy("customer_id").orderBy("valid_from"))
+    versions = changes.withColumn("valid_to", F.coalesce(after, ntz(dims.FOREVER)))
+    return fact.with_customer_version(e, versions, "ts").select("event_id", "customer_sk")
+
+
+@query
+def scd2_by_delta(spark, sf_dir):
+    """The customers' versions of all change events, reached by batches of which later ones hold earlier times."""
+    s, path = star(spark, sf_dir), f"{Scratch(spark).base}/versions"
+    customers, events, locations = (s.dimension(n) for n in ("customers", "customer_scd_events", "locations"))
+    part = lambda *which: events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)).isin(*which))
+    incremental.store_versions(dims.customer_versions(customers, part(0), locations), path, 8)
+    incremental.apply_changes(path, customers, part(0, 1), part(1), locations, 8)
+    incremental.apply_changes(path, customers, events, part(2), locations, 8)
+    shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("valid_from", "valid_to")}
+    return spark.read.parquet(path).drop("bucket").withColumns(shown)
+
+
 # -- marts
 
 
 @query
 def mart_daily(spark, sf_dir):
-    s = star(spark, sf_dir)
-    return marts.mart_daily(s.fact, s.dim_date)
+    return star(spark, sf_dir).mart_daily
 
 
 @query
 def mart_customer_risk(spark, sf_dir):
-    s = star(spark, sf_dir)
-    return marts.mart_customer_risk(s.fact, s.dim_customer, {"txn_1h": 3})
+    return star(spark, sf_dir).mart_customer_risk({"txn_1h": 3})
 
 
 @query
 def mart_merchant_risk(spark, sf_dir):
-    s = star(spark, sf_dir)
-    return marts.mart_merchant_risk(s.fact, s.dim_merchant)
+    return star(spark, sf_dir).mart_merchant_risk
 
 
 @query
 def mart_fraud_features(spark, sf_dir):
-    s = star(spark, sf_dir)
-    return marts.mart_fraud_features(s.fact, s.dim_customer, s.dim_location)
+    return star(spark, sf_dir).mart_fraud_features()
 
 
 @query
 def exact_distinct_window(spark, sf_dir):
-    s = star(spark, sf_dir)
-    out = marts.mart_fraud_features(s.fact, s.dim_customer, s.dim_location, exact_distinct=True)
-    return out.select("transaction_id", "unique_merchants_24h", F.col("unique_merchants_24h_exact").cast("long").alias("unique_merchants_24h_exact"), "unique_devices_7d", F.col("unique_devices_7d_exact").cast("long").alias("unique_devices_7d_exact"))
+    out = star(spark, sf_dir).mart_fraud_features(exact_distinct=True)
+    exact = [F.col(c).cast("long").alias(c) for c in ("unique_merchants_24h_exact", "unique_devices_7d_exact")]
+    return out.select("transaction_id", "unique_merchants_24h", exact[0], "unique_devices_7d", exact[1])
+
+
+@query
+def distinct_rollup(spark, sf_dir):
+    """Distinct customers, merchants and devices by day, by month and over all, from the bitmaps of the days."""
+    rows, out = star(spark, sf_dir).fact_of(["date_key", "customer_sk", "merchant_sk", "device_sk"]), None
+    for key in ("customer_sk", "merchant_sk", "device_sk"):
+        one = distinct.distinct_by_grain(rows, key, "date_key", F.floor(F.col("_fine") / 100).cast("int"), "n").select(F.lit(key).alias("key"), "grain", "group", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def weekly_features(spark, sf_dir):
+    """The trailing features of events, every user's history cut into weeks."""
+    e = driver(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", "failed").otherwise("success")
+    rows = e.select(
+        F.col("event_id").cast("string").alias("transaction_id"), F.col("user_id").cast("string").alias("customer_id"), F.col("ts").alias("event_time"), F.col("value").alias("amount_vnd"), status.alias("status"),
+        (F.col("event_id") % 7).alias("device_sk"), (F.col("event_id") % 11).alias("merchant_sk"), (F.col("event_id") % 5).cast("string").alias("txn_country"),
+    )
+    out = marts.behaviour(rows, heavy=0)
+    return out.select(
+        "transaction_id", "is_new_device", "is_new_location", "txn_count_1h", "txn_count_24h", "failed_txn_count_24h", "unique_merchants_24h", "unique_devices_7d",
+        F.round("_avg", 8).alias("avg_7d"), F.round("_std", 6).alias("std_7d"),
+    )
 
 
 @query
@@ -398,9 +538,25 @@ def histogram(spark, sf_dir):
     return analytics.histogram(driver(spark, sf_dir, "events"), "value", 0.0, 200.0, 20)
 
 
+def labelled_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw amounts, some of them no number, NaN or infinite, with a label where one is known."""
+    rows = silver.typed(table(spark, sf_dir, "raw_transactions")).select("transaction_id", "transaction_type", F.col("amount_original").alias("amount"))
+    return fact.with_labels(rows, table(spark, sf_dir, "raw_labels"))
+
+
 @query
 def calibration(spark, sf_dir):
-    return analytics.calibration(driver(spark, sf_dir, "events"), "event_type", "value").withColumnRenamed("event_type", "type")
+    return analytics.calibration(labelled_amounts(spark, sf_dir).where("amount > 0"), "transaction_type", scale=20.0, types=(*silver.TYPES, "refund")).withColumnRenamed("transaction_type", "type")
+
+
+@query
+def raw_amount_statistics(spark, sf_dir):
+    """Statistics of raw amounts by type, where some are NaN, infinite or no number: finite ones count."""
+    rows = labelled_amounts(spark, sf_dir)
+    by = "transaction_type"
+    logs = analytics.log_amount_statistics(rows, by, "amount")
+    tail = analytics.percentiles(rows, "amount", (0.5, 0.95), (by,)).groupBy(by).agg(*[F.round(F.max(F.when(F.col("q") == q, F.col("value"))), 4).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))])
+    return logs.join(tail, by).join(analytics.median_by(rows, by, "amount"), by)
 
 
 # -- checks and gates
@@ -441,7 +597,7 @@ def gold_gates(spark, sf_dir):
 @query
 def mart_gates(spark, sf_dir):
     s = stored(spark, sf_dir)
-    built = [marts.mart_daily(s.fact, s.dim_date), marts.mart_customer_risk(s.fact, s.dim_customer), marts.mart_merchant_risk(s.fact, s.dim_merchant), marts.mart_fraud_features(s.fact, s.dim_customer, s.dim_location)]
+    built = [s.mart_daily, s.mart_customer_risk(), s.mart_merchant_risk, s.mart_fraud_features()]
     return gates(spark, marts.verify(s.fact, *built, s.dim_customer))
 
 

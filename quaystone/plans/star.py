@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quaystone.operators import checks, dims, fact, marts, quality, quarantine
 from quaystone.operators.silver import silver_dimension, silver_transactions
 from quaystone.sources import landing, sinks
+from quaystone.sources.scratch import Scratch
 
 
 @dataclass
@@ -41,34 +42,70 @@ class Star:
     def dim_date(self) -> DataFrame:
         return dims.calendar(self.spark, *self.calendar)
 
+    @cached_property
+    def scratch(self) -> Scratch:
+        """Holds the numbered parts of the dimensions until ``close``."""
+        return Scratch(self.spark)
+
+    def close(self) -> None:
+        """Frees what the dimensions hold; nothing that reads them is readable after it."""
+        if "scratch" in self.__dict__:
+            self.scratch.close()
+
+    def __enter__(self) -> Star:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     @cached_property
     def dim_customer(self) -> DataFrame:
-        return dims.dim_customer(self.dimension("customers"), self.dimension("customer_scd_events"), self.dimension("locations"))
+        return dims.dim_customer(self.dimension("customers"), self.dimension("customer_scd_events"), self.dimension("locations"), self.scratch)
 
     @cached_property
     def dim_account(self) -> DataFrame:
-        return dims.one_version(self.dimension("accounts"), "account")
+        return dims.one_version(self.dimension("accounts"), "account", self.scratch)
 
     @cached_property
     def dim_merchant(self) -> DataFrame:
-        return dims.one_version(self.dimension("merchants"), "merchant")
+        return dims.one_version(self.dimension("merchants"), "merchant", self.scratch)
 
     @cached_property
     def dim_device(self) -> DataFrame:
-        return dims.one_version(self.dimension("devices"), "device")
+        return dims.one_version(self.dimension("devices"), "device", self.scratch)
 
     @cached_property
     def dim_location(self) -> DataFrame:
-        return dims.one_version(self.dimension("locations"), "location")
+        return dims.one_version(self.dimension("locations"), "location", self.scratch)
 
     @cached_property
     def fact(self) -> DataFrame:
+        return self.fact_of(fact.COLUMNS)
+
+    def fact_of(self, columns: list[str]) -> DataFrame:
+        """The fact's ``columns``, of the stored fact if there is one; else only the dimensions that these need are built and
+        joined."""
+        if "fact" in self.__dict__:
+            return self.__dict__["fact"].select(*columns)
+        kinds = [k for k in ("customer", "account", "merchant", "device", "location") if f"{k}_sk" in columns]
         # each dimension stores its numbered parts; the small jobs run side by side
         with ThreadPoolExecutor(5) as pool:
-            list(pool.map(lambda kind: getattr(self, f"dim_{kind}"), ("customer", "account", "merchant", "device", "location")))
-        return fact.fact_transactions(
-            self.clean, customer=self.dim_customer, account=self.dim_account, merchant=self.dim_merchant, device=self.dim_device, location=self.dim_location, labels=self.raw["fraud_labels"]
-        )
+            built = dict(zip(kinds, pool.map(lambda kind: getattr(self, f"dim_{kind}"), kinds), strict=True))
+        return fact.fact_transactions(self.clean, built, self.raw["fraud_labels"], columns)
+
+    @property
+    def mart_daily(self) -> DataFrame:
+        return marts.mart_daily(self.fact_of(marts.DAILY_COLUMNS), self.dim_date)
+
+    def mart_customer_risk(self, limits: dict | None = None) -> DataFrame:
+        return marts.mart_customer_risk(self.fact_of(marts.CUSTOMER_COLUMNS), self.dim_customer, limits)
+
+    @property
+    def mart_merchant_risk(self) -> DataFrame:
+        return marts.mart_merchant_risk(self.fact_of(marts.MERCHANT_COLUMNS), self.dim_merchant)
+
+    def mart_fraud_features(self, exact_distinct: bool = False) -> DataFrame:
+        return marts.mart_fraud_features(self.fact_of(marts.FEATURE_COLUMNS), self.dim_customer, self.dim_location, exact_distinct=exact_distinct)
 
 
 def land(spark: SparkSession, raw_dir: str, bronze_dir: str, batch_id: str, at: str, one_document: bool = False) -> None:
@@ -110,12 +147,8 @@ def run_batch(spark: SparkSession, raw_dir: str, out_dir: str, *, start: dt.date
     fact.enforce(star.fact, unique=("transaction_id",), not_null=("transaction_id", "date_key", *keys), foreign=keys | {"date_key": (star.dim_date, "date_key")})
     others = {k: getattr(star, f"dim_{k}") for k in ("account", "merchant", "device", "location")}
     gates["gold"] = fact.verify(star.fact, star.clean, others, star.dim_date, star.dim_customer, raw["fraud_labels"])
-    built = {
-        "mart_daily": marts.mart_daily(star.fact, star.dim_date),
-        "mart_customer_risk": marts.mart_customer_risk(star.fact, star.dim_customer),
-        "mart_merchant_risk": marts.mart_merchant_risk(star.fact, star.dim_merchant),
-        "mart_fraud_features": marts.mart_fraud_features(star.fact, star.dim_customer, star.dim_location),
-    }
+    star.close()  # all its tables are in the lake now
+    built = {"mart_daily": star.mart_daily, "mart_customer_risk": star.mart_customer_risk(), "mart_merchant_risk": star.mart_merchant_risk, "mart_fraud_features": star.mart_fraud_features()}
     for name, df in built.items():
         sinks.replace_table(df, f"{mart_dir}/{name}")
         built[name] = spark.read.parquet(f"{mart_dir}/{name}")

@@ -3,16 +3,79 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path and a maker of its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
 def replace_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Parquet in place of whatever the folder held; an empty table still leaves its schema."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    """Parquet in place of whatever the folder held; an empty table still leaves its schema.  The new files are written
+    beside the old ones and take their place when they are whole, so a job that fails leaves the old table as it was, and
+    ``df`` may read what it replaces."""
+    spark = df.sparkSession
+    fs, make = _hadoop(spark, path)
+    path = path.rstrip("/")
+    staged, old = (f"{path}__{what}_{uuid.uuid4().hex}" for what in ("staged", "old"))
+    try:
+        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(staged)
+    except BaseException:
+        fs.delete(make(staged), True)
+        raise
+    fs.mkdirs(make(path).getParent())
+    if fs.exists(make(path)):
+        fs.rename(make(path), make(old))
+    fs.rename(make(staged), make(path))
+    fs.delete(make(old), True)
+    spark.catalog.refreshByPath(path)
+
+
+POINTER = "CURRENT"
+
+
+def publish(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
+    """A new version of a published table: a folder of its own, then a pointer that is swapped in one step.  Readers see the
+    old version or the new one, never a part; a failed job leaves no trace but an unnamed folder.  Returns the version."""
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(f"{path}/{version}")
+    _, make = _hadoop(spark, path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, staged = make(f"{path}/{POINTER}"), make(f"{path}/{POINTER}.{version}")
+    stream = staged.getFileSystem(conf).create(staged, True)
+    stream.write(bytearray(version.encode()))
+    stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(staged, target, options)
+    return version
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """The version that the pointer names."""
+    return spark.read.text(f"{path}/{POINTER}").first()[0]
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a published table; it stays readable when a later one is published."""
+    return spark.read.parquet(f"{path}/{current_version(spark, path)}")
+
+
+def forget_versions(spark: SparkSession, path: str) -> int:
+    """Removes all versions but the current one, failed ones too; returns how many."""
+    fs, make = _hadoop(spark, path)
+    keep = {current_version(spark, path), POINTER}
+    old = [f.getPath() for f in fs.listStatus(make(path)) if f.getPath().getName() not in keep and not f.getPath().getName().endswith(".crc")]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
 
 
 def replace_partitions(df: DataFrame, path: str, *columns: str) -> None:
