@@ -202,9 +202,10 @@ def test_adhoc(spark):
 
 
 def test_landing(spark, tmp_path):
-    (tmp_path / "txn_2026-01.csv").write_text(",".join(T) + "\n" + ",".join(GOOD[c] if c != "city" else ' " x, ""y""" ' for c in T) + "\n")
+    (tmp_path / "txn_2026-01.csv").write_text(",".join(T) + "\n" + ",".join(GOOD[c] if c != "city" else '" x, ""y"" "' for c in T) + "\n")
     (tmp_path / "txn_2026-02.csv").write_text(",".join(T) + "\n" + ",".join(GOOD[c] for c in T) + "\n")
     rows = landing.land_transactions(spark, f"{tmp_path}/txn_*.csv", "b1", "now").collect()
+    assert {r["city"] for r in rows} == {"Hanoi", ' x, "y" '}
     assert sorted(r["_partition_month"] for r in rows) == ["2026-01", "2026-02"] and all(r["card_id"] == "" for r in rows)
     assert {r["_source_file"] for r in rows} == {"txn_2026-01.csv", "txn_2026-02.csv"}
     (tmp_path / "fx.json").write_text(json.dumps({"api_name": "a", "records": [{"date": "2026-01-01", "base_currency": "VND", "quote": "q", "rates": {"VND": 1.0, "USD": 25.5, "EUR": 3}, "source_system": "s"}]}, indent=1))
