@@ -26,7 +26,17 @@ CUSTOMER = ["full_name", "email", "phone", "dob", "signup_date", "home_city", "h
 
 
 def calendar(spark: SparkSession, start: dt.date = CALENDAR[0], end: dt.date = CALENDAR[1]) -> DataFrame:
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 day"))).alias("full_date"))
+    return _calendar(spark.range(1).select(F.lit(start).alias("first"), F.lit(end).alias("last")))
+
+
+def calendar_of(rows: DataFrame, time: str) -> DataFrame:
+    """All days of the months that the rows' times lie in, and of those between; no day for no rows."""
+    day = F.to_date(time)
+    return _calendar(rows.agg(F.min(F.trunc(day, "month")).alias("first"), F.max(F.last_day(day)).alias("last")))
+
+
+def _calendar(span: DataFrame) -> DataFrame:
+    days = span.where("first is not null").select(F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias("full_date"))
     d = F.col("full_date")
     weekday = F.weekday(d) + 1
     return days.select(

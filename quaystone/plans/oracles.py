@@ -104,7 +104,7 @@ LEFT JOIN labels f ON f.transaction_id = t.transaction_id""",
         (),
         """SELECT CAST(strftime(d, '%Y%m%d') AS INT) AS date_key, CAST(d AS DATE) AS full_date, CAST(year(d) AS INT) AS year, CAST(quarter(d) AS INT) AS quarter, CAST(month(d) AS INT) AS month, monthname(d) AS month_name,
     CAST(day(d) AS INT) AS day, CAST(isodow(d) AS INT) AS day_of_week, dayname(d) AS day_name, isodow(d) >= 6 AS is_weekend, day(d) IN (1, 2, 14, 15) AS is_payday
-FROM (SELECT unnest(generate_series(DATE '2023-12-01', DATE '2024-07-31', INTERVAL 1 DAY)) AS d)""",
+FROM (SELECT unnest(generate_series((SELECT date_trunc('month', min(ts)) FROM events), (SELECT date_trunc('day', last_day(max(ts))) FROM events), INTERVAL 1 DAY)) AS d)""",
     ),
     "base": (
         ("fact", "dim_customer", "dim_location"),

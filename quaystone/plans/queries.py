@@ -15,7 +15,6 @@ from quaystone.plans.views import table, tables
 from quaystone.sources import landing, sinks
 from quaystone.sources.scratch import Scratch
 
-CALENDAR = (dt.date(2023, 12, 1), dt.date(2024, 7, 31))
 STAMP = "2024-01-01T00:00:00"
 RAW = {
     "transactions": "raw_transactions", "customers": "raw_customers", "customer_scd_events": "raw_scd_events", "accounts": "raw_accounts", "merchants": "raw_merchants",
@@ -31,7 +30,7 @@ def query(f: Query) -> Query:
 
 
 def star(spark: SparkSession, sf_dir: str) -> Star:
-    return Star(spark, dict(zip(RAW, tables(spark, sf_dir, *RAW.values()), strict=True)), "run", CALENDAR)
+    return Star(spark, dict(zip(RAW, tables(spark, sf_dir, *RAW.values()), strict=True)), "run", dims.calendar_of(driver(spark, sf_dir, "events"), "ts"))
 
 
 def driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -354,7 +353,7 @@ def constraints(spark, sf_dir):
 
 @query
 def dim_date(spark, sf_dir):
-    return dims.calendar(spark, *CALENDAR)
+    return star(spark, sf_dir).dim_date
 
 
 @query

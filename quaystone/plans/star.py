@@ -24,7 +24,8 @@ class Star:
     spark: SparkSession
     raw: dict[str, DataFrame]
     run_id: str = "run"
-    calendar: tuple[dt.date, dt.date] = dims.CALENDAR
+    #: first and last day, or a calendar itself
+    calendar: tuple[dt.date, dt.date] | DataFrame = dims.CALENDAR
 
     @cached_property
     def silver(self) -> DataFrame:
@@ -40,7 +41,7 @@ class Star:
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        return dims.calendar(self.spark, *self.calendar)
+        return self.calendar if isinstance(self.calendar, DataFrame) else dims.calendar(self.spark, *self.calendar)
 
     @cached_property
     def scratch(self) -> Scratch:
@@ -93,19 +94,24 @@ class Star:
             built = dict(zip(kinds, pool.map(lambda kind: getattr(self, f"dim_{kind}"), kinds), strict=True))
         return fact.fact_transactions(self.clean, built, self.raw["fraud_labels"], columns)
 
+    def _kept(self, columns: list[str]) -> DataFrame:
+        """The same for one who reads them several times: stored, unless the fact is."""
+        rows = self.fact_of(columns)
+        return rows if "fact" in self.__dict__ else self.scratch.keep(rows, f"fact-{len(columns)}")
+
     @property
     def mart_daily(self) -> DataFrame:
         return marts.mart_daily(self.fact_of(marts.DAILY_COLUMNS), self.dim_date)
 
     def mart_customer_risk(self, limits: dict | None = None) -> DataFrame:
-        return marts.mart_customer_risk(self.fact_of(marts.CUSTOMER_COLUMNS), self.dim_customer, limits)
+        return marts.mart_customer_risk(self._kept(marts.CUSTOMER_COLUMNS), self.dim_customer, limits)
 
     @property
     def mart_merchant_risk(self) -> DataFrame:
         return marts.mart_merchant_risk(self.fact_of(marts.MERCHANT_COLUMNS), self.dim_merchant)
 
     def mart_fraud_features(self, exact_distinct: bool = False) -> DataFrame:
-        return marts.mart_fraud_features(self.fact_of(marts.FEATURE_COLUMNS), self.dim_customer, self.dim_location, exact_distinct=exact_distinct)
+        return marts.mart_fraud_features(self._kept(marts.FEATURE_COLUMNS), self.dim_customer, self.dim_location, exact_distinct=exact_distinct)
 
 
 def land(spark: SparkSession, raw_dir: str, bronze_dir: str, batch_id: str, at: str, one_document: bool = False) -> None:

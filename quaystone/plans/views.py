@@ -37,7 +37,7 @@ SELECT 'cus_' || CAST(c_custkey AS STRING) AS customer_id, c_name AS full_name,
 SELECT 'e' || CAST(event_id AS STRING) AS event_id, 'cus_' || CAST(user_id AS STRING) AS customer_id, {iso_ts} AS change_time,
     CASE event_id % 3 WHEN 0 THEN 'risk_tier' WHEN 1 THEN 'home_city' ELSE 'phone' END AS attribute_name,
     CASE event_id % 3 WHEN 0 THEN 'T' || CAST(event_id % 5 AS STRING) WHEN 1 THEN 'City ' || CAST(event_id % 31 AS STRING) ELSE 'old' || CAST(event_id AS STRING) END AS old_value,
-    '' AS new_value, 'core_banking' AS source_system FROM events WHERE event_id % 50 = 7""",
+    '' AS new_value, 'core_banking' AS source_system FROM events""",
     "raw_accounts": """
 SELECT 'acc_' || CAST(c_custkey AS STRING) AS account_id, 'cus_' || CAST(c_custkey AS STRING) AS customer_id, 'current' AS account_type, '2020-01-01' AS opened_date, 'open' AS status,
     'VND' AS currency, '1.5' AS current_balance FROM customer""",
