@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Those who own the scratch that is made just now, outermost first.
+_OWNERS: list[list[Scratch]] = []
+
+
+@contextmanager
+def owned() -> Iterator[list[Scratch]]:
+    """Owns every ``Scratch`` that is made inside, whoever makes it, and removes it at the end: for one who stores a result
+    inside, or has used it up."""
+    made: list[Scratch] = []
+    _OWNERS.append(made)
+    try:
+        yield made
+    finally:
+        _OWNERS.remove(made)
+        for s in made:
+            s.close()
+
+
 class Scratch:
     """Intermediate tables in the shared folder.
 
@@ -36,6 +56,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{scratch_dir(spark)}/quaystone/{uuid.uuid4().hex}"
+        if _OWNERS:
+            _OWNERS[-1].append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"

@@ -69,5 +69,11 @@ def test_without_training_data_package(tmp_path):
     for p in ("__spark_entry__.py", "quaystone"):
         (shutil.copytree if (REPO / p).is_dir() else shutil.copy)(REPO / p, tmp_path / p)
     shutil.rmtree(tmp_path / "quaystone/llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; assert not any(k.startswith('op') or k == 'pipeline' for k in e.queries()); assert len(e.oracle_sql()) > 40"
+    code = f"""
+import __spark_entry__ as e
+from quaystone.session import build_session
+assert not any(k.startswith('op') or k == 'pipeline' for k in e.queries()) and len(e.oracle_sql()) > 40
+spark = build_session('copy', 'local[2]', **{{'spark.sql.shuffle.partitions': '2', 'spark.ui.enabled': 'false'}})
+assert e.queries()['q2_channel_share'](spark, '{SF}').count() > 0 and e.queries()['mart_daily'](spark, '{SF}').count() > 0
+"""
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})

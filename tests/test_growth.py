@@ -236,6 +236,19 @@ def test_the_last_rate_is_of_the_last_payload(spark):
         assert {r["_rate_currency"]: r["exchange_rate"] for r in silver.daily_rates(df).collect()} == {"VND": 1.0, "USD": 24000.0, "EUR": 26000.0}
 
 
+def test_an_owner_frees_what_others_made(spark):
+    from quaystone.sources.scratch import owned
+
+    with owned() as made:
+        n = queries.QUERIES["mart_merchant_risk"](spark, SF).count()
+        bases = [x.base for x in made]
+        assert n > 0 and bases and all(there(spark, b) for b in bases)
+    assert not any(there(spark, b) for b in bases)
+    free = Scratch(spark)
+    assert free.keep(spark.range(2), "x").count() == 2 and there(spark, free.base)
+    free.close()
+
+
 # -- the star
 
 
