@@ -5,13 +5,14 @@ signature turned to start at its own ``depth`` values; documents with that prefi
 neighbours of the sorted order, which have the longest prefixes in common, are compared first, then what they leave
 apart; documents whose signatures agree in ``loose`` of all places are tied into candidate groups.
 
-The depth adapts: documents of a region over ``region_docs`` get ``DEEPER_ORDERS`` further orders by prefixes of
-``DEEPER`` places, each of its own permutation, in place of that region.  A region that is still over the bound is one
-candidate group, whole.  Nothing is cut.  Candidate groups are linked exactly, on full shingle sets (``linking``).
+The depth adapts by region: documents of a region over ``region_docs`` descend to longer prefixes, in orders of permuted
+places of their own, in place of that region; those whose regions are still too large descend again, level by level of
+``DESCENT``, with more orders the longer the prefix.  A region that is over the bound at the last level is one candidate
+group, whole.  Nothing is cut.  Candidate groups are linked exactly, on full shingle sets (``linking``).
 
 At a similarity of 0.75 the probabilities to miss a pair add up: 3e-8 that no tree holds it, 4e-8 that its signatures
 agree in too few places (the same signature serves all trees), and for a pair that meets only in regions over the bound
-5e-5 that no deeper order holds it.
+3e-8 that no order of the first level holds it, 1e-6 at the second.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from quaystone.llm.linking import BLOCK, BLOCK_ITEMS, deal, link_groups
 from quaystone.llm.runs import shared_members
 
 TREES, DEPTH = 32, 3
-DEEPER_ORDERS, DEEPER = 64, 5
+#: Orders and places of their prefixes at each level that the documents of a large region descend to.
+DESCENT = ((64, 5), (128, 8))
 #: Share of signature places (one byte each) that candidates agree in, at least: 5.7 deviations below 0.75.
 LOOSE = 0.5
 #: Documents that one task ties at a time.
@@ -118,8 +120,8 @@ def _regions(batches, loose: float):
         yield flush()
 
 
-def _deeper(batches, orders: int, depth: int):
-    """The keys of further orders: the first ``depth`` places of ``orders`` permutations of the signature."""
+def _deeper(batches, orders: int, depth: int, level: int):
+    """The keys of a level's orders: the first ``depth`` places of ``orders`` permutations of the signature."""
     picks = None
     place = np.arange(1, orders + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)
     for batch in chunks(batches):
@@ -127,7 +129,7 @@ def _deeper(batches, orders: int, depth: int):
         for signature in batch.column("signature").to_pylist():
             bits = np.frombuffer(signature, np.uint8).astype(np.uint64)
             if picks is None:
-                r = np.random.RandomState(29)
+                r = np.random.RandomState(29 + level)
                 picks = np.array([r.permutation(len(bits))[:depth] for _ in range(orders)])
             key = place
             for j in range(picks.shape[1]):
@@ -161,12 +163,15 @@ def candidate_groups(scratch: Scratch, reps: DataFrame, loose: float = LOOSE, re
     signatures = reps.select("doc", "signature")
     fit, over = _split(scratch, "trees", reps.select("doc", "keys"), region_docs)
     ties = [_tied(fit, signatures, loose)]
-    if over is not None:
-        deep = signatures.join(over.select("doc").distinct(), "doc", "left_semi").mapInArrow(lambda bs: _deeper(bs, DEEPER_ORDERS, DEEPER), "doc long, keys array<long>")
-        fit, over = _split(scratch, "deeper", deep, region_docs)
+    for level, (orders, depth) in enumerate(DESCENT):
+        if over is None:
+            break
+        deep = signatures.join(over.select("doc").distinct(), "doc", "left_semi")
+        deep = deep.mapInArrow(lambda bs, o=orders, d=depth, n=level: _deeper(bs, o, d, n), "doc long, keys array<long>")
+        fit, over = _split(scratch, f"level-{level}", deep, region_docs)
         ties.append(_tied(fit, signatures, loose))
-        if over is not None:
-            ties.append(over.select(F.col("doc").alias("a"), F.col("first").alias("b")))
+    if over is not None:
+        ties.append(over.select(F.col("doc").alias("a"), F.col("first").alias("b")))
     every = ties[0]
     for t in ties[1:]:
         every = every.unionByName(t)

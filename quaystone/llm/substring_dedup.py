@@ -199,6 +199,11 @@ class FingerprintLog:
         self._append(self.table())
         self._forget(old)
 
+    def detach(self) -> None:
+        """Takes the runs' tables out of this session's catalog; their files stay for a later one."""
+        for name in list(self.runs):
+            self.spark.sql(f"DROP TABLE {self.runs.pop(name)}")
+
     def close(self) -> None:
         """Removes the runs."""
         self._forget(list(self.runs))

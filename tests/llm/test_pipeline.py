@@ -53,7 +53,17 @@ def test_stages(spark, tmp_path):
 
 
 def test_run(spark):
-    rows = corpus_pipeline.run(spark, SF).collect()
+    from quaystone.llm.common import children
+    from quaystone.sources.scratch import owned, scratch_dir
+
+    folder = f"{scratch_dir(spark)}/quaystone"
+    before = set(children(spark, folder))
+    with owned():
+        rows = corpus_pipeline.run(spark, SF).collect()
+        left = set(children(spark, folder)) - before
+        # the last stage's result alone is left of all that the stages stored
+        assert len(left) == 1 and children(spark, f"{folder}/{left.pop()}") == ["4-mixture"]
+    assert set(children(spark, folder)) == before
     assert rows and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
     assert abs(sum(r["taken"] for r in rows) - sum(r["size"] for r in rows)) < 50
 
