@@ -15,6 +15,7 @@ from quaystone.llm.line_dedup import line_dedup
 from quaystone.llm.minhash_forest import near_duplicates
 from quaystone.llm.mixing import mix
 from quaystone.llm.quality import fit_quality, keep_quality
+from quaystone.sources.scratch import owned
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: No SQL: the first stage is a fitted classifier.
@@ -60,7 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"{i}-{name}")
+        with owned():  # what the stage's operators stored goes once its result is
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"{i}-{name}")
         if i:
             scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs
