@@ -29,9 +29,9 @@ from quaystone.llm.common import chunks, id_out, ranges, with_ids
 #: Texts that frequent chunks are looked for in, about; chunks in the table; characters of a chunk in it; at most.
 SAMPLE, TABLE, TABLE_CHARS = 50_000, 2**19, 48
 #: Distinct chunks of the sample that a task holds before it hands their counts over.
-HELD = 500_000
+HELD = 150_000
 #: Texts and chunks taken at a time; chunks in a task's own table; bytes of ids and decoded text handed over at a time, about.
-ROWS, CHUNKS, OWN, BYTES = 512, 20_000, 200_000, 4_000_000
+ROWS, CHUNKS, OWN, BYTES = 256, 20_000, 60_000, 2_000_000
 MARKER = "▁"
 _RUNS = re.compile(" *[^ ]+| +")
 #: Texts whose ids must be those of their chunks, or a model isn't taken to be separable.
