@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaystone.functions.exprs import codes, finite, flag, is_true, lenient_date, lenient_double, lenient_long, lenient_timestamp, strip
+from quaystone.operators.prefilter import may_hold
 
 #: Domains and the year from which a time is junk.
 TYPES = ("payment", "transfer", "withdrawal", "topup", "debit")
@@ -74,9 +75,13 @@ def with_duplicates(rows: DataFrame) -> DataFrame:
     return joined.withColumns({"_is_duplicate_survivor": F.col("_dup_id").isNotNull() & survivor, "_dq_duplicate": F.col("_dup_id").isNotNull() & ~survivor}).drop("_dup_id", "survivor")
 
 
-def known(rows: DataFrame, ids: DataFrame, column: str, hit: str) -> DataFrame:
-    """A boolean column: whether the id is in a reference table.  Spark sends the ids along if they are few."""
-    once = ids.select(strip(column).alias(f"_{hit}_id")).distinct().withColumn(hit, F.lit(True))
+def known(rows: DataFrame, ids: DataFrame, column: str, hit: str, asked: DataFrame | None = None) -> DataFrame:
+    """A boolean column: whether the id is in a reference table.  Spark sends the ids along if they are few.  With ``asked``,
+    rows that hold every id of ``rows``, ids that it can't ask for are left out before they are shuffled."""
+    once = ids.select(strip(column).alias(f"_{hit}_id"))
+    if asked is not None:
+        once = may_hold(once, F.col(f"_{hit}_id"), asked, F.col(column))
+    once = once.distinct().withColumn(hit, F.lit(True))
     return rows.join(once, F.col(column) == F.col(f"_{hit}_id"), "left").drop(f"_{hit}_id").withColumn(hit, flag(F.col(hit)))
 
 
@@ -123,12 +128,16 @@ def rule_flags() -> dict[str, Column]:
     }
 
 
-def silver_transactions(bronze: DataFrame, *, customers: DataFrame, accounts: DataFrame, merchants: DataFrame, locations: DataFrame, rates: DataFrame, run_id: str) -> DataFrame:
+def silver_transactions(bronze: DataFrame, *, customers: DataFrame, accounts: DataFrame, merchants: DataFrame, locations: DataFrame, rates: DataFrame, run_id: str, large: tuple[str, ...] = ()) -> DataFrame:
     """41 typed columns for every Bronze row.  The duplicate survivor is chosen before any other rule, so an id may lose
-    all its rows; orphan keys are soft flags and leave a row valid."""
-    rows = with_rates(with_duplicates(typed(bronze)), rates)
+    all its rows; orphan keys are soft flags and leave a row valid.
+
+    ``large`` names the id columns whose reference tables are far larger than the rows, as for a day's batch against all
+    customers: such a table is filtered by the batch's ids first, for one more scan of that column of the batch."""
+    base = typed(bronze)
+    rows = with_rates(with_duplicates(base), rates)
     for ids, column, hit in ((customers, "customer_id", "_has_customer"), (accounts, "account_id", "_has_account"), (merchants, "merchant_id", "_has_merchant"), (locations, "location_id", "_has_location")):
-        rows = known(rows, ids, column, hit)
+        rows = known(rows, ids, column, hit, base if column in large else None)
     lag = F.timestamp_diff("SECOND", F.col("event_time"), F.col("ingestion_time"))
     rows = rows.withColumns(rule_flags()).withColumns(
         {

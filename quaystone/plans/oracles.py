@@ -307,6 +307,7 @@ WHERE z > 3 AND n >= 10 ORDER BY z DESC, transaction_id LIMIT 15""",
     "quarantine_rows": with_steps("SELECT _dq_bucket AS quarantine_bucket, _dq_errors AS quarantine_reason, source_row_number, transaction_id FROM silver WHERE NOT _is_valid", "silver"),
     "clean_rows": with_steps("SELECT transaction_id, amount_vnd, _dq_errors FROM clean", "clean"),
     "fk_left_anti": with_steps("SELECT transaction_id, customer_id FROM typed t WHERE NOT EXISTS (SELECT 1 FROM raw_customers c WHERE c.customer_id = t.customer_id)", "typed", "raw_customers"),
+    "orphans_prefiltered": with_steps("SELECT source_row_number, transaction_id, _dq_fk_customer, _dq_fk_account, _dq_fk_merchant, _dq_invalid_location FROM silver", "silver"),
     "dq_flag_rates": with_steps(
         "\nUNION ALL ".join(f"SELECT '{f}' AS flag, {_n(f)} AS n, round({_n(f)} / count(*), 6) AS rate FROM silver" for f in [*[f"_dq_{x}" for x in _FLAGS], "_is_valid"]), "silver"
     ),

@@ -303,6 +303,14 @@ def fk_left_anti(spark, sf_dir):
     return rows.join(landing.distinct_ids(table(spark, sf_dir, "raw_customers"), "customer_id"), "customer_id", "left_anti")
 
 
+@query
+def orphans_prefiltered(spark, sf_dir):
+    """The four reference flags of every transaction, the reference tables filtered by its ids first."""
+    s = star(spark, sf_dir)
+    s.large = ("customer_id", "account_id", "merchant_id", "location_id")
+    return s.silver.select("source_row_number", "transaction_id", "_dq_fk_customer", "_dq_fk_account", "_dq_fk_merchant", "_dq_invalid_location")
+
+
 # -- quality
 
 

@@ -26,11 +26,13 @@ class Star:
     run_id: str = "run"
     #: first and last day, or a calendar itself
     calendar: tuple[dt.date, dt.date] | DataFrame = dims.CALENDAR
+    #: id columns whose reference tables are filtered by the transactions' ids before they are shuffled
+    large: tuple[str, ...] = ()
 
     @cached_property
     def silver(self) -> DataFrame:
         r = self.raw
-        return silver_transactions(r["transactions"], customers=r["customers"], accounts=r["accounts"], merchants=r["merchants"], locations=r["locations"], rates=r["exchange_rates"], run_id=self.run_id)
+        return silver_transactions(r["transactions"], customers=r["customers"], accounts=r["accounts"], merchants=r["merchants"], locations=r["locations"], rates=r["exchange_rates"], run_id=self.run_id, large=self.large)
 
     @cached_property
     def clean(self) -> DataFrame:

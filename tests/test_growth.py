@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaystone.operators import analytics, dims, distinct, fact, incremental, marts, quality, selection, silver, slices
+from quaystone.operators import analytics, dims, distinct, fact, incremental, marts, prefilter, quality, selection, silver, slices
 from quaystone.plans import queries
 from quaystone.sources import landing, sinks
 from quaystone.sources.scratch import Scratch
@@ -290,3 +290,29 @@ def test_reports_say_what_was_found(spark, tmp_path):
     assert {c["name"]: c["observed"] for c in stored["checks"]}["rowcount_silver_eq_bronze"] == 0
     top = quality.top_error_codes(good).first()
     assert f"| {top['error_code']} | {top['n']} |" in text and text.startswith(f"# Quality: {summary['verdict']}")
+
+
+# -- filters of large reference tables
+
+
+def test_a_filter_loses_no_key_and_stays_of_its_size(spark):
+    """Null, empty, repeated and long keys; a filter far too small for its keys lets all through, and loses none."""
+    keys = spark.createDataFrame([("a",), ("",), (None,), ("a",), ("x" * 70_000,), *[(f"k{i}",) for i in range(500)]], "k string")
+    rows = spark.range(60_000).select(F.concat(F.lit("k"), "id").alias("k")).unionByName(keys)
+    for bits, most in ((prefilter.BITS, 520), (2**14, 9000), (64, 10**9)):
+        kept = prefilter.may_hold(rows, F.col("k"), keys, F.col("k"), bits)
+        assert keys.exceptAll(kept).count() == 0  # both sets of repeats are there
+        assert kept.where(F.col("k").startswith("k")).distinct().count() <= most
+        assert len(prefilter.bloom(keys, F.col("k"), bits).first()["words"]) == bits // 64
+    none = prefilter.may_hold(rows, F.col("k"), keys.limit(0), F.col("k"))
+    assert none.count() == 0 and prefilter.may_hold(rows.limit(0), F.col("k"), keys, F.col("k")).count() == 0
+
+
+def test_reference_ids_are_filtered_before_they_are_shuffled(spark):
+    rows = spark.createDataFrame([("c1",), ("c2",), ("c2",), ("",), ("gone",)], "customer_id string")
+    ids = spark.range(50_000).select(F.concat(F.lit(" c"), "id").alias("customer_id"))
+    plain, out = silver.known(rows, ids, "customer_id", "hit"), silver.known(rows, ids, "customer_id", "hit", rows)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect())) == [("", False), ("c1", True), ("c2", True), ("c2", True), ("gone", False)]
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    # the filter stands under the ids' distinct, on the scan
+    assert text.index("Aggregate") < text.index("getbit") and "scalar-subquery" in text
