@@ -2,7 +2,8 @@
 
 Terms are lower-cased words without punctuation around them, and their first bytes, by 64-bit hash.  A term weighs its
 inverse document frequency over the whole corpus times a power of one plus its likelihood ratio for label 1, so none is
-left out and those that tell label 1 count most.  The power is chosen by folds inside the training rows.
+left out and those that tell label 1 count most.  The power, how many examples vote and how much nearer ones count more
+are chosen by folds inside the training rows.
 
 The index holds every term of a bounded sample of examples.  Postings by term give each example's score from all but the
 most frequent terms.  Those are matrices by block of examples, with each term's largest weight in the block: a block
@@ -26,16 +27,17 @@ from pyspark.sql import functions as F
 from quaystone.llm.common import Scratch, id_out, mix, ranges, signed, with_ids
 from quaystone.llm.labelled import Isotonic, held_out, training_sample
 
-#: Labelled rows in the index, at most; neighbours that vote; rows and bytes of text taken at a time.
-SAMPLE, NEIGHBOURS, ROWS, BYTES = 4000, 15, 256, 2_000_000
+#: Labelled rows in the index, at most; rows and bytes of text taken at a time.
+SAMPLE, ROWS, BYTES = 4000, 256, 2_000_000
 #: A term that one in so many examples holds is in the blocks' matrices; examples of a block; queries taken at a time.
 DENSE, BLOCK, QUERIES, CACHED = 16, 64, 128, 8
 #: How the contract splits rows and cuts scores.
 FOLDS, HELD, CUT = 3, 1, 0.7
 _AROUND = b".,;:!?\"'()[]{}<>*#$%&|-_"
 _STEMS = (5,)
-#: Powers of the likelihood ratio to choose from, and folds of the training rows to choose by.
-POWERS, INNER = (0.25, 0.5, 0.75), 3
+#: What is chosen from: powers of the likelihood ratio, numbers of neighbours that vote, slacks of ``votes``; and folds of
+#: the training rows to choose by.
+POWERS, NEIGHBOURS, SLACKS, INNER = (0.25, 0.5, 0.75), (5, 15, 30), (0.05, 0.2, 0.8), 3
 #: Terms that a task holds before it hands their counts over; squares are summed in units of 2**-20, in any order.
 HELD_TERMS, SQUARE = 2_000_000, 2**20
 
@@ -272,9 +274,9 @@ class BlockMaxIndex:
             best[at + r, rank], who[at + r, rank] = score[r, c], c
         return who, best
 
-    def votes(self, who: np.ndarray, cosine: np.ndarray) -> np.ndarray:
-        """``votes`` of the examples at these places."""
-        return votes(np.where(who >= 0, self.y[np.maximum(who, 0)], -1), cosine) if len(self.y) else np.zeros(len(who))
+    def labels(self, who: np.ndarray) -> np.ndarray:
+        """Labels of the examples at these places, -1 for none."""
+        return np.where(who >= 0, self.y[np.maximum(who, 0)], -1) if len(self.y) else np.full(who.shape, -1)
 
 
 class Examples:
@@ -292,15 +294,15 @@ class Examples:
         lean = likelihood_ratio(self.n0[folds].sum(0), self.n1[folds].sum(0), max(len(which) - p1, 1), max(p1, 1))
         return BlockMaxIndex(self.idf, self.idf * (1 + lean) ** power, self.ids[which], self.y[which], [self.numbers[i] for i in which], [self.counts[i] for i in which])
 
-    def votes(self, power: float, fold: int, neighbours: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the examples of a fold, and the votes of all others on them."""
+    def nearest_others(self, power: float, fold: int, neighbours: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the examples of a fold; labels and cosines of those outside it that are nearest to each."""
         index, which = self.index(power, fold), np.flatnonzero(self.fold == fold)
         if not len(which):
-            return which, np.zeros(0)
+            return which, np.zeros((0, neighbours)), np.zeros((0, neighbours))
         row = np.repeat(np.arange(len(which)), [len(self.numbers[i]) for i in which])
         number, n = (np.concatenate([v[i] for i in which]) for v in (self.numbers, self.counts))
         who, cosine = index.nearest((row, number, index.unit(row, number, n, len(which)), len(which)), neighbours)
-        return which, index.votes(who, cosine)
+        return which, index.labels(who), cosine
 
 
 def likelihood_ratio(n0: np.ndarray, n1: np.ndarray, p0: int, p1: int) -> np.ndarray:
@@ -314,26 +316,30 @@ class ToxicityModel:
     """``shared`` is the index and its terms, sent to the executors once; ``counts`` has the documents of each term that
     several documents hold, of ``rows`` in all."""
 
-    def __init__(self, terms: np.ndarray, shared, counts: DataFrame, rows: int, power: float, calibrate: Isotonic, neighbours: int):
+    def __init__(self, terms: np.ndarray, shared, counts: DataFrame, rows: int, power: float, neighbours: int, slack: float, calibrate: Isotonic):
         self.terms, self.shared, self.counts, self.rows = terms, shared, counts, rows
-        self.power, self.calibrate, self.neighbours = power, calibrate, neighbours
+        self.power, self.neighbours, self.slack, self.calibrate = power, neighbours, slack, calibrate
 
 
-def _validate(batches, shared, neighbours: int):
-    """Votes on the examples of a fold by the others, for each (power, fold)."""
+def _validate(batches, shared, choices: list[tuple[int, float]]):
+    """Votes on the examples of a fold by the others, for each (power, fold) and each of ``choices`` (by number)."""
     examples = cloudpickle.loads(shared.value)
     for batch in batches:
         for power, fold in zip(*(batch.column(c).to_pylist() for c in ("power", "fold")), strict=True):
-            which, vote = examples.votes(power, fold, neighbours)
-            yield pa.RecordBatch.from_pydict({"power": pa.array([power] * len(which), pa.float64()), "place": pa.array(which, pa.int64()), "vote": pa.array(vote.astype(float))})
+            which, label, cosine = examples.nearest_others(power, fold, max(k for k, _ in choices))
+            for i, (k, slack) in enumerate(choices):
+                vote = votes(label[:, :k], cosine[:, :k], slack)
+                yield pa.RecordBatch.from_pydict({"power": pa.array([power] * len(which), pa.float64()), "choice": pa.array([i] * len(which), pa.int32()), "place": pa.array(which, pa.int64()), "vote": pa.array(vote.astype(float))})
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: int = NEIGHBOURS, folds: int = FOLDS, held: int = HELD, powers: tuple[float, ...] = POWERS) -> ToxicityModel:
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, held: int = HELD, powers: tuple[float, ...] = POWERS, neighbours: tuple[int, ...] = NEIGHBOURS, slacks: tuple[float, ...] = SLACKS
+) -> ToxicityModel:
     """Indexes at most ``sample`` labelled rows outside the held-out fold, with term counts over all of ``docs``.
 
-    For each power and each inner fold of these rows the others vote on the fold, with weights from the others alone; the
-    power of the smallest mean squared error is taken (the first of equal ones), and its votes are what the calibration is
-    fitted to.  No label of a held-out row is read.  Without labelled rows every score is 0.
+    For each power, number of neighbours and slack, and each inner fold of these rows, the others vote on the fold, with
+    weights from the others alone; the choice of the smallest mean squared error is taken (the first of those that are equal
+    to nine digits), and its votes are what the calibration is fitted to.  No label of a held-out row is read.  Without labelled rows every score is 0.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -357,17 +363,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neigh
     numbers, n = ([np.frombuffer(x.as_py(), t) for x in out.column(c)] for c, t in (("numbers", np.int32), ("counts", np.int64)))
     examples = Examples(np.log((1 + total) / (1 + df)) + 1, *label, ids, y, fold, numbers, n)
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(examples))
-    cells = [(float(p), f) for p in powers for f in range(INNER)]
-    votes = spark.createDataFrame(cells, "power double, fold int").repartition(len(cells), "power", "fold").mapInArrow(lambda bs: _validate(bs, sent, neighbours), "power double, place long, vote double").toArrow()
+    cells, choices = [(float(p), f) for p in powers for f in range(INNER)], [(int(k), float(x)) for k in neighbours for x in slacks]
+    # a vote for each example and choice
+    tried = spark.createDataFrame(cells, "power double, fold int").repartition(len(cells), "power", "fold").mapInArrow(lambda bs: _validate(bs, sent, choices), "power double, choice int, place long, vote double").toArrow()
     shared.unpersist()
     sent.unpersist()
     scratch.drop("examples", "terms")
-    power, place, vote = (votes.column(c).to_numpy() for c in ("power", "place", "vote"))
-    errors = [((vote[power == p] - y[place[power == p]]) ** 2).mean() if len(ids) else 0.0 for p in powers]
-    best = float(powers[int(np.argmin(errors))])
-    calibrate = Isotonic(vote[power == best], y[place[power == best]]) if len(ids) else Isotonic(np.zeros(1), np.zeros(1))
+    power, choice, place, vote = (tried.column(c).to_numpy() for c in ("power", "choice", "place", "vote"))
+    grid = [(float(p), i) for p in powers for i in range(len(choices))]
+    of = [(power == p) & (choice == i) for p, i in grid]
+    # the sum of squares in the order of the examples, so that reruns agree
+    errors = [round(float(np.mean((vote[w][o] - y[place[w][o]]) ** 2)), 9) if len(ids) else 0.0 for w, o in ((w, np.argsort(place[w])) for w in of)]
+    at = int(np.argmin(errors))
+    best, (k, slack) = grid[at][0], choices[grid[at][1]]
+    calibrate = Isotonic(vote[of[at]], y[place[of[at]]]) if len(ids) else Isotonic(np.zeros(1), np.zeros(1))
     index = spark.sparkContext.broadcast(cloudpickle.dumps((known, examples.index(best))))
-    return ToxicityModel(known, index, counts, total, best, calibrate, neighbours)
+    return ToxicityModel(known, index, counts, total, best, k, slack, calibrate)
 
 
 def _near(batches, shared, neighbours: int):
@@ -393,13 +404,14 @@ def _near(batches, shared, neighbours: int):
         )
 
 
-def votes(toxic: np.ndarray, cosine: np.ndarray) -> np.ndarray:
-    """Share of label 1 among the neighbours (-1: none), weighted by nearness, with one vote of weight 0.05 for label 0."""
-    w = np.where(toxic >= 0, cosine / np.maximum(1.05 - cosine, 0.05), 0)
-    return (w * np.maximum(toxic, 0)).sum(1) / (w.sum(1) + 0.05)
+def votes(toxic: np.ndarray, cosine: np.ndarray, slack: float) -> np.ndarray:
+    """Share of label 1 among the neighbours (-1: none), by cosine over distance, with one vote of weight ``slack`` for label
+    0.  The slack is added to every distance: the smaller, the more the nearest count."""
+    w = np.where(toxic >= 0, cosine / np.maximum(1 + slack - cosine, slack), 0)
+    return (w * np.maximum(toxic, 0)).sum(1) / (w.sum(1) + slack)
 
 
-def _score(batches, calibrate: Isotonic, neighbours: int):
+def _score(batches, calibrate: Isotonic, neighbours: int, slack: float):
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
     for batch in batches:
         ids, toxic, cosine = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, neighbours) for c in ("ids", "toxic", "cosine"))
@@ -408,7 +420,7 @@ def _score(batches, calibrate: Isotonic, neighbours: int):
         first = toxic[:, :3] >= 0
         fields = [pa.array(ids[:, :3][first]), pa.array(toxic[:, :3][first]), pa.array(np.round(cosine[:, :3][first], 6))]
         evidence = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(first.sum(1))].astype(np.int32)), pa.StructArray.from_arrays(fields, ["doc_id", "toxic", "cosine"]))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(calibrate(votes(toxic, cosine))), "evidence": evidence.cast(kind)})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(calibrate(votes(toxic, cosine, slack))), "evidence": evidence.cast(kind)})
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, folds: int = FOLDS, held: int = HELD, cut: float = CUT) -> DataFrame:
@@ -416,7 +428,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, folds: int = FOLDS, he
 
     A null text is empty; a text that shares no term with an example has no neighbours, and the score of no evidence.
     A term that fewer than two documents of the fit hold weighs as one that one holds.  Repeated rows score alike."""
-    scratch, shared, calibrate, neighbours = Scratch(docs.sparkSession), model.shared, model.calibrate, model.neighbours
+    scratch, shared = Scratch(docs.sparkSession), model.shared
+    calibrate, neighbours, slack = model.calibrate, model.neighbours, model.slack
     rows = with_ids(docs, F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     fields = "doc_id long, h long, square double, ids array<long>, toxic array<int>, cosine array<float>, terms array<long>, n array<long>"
     near = scratch.keep(rows.mapInArrow(lambda bs: _near(bs, shared, neighbours), fields), "near")
@@ -426,5 +439,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, folds: int = FOLDS, he
     # repeated rows have one sum
     other = other.join(counts.hint("merge"), "terms", "left").groupBy("doc_id", "h").agg((F.sum(F.round(weight * weight * SQUARE).cast("long")) / (SQUARE * F.sum("row"))).alias("other"))
     near = near.join(other.hint("merge"), ["doc_id", "h"], "left").select("doc_id", "square", "ids", "toxic", "cosine", F.coalesce("other", F.lit(0.0)).alias("other"))
-    out = near.mapInArrow(lambda bs: _score(bs, calibrate, neighbours), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
+    out = near.mapInArrow(lambda bs: _score(bs, calibrate, neighbours, slack), "doc_id long, score double, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
     return out.select(id_out(), held_out(id_out(), folds, held).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "evidence")

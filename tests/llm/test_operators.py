@@ -22,7 +22,7 @@ from quaystone.llm.runs import shared_members
 from quaystone.llm.secret_scan import BlobLedger, find_spans, scan_secrets
 from quaystone.llm.substring_dedup import COMPACT, FingerprintLog, substring_dedup
 from quaystone.llm.toxicity import INNER as INNER_FOLDS
-from quaystone.llm.toxicity import POWERS, BlockMaxIndex, fit_toxicity, own_text_fold, score_toxicity, terms_of
+from quaystone.llm.toxicity import NEIGHBOURS, POWERS, SLACKS, BlockMaxIndex, fit_toxicity, own_text_fold, score_toxicity, terms_of
 
 BLANK = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, _salt long, drop string"
@@ -691,7 +691,7 @@ def test_large_groups_are_linked_in_blocks(spark):
     assert found == {d: c for d, (_, c, _) in brute_near(rows).items()} and set(found.values()) == {0}
 
 
-def brute_toxicity(docs, truth, neighbours=15):
+def brute_toxicity(docs, truth):
     """Scores from dictionaries: terms, document counts over all texts, weights, cosines over all words of a text, folds of
     the training rows, votes, pooled calibration.  Also the power, and the cosine of each pair (text, example)."""
     from collections import Counter
@@ -729,24 +729,31 @@ def brute_toxicity(docs, truth, neighbours=15):
             out.append({t: x / norm for t, x in w.items()})
         return out
 
-    def vote(i, unit, rows):
-        near = sorted(((sum(x * unit[j].get(t, 0.0) for t, x in unit[i].items()), y[j]) for j in rows), reverse=True)[:neighbours]
-        w = [(c / max(1.05 - c, 0.05), label) for c, label in near if c > 0]
-        return sum(x * label for x, label in w) / (sum(x for x, _ in w) + 0.05)
+    def nearest(i, unit, rows):
+        return sorted(((sum(x * unit[j].get(t, 0.0) for t, x in unit[i].items()), y[j]) for j in rows), reverse=True)
 
-    found = {}
+    def vote(near, neighbours, slack):
+        w = [(c / max(1 + slack - c, slack), label) for c, label in near[:neighbours] if c > 0]
+        return sum(x * label for x, label in w) / (sum(x for x, _ in w) + slack)
+
+    choices = [(p, k, x) for p in POWERS for k in NEIGHBOURS for x in SLACKS]
+    votes = {c: {} for c in choices}
     for power in POWERS:
-        votes = {}
         for f in range(INNER_FOLDS):
             rows = [i for i in learnt if own_text_fold(docs[i][1].encode()) != f]
             unit = units(rows, power)
-            votes |= {i: vote(i, unit, rows) for i in learnt if i not in rows}
-        found[power] = [votes[i] for i in learnt]
+            for i in learnt:
+                if i not in rows:
+                    near = nearest(i, unit, rows)
+                    for c in choices:
+                        if c[0] == power:
+                            votes[c][i] = vote(near, *c[1:])
     truths = np.array([y[i] for i in learnt])
-    power = min(POWERS, key=lambda p: ((np.array(found[p]) - truths) ** 2).mean())
-    unit = units(learnt, power)
+    found = {c: np.array([v[i] for i in learnt]) for c, v in votes.items()}
+    best = min(choices, key=lambda c: round(((found[c] - truths) ** 2).mean(), 9))
+    unit = units(learnt, best[0])
     cosine = lambda i, j: sum(x * unit[j].get(t, 0.0) for t, x in unit[i].items())
-    return Isotonic(np.array(found[power]), truths)(np.array([vote(i, unit, learnt) for i in range(len(docs))])), power, cosine
+    return Isotonic(found[best], truths)(np.array([vote(nearest(i, unit, learnt), *best[1:]) for i in range(len(docs))])), best, cosine
 
 
 def test_toxicity_score_by_brute_force(spark):
@@ -765,8 +772,8 @@ def test_toxicity_score_by_brute_force(spark):
     model = fit_toxicity(df, labels)
     scored = {x["doc_id"]: x for x in score_toxicity(df, model).collect()}
     found = {d: x["score"] for d, x in scored.items()}
-    expected, power, cosine = brute_toxicity(docs, truth)
-    assert model.power == power
+    expected, best, cosine = brute_toxicity(docs, truth)
+    assert (model.power, model.neighbours, model.slack) == best
     at = {d: i for i, (d, _) in enumerate(docs)}
     assert all(abs(e["cosine"] - cosine(at[d], at[e["doc_id"]])) < 1e-4 for d, x in scored.items() for e in x["evidence"])
     assert np.allclose([found[d] for d, _ in docs], expected, atol=2e-3), max(abs(found[d] - e) for (d, _), e in zip(docs, expected, strict=True))
