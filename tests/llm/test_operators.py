@@ -15,7 +15,7 @@ from quaystone.llm.decontamination import ItemIndex, clean_documents, contaminat
 from quaystone.llm.exact_dedup import exact_duplicates
 from quaystone.llm.labelled import Isotonic, training_sample
 from quaystone.llm.line_dedup import line_dedup
-from quaystone.llm.minhash_forest import near_duplicates
+from quaystone.llm.minhash_forest import DEPTH, REGION_DOCS, TREES, _signatures, near_duplicates
 from quaystone.llm.mixing import mix, mix_schedule, source_targets
 from quaystone.llm.quality import INNER, RIDGE, Kernel, fit_quality, keep_quality, score_quality, statistics
 from quaystone.llm.runs import shared_members
@@ -330,6 +330,32 @@ def test_near_duplicates_with_regions_over_the_bound(spark):
     assert sum(found[10 * i + 1 + k] == found[10 * i] for i in range(400) for k in range(2)) >= 796
 
 
+def test_recall_in_regions_over_the_bound_itself(spark):
+    """2,400 pairs, each of similarity 0.77 or a little more, among texts that have half of their shingles in common: regions
+    hold more than the bound's 2,048 documents, as no parameter is lowered here."""
+    r = random.Random(33)
+    base, rows, linked = [f"s{i}" for i in range(120)], [], 0
+    grams = lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    for i in range(2400):
+        w = list(base)
+        for j in r.sample(range(4, 116), 3):
+            w[j] = f"u{i}-{j}"
+        v = list(w)
+        for j in r.sample(range(4, 116), 3):
+            v[j] = f"v{i}-{j}"
+        a, b = grams(w), grams(v)
+        linked += 100 * len(a & b) >= 75 * len(a | b)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    df = frame(spark, rows).repartition(8)
+    keys = df.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lambda bs: _signatures(bs, TREES, DEPTH), "doc_id long, n long, k1 long, k2 long, keys array<long>, signature binary")
+    largest = keys.select(F.explode("keys").alias("k")).groupBy("k").count().agg(F.max("count")).first()[0]
+    assert largest > REGION_DOCS
+    found = {x["doc_id"]: x["component_id"] for x in near_duplicates(df).collect()}
+    together = sum(found[2 * i] == found[2 * i + 1] for i in range(2400))
+    assert len(set(found.values())) > 1200  # not one component of all
+    assert linked > 2300 and together >= 0.999 * linked, (linked, together, largest)
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     a, b, c = ([f"{x}{i}" for i in range(80)] for x in "abc")
     near = lambda w: " ".join([*w[:70], "z"])
