@@ -53,22 +53,22 @@ def mart_daily(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
     return out.select(*lead, *[c for c in out.columns if c not in lead])
 
 
-def busiest_hour(rows: DataFrame, time: str = "event_time") -> DataFrame:
-    """max_txn_count_1h: the most rows in a trailing hour, of rows too many for one window.  A row counts in its own hour of
-    the clock and goes as context to the next, so a task holds two hours of rows at most."""
+def busiest_hour(rows: DataFrame, time: str = "event_time", by: tuple[str, ...] = ()) -> DataFrame:
+    """by..., max_txn_count_1h: the most rows in a trailing hour, of rows too many for one window.  A row counts in its own
+    hour of the clock and goes as context to the next, so a task holds two hours of a group's rows at most."""
     hour = F.date_trunc("hour", time)
-    own = rows.select(F.col(time).alias("_t"), hour.alias("_hour"), F.lit(True).alias("_own"))
-    context = rows.select(F.col(time).alias("_t"), (hour + F.expr(HOUR)).alias("_hour"), F.lit(False).alias("_own"))
-    counted = own.unionByName(context).withColumn("_n", trailing("count(*)", HOUR, "_hour", "_t"))
-    return counted.where("_own").agg(F.max("_n").alias("max_txn_count_1h"))
+    own = rows.select(*by, F.col(time).alias("_t"), hour.alias("_hour"), F.lit(True).alias("_own"))
+    context = rows.select(*by, F.col(time).alias("_t"), (hour + F.expr(HOUR)).alias("_hour"), F.lit(False).alias("_own"))
+    counted = own.unionByName(context).withColumn("_n", trailing("count(*)", HOUR, ", ".join([*by, "_hour"]), "_t"))
+    return counted.where("_own").groupBy(*by).agg(F.max("_n").alias("max_txn_count_1h"))
 
 
-def mart_customer_risk(fact: DataFrame, dim_customer: DataFrame, limits: dict | None = None) -> DataFrame:
+def mart_customer_risk(fact: DataFrame, dim_customer: DataFrame, limits: dict | None = None, heavy: int = HEAVY) -> DataFrame:
     """A row for each customer, all versions together; Unknown is one of them.
 
     One shuffle by customer serves the window and the aggregate of known customers; distinct devices and locations are first
-    sightings, so no row is expanded for them.  Unknown may hold any share of the rows: it is aggregated on its own, by
-    partial sums and by hours of the clock.  The largest z-score is that of the largest amount."""
+    sightings, so no row is expanded for them.  Unknown and customers of more than ``heavy`` rows may hold any share of the
+    rows: they are aggregated apart, by partial sums and by hours of the clock, so none is one task.  The largest z-score is that of the largest amount."""
     limit = WATCH | (limits or {})
     ids = dim_customer.where(F.col("customer_sk") != UNKNOWN_SK).select("customer_sk", "customer_id")
     total = F.count(F.lit(1))
@@ -91,15 +91,20 @@ def mart_customer_risk(fact: DataFrame, dim_customer: DataFrame, limits: dict |
         ]
 
     first = lambda c: (F.row_number().over(Window.partitionBy("customer_id", c).orderBy(c)) == 1) & F.col(c).isNotNull()
-    rows = fact.join(ids, "customer_sk").repartition("customer_id").select(
+    every = fact.join(ids, "customer_sk").select("customer_id", *[c for c in CUSTOMER_COLUMNS if c != "customer_sk"])
+    # at most one customer for every ``heavy`` rows
+    long_ones = F.broadcast(every.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > heavy).select(F.col("customer_id").alias("_long")))
+    match = F.col("customer_id") == F.col("_long")
+    rows = every.join(long_ones, match, "left_anti").repartition("customer_id").select(
         "customer_id", "amount_vnd", "is_fraud", "status", first("device_sk").alias("_device"), first("location_sk").alias("_location"), trailing("count(*)", HOUR).alias("n_1h"),
     )
     known = rows.groupBy("customer_id").agg(*figures(count_if(F.col("_device")), count_if(F.col("_location")), F.max("n_1h")))
-    lost = fact.where(F.col("customer_sk") == UNKNOWN_SK)
-    unknown = lost.groupBy(F.lit(UNKNOWN).alias("customer_id")).agg(*figures(F.countDistinct("device_sk"), F.countDistinct("location_sk"), F.lit(0)))
-    # one row each
-    unknown = unknown.drop("max_txn_count_1h").join(busiest_hour(lost).withColumn("customer_id", F.lit(UNKNOWN)), "customer_id")
-    agg = known.unionByName(unknown.select(known.columns))
+    lost = fact.where(F.col("customer_sk") == UNKNOWN_SK).withColumn("customer_id", F.lit(UNKNOWN)).select(*every.columns)
+    apart = every.join(long_ones, match, "left_semi").unionByName(lost)
+    sums = apart.groupBy("customer_id").agg(*figures(F.countDistinct("device_sk"), F.countDistinct("location_sk"), F.lit(0)))
+    # a row for each of them
+    sums = sums.drop("max_txn_count_1h").join(busiest_hour(apart, by=("customer_id",)), "customer_id")
+    agg = known.unionByName(sums.select(known.columns))
     now = dim_customer.where("is_current").select("customer_id", "risk_tier", "home_city", "home_country")
     watch = (
         (F.col("fraud_count") > 0) | (F.col("fraud_rate") >= limit["fraud_rate"]) | (F.col("max_amount_zscore") >= limit["zscore"])
