@@ -332,3 +332,30 @@ def test_customers_of_any_size_are_no_task_of_their_own(spark):
                 for c, v in row.items():  # sums of another order may round to another cent
                     w = plain[k][c]
                     assert v == w or (isinstance(v, float) and abs(v - w) <= 0.011 + 1e-9 * abs(w)), (k, c, v, w)
+
+
+# -- the star's shared steps
+
+
+def test_fact_evaluates_its_rows_once_and_deals_them_by_no_date(spark):
+    """Rates go to the rows, slices are asked of the raw rows alone, labels stand beside the duplicates' lookup."""
+    text = plan(queries.star(spark, SF).fact)
+    assert "hashpartitioning(date_format" not in text
+    # the rule flags stand where the rows are filtered: once, not once more for the slices that are asked for
+    assert text.count("IN (mobile") == 1
+
+
+def test_versions_run_over_each_customer_once(spark):
+    """A frame to the end of a partition is evaluated anew for each row: the square of a customer's changes."""
+    s = queries.star(spark, SF)
+    versions = dims.customer_versions(s.dimension("customers"), s.dimension("customer_scd_events"), s.dimension("locations"))
+    assert "unboundedfollowing" not in plan(versions).lower().replace(" ", "").replace("$()", "")
+
+
+def test_numbers_are_stored_with_the_parts(spark):
+    ids = spark.createDataFrame([(f"k{i * 7919 % 10007}",) for i in range(5000)] + [(None,)], "key string").repartition(6)
+    out = dims.with_surrogate_key(ids, "sk", ["key"], Scratch(spark))
+    # a reader sorts the parts' sizes, not their rows
+    assert "row_number" not in plan(out)
+    got = [r["key"] for r in out.orderBy("sk").collect()]
+    assert got == [None, *sorted(k for k in got if k is not None)] and sorted(r["sk"] for r in out.collect()) == list(range(1, 5002))
