@@ -359,3 +359,16 @@ def test_numbers_are_stored_with_the_parts(spark):
     assert "row_number" not in plan(out)
     got = [r["key"] for r in out.orderBy("sk").collect()]
     assert got == [None, *sorted(k for k in got if k is not None)] and sorted(r["sk"] for r in out.collect()) == list(range(1, 5002))
+
+
+def test_tasks_of_trailing_features_follow_the_rows(spark, monkeypatch):
+    """A task sorts its rows several times over: what it holds must not grow with the input."""
+    monkeypatch.setattr(slices, "TASK_ROWS", 50, raising=False)
+    monkeypatch.setattr(slices.tasks_for, "__defaults__", (50,)) if hasattr(slices, "tasks_for") else None
+    e = spark.read.parquet(f"{SF}/events.parquet").limit(500)
+    rows = e.select(
+        F.col("event_id").cast("string").alias("transaction_id"), F.col("user_id").cast("string").alias("customer_id"), F.col("ts").alias("event_time"), F.col("value").alias("amount_vnd"), F.lit("success").alias("status"),
+        F.lit(1).alias("device_sk"), F.lit(2).alias("merchant_sk"), F.lit("C").alias("txn_country"),
+    )
+    text = plan(marts.behaviour(rows, heavy=0))
+    assert "_slice#" in text and ", 10), REPARTITION_BY_NUM" in text
