@@ -25,20 +25,21 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
     return tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own).where("a > b").distinct()
 
 
+def _are_stars(pair: DataFrame) -> bool:
+    """Whether every node is tied to one smaller node that is tied to none: another step would change nothing."""
+    ends = pair.select(F.col("a").alias("node"), F.lit(1).alias("tied"), F.lit(0).alias("root")).unionByName(pair.select(F.col("b").alias("node"), F.lit(0).alias("tied"), F.lit(1).alias("root")))
+    return not ends.groupBy("node").agg(F.sum("tied").alias("tied"), F.max("root").alias("root")).where("tied + root > 1").take(1)
+
+
 def connected_components(scratch: Scratch, name: str, edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of ``edges`` (a, b)."""
     pair = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pair = scratch.keep(pair, f"{name}-0")
-    before, step = None, 0
-    while True:
+    step = 0
+    while not _are_stars(pair):
         step += 1
         large = _stars(pair, True)  # edges (node, smallest around it)
         pair = scratch.keep(_stars(large, False), f"{name}-{step}")
-        # the sum changes until every node is tied to the smallest of its component alone
-        state = pair.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}-{step - 1}")
-        if state == before:
-            break
-        before = state
     nodes = pair.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(pair.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -843,3 +843,18 @@ def test_quality_equations_and_calibration_by_brute_force(spark):
     found = {r["doc_id"]: r["score"] for r in score_quality(df, model).collect()}
     assert all(abs(found[d] - model.scores([(t or "").encode()])[0]) < 1e-9 for d, t in docs[::13])
     assert keep_quality(df.withColumn("_bytes", F.lit(1)), model).count() == sum(r >= 0.3 for r in [found[d] for d, _ in docs])
+
+
+def test_components_end_as_soon_as_they_are_stars(spark, monkeypatch):
+    """No step is made to see that it changes nothing; chains are contracted as before."""
+    from quaystone.llm.components import connected_components
+    from quaystone.sources.scratch import Scratch
+
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: kept.append(name) or keep(self, df, name))
+    stars = spark.createDataFrame([(10 * i + j, 10 * i) for i in range(5) for j in range(1, 6)], "a long, b long")
+    assert {(r["node"], r["component"]) for r in connected_components(Scratch(spark), "stars", stars).collect()} == {(10 * i + j, 10 * i) for i in range(5) for j in range(6)}
+    assert kept == ["stars-0"]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 17] + [(99, 99)], "a long, b long")
+    assert {(r["node"], r["component"]) for r in connected_components(Scratch(spark), "chain", chain).collect()} == {(i, 0 if i <= 17 else 18) for i in range(41)}
+    assert connected_components(Scratch(spark), "none", stars.limit(0)).count() == 0
