@@ -421,3 +421,36 @@ def test_marts_look_up_only_what_they_show(spark, monkeypatch, heavy):
 def test_wide_rows_are_not_sorted_for_their_labels(spark):
     with queries.star(spark, SF) as s:
         assert "SortMergeJoin" not in plan(fact.with_labels(s.clean.select("transaction_id"), s.raw["fraud_labels"]))
+
+
+def lossy_star(spark):
+    """The same, and some devices and merchants of the rows are in no table."""
+    s = odd_star(spark)
+    for name in ("device", "merchant"):
+        s.raw[f"{name}s"] = s.raw[f"{name}s"].where(~F.col(f"{name}_id").rlike("[1-4]$"))
+    return s
+
+
+@pytest.mark.parametrize("heavy", [marts.HEAVY, 20])
+def test_distinct_counts_need_ids_and_times_alone(spark, monkeypatch, heavy):
+    """The feature mart's counts without its labels, amounts, places, home countries and numbered dimensions: unknown devices
+    and merchants are one each, as by their keys."""
+    from quaystone.sources.scratch import owned
+
+    monkeypatch.setattr(marts.distinct_counts, "__defaults__", (heavy,)) if hasattr(marts, "distinct_counts") else None
+    natural = lossy_star(spark)
+    with lossy_star(spark) as keyed, owned() as made:
+        keyed.fact = Scratch(spark).keep(keyed.fact, "fact")
+        assert keyed.fact.where("device_sk = -1").count() > 0 < keyed.fact.where("merchant_sk = -1").count()
+        kept = len(made)
+        monkeypatch.setattr(queries, "star", lambda *_: natural)
+        found = queries.exact_distinct_window(spark, SF)
+        same_rows(found, keyed.mart_fraud_features(exact_distinct=True).select(found.columns), "transaction_id")
+        fs, make = sinks._hadoop(spark, made[0].base)
+        stored = [spark.read.parquet(str(f.getPath())).columns for x in made[kept:] for f in fs.listStatus(make(x.base))]
+        assert list(map(set, stored)) == [{"transaction_id", "customer_id", "device_id", "merchant_id", "event_time"}]
+
+
+def test_rates_are_joined_only_for_amounts(spark):
+    with queries.star(spark, SF) as s:
+        assert "_rate_date" in plan(s.clean.select("amount_vnd")) and "_rate_date" not in plan(s.clean.select("transaction_id", "amount_original"))
