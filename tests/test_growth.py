@@ -447,8 +447,26 @@ def test_distinct_counts_need_ids_and_times_alone(spark, monkeypatch, heavy):
         found = queries.exact_distinct_window(spark, SF)
         same_rows(found, keyed.mart_fraud_features(exact_distinct=True).select(found.columns), "transaction_id")
         fs, make = sinks._hadoop(spark, made[0].base)
-        stored = [spark.read.parquet(str(f.getPath())).columns for x in made[kept:] for f in fs.listStatus(make(x.base))]
-        assert list(map(set, stored)) == [{"transaction_id", "customer_id", "device_id", "merchant_id", "event_time"}]
+        stored = sorted(sorted(spark.read.parquet(str(f.getPath())).columns) for x in made[kept:] for f in fs.listStatus(make(x.base)))
+        assert stored == [["customer_id", "device_id", "event_time", "merchant_id", "transaction_id"], ["device_id"], ["merchant_id"]]
+
+
+def test_rows_of_no_merchant_are_several_tasks(spark):
+    """Two thirds of the rows have one id: Spark cuts them up, however many merchants there are."""
+    sizes = {"autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in sizes}
+    with queries.star(spark, SF) as s:
+        try:
+            for k, v in sizes.items():
+                spark.conf.set(f"spark.sql.{k}", v)
+            rows = spark.range(0, 60_000, 1, 8).select("id", F.when(F.col("id") % 3 > 0, "").otherwise(F.concat(F.lit("mer_"), F.col("id") % 200)).alias("merchant_id"))
+            known = {r["merchant_id"] for r in s.raw["merchants"].select("merchant_id").collect()}
+            out = fact.with_known_id(rows, s._ids_of("merchant"), "merchant")
+            assert all(m == (f"mer_{i % 200}" if i % 3 == 0 and f"mer_{i % 200}" in known else None) for i, m in out.collect())
+            assert "skew=true" in plan(out)
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
 
 
 def test_rates_are_joined_only_for_amounts(spark):
